@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidegrid.llm import simhash, substring
+from slidegrid.llm import quality, simhash, substring, toxicity
 from slidegrid.llm.common import documents
 
 
@@ -20,12 +20,27 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir)).select("doc_id", "tox.*")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality(documents(spark, sf_dir), labels(spark, sf_dir))
+    return found.select("row.doc_id", "held_out", "score", "predicted")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.without_repeats(documents(spark, sf_dir), window=13)
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op6_substring_dedup": op6_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
