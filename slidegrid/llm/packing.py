@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidegrid.llm.common import buckets
-
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Documents that are packed together, about.
 SHARD = 8_192
@@ -67,7 +65,7 @@ def packed(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, id_col: str
 
     A token is a word (parted by blanks and 0x09 to 0x0D), and each document has one more that ends it. Longer
     documents than the largest capacity are cut in pieces of that size and one of the rest. Documents are
-    dealt by a hash of all their columns' values to shards of about SHARD, each packed by itself; a bin's name is its
+    dealt by a hash of id and text to shards of about SHARD, each packed by itself; a bin's name is its
     shard and its number there. Null and empty texts take the one token that ends a document; null
     ids are kept, repeated rows each have a place; an empty table gives no rows.
     """
@@ -76,7 +74,7 @@ def packed(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, id_col: str
     words = F.size(F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     items = docs.select(
         F.col(id_col).cast("bigint").alias("id"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(shards)).cast("int").alias("shard"),
+        F.pmod(F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")), F.lit(shards)).cast("int").alias("shard"),
         (words + 1).cast("int").alias("n"),
     )
 

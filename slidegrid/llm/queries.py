@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidegrid.llm import bpe, packing, quality, simhash, substring, topk, toxicity
+from slidegrid.llm import bpe, packing, quality, secrets, simhash, substring, topk, toxicity
 from slidegrid.llm.common import documents
 
 
@@ -16,6 +16,16 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["no"] < len(secrets.BASE))
+    count = [F.size(F.filter("spans", lambda s, k=k: s["no"] == k)).cast("bigint").alias(f"n_{kind[0]}") for k, kind in enumerate(secrets.BASE)]
+    return found.select(
+        F.col("id").alias("doc_id"), *count, F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"),
+        F.size(F.filter("shared", lambda x: ~x)).cast("bigint").alias("n_live"), F.size(F.filter("shared", lambda x: x)).cast("bigint").alias("n_example"),
+    )
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), words=4, budget=4)
     return found.select(
@@ -60,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_secret_scans": op8_secret_scans,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
