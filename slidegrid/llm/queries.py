@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidegrid.llm import bpe, packing, quality, secrets, simhash, substring, topk, toxicity
+from slidegrid.llm import bpe, licenses, packing, quality, secrets, simhash, substring, topk, toxicity
 from slidegrid.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), words=4, budget=4)
     return found.select(
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scans": op8_secret_scans,
+    "op9_license_scans": op9_license_scans,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
