@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidegrid.llm import bpe, licenses, packing, quality, secrets, simhash, substring, topk, toxicity
+from slidegrid.llm import bpe, licenses, media, packing, quality, secrets, simhash, substring, topk, toxicity
 from slidegrid.llm.common import documents
 
 
@@ -62,6 +62,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "held_out", "score", "predicted")
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.without_repeats(documents(spark, sf_dir), window=13)
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_top_k": op2_exact_top_k,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op5_media_columns": op5_media_columns,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scans": op8_secret_scans,
