@@ -111,44 +111,38 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 10,
     if not 0 < toxic < 1:
         return Model(np.zeros(BUCKETS, np.float32), 30.0 if toxic else -30.0)
     y = labels.astype(np.int64)
-    data, offsets = lowered(pa.array(texts, pa.large_string()))
-    starts, ends, first = c.words(data, offsets, APART)
-    _, where, word = np.unique(c.slice_hashes(c.sums_before(data, 5), starts, ends), return_index=True, return_inverse=True)
-    if not len(where):
+    words, doc, grams, per_word = vocabulary(texts)
+    if not len(per_word):
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(toxic / (1 - toxic))))
-    grams, owner = word_ngrams(data, starts[where], ends[where])
-    per_word = np.bincount(owner, minlength=len(where))
-    grams, gram_first = grams[np.argsort(owner, kind="stable")], np.r_[0, np.cumsum(per_word)]
-    doc_of = np.repeat(np.arange(len(y)), np.diff(first))
+    n_words, gram_first = len(per_word), np.r_[0, np.cumsum(per_word)]
+    first = np.searchsorted(doc, np.arange(len(y) + 1))
     learn = np.arange(len(y)) % 5 != 4
     if not 0 < y[learn].mean() < 1 or not 0 < y[~learn].mean() < 1:
         learn = np.ones(len(y), bool)
 
-    pair = np.unique(doc_of * np.int64(len(where)) + word)
-    doc, words = pair // len(where), pair % len(where)
     held = []
     for v in (0, 1):
         mine = learn[doc] & (y[doc] == v)
-        by_word = np.bincount(words[mine], minlength=len(where))
+        by_word = np.bincount(words[mine], minlength=n_words)
         held.append((np.bincount(grams, np.repeat(by_word, per_word), BUCKETS) + 1) / ((learn & (y == v)).sum() + 2))
     rng = np.random.default_rng(seed)
     way = rng.standard_normal(WIDTH)
     way /= np.linalg.norm(way)
     odds = np.log(held[1] / held[0]) * (np.bincount(grams, minlength=BUCKETS) > 0)
-    vectors = np.outer(odds, way).astype(np.float32)
+    vectors = np.outer(odds.astype(np.float32), way.astype(np.float32))
     top = np.stack([-way / 2, way / 2], 1).astype(np.float32)
     bias = np.array([0.5, -0.5], np.float32) * float(odds.max())
 
-    def fit(words: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> None:
+    def fit(chosen: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> None:
         """Steps of Adam; a row is a word, whose vector is the mean of its n-grams' vectors."""
-        sizes = per_word[words]
+        sizes = per_word[chosen]
         cut = np.r_[0, np.cumsum(sizes)]
-        at = np.arange(cut[-1]) - np.repeat(cut[:-1], sizes) + np.repeat(gram_first[words], sizes)
+        at = np.arange(cut[-1]) - np.repeat(cut[:-1], sizes) + np.repeat(gram_first[chosen], sizes)
         g, inverse = np.unique(grams[at], return_inverse=True)
-        own, share = np.repeat(np.arange(len(words)), sizes), 1 / sizes
+        own, share = np.repeat(np.arange(len(chosen)), sizes), 1 / sizes
         mine, adam = vectors[g], _Adam((len(g), WIDTH), top.shape, bias.shape)
         for _ in range(steps):
-            x = np.stack([np.bincount(own, mine[inverse, k], len(words)) for k in range(WIDTH)], 1) * share[:, None]
+            x = np.stack([np.bincount(own, mine[inverse, k], len(chosen)) for k in range(WIDTH)], 1) * share[:, None]
             z = x @ top + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -162,24 +156,52 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 10,
     def worth() -> np.ndarray:
         return (np.add.reduceat((vectors @ (top[:, 1] - top[:, 0]))[grams], gram_first[:-1]) / per_word)
 
-    rate = [np.bincount(words[learn[doc] & (y[doc] == v)], minlength=len(where)) / (learn & (y == v)).sum() for v in (0, 1)]
+    rate = [np.bincount(words[learn[doc] & (y[doc] == v)], minlength=n_words) / (learn & (y == v)).sum() for v in (0, 1)]
     clean, suspect = rate[0] > 0, rate[1] > rate[0]
-    mined = np.zeros(len(where), bool)
+    mined = np.zeros(n_words, bool)
     for _ in range(rounds):
         value = worth()
-        _, place = worst_words(np.where(suspect, value, value.min() - 1)[word], first)
-        bad = word[place[(place >= 0) & learn & (y == 1)]]
+        _, place = worst_words(np.where(suspect, value, value.min() - 1)[words], first)
+        bad = words[place[(place >= 0) & learn & (y == 1)]]
         left = np.flatnonzero(clean & ~mined)
         mined[left[np.argsort(-value[left], kind="stable")[:MINED]]] = True
         fine = np.flatnonzero(mined)
         rows, hot = np.r_[bad, fine], np.r_[np.ones(len(bad), int), np.zeros(len(fine), int)]
         fit(rows, hot, np.ones(len(rows)), 0.05)
-    value = worst_words(worth()[word], first)[0] + float(bias[1] - bias[0])
+    value = worst_words(worth()[words], first)[0] + float(bias[1] - bias[0])
     judged = ~learn if not learn.all() else learn
     a, b = scaled(value[judged], y[judged])
     return Model((vectors @ (top[:, 1] - top[:, 0]) * a).astype(np.float32), float(bias[1] - bias[0]) * a + b)
 
 
+def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's distinct words as numbers, with the document of each; n-grams word by word, and how many each word has."""
+    data, offsets = lowered(pa.array(texts, pa.large_string()))
+    known, found, grams, sizes, docs, held = np.zeros(0, np.uint64), [], [], [], [], []
+    for a, b in c.steps(offsets):
+        piece = data[offsets[a] : offsets[b]]
+        starts, ends, first = c.words(piece, offsets[a : b + 1] - offsets[a], APART)
+        hashes = c.slice_hashes(c.sums_before(piece, 5), starts, ends)
+        doc = np.repeat(np.arange(a, b), np.diff(first))
+        order = np.lexsort((hashes, doc))
+        keep = order[np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (doc[order][1:] != doc[order][:-1])]] if len(order) else order
+        docs.append(doc[keep])
+        held.append(hashes[keep])
+        new, at = np.unique(hashes, return_index=True)
+        fresh = ~c.among(new, known)
+        own, owner = word_ngrams(piece, starts[at[fresh]], ends[at[fresh]])
+        grams.append(own[np.argsort(owner, kind="stable")])
+        sizes.append(np.bincount(owner, minlength=int(fresh.sum())))
+        found.append(new[fresh])
+        known = np.union1d(known, new)
+    if not len(known):
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    names = np.concatenate(found)
+    order = np.argsort(names)
+    words = order[np.searchsorted(names[order], np.concatenate(held))]
+    return words, np.concatenate(docs), np.concatenate(grams), np.concatenate(sizes)
+
+
 def scaled(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset that make logits of the values: logistic regression, the slope over 0."""
     mean, spread = value.mean(), value.std() + 1e-9
