@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidegrid.llm.common import buckets, checkpointed
+from slidegrid.llm import common as c
+from slidegrid.llm.common import checkpointed
 from slidegrid.llm.components import components
 
 BITS = 64
@@ -122,29 +123,77 @@ def merged(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 def links(distinct: DataFrame, budget: int = 4, hot: int = HOT, group: int = GROUP) -> DataFrame:
     """a, b: links whose components are those of all pairs of fingerprints within `budget` bits.
 
-    distinct has fp, each once, and rep, the number that stands for it in a link. Fingerprints within the
-    budget agree on one of budget + 1 blocks of bits, so each goes to the tries of its blocks' values, and a
-    trie with more than `hot` of them is split once more by the bits outside its block. The table of hot
-    values is at most (budget + 1) * 2**13 rows, whatever the input. A trie gives one link for each
+    distinct has fp, each once, and rep, the number that stands for it in a link. A trie gives one link for each
     member, to the least one that it reaches there, so a large group of copies makes no pairs.
     """
+
+    def least(fp: np.ndarray, first: np.ndarray, last: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        root = merged(len(fp), trie_pairs(fp, first, last, depth, budget))
+        apart = np.flatnonzero(root != np.arange(len(fp)))
+        return apart, root[apart]
+
+    return in_tries(distinct.withColumn("part", F.lit(0)), least, budget, hot, group)
+
+
+def candidates(fingerprints: DataFrame, budget: int = 4, few: int = 32, hubs: int = 8) -> DataFrame:
+    """a, b: pairs to compare, from fingerprints of several tables (part, fp each once in a part, rep).
+
+    In a trie's component of at most `few` fingerprints, all pairs within the budget; in a larger one, each
+    member with the `hubs` members that have the most neighbours.
+    """
+
+    def pairs(fp: np.ndarray, first: np.ndarray, last: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        degree = np.zeros(len(fp), np.int64)
+
+        def counting() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for x, y in trie_pairs(fp, first, last, depth, budget):
+                degree[:] += np.bincount(x, minlength=len(fp)) + np.bincount(y, minlength=len(fp))
+                yield x, y
+
+        root = merged(len(fp), counting())
+        size = np.bincount(root, minlength=len(fp))[root]
+        small = np.flatnonzero((size > 1) & (size <= few))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(small):
+            order = small[np.argsort(root[small], kind="stable")]
+            for k in range(1, few):
+                same = np.flatnonzero(root[order][k:] == root[order][:-k])
+                x, y = order[same], order[same + k]
+                near = np.bitwise_count(fp[x] ^ fp[y]) <= budget
+                a.append(x[near])
+                b.append(y[near])
+        for r in np.unique(root[size > few]).tolist():
+            members = np.flatnonzero(root == r)
+            centre = members[np.argsort(-degree[members], kind="stable")[:hubs]]
+            for h in centre.tolist():
+                a.append(members[members != h])
+                b.append(np.full(len(members) - 1, h))
+        return np.concatenate(a), np.concatenate(b)
+
+    return in_tries(fingerprints, pairs, budget)
+
+
+def in_tries(distinct: DataFrame, found: Callable, budget: int, hot: int = HOT, group: int = GROUP) -> DataFrame:
+    """a, b: the pairs that `found` gives in the tries of (part, fp, rep), with rep in place of fp.
+
+    Fingerprints within the budget agree on one of budget + 1 blocks of bits, so each goes to the tries of its
+    blocks' values, and a trie with more than `hot` of them is split once more by the bits outside its
+    block. The table of hot values has at most (budget + 1) * 2**13 rows for a part, whatever the input.
+    """
     parts = blocks(budget)
     spread = distinct.select(
-        "fp", "rep",
-        F.explode(F.array(*[
-            F.struct(F.lit(i).alias("block"), F.expr(sub_value(0, a, w)).alias("value"))
-            for i, (a, w) in enumerate(parts)
-        ])).alias("k"),
-    ).select("fp", "rep", "k.block", "k.value")
+        "part", "fp", "rep",
+        F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.expr(sub_value(0, a, w)).alias("value")) for i, (a, w) in enumerate(parts)])).alias("k"),
+    ).select("part", "fp", "rep", "k.block", "k.value")
     n = distinct.count()
-    many = spread.groupBy("block", "value").count().where(F.col("count") > hot).select("block", "value", F.lit(True).alias("many"))
+    many = spread.groupBy("part", "block", "value").count().where(F.col("count") > hot).select("part", "block", "value", F.lit(True).alias("many"))
     if n > hot and (hot_rows := many.collect()):
         many = distinct.sparkSession.createDataFrame(hot_rows, many.schema)
         sub = F.array(*[F.array(*[F.expr(sub_value(a, w + i, n)) for i, n in blocks(budget, BITS - w)]) for a, w in parts])
         spread = (
-            spread.join(F.broadcast(many), ["block", "value"], "left")
+            spread.join(F.broadcast(many), ["part", "block", "value"], "left")
             .withColumn("s", F.when(F.col("many"), F.element_at(sub, F.col("block") + 1)).otherwise(F.array(F.lit(-1))))
-            .select("fp", "rep", "block", "value", F.posexplode("s").alias("sub", "sub_value"))
+            .select("part", "fp", "rep", "block", "value", F.posexplode("s").alias("sub", "sub_value"))
         )
     else:
         spread = spread.select("*", F.lit(0).alias("sub"), F.lit(-1).alias("sub_value"))
@@ -152,20 +201,19 @@ def links(distinct: DataFrame, budget: int = 4, hot: int = HOT, group: int = GRO
     key = F.pmod(F.xxhash64("value", "sub", "sub_value"), F.lit(groups)).cast("int")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = int(pdf["block"].iloc[0])
-        a, w = parts[block]
-        fp = turned(pdf["fp"].to_numpy(np.int64).view(np.uint64), a)
+        turn, width = parts[int(pdf["block"].iloc[0])]
+        fp = turned(pdf["fp"].to_numpy(np.int64).view(np.uint64), turn)
         sub = (pdf["sub"].to_numpy(np.int64) + 1) * (1 << 32) + pdf["sub_value"].to_numpy(np.int64)
-        order = np.lexsort((fp, sub, pdf["value"].to_numpy()))
-        fp, sub, value, rep = fp[order], sub[order], pdf["value"].to_numpy()[order], pdf["rep"].to_numpy()[order]
+        value = pdf["value"].to_numpy()
+        order = np.lexsort((fp, sub, value))
+        fp, sub, value, rep = fp[order], sub[order], value[order], pdf["rep"].to_numpy()[order]
         first = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (sub[1:] != sub[:-1])])
         last = np.r_[first[1:], len(fp)]
         some = last - first > 1
-        root = merged(len(fp), trie_pairs(fp, first[some], last[some], w, budget))
-        apart = np.flatnonzero(root != np.arange(len(fp)))
-        return pd.DataFrame({"a": rep[apart], "b": rep[root[apart]]})
+        a, b = found(fp, first[some], last[some], width)
+        return pd.DataFrame({"a": rep[a], "b": rep[b]})
 
-    return spread.withColumn("g", key).groupBy("block", "g").applyInPandas(work, "a bigint, b bigint")
+    return spread.withColumn("g", key).groupBy("part", "block", "g").applyInPandas(work, "a bigint, b bigint")
 
 
 def sub_value(turn: int, first: int, width: int) -> str:
@@ -187,3 +235,96 @@ def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, id_col: st
     found = components(links(linked, budget))
     named = same.join(found, same["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return fps.join(named, "fp").select("id", "fp", "component")
+
+
+def word_fingerprints(docs: DataFrame, tables: int, id_col: str, text_col: str) -> DataFrame:
+    """id, same, fps: a hash of each text's words in order, and SimHashes of its distinct words, one for each table."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = c.text_bytes(batch.column(1))
+            data = _LOWER[data]
+            same, fps = [], []
+            for a, b in c.steps(offsets):
+                piece = data[offsets[a] : offsets[b]]
+                starts, ends, first = c.words(piece, offsets[a : b + 1] - offsets[a])
+                h = c.slice_hashes(c.sums_before(piece, 31), starts, ends)
+                place = np.arange(len(h)) - first[np.repeat(np.arange(b - a), np.diff(first))]
+                total = np.r_[np.uint64(0), np.cumsum(c.joined(h, place.astype(np.uint64)), dtype=np.uint64)]
+                same.append(c.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)))
+                for k in range(b - a):
+                    own = np.unique(h[first[k] : first[k + 1]])
+                    row = np.zeros(tables, np.uint64)
+                    for t in range(tables if len(own) else 0):
+                        bits = np.unpackbits(c.mix(own ^ np.uint64(0x1234567 * (2 * t + 1))).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+                        row[t] = int.from_bytes(np.packbits(2 * bits.sum(0) > len(own)).tobytes(), "big")
+                    fps.append(row.view(np.int64))
+            flat = np.concatenate([np.zeros(0, np.int64), *fps])
+            lists = pa.ListArray.from_arrays(np.arange(len(fps) + 1, dtype=np.int32) * tables, flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, np.uint64), *same]).view(np.int64)), lists], ["id", "same", "fps"])
+
+    kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return kept.mapInArrow(work, "id bigint, same bigint, fps array<bigint>")
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def shingle_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """id, shingles: sorted distinct 64-bit hashes of the runs of `words` words, as bytes; shorter texts are one run."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = c.text_bytes(batch.column(1))
+            data = _LOWER[data]
+            out = []
+            for a, b in c.steps(offsets):
+                piece = data[offsets[a] : offsets[b]]
+                starts, ends, first = c.words(piece, offsets[a : b + 1] - offsets[a])
+                h = c.slice_hashes(c.sums_before(piece, 31), starts, ends)
+                for k in range(b - a):
+                    own = h[first[k] : first[k + 1]]
+                    out.append(np.unique(c.window_hashes(own, max(1, min(words, len(own))))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "shingles"])
+
+    kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return kept.mapInArrow(work, "id bigint, shingles binary")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, component: for every id that has near-duplicates with a larger or smaller id, the smallest id that links reach.
+
+    Documents link when the Jaccard similarity of their sets of `words`-word runs is at least `similarity`, or when
+    their words are equal. Pairs to compare come from the trie joins of `tables` SimHashes of the distinct
+    words, which few changed words move by few bits only; each pair is then compared exactly. Texts without words
+    and rows with null ids link with nothing; an empty table gives no rows. Rows with one id are one document here.
+    """
+    rows = checkpointed(word_fingerprints(docs, tables, id_col, text_col))
+    some = rows.where("id IS NOT NULL AND size(filter(fps, x -> x != 0)) > 0")
+    firsts = some.groupBy("same").agg(F.min("id").alias("rep"), F.min_by("fps", "id").alias("fps"))
+    firsts = checkpointed(firsts)
+    copies = some.join(firsts.select("same", "rep"), "same").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    spread = firsts.select("rep", F.posexplode("fps").alias("part", "fp"))
+    distinct = checkpointed(spread.groupBy("part", "fp").agg(F.min("rep").alias("rep")))
+    named = distinct.withColumnRenamed("rep", "hub")
+    equal = spread.join(named, ["part", "fp"]).where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    pairs = candidates(distinct).union(equal)
+    pairs = checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
+    sets = checkpointed(shingle_sets(docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).join(wanted, id_col), words, id_col, text_col))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                    common = int(c.among(x, y).sum())
+                    keep[i] = common >= similarity * (len(x) + len(y) - common) - 1e-9
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    first, second = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    near = pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(compared, "a bigint, b bigint")
+    found = components(near.union(copies))
+    return found.select(F.col("node").alias("id"), "component")
