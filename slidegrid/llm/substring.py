@@ -182,22 +182,27 @@ def covered(bucket: Bucket, replies: list[np.ndarray]) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def kept_texts(bucket: Bucket, gone: np.ndarray) -> Iterator[bytes]:
-    """Each document's words that stay, joined by one blank."""
+def kept_texts(bucket: Bucket, gone: np.ndarray, tidy: bool) -> Iterator[bytes]:
+    """Each document's words that stay, joined by one blank; if not tidy, white space between kept neighbours stays too."""
     for i in range(len(bucket.ids)):
         a, b = bucket.first[i], bucket.first[i + 1]
         stay = np.flatnonzero(~gone[a:b]) + a
+        if not tidy and len(stay) == b - a:
+            yield bucket.data[bucket.offsets[i] : bucket.offsets[i + 1]].tobytes()
+            continue
         if not len(stay):
             yield b""
             continue
         first = np.flatnonzero(np.r_[True, np.diff(stay) > 1])
-        pieces = zip(bucket.starts[stay[first]].tolist(), bucket.ends[stay[np.r_[first[1:], len(stay)] - 1]].tolist(), strict=True)
-        yield b" ".join(b" ".join(bucket.data[x:y].tobytes().split()) for x, y in pieces)
+        ends = bucket.ends[stay[np.r_[first[1:], len(stay)] - 1]]
+        runs = [bucket.data[x:y].tobytes() for x, y in zip(bucket.starts[stay[first]].tolist(), ends.tolist(), strict=True)]
+        yield b" ".join([b" ".join(x.split()) for x in runs] if tidy else runs)
 
 
-def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 13, tidy: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, n_words, n_removed, kept: every row of docs without the words of its repeated windows.
 
+    kept has one blank between words, or, if not tidy, the text as it is but for what goes.
     A word goes if a window of `window` words that covers it also starts in a document with a smaller id.
     row is a struct of the columns other than the text, so no names clash. Words are parted by blanks and 0x09 to
     0x0D; null and empty texts have none; a null id counts as the largest; rows with one id are one
@@ -250,7 +255,7 @@ def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
             "row": table["row"],
             "n_words": np.diff(bucket.first),
             "n_removed": np.diff(removed[bucket.first]),
-            "kept": pa.array(kept_texts(bucket, gone), pa.binary()).cast(pa.string()),
+            "kept": pa.array(kept_texts(bucket, gone, tidy), pa.binary()).cast(pa.string()),
         })
 
     return placed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(work, out)
