@@ -10,30 +10,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OBJECT = """
+  CAST(l_orderkey AS BIGINT) * 8 + l_linenumber AS object_id,
+  concat('S', lpad(CAST(s % 20 AS {text}), 2, '0')) AS slide,
+  ((CAST(p AS BIGINT) * 37) % 20000) / CAST(10 AS DOUBLE) AS x_centroid,
+  ((CAST(l_orderkey AS BIGINT) * 53) % 16000) / CAST(10 AS DOUBLE) AS y_centroid,
+  (CAST(round(price * 100) AS BIGINT) % 2001 - 1000) / CAST(1000 AS DOUBLE) AS score,
+  round(disc * 20 - 1, 2) AS score_tied,
+  CASE WHEN flag = 'R' THEN 1 ELSE -1 END AS label,
+  flag, CAST(round(disc * 100) AS INTEGER) AS iteration"""
+_GROUPED = """SELECT l_orderkey, l_linenumber, min(l_suppkey) AS s, max(l_partkey) AS p, max(l_extendedprice) AS price,
+  max(l_discount) AS disc, max(l_returnflag) AS flag FROM {lineitem} GROUP BY l_orderkey, l_linenumber"""
+
+
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segmented objects: one for each order line, on 20 slides."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey", "l_linenumber")
+    grouped = (
+        table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
         .agg(
-            F.min("l_suppkey").alias("s"),
-            F.max("l_partkey").alias("p"),
-            F.max("l_extendedprice").alias("price"),
-            F.max("l_discount").alias("disc"),
-            F.max("l_returnflag").alias("flag"),
-        )
-        .selectExpr(
-            "CAST(l_orderkey AS BIGINT) * 8 + l_linenumber AS object_id",
-            "concat('S', lpad(CAST(s % 20 AS STRING), 2, '0')) AS slide",
-            "((CAST(p AS BIGINT) * 37) % 20000) / CAST(10 AS DOUBLE) AS x_centroid",
-            "((CAST(l_orderkey AS BIGINT) * 53) % 16000) / CAST(10 AS DOUBLE) AS y_centroid",
-            "(CAST(round(price * 100) AS BIGINT) % 2001 - 1000) / CAST(1000 AS DOUBLE) AS score",
-            "round(disc * 20 - 1, 2) AS score_tied",
-            "CASE WHEN flag = 'R' THEN 1 ELSE -1 END AS label",
+            F.min("l_suppkey").alias("s"), F.max("l_partkey").alias("p"), F.max("l_extendedprice").alias("price"),
+            F.max("l_discount").alias("disc"), F.max("l_returnflag").alias("flag"),
         )
+    )
+    return grouped.selectExpr(*_split(_OBJECT.format(text="STRING")))
+
+
+def _split(columns: str) -> list[str]:
+    """Column expressions of a select list."""
+    out, depth, start = [], 0, 0
+    for i, x in enumerate(columns):
+        depth += (x == "(") - (x == ")")
+        if x == "," and not depth:
+            out.append(columns[start:i])
+            start = i + 1
+    return [*out, columns[start:]]
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled objects: returned or accepted lines; 0 (ignore) where the discount is 10 %."""
+    return objects(spark, sf_dir).where("flag <> 'N'").selectExpr(
+        "object_id", "slide", "x_centroid", "y_centroid", "score", "iteration", "CASE WHEN iteration = 10 THEN 0 ELSE label END AS label"
     )
 
 
+def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").selectExpr(*_split(_CLICK.format(text="STRING")))
+
+
+def viewports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").selectExpr(*_split(_VIEWPORT.format(text="STRING")))
+
+
+_CLICK = """CAST(s_suppkey AS BIGINT) AS click_id, concat('S', lpad(CAST(s_suppkey % 20 AS {text}), 2, '0')) AS slide,
+  CAST(CAST(s_suppkey AS BIGINT) * 7 % 2000 AS DOUBLE) AS x, CAST(CAST(s_suppkey AS BIGINT) * 13 % 1600 AS DOUBLE) AS y"""
+_VIEWPORT = """CAST(n_nationkey AS BIGINT) AS view_id, concat('S', lpad(CAST(n_nationkey % 20 AS {text}), 2, '0')) AS slide,
+  CAST(n_nationkey * 67 % 1600 AS DOUBLE) AS l, CAST(n_nationkey * 31 % 1300 AS DOUBLE) AS t,
+  CAST(n_nationkey * 67 % 1600 + 400 AS DOUBLE) AS r, CAST(n_nationkey * 31 % 1300 + 300 AS DOUBLE) AS b"""
+
+
 def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slides that the suppliers' keys name."""
     return (
@@ -51,16 +85,21 @@ def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same views as common table expressions for the comparison engine.
-OBJECTS_SQL = """objects AS (
-  SELECT CAST(l_orderkey AS BIGINT) * 8 + l_linenumber AS object_id,
-    'S' || lpad(CAST(min(l_suppkey) % 20 AS VARCHAR), 2, '0') AS slide,
-    ((CAST(max(l_partkey) AS BIGINT) * 37) % 20000) / CAST(10 AS DOUBLE) AS x_centroid,
-    ((CAST(max(l_orderkey) AS BIGINT) * 53) % 16000) / CAST(10 AS DOUBLE) AS y_centroid,
-    (CAST(round(max(l_extendedprice) * 100) AS BIGINT) % 2001 - 1000) / CAST(1000 AS DOUBLE) AS score,
-    round(max(l_discount) * 20 - 1, 2) AS score_tied,
-    CASE WHEN max(l_returnflag) = 'R' THEN 1 ELSE -1 END AS label
-  FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
-SLIDES_SQL = """slides AS (
+CTES = {
+    "objects": f"objects AS (SELECT {_OBJECT.format(text='VARCHAR')} FROM ({_GROUPED.format(lineitem='lineitem')}))",
+    "samples": """samples AS (SELECT object_id, slide, x_centroid, y_centroid, score, iteration,
+        CASE WHEN iteration = 10 THEN 0 ELSE label END AS label FROM objects WHERE flag <> 'N')""",
+    "clicks": f"clicks AS (SELECT {_CLICK.format(text='VARCHAR')} FROM supplier)",
+    "viewports": f"viewports AS (SELECT {_VIEWPORT.format(text='VARCHAR')} FROM nation)",
+    "slides": """slides AS (
   SELECT 'S' || lpad(CAST(n AS VARCHAR), 2, '0') AS name, 2000 AS x_size, 1600 AS y_size,
     CAST(1 + n % 2 AS INTEGER) AS scale, '/p/S' || lpad(CAST(n AS VARCHAR), 2, '0') AS pyramid_path
-  FROM (SELECT DISTINCT s_suppkey % 20 AS n FROM supplier))"""
+  FROM (SELECT DISTINCT s_suppkey % 20 AS n FROM supplier))""",
+}
+_ORDER = ("objects", "samples", "clicks", "viewports", "slides")
+
+
+def sql(body: str, *views: str) -> str:
+    """SQL over the views (and those that they are made of)."""
+    wanted = set(views) | ({"objects"} if "samples" in views else set())
+    return "WITH " + ", ".join(CTES[v] for v in _ORDER if v in wanted) + " " + body if wanted else body

@@ -1 +1,3 @@
-"""Part of slidegrid."""
+"""Queries of the library; importing this registers all of them."""
+
+from slidegrid.plans import object_queries  # noqa: F401

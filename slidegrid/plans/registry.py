@@ -7,9 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidegrid import fixtures as fx
-from slidegrid.operators import counts
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -27,12 +24,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-@query(
-    "a1_slide_counts",
-    f"""WITH {fx.OBJECTS_SQL}, {fx.SLIDES_SQL}
-    SELECT s.name AS slide, count(o.object_id) FILTER (o.score >= 0) AS n_positive,
-      count(o.object_id) FILTER (o.score < 0) AS n_negative
-    FROM slides s LEFT JOIN objects o ON o.slide = s.name GROUP BY s.name""",
-)
-def a1(spark: SparkSession, d: str) -> DataFrame:
-    return counts.slide_counts(fx.objects(spark, d), fx.slides(spark, d), counts.predicted_label(F.col("score")))
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Floating columns rounded, as sums in another order differ in the last places."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
