@@ -84,6 +84,44 @@ def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SURVIVAL = """CAST(o_orderkey AS BIGINT) AS subject, CAST(floor({days} / 10) AS DOUBLE) AS time, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS event,
+  o_orderpriority AS "group", o_totalprice AS price, CAST(o_custkey % 2 AS INTEGER) AS odd"""
+
+
+def survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects with a time in tens of days, an event flag, a group and two covariates: one for each order."""
+    days = "abs(datediff(CAST(o_orderdate AS DATE), DATE'1995-01-01'))"
+    return table(spark, sf_dir, "orders").selectExpr(*_split(_SURVIVAL.format(days=days).replace('"group"', "`group`")))
+
+
+def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A polygon of four to eight vertices around each object, as text `x,y x,y ...`, on the object's slide."""
+    n = "(4 + object_id % 5)"
+    point = f"concat(CAST(CAST(round(x_centroid) + 10 * ((i * 7 + object_id) % 5) AS INT) AS STRING), ',', CAST(CAST(round(y_centroid) + 10 * ((i * 3 + object_id) % 4) AS INT) AS STRING))"
+    return objects(spark, sf_dir).selectExpr("object_id", "slide", "x_centroid", "y_centroid", f"array_join(transform(sequence(0, CAST({n} AS INT) - 1), i -> {point}), ' ') AS boundary")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of users: uid, command, time (UTC)."""
+    return table(spark, sf_dir, "events").selectExpr("event_id", "user_id AS uid", "event_type AS command", "CAST(ts AS TIMESTAMP) AS ts")
+
+
+def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "region").selectExpr("CAST(r_regionkey AS BIGINT) AS dataset_id", "r_name AS name")
+
+
+def dataset_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").selectExpr("CAST(n_regionkey AS BIGINT) AS dataset_id", "concat('S', lpad(CAST(n_nationkey % 20 AS STRING), 2, '0')) AS slide")
+
+
+def training_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS BIGINT) AS set_id", "c_name AS name", "CAST(c_nationkey % 5 AS BIGINT) AS dataset_id")
+
+
+def training_objs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr("CAST(o_custkey AS BIGINT) AS set_id", "CAST(o_orderkey AS BIGINT) AS object_id", "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END AS label")
+
+
 #: The same views as common table expressions for the comparison engine.
 CTES = {
     "objects": f"objects AS (SELECT {_OBJECT.format(text='VARCHAR')} FROM ({_GROUPED.format(lineitem='lineitem')}))",
@@ -96,10 +134,20 @@ CTES = {
     CAST(1 + n % 2 AS INTEGER) AS scale, '/p/S' || lpad(CAST(n AS VARCHAR), 2, '0') AS pyramid_path
   FROM (SELECT DISTINCT s_suppkey % 20 AS n FROM supplier))""",
 }
-_ORDER = ("objects", "samples", "clicks", "viewports", "slides")
+CTES |= {
+    "survival": f"""survival AS (SELECT {_SURVIVAL.format(days="abs(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)))")} FROM orders)""",
+    "boundaries": """boundaries AS (SELECT object_id, slide, x_centroid, y_centroid, array_to_string(list_transform(range(0, 4 + object_id % 5), lambda i:
+      concat(CAST(CAST(round(x_centroid) + 10 * ((i * 7 + object_id) % 5) AS INTEGER) AS VARCHAR), ',', CAST(CAST(round(y_centroid) + 10 * ((i * 3 + object_id) % 4) AS INTEGER) AS VARCHAR))), ' ') AS boundary FROM objects)""",
+    "requests": "requests AS (SELECT event_id, user_id AS uid, event_type AS command, CAST(ts AS TIMESTAMP) AS ts FROM events)",
+    "datasets": "datasets AS (SELECT CAST(r_regionkey AS BIGINT) AS dataset_id, r_name AS name FROM region)",
+    "dataset_slides": "dataset_slides AS (SELECT CAST(n_regionkey AS BIGINT) AS dataset_id, concat('S', lpad(CAST(n_nationkey % 20 AS VARCHAR), 2, '0')) AS slide FROM nation)",
+    "training_sets": "training_sets AS (SELECT CAST(c_custkey AS BIGINT) AS set_id, c_name AS name, CAST(c_nationkey % 5 AS BIGINT) AS dataset_id FROM customer)",
+    "training_objs": "training_objs AS (SELECT CAST(o_custkey AS BIGINT) AS set_id, CAST(o_orderkey AS BIGINT) AS object_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END AS label FROM orders)",
+}
+_ORDER = ("objects", "samples", "clicks", "viewports", "slides", "survival", "boundaries", "requests", "datasets", "dataset_slides", "training_sets", "training_objs")
 
 
 def sql(body: str, *views: str) -> str:
     """SQL over the views (and those that they are made of)."""
-    wanted = set(views) | ({"objects"} if "samples" in views else set())
+    wanted = set(views) | ({"objects"} if {"samples", "boundaries"} & set(views) else set())
     return "WITH " + ", ".join(CTES[v] for v in _ORDER if v in wanted) + " " + body if wanted else body

@@ -53,7 +53,8 @@ def confidence(table: DataFrame, z: float = 1.96) -> DataFrame:
 def step_points(table: DataFrame) -> DataFrame:
     """Points of the step function: at each time the survival before it and from it on."""
     before = F.lag("survival", 1, 1.0).over(Window.partitionBy("group").orderBy("time"))
-    points = table.select("group", "time", F.explode(F.array(F.struct(F.lit(0).alias("k"), before.alias("y")), F.struct(F.lit(1).alias("k"), F.col("survival").alias("y")))).alias("p"))
+    points = table.select("group", "time", "survival", before.alias("before"))
+    points = points.select("group", "time", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("before").alias("y")), F.struct(F.lit(1).alias("k"), F.col("survival").alias("y")))).alias("p"))
     return points.select("group", F.col("time").alias("x"), F.col("p.k").alias("step"), F.col("p.y").alias("y"))
 
 

@@ -1,3 +1,3 @@
 """Queries of the library; importing this registers all of them."""
 
-from slidegrid.plans import object_queries  # noqa: F401
+from slidegrid.plans import object_queries, table_queries  # noqa: F401

@@ -29,7 +29,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES, key=lambda n: (list(registry.QUERIES).index(n))))
 def test_query(spark, duck, name):
     got = registry.QUERIES[name](spark, SF).toPandas()
     if name not in registry.ORACLES:
