@@ -122,6 +122,17 @@ def training_objs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("CAST(o_custkey AS BIGINT) AS set_id", "CAST(o_orderkey AS BIGINT) AS object_id", "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END AS label")
 
 
+_PIXEL = """tile_id, x, y, CAST((x * x * 3 + y * y * 5 + x * y + tile_id * 3) % 256 AS INTEGER) AS r, CAST((x * 5 + y * 11 + tile_id * 7) % 256 AS INTEGER) AS g,
+  CAST((x * 3 + y * 17 + tile_id) % 256 AS INTEGER) AS b,
+  CASE WHEN x % 8 < 5 + (y % 3) AND y % 8 < 6 THEN CAST(floor(x / 8) + 4 * floor(y / 8) + 1 AS INTEGER) ELSE 0 END AS label"""
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tile of 32 x 32 pixels with 16 objects for each supplier."""
+    tiles = table(spark, sf_dir, "supplier").selectExpr("CAST(s_suppkey AS BIGINT) AS tile_id", "explode(sequence(0, 31)) AS x").selectExpr("tile_id", "x", "explode(sequence(0, 31)) AS y")
+    return tiles.selectExpr(*_split(_PIXEL))
+
+
 #: The same views as common table expressions for the comparison engine.
 CTES = {
     "objects": f"objects AS (SELECT {_OBJECT.format(text='VARCHAR')} FROM ({_GROUPED.format(lineitem='lineitem')}))",
@@ -135,6 +146,7 @@ CTES = {
   FROM (SELECT DISTINCT s_suppkey % 20 AS n FROM supplier))""",
 }
 CTES |= {
+    "pixels": f"pixels AS (SELECT {_PIXEL} FROM (SELECT CAST(s_suppkey AS BIGINT) AS tile_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM supplier, range(32) a(x), range(32) b(y)))",
     "survival": f"""survival AS (SELECT {_SURVIVAL.format(days="abs(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)))")} FROM orders)""",
     "boundaries": """boundaries AS (SELECT object_id, slide, x_centroid, y_centroid, array_to_string(list_transform(range(0, 4 + object_id % 5), lambda i:
       concat(CAST(CAST(round(x_centroid) + 10 * ((i * 7 + object_id) % 5) AS INTEGER) AS VARCHAR), ',', CAST(CAST(round(y_centroid) + 10 * ((i * 3 + object_id) % 4) AS INTEGER) AS VARCHAR))), ' ') AS boundary FROM objects)""",
@@ -144,7 +156,7 @@ CTES |= {
     "training_sets": "training_sets AS (SELECT CAST(c_custkey AS BIGINT) AS set_id, c_name AS name, CAST(c_nationkey % 5 AS BIGINT) AS dataset_id FROM customer)",
     "training_objs": "training_objs AS (SELECT CAST(o_custkey AS BIGINT) AS set_id, CAST(o_orderkey AS BIGINT) AS object_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END AS label FROM orders)",
 }
-_ORDER = ("objects", "samples", "clicks", "viewports", "slides", "survival", "boundaries", "requests", "datasets", "dataset_slides", "training_sets", "training_objs")
+_ORDER = ("objects", "samples", "clicks", "viewports", "slides", "survival", "boundaries", "requests", "datasets", "dataset_slides", "training_sets", "training_objs", "pixels")
 
 
 def sql(body: str, *views: str) -> str:
