@@ -135,7 +135,7 @@ def links(distinct: DataFrame, budget: int = 4, hot: int = HOT, group: int = GRO
     return in_tries(distinct.withColumn("part", F.lit(0)), least, budget, hot, group)
 
 
-def candidates(fingerprints: DataFrame, budget: int = 4, few: int = 32, hubs: int = 8) -> DataFrame:
+def candidates(fingerprints: DataFrame, budget: int = 4, few: int = 16, hubs: int = 2) -> DataFrame:
     """a, b: pairs to compare, from fingerprints of several tables (part, fp each once in a part, rep).
 
     In a trie's component of at most `few` fingerprints, all pairs within the budget; in a larger one, each
