@@ -12,18 +12,27 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
-    """text, label: at most most[v] documents with label v, those of least hash of id among the rows to learn from.
+def chosen(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text, label: at most most[v] documents with label v, those of least hash of id among the rows to learn from.
 
-    The labels are cut first, so what is joined to the documents and sent to the driver is
-    bounded by `most`, whatever the tables' size. Of an id with several labels the largest counts.
+    The labels are cut first, so what is joined to the documents is bounded by `most`, whatever the
+    tables' size. Of an id with several labels the largest counts, of repeated documents any one.
     """
     known = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     known = known.withColumnRenamed("id", id_col).where(learn).groupBy(id_col).agg(F.max("label").alias("label"))
     parts = [known.where(F.col("label") == v).orderBy(F.xxhash64(id_col), id_col).limit(n) for v, n in most.items()]
-    chosen = parts[0]
+    few = parts[0]
     for x in parts[1:]:
-        chosen = chosen.union(x)
-    texts = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(F.broadcast(chosen), id_col).toPandas()
-    return found.drop_duplicates(id_col).sort_values(id_col)[["text", "label"]].reset_index(drop=True)
+        few = few.union(x)
+    texts = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(few), id_col).select(F.col(id_col).alias("id"), "text", "label")
+
+
+def tidy(rows: pd.DataFrame) -> pd.DataFrame:
+    """Chosen rows once each, in the order of their ids."""
+    return rows.drop_duplicates("id").sort_values("id").reset_index(drop=True)
+
+
+def sample(*args, **kwargs) -> pd.DataFrame:
+    """text, label: the chosen documents on the driver."""
+    return tidy(chosen(*args, **kwargs).toPandas())[["text", "label"]]

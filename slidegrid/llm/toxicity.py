@@ -6,19 +6,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slidegrid.llm import common as c
-from slidegrid.llm.labelled import held_out, sample
+from slidegrid.llm.labelled import chosen, held_out, tidy
 
 #: Documents that the model learns from at most, by label.
 LEARN = {0: 6000, 1: 1500}
 BUCKETS = 1 << 20
 WIDTH = 8
-DECAY = np.float32(0.0012)
+DECAY = np.float32(0.001)
 #: Words of clean documents that each round adds to what is learnt from.
 MINED = 3000
 #: Bytes that part words: all of ASCII but a to z (texts are lower-cased).
@@ -34,7 +35,7 @@ class Model:
 
 
 def word_ngrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams, and the word of each: runs of 3 to 5 bytes, beginnings, and whole words."""
+    """Buckets of all n-grams, and the word of each (words in the order of their places): runs of 3 to 5 bytes, beginnings, and whole words."""
     sums = c.sums_before(data, 3)
     grams, owner = [c.slice_hashes(sums, starts, ends)], [np.arange(len(starts))]
     word = np.zeros(len(data) + 1, np.int64)
@@ -99,7 +100,7 @@ class _Adam:
             x -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-7)
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 10, steps: int = 30) -> Model:
+def train(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 6, steps: int = 30) -> Model:
     """Fit the n-gram vectors and the softmax together.
 
     The vectors start along one direction, at the log-odds with which documents of either label hold the
@@ -116,19 +117,28 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 10,
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(toxic / (1 - toxic))))
     n_words, gram_first = len(per_word), np.r_[0, np.cumsum(per_word)]
     first = np.searchsorted(doc, np.arange(len(y) + 1))
-    learn = np.arange(len(y)) % 5 != 4
+    learn = np.random.default_rng(seed).permutation(len(y)) % 5 != 4
     if not 0 < y[learn].mean() < 1 or not 0 < y[~learn].mean() < 1:
         learn = np.ones(len(y), bool)
 
+    pieces = [(a, min(a + 65_536, n_words)) for a in range(0, n_words, 65_536)]
+
+    def by_gram(of_word: np.ndarray) -> np.ndarray:
+        """Sums over the words that hold each n-gram, piece by piece to spare memory."""
+        out = np.zeros(BUCKETS)
+        for a, b in pieces:
+            out += np.bincount(grams[gram_first[a] : gram_first[b]], np.repeat(of_word[a:b], per_word[a:b]), BUCKETS)
+        return out
+
     held = []
     for v in (0, 1):
         mine = learn[doc] & (y[doc] == v)
         by_word = np.bincount(words[mine], minlength=n_words)
-        held.append((np.bincount(grams, np.repeat(by_word, per_word), BUCKETS) + 1) / ((learn & (y == v)).sum() + 2))
+        held.append((by_gram(by_word) + 1) / ((learn & (y == v)).sum() + 2))
     rng = np.random.default_rng(seed)
     way = rng.standard_normal(WIDTH)
     way /= np.linalg.norm(way)
-    odds = np.log(held[1] / held[0]) * (np.bincount(grams, minlength=BUCKETS) > 0)
+    odds = np.log(held[1] / held[0]) * (by_gram(np.ones(n_words)) > 0)
     vectors = np.outer(odds.astype(np.float32), way.astype(np.float32))
     top = np.stack([-way / 2, way / 2], 1).astype(np.float32)
     bias = np.array([0.5, -0.5], np.float32) * float(odds.max())
@@ -154,12 +164,13 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 10,
         vectors[g] = mine
 
     def worth() -> np.ndarray:
-        return (np.add.reduceat((vectors @ (top[:, 1] - top[:, 0]))[grams], gram_first[:-1]) / per_word)
+        flat = vectors @ (top[:, 1] - top[:, 0])
+        return np.concatenate([np.add.reduceat(flat[grams[gram_first[a] : gram_first[b]]], gram_first[a:b] - gram_first[a]) for a, b in pieces]) / per_word
 
     rate = [np.bincount(words[learn[doc] & (y[doc] == v)], minlength=n_words) / (learn & (y == v)).sum() for v in (0, 1)]
     clean, suspect = rate[0] > 0, rate[1] > rate[0]
     mined = np.zeros(n_words, bool)
-    for _ in range(rounds):
+    for k in range(rounds):
         value = worth()
         _, place = worst_words(np.where(suspect, value, value.min() - 1)[words], first)
         bad = words[place[(place >= 0) & learn & (y == 1)]]
@@ -167,7 +178,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 10,
         mined[left[np.argsort(-value[left], kind="stable")[:MINED]]] = True
         fine = np.flatnonzero(mined)
         rows, hot = np.r_[bad, fine], np.r_[np.ones(len(bad), int), np.zeros(len(fine), int)]
-        fit(rows, hot, np.ones(len(rows)), 0.05)
+        fit(rows, hot, np.ones(len(rows)), 0.08 * (1 - k / rounds) + 0.005)
     value = worst_words(worth()[words], first)[0] + float(bias[1] - bias[0])
     judged = ~learn if not learn.all() else learn
     a, b = scaled(value[judged], y[judged])
@@ -178,7 +189,59 @@ def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     """Each document's distinct words as numbers, with the document of each; n-grams word by word, and how many each word has."""
     data, offsets = lowered(pa.array(texts, pa.large_string()))
     known, found, grams, sizes, docs, held = np.zeros(0, np.uint64), [], [], [], [], []
-    for a, b in c.steps(offsets):
+    for a, b in c.steps(offsets, c.STEP // 8):
+        piece = data[offsets[a] : offsets[b]]
+        starts, ends, first = c.words(piece, offsets[a : b + 1] - offsets[a], APART)
+        hashes = c.slice_hashes(c.sums_before(piece, 5), starts, ends)
+        doc = np.repeat(np.arange(a, b), np.diff(first))
+        order = np.lexsort((hashes, doc))
+        keep = order[np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (doc[order][1:] != doc[order][:-1])]] if len(order) else order
+        docs.append(doc[keep])
+        held.append(hashes[keep])
+        new, at = np.unique(hashes, return_index=True)
+        fresh = np.sort(at[~c.among(new, known)])  # in the order of the text, as word_ngrams() needs them
+        own, owner = word_ngrams(piece, starts[fresh], ends[fresh])
+        grams.append(own[np.argsort(owner, kind="stable")])
+        sizes.append(np.bincount(owner, minlength=len(fresh)))
+        found.append(hashes[fresh])
+        known = np.union1d(known, new)
+    if not len(known):
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    names = np.concatenate(found)
+    order = np.argsort(names)
+    words = order[np.searchsorted(names[order], np.concatenate(held))]
+    return words, np.concatenate(docs), np.concatenate(grams), np.concatenate(sizes)
+
+
+def scaled(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset that make logits of the values: logistic regression on slightly softened labels, which keeps it finite."""
+    n1 = int(y.sum())
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))
+    mean, spread = value.mean(), value.std() + 1e-9
+    x = np.stack([(value - mean) / spread, np.ones(len(value))], 1)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - target * z).sum() + 0.001 * w @ w)
+
+    w = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.002 * np.eye(2), x.T @ (p - target) + 0.002 * w)
+        while loss(w - step) > loss(w) and abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
+        if abs(step).max() < 1e-6:
+            break
+    w[0] = max(w[0], 0.05)
+    return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
+
+
+def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's distinct words as numbers, with the document of each; n-grams word by word, and how many each word has."""
+    data, offsets = lowered(pa.array(texts, pa.large_string()))
+    known, found, grams, sizes, docs, held = np.zeros(0, np.uint64), [], [], [], [], []
+    for a, b in c.steps(offsets, c.STEP // 8):
         piece = data[offsets[a] : offsets[b]]
         starts, ends, first = c.words(piece, offsets[a : b + 1] - offsets[a], APART)
         hashes = c.slice_hashes(c.sums_before(piece, 5), starts, ends)
@@ -188,11 +251,11 @@ def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         docs.append(doc[keep])
         held.append(hashes[keep])
         new, at = np.unique(hashes, return_index=True)
-        fresh = ~c.among(new, known)
-        own, owner = word_ngrams(piece, starts[at[fresh]], ends[at[fresh]])
+        fresh = np.sort(at[~c.among(new, known)])  # in the order of the text, as word_ngrams() needs them
+        own, owner = word_ngrams(piece, starts[fresh], ends[fresh])
         grams.append(own[np.argsort(owner, kind="stable")])
-        sizes.append(np.bincount(owner, minlength=int(fresh.sum())))
-        found.append(new[fresh])
+        sizes.append(np.bincount(owner, minlength=len(fresh)))
+        found.append(hashes[fresh])
         known = np.union1d(known, new)
     if not len(known):
         return tuple(np.zeros(0, np.int64) for _ in range(4))
@@ -215,6 +278,20 @@ def scaled(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
 
 
+def fitted(known: DataFrame) -> Model:
+    """The model of the chosen rows, trained in one task; only the model, whose size is fixed, reaches the driver."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = list(batches)
+        if rows:
+            pdf = tidy(pd.concat(rows))
+            model = train(pdf["text"].tolist(), pdf["label"].to_numpy())
+            yield pd.DataFrame({"ngrams": [model.ngrams.tobytes()], "bias": [model.bias]})
+
+    found = known.repartition(1).mapInPandas(work, "ngrams binary, bias double").collect()
+    return Model(np.frombuffer(found[0].ngrams, np.float32), found[0].bias) if found else train([], np.zeros(0))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with `held_out`, `score` from 0 to 1 and `predicted` (1 from the threshold on) in a struct named `tox`.
 
@@ -223,8 +300,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2,
     scored and not held out; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    known = sample(docs, labels, "toxic", ~held_out(id_col, parts, part), LEARN, id_col, text_col)
-    model = spark.sparkContext.broadcast(train(known["text"].fillna("").tolist(), known["label"].to_numpy()))
+    model = spark.sparkContext.broadcast(fitted(chosen(docs, labels, "toxic", ~held_out(id_col, parts, part), LEARN, id_col, text_col)))
     rest = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,0 +1,380 @@
+"""Operators against brute force, on small fixtures with odd rows and on the small tables."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from slidegrid.llm import bpe, jpeg, labelled, licenses, media, packing, quality, queries, secrets, simhash, substring, topk, toxicity
+from slidegrid.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+BPE = public_tokenizers.path("word_bpe_49k.json")
+PASSAGE = " ".join(f"w{i}" for i in range(40))
+TEXTS = [
+    "", None, " \n\t ", "one", "One two three four five six", "one two three four five six", PASSAGE, f"before {PASSAGE} after", f"x {PASSAGE[:60]} y", PASSAGE, "a b " * 300, "a b " * 300,
+    "Σας ΟΔΟΣ İstanbul é<|endoftext|>don't 12345 日本語", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "password=api_key: \"XXXXXXXXX\" token=abc", "CC BY and All rights reserved.",
+    "Licensed under the Apache License, Version 2.0.\nlast", "x" * 5000, "long " * 20000,
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Odd texts, a null id, repeated rows, and extra columns with names that the operators use."""
+    rows = [(i, t, "en", "s1", 0, "extra") for i, t in enumerate(TEXTS)] + [(None, PASSAGE, "de", None, 0, None), (7, f"before {PASSAGE} after", "en", "s1", 0, "extra")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, score int, row string")
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory, docs):
+    """A folder with the odd texts, labels of few, and empty tables."""
+    folder = tmp_path_factory.mktemp("odd")
+    docs.write.parquet(f"{folder}/odd/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 0, 1), (None, 1, 1), (99, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/odd/labels.parquet")
+    vectors = [(1, [0.5, -0.25]), (20, [1.0, 1.0]), (40, [1.0, 1.0]), (60, [float("nan"), 0.0]), (80, None), (100, [None, 1.0]), (7, [1.0, 1.0]), (None, [1.0, 1.0])]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{folder}/odd/embeddings.parquet")
+    for name in ("documents", "labels", "embeddings"):
+        spark.read.parquet(f"{folder}/odd/{name}.parquet").where("false").write.parquet(f"{folder}/empty/{name}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_odd_and_empty_tables(spark, tables, name, kind):
+    rows = queries.QUERIES[name](spark, f"{tables}/{kind}").toPandas()
+    if kind == "empty":
+        assert not len(rows)
+    elif name.startswith("op2"):
+        assert sorted(zip(rows.query_id, rows["rank"], rows.vec_id, rows.score)) == [(20, 1, 7, 8192), (20, 2, 40, 8192), (20, 3, 1, 1024), (40, 1, 7, 8192), (40, 2, 20, 8192), (40, 3, 1, 1024)]
+    elif not name.startswith("op7"):
+        assert len(rows) == len(TEXTS) + 2
+
+
+# ---- op1
+
+
+def test_bpe_is_the_librarys():
+    random.seed(3)
+    texts = [t or "" for t in TEXTS] + ["".join(random.choice("abcdefghijklmnopqrstuvwxyz'  éüñ.1!") for _ in range(random.randint(1, 60))) for _ in range(1500)]
+    own, library = bpe.Codec(BPE), Tokenizer.from_file(BPE)
+    for text, ids in zip(texts, own.encode_texts(texts), strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want
+        assert own.decode_ids(ids) == library.decode(want, skip_special_tokens=False)
+
+
+def test_encode_and_decode(spark, docs):
+    rows = bpe.decode(bpe.encode(docs, BPE), BPE).select("text", "ids", "decoded", "row").toPandas()
+    library = Tokenizer.from_file(BPE)
+    for r in rows.itertuples():
+        assert list(r.ids) == library.encode(r.text or "", add_special_tokens=False).ids
+        assert r.decoded == library.decode(list(r.ids), skip_special_tokens=False)
+
+
+# ---- op2
+
+
+def test_top_k_with_ties(spark):
+    rng = np.random.default_rng(1)
+    v = np.r_[rng.normal(size=(500, 8)), np.repeat(rng.normal(size=(1, 8)), 300, 0)]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}))
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, 20).toPandas().sort_values(["query_id", "rank"])
+    whole = np.floor(v * 64).astype(np.int64)
+    for q in range(0, len(v), 20):
+        score = whole @ whole[q]
+        order = np.lexsort((np.arange(len(v)), -score))
+        order = order[order != q][:20]
+        own = got[got.query_id == q]
+        assert own.id.tolist() == order.tolist() and own.score.tolist() == score[order].tolist()
+
+
+def test_tree_boxes_are_tight():
+    v = np.random.default_rng(2).integers(-50, 50, (1000, 5))
+    tree = topk.build(np.arange(1000), v, 16)
+    for a, b, low, high in zip(tree.first, tree.last, tree.low, tree.high, strict=True):
+        assert (tree.vectors[a:b].min(0) == low).all() and (tree.vectors[a:b].max(0) == high).all()
+    assert sorted(tree.ids) == list(range(1000))
+
+
+# ---- op3, op4
+
+
+def auc(score, label):
+    rank = pd.Series(score).rank().to_numpy()
+    n = label.sum()
+    return (rank[label == 1].sum() - n * (n + 1) / 2) / (n * (len(label) - n))
+
+
+def test_quality_on_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    rows = queries.QUERIES["op4_quality"](spark, d).toPandas().merge(spark.read.parquet(f"{d}/labels.parquet").toPandas(), on="doc_id")
+    assert (rows.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in rows.doc_id]).all()
+    held = rows[rows.held_out]
+    assert auc(held.score.to_numpy(), held.quality.to_numpy()) > 0.97
+
+
+def test_toxicity_learns_words_and_misspellings():
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    texts, y = [], []
+    for i in range(600):
+        bad = i % 5 == 0
+        texts.append(" ".join(rng.choice(plain) for _ in range(60)) + (" zq" + rng.choice(["vex", "vexab", "vexing", "vexo"]) if bad else ""))
+        y.append(int(bad))
+    model = toxicity.train(texts, np.array(y))
+    score = toxicity.score_texts(model, pa.array([" ".join(plain[:50]), " ".join(plain[50:90]) + " zqvexer", "", None]))
+    assert score[1] > 0.5 > 0.3 > score[0] and score[2] == score[3]
+
+
+def test_training_sample_is_bounded_and_honest(spark, small):
+    known = labelled.sample(small, spark.read.parquet(f"{SF}/labels.parquet"), "toxic", ~labelled.held_out("doc_id", 4, 2), {0: 5, 1: 3})
+    assert (known.label == 0).sum() <= 5 and (known.label == 1).sum() <= 3
+    assert quality.vote(quality.fit([], np.zeros(0), 0.5), np.zeros((2, 3))).tolist() == [0.5, 0.5]
+
+
+# ---- op5
+
+
+@pytest.mark.parametrize("n", [64, 128, 384, 448, 64 * 101, 64 * 24600])
+def test_jpeg_keeps_bytes(n):
+    data = np.random.default_rng(n).integers(0, 256, n, np.uint8).tobytes()
+    image = jpeg.decode(jpeg.store(data))
+    assert jpeg.payload(image) == data
+    assert jpeg.rgb(image).shape == (image.height, image.width, 3)
+
+
+def test_jpeg_slow_paths_agree(monkeypatch):
+    """A second symbol in the tables turns the shortcuts off; the general decoding reads the same coefficients."""
+    media_bytes = jpeg.store(np.random.default_rng(5).integers(0, 256, 64 * 20, np.uint8).tobytes())
+    fast = jpeg.decode(media_bytes)
+    whole = jpeg.Huffman
+
+    def with_more(counts, symbols):
+        table = whole(counts, symbols)
+        table.codes = table.codes | {0xF1: (0xFFFF, 16), 0x11: (0xFFFE, 16)}
+        return table
+
+    monkeypatch.setattr(jpeg, "huffman", with_more)
+    slow = jpeg.decode(media_bytes)
+    for a, b in zip(fast.components, slow.components, strict=True):
+        assert (a.coefficients == b.coefficients).all()
+
+
+def test_flat_block_is_flat():
+    parts = [jpeg.Component(1, 1, 0, 1, 1, 1, np.eye(1, 64, dtype=np.int32) * 80)]
+    assert (jpeg.rgb(jpeg.Image(8, 8, parts, {0: np.ones(64, np.int32)})) == 138).all()
+
+
+def test_media_encode_decode(spark, docs):
+    stored = media.encode(docs.where("doc_id < 9").select("doc_id", F.col("text").cast("binary").alias("data")))
+    rows = media.decode(stored).toPandas()
+    for r in rows.itertuples():
+        text = (TEXTS[r.id] or "").encode()
+        assert bytes(r.payload) == media.padded(text) and len(r.rgb) == r.height * r.width * 3
+
+
+# ---- op6
+
+
+def repeats(rows, window):
+    owner, words = {}, []
+    for i, t in rows:
+        words.append((i if i is not None else substring.LAST, re.findall(r"[^\x20\x09-\x0D]+", t or "")))
+    for i, w in words:
+        for k in range(len(w) - window + 1):
+            key = tuple(w[k : k + window])
+            owner[key] = min(i, owner.get(key, i))
+    out = []
+    for i, w in words:
+        gone = np.zeros(len(w), bool)
+        for k in range(len(w) - window + 1):
+            if owner[tuple(w[k : k + window])] < i:
+                gone[k : k + window] = True
+        out.append((len(w), int(gone.sum()), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("window", [3, 13, 30])
+def test_substring_dedup(spark, docs, small, window):
+    for table in (docs, small):
+        got = substring.without_repeats(table, window).toPandas()
+        assert sorted(zip(got.n_words, got.n_removed, got.kept)) == repeats([(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()], window)
+
+
+def test_untouched_texts_keep_their_white_space(spark, docs):
+    got = substring.without_repeats(docs.where("doc_id IN (2, 4, 6)"), tidy=False).toPandas()
+    assert sorted(got.kept) == sorted([TEXTS[2], TEXTS[4], TEXTS[6]])
+
+
+# ---- op7
+
+
+def test_packing_is_a_packing(spark, docs, small):
+    for table in (docs, small):
+        rows = packing.packed(table).toPandas()
+        want = collections.Counter()
+        for r in table.select("doc_id", "text").collect():
+            want[r.doc_id] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) + 1
+        got = rows.groupby("id", dropna=False)["n_tokens"].sum()
+        assert {None if pd.isna(k) else int(k): int(v) for k, v in got.items()} == dict(want)
+        for _, b in rows.groupby("bin"):
+            b = b.sort_values("place")
+            assert (b.place + b.n_tokens <= b.capacity).all() and (b.place.to_numpy()[1:] == (b.place + b.n_tokens).to_numpy()[:-1]).all()
+            assert b.capacity.iloc[0] == min(c for c in packing.CAPACITIES if c >= b.n_tokens.sum())
+
+
+def test_packing_fills_bins():
+    n = np.minimum(np.random.default_rng(0).lognormal(5.7, 1, 5000).astype(int) + 2, 8192)
+    _, _, capacity = packing.pack(n)
+    assert n.sum() / capacity.sum() > 0.97
+
+
+# ---- op8
+
+
+def base_spans(text):
+    out = []
+    for k, (kind, pattern, _, least, group) in enumerate(secrets.BASE):
+        out += [(m.start(), k, m.end(), kind) for m in re.finditer(pattern, text or "", re.ASCII) if len(m[group]) >= least]
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out))
+
+
+def test_secret_spans(spark, tables):
+    for d in (f"{tables}/odd", "/root/testdata/sf0.01"):
+        texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+        for r in queries.QUERIES["op8_secret_scans"](spark, d).collect():
+            assert r.base_sha256 == hashlib.sha256(base_spans(texts[r.doc_id]).encode()).hexdigest()
+
+
+def test_copied_examples_are_told_from_live_secrets(spark):
+    rows = [(i, 'token = "abcdefgh12345678"', "en", f"s{i}") for i in range(4)] + [(9, 'token = "onlyhere12345678"', "en", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    shared = {r.id: list(r.shared) for r in secrets.scan(docs).collect()}
+    assert shared == {0: [True], 1: [True], 2: [True], 3: [True], 9: [False]}
+    masked = {r.doc_id: r.text for r in secrets.without_live_secrets(docs).collect()}
+    assert masked[9] == 'token = "[secret]"' and masked[0] == rows[0][1]
+
+
+# ---- op9
+
+
+def test_licences(spark, tables):
+    apart = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    lower = {ord(x): ord(x) + 32 for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    for d in (f"{tables}/odd", SF):
+        texts = {r.doc_id: (r.text or "").translate(lower) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+        for r in queries.QUERIES["op9_license_scans"](spark, d).collect():
+            words, places, base, labels, best = apart.findall(texts[r.doc_id]), [], set(), set(), 0.0
+            for phrase, label in licenses.PHRASES.items():
+                p = phrase.split()
+                hit = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+                places += hit
+                base |= {label} if hit else set()
+            for line in texts[r.doc_id].split("\n"):
+                w = apart.findall(line)
+                for k in range(0, max(len(w), 1), licenses.STRIDE) if len(w) > licenses.BLOCK else (0,):
+                    block = set(w[k : k + licenses.BLOCK])
+                    for text, label in licenses.TEMPLATES:
+                        share = len(block & set(text.split())) / len(set(text.split()))
+                        if share >= licenses.THRESHOLD - 1e-9:
+                            labels.add(label)
+                            best = max(best, share)
+            assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(places, default=None), max(places, default=None))
+            assert (r.base_labels, r.labels) == (",".join(sorted(base)), ",".join(sorted(base | labels)))
+            assert r.score == pytest.approx(1.0 if places else best)
+
+
+# ---- op10
+
+
+def test_fingerprints_and_components(spark, tables):
+    for d in (f"{tables}/odd", SF):
+        rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+        fps = []
+        for _, t in rows:
+            w = (t or "").encode().lower().split()
+            s = [b" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or [b" ".join(w)]
+            n = [sum(xxhash.xxh64_intdigest(x, 42) >> k & 1 for x in s) * 2 > len(s) for k in range(64)]
+            fps.append(sum(b << k for k, b in enumerate(n)) if w else 0)
+        root = list(range(len(rows)))
+
+        def find(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i in range(len(rows)):
+            for j in range(i):
+                if (fps[i] ^ fps[j]).bit_count() <= 4:
+                    root[find(i)] = find(j)
+        least = {}
+        for i, (doc, _) in enumerate(rows):
+            if doc is not None:
+                least[find(i)] = min(doc, least.get(find(i), doc))
+        want = sorted((-1 if doc is None else doc, f"{fps[i]:016x}", least.get(find(i))) for i, (doc, _) in enumerate(rows))
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.fingerprint, r.component_id) for r in queries.QUERIES["op10_simhash_near_dedup"](spark, d).collect())
+        assert got == want
+
+
+def test_trie_finds_all_near_pairs(spark):
+    rng = np.random.default_rng(1)
+    v = [int(x) for x in rng.integers(0, 1 << 63, 60)]
+    for x in list(v):
+        for _ in range(6):
+            v.append(x ^ sum(1 << int(p) for p in rng.choice(64, rng.integers(1, 7), False)))
+    v = np.unique(np.array(v, np.uint64))
+    want = {(i, j) for i, j in zip(*np.nonzero(np.bitwise_count(v[:, None] ^ v[None]) <= 4), strict=True) if i < j}
+    pairs = simhash.trie_pairs(v, np.array([0]), np.array([len(v)]), 0, 4)
+    got = {(min(i, j), max(i, j)) for x, y in pairs for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    assert got == want
+    root = simhash.merged(len(v), iter([(np.array([i for i, _ in want]), np.array([j for _, j in want]))]))
+    df = spark.createDataFrame(pd.DataFrame({"fp": v.view(np.int64), "rep": np.arange(len(v))}))
+    for hot in (10**9, 2):
+        found = components(simhash.links(df, hot=hot)).toPandas()
+        label = np.arange(len(v))
+        label[found.node] = found.component
+        assert (label == root).all()
+
+
+def test_similar_documents(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    rows, n = [], 0
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(200)]
+        for edits in (0, 0, 1, 2, 3, 12):
+            own = list(base)
+            for k in rng.sample(range(200), edits):
+                own[k] = "changed"
+            rows.append((n, " ".join(own)))
+            n += 1
+    sets = [frozenset(" ".join(t.split()[i : i + 5]) for i in range(196)) for _, t in rows]
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    missed = [i for i in range(n) if find(i) != got.get(i, i)]
+    assert len(missed) <= 2
