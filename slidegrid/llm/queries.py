@@ -84,6 +84,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
+def _licence_sql() -> str:
+    """Phrases and templates by brute force: every block with every template."""
+    places = []
+    for phrase, label in licenses.PHRASES.items():
+        test = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
+        places.append(f"list_transform(list_filter(range(1, len(w) + 1), lambda i: {test}), lambda i: struct_pack(at := i - 1, label := '{label}'))")
+    templates = ", ".join(f"('{' '.join(sorted(set(text.split())))}', '{label}')" for text, label in licenses.TEMPLATES)
+    block, stride = licenses.BLOCK, licenses.STRIDE
+    return rf"""
+    WITH docs AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+    words AS (SELECT doc_id, low, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs),
+    base AS (SELECT doc_id, low, len(w) AS n, list_concat({places[0]}, {places[1]}, {places[2]}) AS p FROM words),
+    lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(low, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs),
+    blocks AS (SELECT doc_id, w[k + 1:k + {block}] AS w FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) > {block} THEN range(0, len(w), {stride}) ELSE [0] END) AS k FROM lines)),
+    templates AS (SELECT string_split(words, ' ') AS t, label FROM (VALUES {templates}) v(words, label)),
+    shares AS (SELECT doc_id, label, len(list_intersect(t, w)) / len(t) AS share FROM blocks, templates WHERE len(w) > 0),
+    found AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS best FROM shares WHERE share >= {licenses.THRESHOLD} - 1e-9 GROUP BY doc_id)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(list_transform(p, lambda x: x.at)) AS BIGINT) AS first_word,
+      CAST(list_max(list_transform(p, lambda x: x.at)) AS BIGINT) AS last_word, array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels,
+      array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda x: x.label), coalesce(more, [])))), ',') AS labels,
+      CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
+    FROM base LEFT JOIN found USING (doc_id)"""
+
+
 ORACLES: dict[str, str] = {
     "op2_exact_top_k": """
     WITH v AS (
@@ -95,4 +119,14 @@ ORACLES: dict[str, str] = {
     ranked AS (
       SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
     SELECT * FROM ranked WHERE rank <= 20""",
+    "op6_substring_dedup": r"""
+    WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    windows AS (
+      SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS key FROM docs),
+    hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY key) AS first FROM windows) WHERE first < doc_id),
+    gone AS (SELECT doc_id, list(DISTINCT i + k) AS places FROM hits, range(13) t(k) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+      sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(places, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+    FROM docs d LEFT JOIN gone g USING (doc_id)""",
+    "op9_license_scans": _licence_sql(),
 }

@@ -1,0 +1,21 @@
+"""Queries against their SQL."""
+
+import duckdb
+import pytest
+
+from slidegrid.llm import queries
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want = con.execute(queries.ORACLES[name]).df()
+    got = queries.QUERIES[name](spark, SF).toPandas()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    rows = lambda df: sorted(map(str, df[columns].astype(object).where(df[columns].notna(), None).map(lambda v: float(v) if isinstance(v, (int, float)) else v).itertuples(index=False, name=None)))
+    assert rows(got) == rows(want)
