@@ -19,7 +19,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["no"] < len(secrets.BASE))
-    count = [F.size(F.filter("spans", lambda s, k=k: s["no"] == k)).cast("bigint").alias(f"n_{kind[0]}") for k, kind in enumerate(secrets.BASE)]
+    count = [F.expr(f"CAST(size(filter(spans, s -> s.no = {k})) AS BIGINT)").alias(f"n_{kind[0]}") for k, kind in enumerate(secrets.BASE)]
     return found.select(
         F.col("id").alias("doc_id"), *count, F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"),
         F.size(F.filter("shared", lambda x: ~x)).cast("bigint").alias("n_live"), F.size(F.filter("shared", lambda x: x)).cast("bigint").alias("n_example"),
@@ -108,6 +108,34 @@ def _licence_sql() -> str:
     FROM base LEFT JOIN found USING (doc_id)"""
 
 
+def _secret_sql() -> str:
+    """Spans from what lies between matches, and owners by counting."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def kind(no: int, name: str, pattern: str, group: int, least: int, measured: int) -> str:
+        p = quoted(pattern)
+        whole, inner = f"regexp_extract_all(t, {p}, 0)", f"regexp_extract_all(t, {p}, {group})"
+        start = f"CAST(list_sum(list_transform(string_split_regex(t, {p})[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({whole}[1:i - 1], lambda x: length(x))), 0) AS INTEGER)"
+        one = f"struct_pack(s := {start}, no := {no}, e := {start} + CAST(length({whole}[i]) AS INTEGER), kind := '{name}', v := {inner}[i])"
+        fits = f"length({inner if measured else whole}[i]) >= {least}"
+        return f"list_transform(list_filter(range(1, len({whole}) + 1), lambda i: {fits}), lambda i: {one})"
+
+    kinds = [kind(i, *k) for i, k in enumerate((*secrets.BASE, *secrets.ADDED))]
+    written = "array_to_string(list_transform({0}, lambda x: concat(x.kind, ':', x.s, ':', x.e)), ',')"
+    counts = ", ".join(f"CAST(len(list_filter(p, lambda x: x.no = {i})) AS BIGINT) AS n_{k[0]}" for i, k in enumerate(secrets.BASE))
+    return f"""
+    WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, source, lang FROM documents),
+    spans AS (SELECT doc_id, source, lang, CASE WHEN regexp_matches(t, {quoted(secrets.HINT)}) THEN list_sort(list_concat(list_concat({kinds[0]}, {kinds[1]}), list_concat({kinds[2]}, {kinds[3]}))) ELSE [] END AS p FROM docs),
+    held AS (SELECT x.v AS v, count(DISTINCT source) >= {secrets.OWNERS} OR count(DISTINCT concat_ws('/', source, lang)) >= {secrets.REPOSITORIES} AS shared
+      FROM (SELECT source, lang, unnest(p) AS x FROM spans) GROUP BY x.v),
+    judged AS (SELECT doc_id, count(*) FILTER (shared) AS n_example, count(*) FILTER (NOT shared) AS n_live FROM (SELECT doc_id, unnest(p) AS x FROM spans) JOIN held ON x.v = held.v GROUP BY doc_id)
+    SELECT doc_id, {counts}, sha256({written.format(f"list_filter(p, lambda x: x.no < {len(secrets.BASE)})")}) AS base_sha256, {written.format("p")} AS spans,
+      coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+    FROM spans LEFT JOIN judged USING (doc_id)"""
+
+
 ORACLES: dict[str, str] = {
     "op2_exact_top_k": """
     WITH v AS (
@@ -128,5 +156,6 @@ ORACLES: dict[str, str] = {
     SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
       sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(places, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
     FROM docs d LEFT JOIN gone g USING (doc_id)""",
+    "op8_secret_scans": _secret_sql(),
     "op9_license_scans": _licence_sql(),
 }
