@@ -54,7 +54,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir)).select("doc_id", "tox.*")
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir)).select("row.doc_id", "held_out", "score", "predicted")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

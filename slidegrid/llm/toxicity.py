@@ -293,26 +293,20 @@ def fitted(known: DataFrame) -> Model:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with `held_out`, `score` from 0 to 1 and `predicted` (1 from the threshold on) in a struct named `tox`.
+    """row, text, held_out, score, predicted: every row of docs with its score from 0 to 1; predicted is 1 from the threshold on.
 
+    row is a struct of the columns other than the text, so no names clash.
     The model learns from at most LEARN labelled documents that are not held out; its size is fixed. Scores
     depend on the text alone. Null and empty texts get the score of no words; rows with null ids are
     scored and not held out; an empty table gives no rows.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fitted(chosen(docs, labels, "toxic", ~held_out(id_col, parts, part), LEARN, id_col, text_col)))
-    rest = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score_texts(model.value, b.column(1)))], ["row", "text", "score"])
 
-    kept = docs.select(F.struct(*[x for x in rest if x != text_col]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    kept = docs.select(F.struct(*[x for x in docs.columns if x != text_col]).alias("row"), F.col(text_col).cast("string").alias("text"))
     scored = kept.mapInArrow(work, f"row {kept.schema['row'].dataType.simpleString()}, text string, score double")
-    return scored.select(
-        *[F.col("text").alias(x) if x == text_col else F.col(f"row.`{x}`") for x in rest],
-        F.struct(
-            held_out(f"row.{id_col}", parts, part).alias("held_out"), "score",
-            (F.col("score") >= threshold).cast("int").alias("predicted"),
-        ).alias("tox"),
-    )
+    return scored.select("row", "text", held_out(f"row.{id_col}", parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
