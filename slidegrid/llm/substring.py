@@ -215,7 +215,7 @@ def without_repeats(docs: DataFrame, window: int = 13, tidy: bool = True, id_col
     """
     rest = [x for x in docs.columns if x != text_col]
     n = docs.count()
-    n_buckets = max(16, -(-n // min(max(int(4 * n**0.5), 256), 8192)))
+    n_buckets = max(16, -(-n // min(max(int(2 * n**0.5), 256), 4096)))
     n_parts = max(64, -(-n // 4096))
     placed = docs.select(
         F.struct(*rest).alias("row"),

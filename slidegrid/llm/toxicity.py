@@ -300,8 +300,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2,
     depend on the text alone. Null and empty texts get the score of no words; rows with null ids are
     scored and not held out; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fitted(chosen(docs, labels, "toxic", ~held_out(id_col, parts, part), LEARN, id_col, text_col)))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(chosen(docs, labels, "toxic", ~held_out(id_col, parts, part), LEARN, id_col, text_col)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
