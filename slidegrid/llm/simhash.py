@@ -1,7 +1,8 @@
-"""Near-duplicates by SimHash and a binary trie that is joined with itself."""
+"""Near-duplicates by SimHash and a binary trie that is joined with itself, and by the exact similarity of sets of word runs."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +23,10 @@ HOT = 100_000
 GROUP = 32_768
 #: Trie node pairs that are walked at a time.
 FRONTIER = 1 << 20
+#: Documents, about, of which the runs are counted to order them, and runs counted there that are kept.
+SAMPLE, COMMON = 20_000, 50_000
+#: Runs that a task gathers in lists, about.
+LISTED = 1 << 18
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -135,44 +140,6 @@ def links(distinct: DataFrame, budget: int = 4, hot: int = HOT, group: int = GRO
     return in_tries(distinct.withColumn("part", F.lit(0)), least, budget, hot, group)
 
 
-def candidates(fingerprints: DataFrame, budget: int = 4, few: int = 16, hubs: int = 2) -> DataFrame:
-    """a, b: pairs to compare, from fingerprints of several tables (part, fp each once in a part, rep).
-
-    In a trie's component of at most `few` fingerprints, all pairs within the budget; in a larger one, each
-    member with the `hubs` members that have the most neighbours.
-    """
-
-    def pairs(fp: np.ndarray, first: np.ndarray, last: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        degree = np.zeros(len(fp), np.int64)
-
-        def counting() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for x, y in trie_pairs(fp, first, last, depth, budget):
-                degree[:] += np.bincount(x, minlength=len(fp)) + np.bincount(y, minlength=len(fp))
-                yield x, y
-
-        root = merged(len(fp), counting())
-        size = np.bincount(root, minlength=len(fp))[root]
-        small = np.flatnonzero((size > 1) & (size <= few))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(small):
-            order = small[np.argsort(root[small], kind="stable")]
-            for k in range(1, few):
-                same = np.flatnonzero(root[order][k:] == root[order][:-k])
-                x, y = order[same], order[same + k]
-                near = np.bitwise_count(fp[x] ^ fp[y]) <= budget
-                a.append(x[near])
-                b.append(y[near])
-        for r in np.unique(root[size > few]).tolist():
-            members = np.flatnonzero(root == r)
-            centre = members[np.argsort(-degree[members], kind="stable")[:hubs]]
-            for h in centre.tolist():
-                a.append(members[members != h])
-                b.append(np.full(len(members) - 1, h))
-        return np.concatenate(a), np.concatenate(b)
-
-    return in_tries(fingerprints, pairs, budget)
-
-
 def in_tries(distinct: DataFrame, found: Callable, budget: int, hot: int = HOT, group: int = GROUP) -> DataFrame:
     """a, b: the pairs that `found` gives in the tries of (part, fp, rep), with rep in place of fp.
 
@@ -237,14 +204,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, id_col: st
     return fps.join(named, "fp").select("id", "fp", "component")
 
 
-def word_fingerprints(docs: DataFrame, tables: int, id_col: str, text_col: str) -> DataFrame:
-    """id, same, fps: a hash of each text's words in order, and SimHashes of its distinct words, one for each table."""
+def word_sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, same, n: a hash of each text's words in order, and how many there are."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = c.text_bytes(batch.column(1))
             data = _LOWER[data]
-            same, fps = [], []
+            same, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for a, b in c.steps(offsets):
                 piece = data[offsets[a] : offsets[b]]
                 starts, ends, first = c.words(piece, offsets[a : b + 1] - offsets[a])
@@ -252,79 +219,212 @@ def word_fingerprints(docs: DataFrame, tables: int, id_col: str, text_col: str)
                 place = np.arange(len(h)) - first[np.repeat(np.arange(b - a), np.diff(first))]
                 total = np.r_[np.uint64(0), np.cumsum(c.joined(h, place.astype(np.uint64)), dtype=np.uint64)]
                 same.append(c.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)))
-                for k in range(b - a):
-                    own = np.unique(h[first[k] : first[k + 1]])
-                    row = np.zeros(tables, np.uint64)
-                    for t in range(tables if len(own) else 0):
-                        bits = np.unpackbits(c.mix(own ^ np.uint64(0x1234567 * (2 * t + 1))).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                        row[t] = int.from_bytes(np.packbits(2 * bits.sum(0) > len(own)).tobytes(), "big")
-                    fps.append(row.view(np.int64))
-            flat = np.concatenate([np.zeros(0, np.int64), *fps])
-            lists = pa.ListArray.from_arrays(np.arange(len(fps) + 1, dtype=np.int32) * tables, flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, np.uint64), *same]).view(np.int64)), lists], ["id", "same", "fps"])
+                n.append(np.diff(first))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(same).view(np.int64)), pa.array(np.concatenate(n).astype(np.int64))], ["id", "same", "n"])
 
     kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(work, "id bigint, same bigint, fps array<bigint>")
+    return kept.mapInArrow(work, "id bigint, same bigint, n bigint")
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def runs_of_words(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """Each text's sorted distinct 64-bit hashes of its runs of `words` words; shorter texts are one run."""
+    data, offsets = c.text_bytes(column)
+    data = _LOWER[data]
+    for a, b in c.steps(offsets):
+        piece = data[offsets[a] : offsets[b]]
+        starts, ends, first = c.words(piece, offsets[a : b + 1] - offsets[a])
+        h = c.slice_hashes(c.sums_before(piece, 31), starts, ends)
+        for k in range(b - a):
+            own = h[first[k] : first[k + 1]]
+            yield np.unique(c.window_hashes(own, max(1, min(words, len(own)))))
+
+
 def shingle_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """id, shingles: sorted distinct 64-bit hashes of the runs of `words` words, as bytes; shorter texts are one run."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = c.text_bytes(batch.column(1))
-            data = _LOWER[data]
-            out = []
-            for a, b in c.steps(offsets):
-                piece = data[offsets[a] : offsets[b]]
-                starts, ends, first = c.words(piece, offsets[a : b + 1] - offsets[a])
-                h = c.slice_hashes(c.sums_before(piece, 31), starts, ends)
-                for k in range(b - a):
-                    own = h[first[k] : first[k + 1]]
-                    out.append(np.unique(c.window_hashes(own, max(1, min(words, len(own))))).tobytes())
+            out = [x.tobytes() for x in runs_of_words(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "shingles"])
 
     kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return kept.mapInArrow(work, "id bigint, shingles binary")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, component: for every id that has near-duplicates with a larger or smaller id, the smallest id that links reach.
+def common_runs(docs: DataFrame, words: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of runs that many documents have, at most COMMON, and how many of about SAMPLE of the n documents have them.
 
-    Documents link when the Jaccard similarity of their sets of `words`-word runs is at least `similarity`, or when
-    their words are equal. Pairs to compare come from the trie joins of `tables` SimHashes of the distinct
-    words, which few changed words move by few bits only; each pair is then compared exactly. Texts without words
-    and rows with null ids link with nothing; an empty table gives no rows. Rows with one id are one document here.
+    They only order the runs: any order gives the same links, and a good one gives short lists.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.concatenate([np.zeros(0, np.uint64), *runs_of_words(batch.column(1), words)])
+            key, count = np.unique(flat, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], ["key", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).select("id", "text")
+    counted = some.mapInArrow(work, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    found = counted.orderBy(F.desc("n"), "key").limit(COMMON).toPandas()
+    key = found["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    return key[order], found["n"].to_numpy(np.int64)[order]
+
+
+def prefixes(docs: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """id, key, place, n: of each text's n runs, the rarest, so many that texts of the similarity have one of them in common."""
+    known = docs.sparkSession.sparkContext.broadcast(common)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = known.value
+        for batch in batches:
+            kept, n = [np.zeros(0, np.uint64)], []
+            for own in runs_of_words(batch.column(1), words):
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    own = own[np.argsort(np.where(keys[at] == own, counts[at], 0), kind="stable")]
+                kept.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1])
+                n.append(len(own))
+            size = np.array([len(x) for x in kept[1:]], np.int64)
+            key = np.concatenate(kept).view(np.int64)
+            place = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, size)), pa.array(key), pa.array(place.astype(np.int32)), pa.array(np.repeat(np.array(n, np.int32), size))], ["id", "key", "place", "n"])
+
+    return docs.select("id", "text").mapInArrow(work, "id bigint, key bigint, place int, n int")
+
+
+def reachable(n: np.ndarray, place: np.ndarray, m: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m runs can be similar, with a common run at `place` of the one and `other` of the other.
+
+    The runs before them have at most min(place, other) in common, those after them as many as the shorter rest has.
+    """
+    common = np.minimum(place, other) + 1 + np.minimum(n - place, m - other) - 1
+    return common >= similarity * (n + m - common) - 1e-9
+
+
+def shared_runs(found: DataFrame, groups: int) -> DataFrame:
+    """Those of the prefixes that several documents have; size: how many."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "id"], kind="stable")
+        first = c.runs(pdf["key"].to_numpy())
+        size = np.diff(np.r_[first, len(pdf)])
+        pdf = pdf.assign(size=np.repeat(size, size).astype(np.int32))
+        return pdf.loc[pdf["size"] > 1, ["id", "key", "place", "n", "size"]]
+
+    return found.withColumn("g", c.buckets(F.col("key"), groups)).groupBy("g").applyInPandas(work, "id bigint, key bigint, place int, n int, size int")
+
+
+def pairs_to_compare(lists: DataFrame, similarity: float, groups: int, few: int, rest: bool) -> DataFrame:
+    """a, b: documents of one list (id, key, place, n) whose sets can be similar, each pair once.
+
+    Of a list of more than `few`, first (not rest) only those with one of its two hubs, then (rest) all others whose documents are of
+    different components (column component): so documents that have been linked make no more pairs. There the bitmaps
+    of parities (column mark) differ in no more bits than the sets in runs.
     """
-    rows = checkpointed(word_fingerprints(docs, tables, id_col, text_col))
-    some = rows.where("id IS NOT NULL AND size(filter(fps, x -> x != 0)) > 0")
-    firsts = some.groupBy("same").agg(F.min("id").alias("rep"), F.min_by("fps", "id").alias("fps"))
-    firsts = checkpointed(firsts)
-    copies = some.join(firsts.select("same", "rep"), "same").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    spread = firsts.select("rep", F.posexplode("fps").alias("part", "fp"))
-    distinct = checkpointed(spread.groupBy("part", "fp").agg(F.min("rep").alias("rep")))
-    named = distinct.withColumnRenamed("rep", "hub")
-    equal = spread.join(named, ["part", "fp"]).where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    pairs = candidates(distinct).union(equal)
-    pairs = checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
-    sets = checkpointed(shingle_sets(docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).join(wanted, id_col), words, id_col, text_col))
+    apart = (1 - similarity) / (1 + similarity)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "n", "id"], kind="stable")
+        ids, place, n = (pdf[x].to_numpy(np.int64) for x in ("id", "place", "n"))
+        component = pdf["component"].to_numpy(np.int64) if rest else ids
+        mark = np.frombuffer(b"".join(pdf["mark"]), np.uint64).reshape(len(pdf), -1) if rest else None
+        first = c.runs(pdf["key"].to_numpy())
+        out, kept, waiting = [], np.zeros((0, 2), np.int64), 0
+        for a, b in zip(first.tolist(), np.r_[first[1:], len(pdf)].tolist(), strict=True):
+            large = b - a > few
+            if rest and (component[a:b] == component[a]).all():
+                continue
+            hubs = [a + int(np.argmin(ids[a:b])), (a + b) // 2] if large else []
+            for i in hubs if large and not rest else range(a, b):
+                if rest and i in hubs:
+                    continue
+                if large and not rest:
+                    j = np.arange(a, b)
+                else:
+                    j = np.arange(i + 1, a + np.searchsorted(n[a:b], n[i] / similarity + 1e-6, "right"))
+                    j = j[~np.isin(j, hubs)] if rest else j
+                j = j[(ids[j] != ids[i]) & (component[j] != component[i] if rest else True)]
+                j = j[reachable(n[i], place[i], n[j], place[j], similarity)]
+                if rest:
+                    j = j[np.bitwise_count(mark[i] ^ mark[j]).sum(axis=1, dtype=np.int64) <= apart * (n[i] + n[j]) + 1e-6]
+                out.append(np.c_[np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])])
+                waiting += len(j)
+                if waiting > 1 << 20:
+                    kept, out, waiting = np.unique(np.concatenate([kept, *out]), axis=0), [], 0
+        kept = np.unique(np.concatenate([kept, *out]), axis=0)
+        return pd.DataFrame({"a": kept[:, 0], "b": kept[:, 1]})
+
+    found = lists.withColumn("g", c.buckets(F.col("key"), groups)).groupBy("g").applyInPandas(work, "a bigint, b bigint")
+    return found.distinct()
+
+
+def parities(docs: DataFrame, words: int) -> DataFrame:
+    """id, n, mark: how many runs each text has, and a bitmap of whether an odd number of them has a bit's hash."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, mark = [], []
+            for own in runs_of_words(batch.column(1), words):
+                odd = np.bincount((own >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+                n.append(len(own))
+                mark.append(np.packbits(odd.astype(bool)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(mark, pa.binary())], ["id", "n", "mark"])
+
+    return docs.select("id", "text").mapInArrow(work, "id bigint, n int, mark binary")
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts' sets of runs have the Jaccard similarity. docs: id, text."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = checkpointed(shingle_sets(docs.join(wanted, "id"), words, "id", "text"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9:
                     common = int(c.among(x, y).sum())
                     keep[i] = common >= similarity * (len(x) + len(y) - common) - 1e-9
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     first, second = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    near = pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(compared, "a bigint, b bigint")
-    found = components(near.union(copies))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(compared, "a bigint, b bigint")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, few: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, component: for every id that has near-duplicates with a larger or smaller id, the smallest id that links reach.
+
+    Documents link when the Jaccard similarity of their sets of `words`-word runs is at least `similarity`, or when
+    their words are equal. The components are exact: runs are ordered by frequency, and similar sets have one of
+    their rarest in common (prefix filter), so each such run has a list of documents to compare, bounded by
+    length and place. In a list of more than `few`, documents are compared with two hubs first, and then
+    all those of different components with each other, as far as bitmaps of their sets let them be similar. Texts without words and rows with null ids link with
+    nothing; an empty table gives no rows. Rows with one id are one document here.
+    """
+    rows = checkpointed(word_sequences(docs, id_col, text_col).where("id IS NOT NULL AND n > 0"))
+    firsts = checkpointed(rows.groupBy("same").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
+    copies = rows.join(firsts.select("same", "rep"), "same").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    n, total = firsts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    groups = max(8, int(total * (1 - similarity)) // LISTED)
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(firsts.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    lists = checkpointed(shared_runs(prefixes(texts, words, similarity, common_runs(texts, words, n)), groups))
+    pairs = checkpointed(pairs_to_compare(lists, similarity, groups, few, False))
+    near = checkpointed(similar_pairs(pairs, texts, words, similarity).union(copies))
+    found = components(near)
+    named = lists.where(F.col("size") > few).join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_lists = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    named = checkpointed(named.join(open_lists, "key"))
+    named = named.join(parities(texts.join(named.select("id").distinct(), "id", "left_semi"), words).distinct(), ["id", "n"])
+    more = checkpointed(pairs_to_compare(named, similarity, groups, few, True).join(pairs, ["a", "b"], "left_anti"))
+    if more.isEmpty():
+        return found.select(F.col("node").alias("id"), "component")
+    found = components(near.union(similar_pairs(more, texts, words, similarity)))
     return found.select(F.col("node").alias("id"), "component")

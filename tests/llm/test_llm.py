@@ -378,3 +378,55 @@ def test_similar_documents(spark):
     got = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     missed = [i for i in range(n) if find(i) != got.get(i, i)]
     assert len(missed) <= 2
+
+
+def similar_by_brute_force(rows):
+    """The smallest id that each document's links reach."""
+    sets = {i: frozenset(" ".join(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and find(i) != find(j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in sets}
+
+
+def same_as_brute_force(spark, rows):
+    want = similar_by_brute_force(rows)
+    got = {r.id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+    return want
+
+
+def test_chains_and_families_of_revisions(spark):
+    """A chain of 40 revisions whose distant ones are not similar, and families that share a passage."""
+    rng = random.Random(5)
+    fresh = lambda k: [f"v{rng.randrange(10**9)}" for _ in range(k)]
+    text, rows = fresh(200), []
+    for i in range(40):
+        rows.append((i, " ".join(text)))
+        text = text[8:] + fresh(8)
+    shared = fresh(120)
+    for i in range(40, 80, 4):
+        own = fresh(80)
+        rows += [(i + k, " ".join(shared + own[: 80 - k] + fresh(k))) for k in range(4)]
+    want = same_as_brute_force(spark, rows)
+    assert {want[i] for i in range(40)} == {0} and len({want[i] for i in range(40, 80)}) == 10
+
+
+def test_families_of_near_fingerprints(spark):
+    """20 families of three revisions: all have nearly the same words, so one trie holds more than 16 of their fingerprints."""
+    rng = random.Random(8)
+    words, rows = [f"w{i}" for i in range(300)], []
+    for _ in range(20):
+        own = rng.sample(words, 300)
+        for _ in range(3):
+            k = rng.randrange(300)
+            rows.append((len(rows), " ".join(own[:k] + [f"only{len(rows)}"] + own[k:])))
+    assert same_as_brute_force(spark, rows) == {i: i - i % 3 for i in range(60)}
