@@ -430,3 +430,12 @@ def test_families_of_near_fingerprints(spark):
             k = rng.randrange(300)
             rows.append((len(rows), " ".join(own[:k] + [f"only{len(rows)}"] + own[k:])))
     assert same_as_brute_force(spark, rows) == {i: i - i % 3 for i in range(60)}
+
+
+def test_same_words_in_another_order(spark):
+    """Two near copies, and a text of the same words in another order with the least id."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    mixed = rng.sample(words, 300)
+    want = same_as_brute_force(spark, [(1, " ".join(mixed)), (2, " ".join(words)), (3, " ".join(words[150:152] + words))])
+    assert want == {1: 1, 2: 2, 3: 2}
