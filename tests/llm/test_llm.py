@@ -439,3 +439,16 @@ def test_same_words_in_another_order(spark):
     mixed = rng.sample(words, 300)
     want = same_as_brute_force(spark, [(1, " ".join(mixed)), (2, " ".join(words)), (3, " ".join(words[150:152] + words))])
     assert want == {1: 1, 2: 2, 3: 2}
+
+
+def test_added_and_removed_passages(spark):
+    rng = random.Random(7)
+    rows = []
+    for n, more in ((200, 48), (300, 60), (150, 25), (240, 20)):
+        for _ in range(25):
+            base = [f"u{rng.randrange(5000)}" for _ in range(n)]
+            at = rng.randrange(n)
+            longer = base[:at] + [f"x{rng.randrange(10**6)}" for _ in range(more)] + base[at:] if at % 2 else base + [f"x{rng.randrange(10**6)}" for _ in range(more)]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(longer))]
+    want = same_as_brute_force(spark, rows)
+    assert sum(i != k for i, k in want.items()) > 80
