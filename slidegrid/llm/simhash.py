@@ -24,7 +24,7 @@ GROUP = 32_768
 #: Trie node pairs that are walked at a time.
 FRONTIER = 1 << 20
 #: Documents, about, of which the runs are counted to order them, and runs counted there that are kept.
-SAMPLE, COMMON = 20_000, 50_000
+SAMPLE, COMMON = 5_000, 50_000
 #: Runs that a task gathers in lists, about.
 LISTED = 1 << 18
 
@@ -299,60 +299,90 @@ def prefixes(docs: DataFrame, words: int, similarity: float, common: tuple[np.nd
 
 
 def reachable(n: np.ndarray, place: np.ndarray, m: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of n and m runs can be similar, with a common run at `place` of the one and `other` of the other.
+    """Whether sets of n and m runs can be similar, if their first common run is at `place` of the one and `other` of the other."""
+    return np.minimum(n - place, m - other) >= similarity / (1 + similarity) * (n + m) - 1e-6
 
-    The runs before them have at most min(place, other) in common, those after them as many as the shorter rest has.
-    """
-    common = np.minimum(place, other) + 1 + np.minimum(n - place, m - other) - 1
-    return common >= similarity * (n + m - common) - 1e-9
 
+def with_partners(key: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """Places, by key and n, of what can be a first common run: the shorter of two sets has it early."""
+    early = n - place >= 2 * similarity / (1 + similarity) * n - 1e-6
+    order = np.lexsort((~early, n, key))
+    key, n, early = key[order], n[order], early[order]
+    last = np.maximum.accumulate(np.where(early, np.arange(len(key)), 0))
+    return order[early | (early[last] & (key[last] == key) & (n[last] >= similarity * n - 1e-6))]
 
-def shared_runs(found: DataFrame, groups: int) -> DataFrame:
-    """Those of the prefixes that several documents have; size: how many."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "id"], kind="stable")
-        first = c.runs(pdf["key"].to_numpy())
-        size = np.diff(np.r_[first, len(pdf)])
-        pdf = pdf.assign(size=np.repeat(size, size).astype(np.int32))
-        return pdf.loc[pdf["size"] > 1, ["id", "key", "place", "n", "size"]]
+def hubs(ids: np.ndarray, a: int, b: int) -> list[int]:
+    """Two places of a list a to b, by n and id: that of the least id, and the middle."""
+    return [a + int(np.argmin(ids[a:b])), (a + b) // 2]
 
-    return found.withColumn("g", c.buckets(F.col("key"), groups)).groupBy("g").applyInPandas(work, "id bigint, key bigint, place int, n int, size int")
 
+def listed(found: DataFrame, similarity: float, groups: int, few: int) -> DataFrame:
+    """Pairs (a, b; n is 0) to compare of lists of at most `few` documents and with the hubs of larger ones, and (a, key, place, n) the larger lists."""
 
-def pairs_to_compare(lists: DataFrame, similarity: float, groups: int, few: int, rest: bool) -> DataFrame:
-    """a, b: documents of one list (id, key, place, n) whose sets can be similar, each pair once.
-
-    Of a list of more than `few`, first (not rest) only those with one of its two hubs, then (rest) all others whose documents are of
-    different components (column component): so documents that have been linked make no more pairs. There the bitmaps
-    of parities (column mark) differ in no more bits than the sets in runs.
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, ids, place, n = (pdf[x].to_numpy(np.int64) for x in ("key", "id", "place", "n"))
+        for _ in range(2):  # what has no other of its key goes, before and after what has no partner
+            order = np.argsort(key, kind="stable")
+            first = c.runs(key[order])
+            size = np.diff(np.r_[first, len(key)])
+            order = order[np.repeat(size, size) > 1]
+            key, ids, place, n = (x[order] for x in (key, ids, place, n))
+            if _ == 0:
+                order = with_partners(key, n, place, similarity)
+                key, ids, place, n = (x[order] for x in (key, ids, place, n))
+        order = np.lexsort((ids, n, key))
+        key, ids, place, n = (x[order] for x in (key, ids, place, n))
+        first = c.runs(key)
+        last = np.r_[first[1:], len(key)][: len(first)]
+        size = np.repeat(last - first, last - first)
+        out = [np.zeros((0, 2), np.int64)]
+
+        def add(i: np.ndarray, j: np.ndarray) -> None:
+            near = reachable(n[i], place[i], n[j], place[j], similarity) & (ids[i] != ids[j])
+            out.append(np.c_[np.maximum(ids[i], ids[j])[near], np.minimum(ids[i], ids[j])[near]])
+
+        for k in range(1, few):
+            i = np.flatnonzero((key[k:] == key[:-k]) & (size[k:] <= few))
+            add(i, i + k)
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            if b - a > few:
+                for h in hubs(ids, a, b):
+                    add(np.full(b - a, h), np.arange(a, b))
+        pairs, large = np.unique(np.concatenate(out), axis=0), size > few
+        none = np.zeros(len(pairs), np.int64)
+        return pd.DataFrame({
+            "a": np.r_[pairs[:, 0], ids[large]], "b": np.r_[pairs[:, 1], ids[large]], "key": np.r_[none, key[large]],
+            "place": np.r_[none, place[large]], "n": np.r_[none, n[large]],
+        })
+
+    grouped = found.withColumn("g", c.buckets(F.col("key"), groups)).groupBy("g")
+    return grouped.applyInPandas(work, "a bigint, b bigint, key bigint, place int, n int")
+
+
+def rest_of_lists(lists: DataFrame, similarity: float, groups: int) -> DataFrame:
+    """a, b: documents of one list (id, key, place, n, component, mark) whose sets can be similar, each pair once.
+
+    Only those of different components, and without the hubs: so documents that have been linked make no more
+    pairs. The bitmaps of parities (mark) differ in no more bits than the sets in runs.
     """
     apart = (1 - similarity) / (1 + similarity)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "n", "id"], kind="stable")
-        ids, place, n = (pdf[x].to_numpy(np.int64) for x in ("id", "place", "n"))
-        component = pdf["component"].to_numpy(np.int64) if rest else ids
-        mark = np.frombuffer(b"".join(pdf["mark"]), np.uint64).reshape(len(pdf), -1) if rest else None
+        ids, place, n, component = (pdf[x].to_numpy(np.int64) for x in ("id", "place", "n", "component"))
+        mark = np.frombuffer(b"".join(pdf["mark"]), np.uint64).reshape(len(pdf), -1)
         first = c.runs(pdf["key"].to_numpy())
         out, kept, waiting = [], np.zeros((0, 2), np.int64), 0
         for a, b in zip(first.tolist(), np.r_[first[1:], len(pdf)].tolist(), strict=True):
-            large = b - a > few
-            if rest and (component[a:b] == component[a]).all():
-                continue
-            hubs = [a + int(np.argmin(ids[a:b])), (a + b) // 2] if large else []
-            for i in hubs if large and not rest else range(a, b):
-                if rest and i in hubs:
+            known = hubs(ids, a, b)
+            for i in range(a, b):
+                if i in known:
                     continue
-                if large and not rest:
-                    j = np.arange(a, b)
-                else:
-                    j = np.arange(i + 1, a + np.searchsorted(n[a:b], n[i] / similarity + 1e-6, "right"))
-                    j = j[~np.isin(j, hubs)] if rest else j
-                j = j[(ids[j] != ids[i]) & (component[j] != component[i] if rest else True)]
-                j = j[reachable(n[i], place[i], n[j], place[j], similarity)]
-                if rest:
-                    j = j[np.bitwise_count(mark[i] ^ mark[j]).sum(axis=1, dtype=np.int64) <= apart * (n[i] + n[j]) + 1e-6]
+                j = np.arange(i + 1, a + np.searchsorted(n[a:b], n[i] / similarity + 1e-6, "right"))
+                j = j[(component[j] != component[i]) & (ids[j] != ids[i])]
+                j = j[reachable(n[i], place[i], n[j], place[j], similarity) & ~np.isin(j, known)]
+                j = j[np.bitwise_count(mark[i] ^ mark[j]).sum(axis=1, dtype=np.int64) <= apart * (n[i] + n[j]) + 1e-6]
                 out.append(np.c_[np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])])
                 waiting += len(j)
                 if waiting > 1 << 20:
@@ -360,8 +390,7 @@ def pairs_to_compare(lists: DataFrame, similarity: float, groups: int, few: int,
         kept = np.unique(np.concatenate([kept, *out]), axis=0)
         return pd.DataFrame({"a": kept[:, 0], "b": kept[:, 1]})
 
-    found = lists.withColumn("g", c.buckets(F.col("key"), groups)).groupBy("g").applyInPandas(work, "a bigint, b bigint")
-    return found.distinct()
+    return lists.withColumn("g", c.buckets(F.col("key"), groups)).groupBy("g").applyInPandas(work, "a bigint, b bigint").distinct()
 
 
 def parities(docs: DataFrame, words: int) -> DataFrame:
@@ -415,15 +444,16 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     groups = max(8, int(total * (1 - similarity)) // LISTED)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(firsts.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    lists = checkpointed(shared_runs(prefixes(texts, words, similarity, common_runs(texts, words, n)), groups))
-    pairs = checkpointed(pairs_to_compare(lists, similarity, groups, few, False))
+    found = checkpointed(listed(prefixes(texts, words, similarity, common_runs(texts, words, n)), similarity, groups, few))
+    pairs = checkpointed(found.where("n = 0").select("a", "b").distinct())
+    lists = found.where("n > 0").select(F.col("a").alias("id"), "key", "place", "n")
     near = checkpointed(similar_pairs(pairs, texts, words, similarity).union(copies))
     found = components(near)
-    named = lists.where(F.col("size") > few).join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = lists.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_lists = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    named = checkpointed(named.join(open_lists, "key"))
+    named = named.join(open_lists, "key")
     named = named.join(parities(texts.join(named.select("id").distinct(), "id", "left_semi"), words).distinct(), ["id", "n"])
-    more = checkpointed(pairs_to_compare(named, similarity, groups, few, True).join(pairs, ["a", "b"], "left_anti"))
+    more = checkpointed(rest_of_lists(named, similarity, groups).join(pairs, ["a", "b"], "left_anti"))
     if more.isEmpty():
         return found.select(F.col("node").alias("id"), "component")
     found = components(near.union(similar_pairs(more, texts, words, similarity)))
