@@ -29,7 +29,7 @@ TEMPLATES = (
     ("dedicated to the public domain under cc0 1 0 universal", "cc0-1.0"),
 )
 THRESHOLD = 0.8
-#: Words of a block at most, and from one block of a longer line to the next; each template fits in what blocks share.
+#: Words of a block at most, and from one block of a longer line or of the text to the next; each template fits in what blocks share.
 BLOCK, STRIDE = 64, 32
 APART = c.byte_set((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -135,7 +135,11 @@ def _phrases(h: np.ndarray, first: np.ndarray) -> list[tuple[str, np.ndarray]]:
 
 
 def _join(known: Templates, piece: np.ndarray, starts: np.ndarray, first: np.ndarray, h: np.ndarray) -> dict[int, dict[int, float]]:
-    """Templates that each text's blocks match, with the largest share. A block is a line or, of a longer one, BLOCK words."""
+    """Templates that each text's blocks match, with the largest share.
+
+    A block is a line or, of a longer one, BLOCK words; and BLOCK words of the whole text where they cross a newline,
+    for notices that are wrapped.
+    """
     tokens = known.tokens(h)
     rare = np.flatnonzero(known.rare[tokens])
     found: dict[int, dict[int, float]] = {}
@@ -143,16 +147,23 @@ def _join(known: Templates, piece: np.ndarray, starts: np.ndarray, first: np.nda
         return found
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     line = np.cumsum(piece == 10)[starts] + doc  # grows from text to text too
+    blocks = []
     for k in np.unique(line[rare]).tolist():
         a, b = np.searchsorted(line, k), np.searchsorted(line, k, "right")
         for x, y in zip(*(v.tolist() for v in _texts_of(doc, a, b)), strict=True):
-            for s in range(x, max(y - BLOCK, x) + STRIDE, STRIDE) if y - x > BLOCK else (x,):
-                e = min(s + BLOCK, y)
-                block = np.unique(tokens[s:e])
-                block = block[block >= 0]
-                for t, share in known.matches(block, e - s).items():
-                    best = found.setdefault(int(doc[s]), {})
-                    best[t] = max(share, best.get(t, 0.0))
+            blocks += [(s, min(s + BLOCK, y)) for s in (range(x, max(y - BLOCK, x) + STRIDE, STRIDE) if y - x > BLOCK else (x,))]
+    own = first[doc[rare]]
+    near = (rare - own) // STRIDE * STRIDE
+    for s in np.unique(np.concatenate([own + np.maximum(near - k, 0) for k in range(0, BLOCK, STRIDE)])).tolist():
+        e = min(s + BLOCK, int(first[doc[s] + 1]))
+        if line[s] != line[e - 1]:
+            blocks.append((s, e))
+    for s, e in blocks:
+        block = np.unique(tokens[s:e])
+        block = block[block >= 0]
+        for t, share in known.matches(block, e - s).items():
+            best = found.setdefault(int(doc[s]), {})
+            best[t] = max(share, best.get(t, 0.0))
     return found
 
 

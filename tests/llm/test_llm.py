@@ -299,6 +299,18 @@ def test_licences(spark, tables):
             assert r.score == pytest.approx(1.0 if places else best)
 
 
+def test_wrapped_licence_notices(spark):
+    """Notices over several lines, as in licence files and source headers, also after other text."""
+    wrapped = [
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"),
+        ("bsd", "# Redistribution and use in source and binary\n# forms, with or without modification,\n# are permitted provided that"),
+        ("mpl", "/* This Source Code Form is subject\n * to the terms of the Mozilla\n * Public License, v. 2.0. */"),
+    ]
+    rows = [(i, before + text) for i, (before, text) in enumerate((b, t) for _, t in wrapped for b in ("", "other words\n" * 29))]
+    got = {r.id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: (wrapped[i // 2][0], 1.0) for i in range(6)}
+
+
 # ---- op10
 
 
