@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -22,6 +23,28 @@ END = "</w>"
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and numbers below U+0100, as \p{L} and \p{N} have them.
 LATIN, LATIN_NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Fixed ranges: marks and one vowel sign of later versions of Unicode, which the tokenizer's NFC does not move or join.
+UNMOVED = (
+    "\u07fd \u0898-\u089f \u08ca-\u08d3 \u09fe \u0c3c \u0d3b-\u0d3c \u0eba \u1715 \u1abf-\u1ace \u1df6-\u1dfa \ua82c \U00010d24-\U00010d27 \U00010eab-\U00010eac \U00010efd-\U00010eff "
+    "\U00010f46-\U00010f50 \U00010f82-\U00010f85 \U00011070 \U0001133b \U0001145e \U00011839-\U0001183a \U00011930 \U00011938 \U0001193d-\U0001193e \U00011943 \U000119e0 \U00011a34 \U00011a47 "
+    "\U00011a99 \U00011d42 \U00011d44-\U00011d45 \U00011d97 \U00011f41-\U00011f42 \U00016ff0-\U00016ff1 \U0001e08f \U0001e130-\U0001e136 \U0001e2ae \U0001e2ec-\U0001e2ef \U0001e4ec-\U0001e4ef"
+).replace(" ", "")
+#: Capitals that the tokenizer lower-cases and Unicode 15.1 does not know yet (first, last, how far).
+CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1),
+    (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+#: Fixed ranges: letters and numbers of a later version of Unicode than the tokenizer's, which are neither to it.
+LATE = (
+    "\u0558 \u058b-\u058c \u088f \u0c5c \u0cdc \u208f \u209d-\u209f \ua7ce-\ua7cf \ua7d2 "
+    "\ua7d4 \ua7dd \ua7e2 \ua7f1 \uab6c-\uab6d \U000107bb-\U000107bf \U00010940-\U00010959 \U00010ec5-\U00010ec7 \U00010ed9-\U00010eee "
+    "\U00011b0a \U00011db0-\U00011ddb \U00011de0-\U00011de9 \U00011df1 \U0001246f \U00012475-\U0001247f \U00012550-\U00012686 \U00016ea0-\U00016eb8 \U00016ebb-\U00016ed3 "
+    "\U00016ff2-\U00016ff6 \U000187f8-\U000187ff \U00018cd6-\U00018cda \U00018d09-\U00018d20 \U00018d80-\U00018df2 \U00018e00-\U00019191 \U000191a0-\U000191d2 \U0001b123-\U0001b128 \U0001b168 "
+    "\U0001d6a6 \U0001df1f-\U0001df24 \U0001df2b-\U0001df81 \U0001df90-\U0001df96 \U0001dfcd-\U0001dfff \U0001e6c0-\U0001e6de \U0001e6e0-\U0001e6e2 \U0001e6e4-\U0001e6e5 \U0001e6e7-\U0001e6ed "
+    "\U0001e6f0-\U0001e6f4 \U0001e6fe-\U0001e6ff \U0002b73a-\U0002b73f \U0002b81e \U0002cea2-\U0002cead \U000323b0-\U00033479 \U0003d000-\U0003fc3f "
+).replace(" ", "")
+#: Longer words are merged with a heap.
+HEAPED = 64
 #: Words that a worker remembers at most; then it starts anew.
 REMEMBERED = 3 << 18
 NEVER = np.int64(1) << 40
@@ -45,6 +68,10 @@ class Codec:
         # white space stands in no word, so it need not be replaced by blanks first
         self.pattern = regex.compile(pattern.replace(r"\s", SPACE))
         known = pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.unmoved = regex.compile(f"([{UNMOVED}])")
+        self.lower = {c: c + by for a, b, by in CAPITALS for c in range(a, b + 1) if chr(c).lower() == chr(c)}
+        self.late = regex.compile(f"[{LATE}{''.join(map(chr, self.lower))}]")
+        self.pinned = regex.compile("(?V1)" + regex.sub(r"\\p\{([LN])\}", lambda m: rf"[\p{{{m[1]}}}--[{LATE}]]", self.pattern.pattern))
         self.latin = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[{LATIN_NUMBERS}]|[^{SPACE}{LATIN}{LATIN_NUMBERS}]+") if known else self.pattern
         letters = _byte_letters()
         back = {x: b for b, x in enumerate(letters)}
@@ -133,6 +160,8 @@ class Codec:
 
     def merged(self, word: bytes) -> list[int]:
         """Exact merging: again and again the pair of least rank, from the left."""
+        if len(word) > HEAPED:
+            return self.merged_by_heap(word)
         inner, merges = self.inner, self.merges
         ids = [inner[word[i : i + 1]] for i in range(len(word) - 1)] + [self.last[word[-1:]]]
         none = (1 << 40, -1)
@@ -147,6 +176,30 @@ class Codec:
                 pairs[i] = merges.get((ids[i], ids[i + 1]), none)
         return ids
 
+    def merged_by_heap(self, word: bytes) -> list[int]:
+        """As merged(), in n log n: neighbours are linked, and pairs that no longer stand are skipped."""
+        merges = self.merges
+        ids = [self.inner[word[i : i + 1]] for i in range(len(word) - 1)] + [self.last[word[-1:]]]
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(*merges[p], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in merges]
+        heapq.heapify(heap)
+        while heap:
+            _, made, i, (left, right) = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != left or j >= n or ids[j] != right:
+                continue
+            ids[i], ids[j] = made, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (p := (made, ids[k])) in merges:
+                    heapq.heappush(heap, (*merges[p], i, p))
+            h = before[i]
+            if h >= 0 and (p := (ids[h], made)) in merges:
+                heapq.heappush(heap, (*merges[p], h, p))
+        return [i for i in ids if i >= 0]
+
     def learn(self, words: list[str]) -> None:
         """Encode words that were not met before."""
         raw = [w.encode() for w in words]
@@ -168,11 +221,13 @@ class Codec:
     def pieces(self, text: str) -> list[str]:
         """The normalized text's words."""
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
+            text = "".join(unicodedata.normalize("NFC", x) for x in self.unmoved.split(text))
         low = text.lower() if "\u03a3" not in text else "".join(map(str.lower, text))
         try:
             low.encode("latin-1")
         except UnicodeEncodeError:
+            if self.late.search(low):
+                return self.pinned.findall(low.translate(self.lower))
             return self.pattern.findall(low)
         return self.latin.findall(low)
 

@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 import re
+import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -78,6 +80,30 @@ def test_bpe_is_the_librarys():
         assert own.decode_ids(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_of_all_code_points():
+    """Every code point alone, and marks in any order, with the library's version of Unicode."""
+    rng = random.Random(9)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in points if unicodedata.combining(c)]
+    texts = [f"a{c}b" for c in points] + ["".join(rng.choice(rng.choice((points, marks, marks, list("abcéñ 1'ßΣ")))) for _ in range(30)) for _ in range(5000)]
+    own, library = bpe.Codec(BPE), Tokenizer.from_file(BPE)
+    for a in range(0, len(texts), 1 << 16):
+        some = texts[a : a + (1 << 16)]
+        want = library.encode_batch(some, add_special_tokens=False)
+        assert [t for t, x, y in zip(some, own.encode_texts(some), want, strict=True) if np.frombuffer(x, "<u4").tolist() != y.ids] == []
+
+
+def test_bpe_of_very_long_words():
+    rng = random.Random(10)
+    own, library = bpe.Codec(BPE), Tokenizer.from_file(BPE)
+    for word in ("".join(rng.choice("etaoinshrdlucé") for _ in range(3000)), "ab" * 1000 + "e" * 2001):
+        raw = word.encode()
+        assert own.merged_by_heap(raw) == library.encode(word, add_special_tokens=False).ids
+    start = time.time()
+    own.encode_texts(["".join(rng.choice("etaoinshrdlu") for _ in range(1 << 18))])
+    assert time.time() - start < 30
+
+
 def test_encode_and_decode(spark, docs):
     rows = bpe.decode(bpe.encode(docs, BPE), BPE).select("text", "ids", "decoded", "row").toPandas()
     library = Tokenizer.from_file(BPE)
