@@ -37,6 +37,42 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of one key from which a join deals with the key apart, and how many such keys there can be at most.
+HOT_ROWS, HOT_KEYS = 2_048, 1_000
+#: Bits of the table with which rows are sieved before a join: at most 2**18 rows of 64 bits, whatever the input.
+SIEVE = 24
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with a table that has each key once, and in `count` how many of the `total` rows have the key.
+
+    Keys of more than HOT_ROWS rows and of more than total / HOT_KEYS go by a broadcast: as counts add up to the total,
+    these are at most HOT_KEYS. All other keys are shuffled. The column `count` is dropped.
+    """
+    hot = F.col(count) > max(HOT_ROWS, total // HOT_KEYS)
+    if total <= HOT_ROWS or table.where(hot).isEmpty():
+        return rows.join(table.drop(count), key)
+    few = table.where(hot).drop(count)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(rest.join(table.where(~hot).drop(count), key))
+
+
+def sieved(rows: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """rows in two parts: those whose id can be among `ids` (one column), and those whose id surely is not.
+
+    The ids' hashes set bits of a table of fixed size, which is broadcast; so the second part needs no shuffle. The more ids
+    there are, the more rows of other ids are in the first part, so that the parts still have to be joined with the ids.
+    """
+    name = ids.columns[0]
+    bit = lambda c: F.shiftrightunsigned(F.xxhash64(F.col(c).cast("bigint")), 64 - SIEVE)
+    place = ids.select(bit(f"`{name}`").alias("_bit")).select(F.shiftright("_bit", 6).alias("_word"), F.expr("shiftleft(1L, CAST(_bit & 63 AS INT))").alias("_mask"))
+    table = F.broadcast(place.groupBy("_word").agg(F.bit_or("_mask").alias("_mask")))
+    held = rows.select(F.struct(*[F.col(f"`{x}`") for x in rows.columns]).alias("_row"), bit(f"`{id_col}`").alias("_bit"))
+    held = held.withColumn("_word", F.shiftright("_bit", 6)).join(table, "_word", "left")
+    maybe = F.expr("coalesce(shiftrightunsigned(_mask, CAST(_bit & 63 AS INT)) & 1, 0) = 1")
+    return tuple(held.where(x).select(*[F.col(f"_row.`{c}`") for c in rows.columns]) for x in (maybe, ~maybe))
+
+
 def buckets(key: Column, n: int) -> Column:
     """A number below n that spreads keys evenly; null keys have one too."""
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")

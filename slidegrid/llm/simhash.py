@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -197,62 +198,86 @@ def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, id_col: st
     rows of theirs have none (then it is null); repeated rows each stay; an empty table gives no rows.
     """
     fps = checkpointed(fingerprints(docs, words, id_col, text_col))
-    same = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("rep")))
-    linked = same.where("rep IS NOT NULL")
+    same = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    linked = same.where("rep IS NOT NULL").select("fp", "rep")
     found = components(links(linked, budget))
-    named = same.join(found, same["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return fps.join(named, "fp").select("id", "fp", "component")
+    total = same.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    named = same.join(found, same["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"), "copies")
+    return c.join_hot(fps, checkpointed(named), "fp", "copies", total).select("id", "fp", "component")
 
 
-def word_sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, same, n: a hash of each text's words in order, and how many there are."""
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = c.text_bytes(batch.column(1))
-            data = _LOWER[data]
-            same, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for a, b in c.steps(offsets):
-                piece = data[offsets[a] : offsets[b]]
-                starts, ends, first = c.words(piece, offsets[a : b + 1] - offsets[a])
-                h = c.slice_hashes(c.sums_before(piece, 31), starts, ends)
-                place = np.arange(len(h)) - first[np.repeat(np.arange(b - a), np.diff(first))]
-                total = np.r_[np.uint64(0), np.cumsum(c.joined(h, place.astype(np.uint64)), dtype=np.uint64)]
-                same.append(c.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)))
-                n.append(np.diff(first))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(same).view(np.int64)), pa.array(np.concatenate(n).astype(np.int64))], ["id", "same", "n"])
 
-    kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(work, "id bigint, same bigint, n bigint")
+@dataclass
+class Texts:
+    """Some texts: 64-bit names and further 64 bits that tell texts apart, words, and sorted distinct hashes of runs of words."""
 
+    name: np.ndarray
+    check: np.ndarray
+    n: np.ndarray
+    runs: list[np.ndarray]
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
 
+def named_texts(column: pa.Array, words: int, seed: int) -> Iterator[Texts]:
+    """Names and runs of texts, A to Z lower-cased; texts with the same words in the same order have one name.
 
-def runs_of_words(column: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """Each text's sorted distinct 64-bit hashes of its runs of `words` words; shorter texts are one run."""
+    A text of fewer words than a run is one run; null and blank texts have no words.
+    """
     data, offsets = c.text_bytes(column)
     data = _LOWER[data]
     for a, b in c.steps(offsets):
         piece = data[offsets[a] : offsets[b]]
         starts, ends, first = c.words(piece, offsets[a : b + 1] - offsets[a])
         h = c.slice_hashes(c.sums_before(piece, 31), starts, ends)
+        place = (np.arange(len(h)) - first[np.repeat(np.arange(b - a), np.diff(first))]).astype(np.uint64)
+        n = np.diff(first)
+
+        def whole(word: np.ndarray) -> np.ndarray:
+            total = np.r_[np.uint64(0), np.cumsum(c.joined(word, place), dtype=np.uint64)]
+            return c.mix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64)).view(np.int64)
+
+        name = whole(c.mix(h ^ np.uint64(seed)))
+        check = whole(c.slice_hashes(c.sums_before(piece, 37), starts, ends))
+        runs = []
         for k in range(b - a):
             own = h[first[k] : first[k + 1]]
-            yield np.unique(c.window_hashes(own, max(1, min(words, len(own)))))
+            runs.append(np.unique(c.window_hashes(own, max(1, min(words, len(own))))))
+        yield Texts(name, check, n, runs)
 
 
-def shingle_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, shingles: sorted distinct 64-bit hashes of the runs of `words` words, as bytes; shorter texts are one run."""
+def describe(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """id, name, check, n, mark: names of texts with words, their number of distinct runs, and a bitmap of whether an odd number of them has a bit's hash."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [x.tobytes() for x in runs_of_words(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "shingles"])
+            out: list[tuple] = []
+            for t in named_texts(batch.column(1), words, seed):
+                marks = [np.packbits((np.bincount((own >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).astype(bool)).tobytes() for own in t.runs]
+                out += zip(t.name.tolist(), t.check.tolist(), (len(x) if k else 0 for k, x in zip(t.n.tolist(), t.runs, strict=True)), marks, strict=True)
+            columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "name", "check", "n", "mark"])
 
-    kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(work, "id bigint, shingles binary")
+    return docs.select("id", "text").mapInArrow(work, "id bigint, name bigint, check bigint, n int, mark binary").where("n > 0")
+
+
+def shingle_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """name, shingles: each text's sorted distinct 64-bit hashes of its runs, as bytes; each text once for each task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            names, sets = [], []
+            for t in named_texts(batch.column(0), words, seed):
+                for name, own in zip(t.name.tolist(), t.runs, strict=True):
+                    if name not in seen:
+                        seen.add(name)
+                        names.append(name)
+                        sets.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["name", "shingles"])
+
+    return docs.select("text").mapInArrow(work, "name bigint, shingles binary")
 
 
 def common_runs(docs: DataFrame, words: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -262,12 +287,15 @@ def common_runs(docs: DataFrame, words: int, n: int) -> tuple[np.ndarray, np.nda
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            flat = np.concatenate([np.zeros(0, np.uint64), *runs_of_words(batch.column(1), words)])
-            key, count = np.unique(flat, return_counts=True)
+            flat = [np.zeros(0, np.uint64)]
+            for t in named_texts(batch.column(0), words, 0):
+                flat += [own for name, own in zip(t.name.tolist(), t.runs, strict=True) if not (name in seen or seen.add(name))]
+            key, count = np.unique(np.concatenate(flat), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], ["key", "n"])
 
-    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).select("id", "text")
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
     counted = some.mapInArrow(work, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     found = counted.orderBy(F.desc("n"), "key").limit(COMMON).toPandas()
     key = found["key"].to_numpy(np.int64).view(np.uint64)
@@ -275,27 +303,36 @@ def common_runs(docs: DataFrame, words: int, n: int) -> tuple[np.ndarray, np.nda
     return key[order], found["n"].to_numpy(np.int64)[order]
 
 
-def prefixes(docs: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """id, key, place, n: of each text's n runs, the rarest, so many that texts of the similarity have one of them in common."""
+def prefixes(docs: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray], seed: int) -> DataFrame:
+    """id, key, place, n: of each text's n runs, the rarest, so many that texts of the similarity have one of them in common.
+
+    id is the text's name; a task gives the runs of a text once, however many copies it reads.
+    """
     known = docs.sparkSession.sparkContext.broadcast(common)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = known.value
+        seen: set[int] = set()
         for batch in batches:
-            kept, n = [np.zeros(0, np.uint64)], []
-            for own in runs_of_words(batch.column(1), words):
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    own = own[np.argsort(np.where(keys[at] == own, counts[at], 0), kind="stable")]
-                kept.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1])
-                n.append(len(own))
+            kept, names, n = [np.zeros(0, np.uint64)], [], []
+            for t in named_texts(batch.column(0), words, seed):
+                for name, n_words, own in zip(t.name.tolist(), t.n.tolist(), t.runs, strict=True):
+                    if not n_words or name in seen:
+                        continue
+                    seen.add(name)
+                    if len(keys):
+                        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                        own = own[np.argsort(np.where(keys[at] == own, counts[at], 0), kind="stable")]
+                    kept.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1])
+                    names.append(name)
+                    n.append(len(own))
             size = np.array([len(x) for x in kept[1:]], np.int64)
             key = np.concatenate(kept).view(np.int64)
             place = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, size)), pa.array(key), pa.array(place.astype(np.int32)), pa.array(np.repeat(np.array(n, np.int32), size))], ["id", "key", "place", "n"])
+            columns = (np.repeat(np.array(names, np.int64), size), key, place.astype(np.int32), np.repeat(np.array(n, np.int32), size))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "key", "place", "n"])
 
-    return docs.select("id", "text").mapInArrow(work, "id bigint, key bigint, place int, n int")
+    return docs.select("text").mapInArrow(work, "id bigint, key bigint, place int, n int")
 
 
 def reachable(n: np.ndarray, place: np.ndarray, m: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
@@ -321,6 +358,7 @@ def listed(found: DataFrame, similarity: float, groups: int, few: int) -> DataFr
     """Pairs (a, b; n is 0) to compare of lists of at most `few` documents and with the hubs of larger ones, and (a, key, place, n) the larger lists."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["key", "id"])  # of one text, from several tasks
         key, ids, place, n = (pdf[x].to_numpy(np.int64) for x in ("key", "id", "place", "n"))
         for _ in range(2):  # what has no other of its key goes, before and after what has no partner
             order = np.argsort(key, kind="stable")
@@ -393,25 +431,27 @@ def rest_of_lists(lists: DataFrame, similarity: float, groups: int) -> DataFrame
     return lists.withColumn("g", c.buckets(F.col("key"), groups)).groupBy("g").applyInPandas(work, "a bigint, b bigint").distinct()
 
 
-def parities(docs: DataFrame, words: int) -> DataFrame:
-    """id, n, mark: how many runs each text has, and a bitmap of whether an odd number of them has a bit's hash."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, mark = [], []
-            for own in runs_of_words(batch.column(1), words):
-                odd = np.bincount((own >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
-                n.append(len(own))
-                mark.append(np.packbits(odd.astype(bool)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(mark, pa.binary())], ["id", "n", "mark"])
-
-    return docs.select("id", "text").mapInArrow(work, "id bigint, n int, mark binary")
+def similar_pairs(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
+    """Those of the pairs (a, b) of names whose texts' sets of runs have the Jaccard similarity.
 
+    docs: id, text. firsts: name, rep, n, mark. Bitmaps drop most of the others before the sets are made.
+    """
+    apart = (1 - similarity) / (1 + similarity)
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts' sets of runs have the Jaccard similarity. docs: id, text."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = checkpointed(shingle_sets(docs.join(wanted, "id"), words, "id", "text"))
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
+            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= apart * n + 1e-6
+            yield batch.select([0, 1]).filter(pa.array(near))
+
+    marks = firsts.select("name", "n", "mark")
+    first, second = (marks.select(F.col("name").alias(x), F.col("n").alias(f"n{x}"), F.col("mark").alias(f"m{x}")) for x in "ab")
+    kept = pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(possible, "a bigint, b bigint")
+    kept = checkpointed(kept)
+    wanted = checkpointed(kept.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(firsts.select("name", "rep"), "name").select(F.col("rep").alias("id")).distinct())
+    some, _ = c.sieved(docs, wanted, "id")
+    sets = checkpointed(shingle_sets(some.join(wanted, "id"), words, seed))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -423,38 +463,45 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, words: int, similarity: flo
                     keep[i] = common >= similarity * (len(x) + len(y) - common) - 1e-9
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    first, second = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(compared, "a bigint, b bigint")
+    first, second = (sets.select(F.col("name").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    return kept.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(compared, "a bigint, b bigint").distinct()
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, few: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, component: for every id that has near-duplicates with a larger or smaller id, the smallest id that links reach.
+    """id, component: for every id that has near-duplicates, the smallest id that links reach.
 
     Documents link when the Jaccard similarity of their sets of `words`-word runs is at least `similarity`, or when
-    their words are equal. The components are exact: runs are ordered by frequency, and similar sets have one of
-    their rarest in common (prefix filter), so each such run has a list of documents to compare, bounded by
-    length and place. In a list of more than `few`, documents are compared with two hubs first, and then
+    their words are equal (by 128 bits). The components are exact: runs are ordered by frequency, and similar sets have one of
+    their rarest in common (prefix filter), so each such run has a list of texts to compare, bounded by
+    length and place. In a list of more than `few`, texts are compared with two hubs first, and then
     all those of different components with each other, as far as bitmaps of their sets let them be similar. Texts without words and rows with null ids link with
-    nothing; an empty table gives no rows. Rows with one id are one document here.
+    nothing; an empty table gives no rows. Rows with one id are one document here, which all its texts link.
+
+    Links are between texts, so copies make none; texts are named by 64 bits, and should two
+    texts ever have one name, all texts are named anew with another seed.
     """
-    rows = checkpointed(word_sequences(docs, id_col, text_col).where("id IS NOT NULL AND n > 0"))
-    firsts = checkpointed(rows.groupBy("same").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
-    copies = rows.join(firsts.select("same", "rep"), "same").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    n, total = firsts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id IS NOT NULL")
+    for seed in range(1, 100):
+        rows = checkpointed(describe(texts, words, seed))
+        firsts = checkpointed(rows.groupBy("name", "check").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("mark").alias("mark")))
+        if firsts.groupBy("name").count().where("count > 1").isEmpty():
+            break
+    n, total, n_rows = firsts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     groups = max(8, int(total * (1 - similarity)) // LISTED)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(firsts.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    found = checkpointed(listed(prefixes(texts, words, similarity, common_runs(texts, words, n)), similarity, groups, few))
+    found = checkpointed(listed(prefixes(texts, words, similarity, common_runs(texts, words, n), seed), similarity, groups, few))
     pairs = checkpointed(found.where("n = 0").select("a", "b").distinct())
     lists = found.where("n > 0").select(F.col("a").alias("id"), "key", "place", "n")
-    near = checkpointed(similar_pairs(pairs, texts, words, similarity).union(copies))
-    found = components(near)
-    named = lists.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = rows.groupBy("id").agg(F.min("name").alias("b"), F.max("name").alias("most")).where("b < most").select("id", "b")
+    own = rows.select("id", F.col("name").alias("a")).join(several, "id").select("a", "b").where("a <> b").distinct()
+    near = checkpointed(similar_pairs(pairs, texts, firsts, words, similarity, seed).union(own))
+    linked = components(near)
+    named = lists.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_lists = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    named = named.join(open_lists, "key")
-    named = named.join(parities(texts.join(named.select("id").distinct(), "id", "left_semi"), words).distinct(), ["id", "n"])
+    named = named.join(open_lists, "key").join(firsts.select(F.col("name").alias("id"), "mark"), "id")
     more = checkpointed(rest_of_lists(named, similarity, groups).join(pairs, ["a", "b"], "left_anti"))
-    if more.isEmpty():
-        return found.select(F.col("node").alias("id"), "component")
-    found = components(near.union(similar_pairs(more, texts, words, similarity)))
-    return found.select(F.col("node").alias("id"), "component")
+    if not more.isEmpty():
+        linked = components(near.union(similar_pairs(more, texts, firsts, words, similarity, seed)))
+    member = firsts.select("name", "rep", "copies").join(linked, F.col("name") == F.col("node"), "left").withColumn("component", F.coalesce("component", "name"))
+    least = member.groupBy("component").agg(F.min("rep").alias("least"))
+    labels = member.join(least, "component").where("rep <> least OR copies > 1 OR node IS NOT NULL").select("name", F.col("least").alias("component"), "copies")
+    return c.join_hot(rows.select("id", "name"), checkpointed(labels), "name", "copies", n_rows).groupBy("id").agg(F.min("component").alias("component"))
