@@ -25,7 +25,7 @@ GROUP = 32_768
 #: Trie node pairs that are walked at a time.
 FRONTIER = 1 << 20
 #: Documents, about, of which the runs are counted to order them, and runs counted there that are kept.
-SAMPLE, COMMON = 5_000, 50_000
+SAMPLE, COMMON = 20_000, 400_000
 #: Runs that a task gathers in lists, about.
 LISTED = 1 << 18
 
