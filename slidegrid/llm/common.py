@@ -23,6 +23,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as it is written in expressions, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame, but: str = "") -> list[Column]:
+    """All columns by their quoted names."""
+    return [F.col(quoted(x)) for x in df.columns if x != but]
+
+
+def in_row(docs: DataFrame, text_col: str) -> DataFrame:
+    """row, text: a struct of the columns other than the text, so that no names clash, and the text."""
+    return docs.select(F.struct(F.lit(0).alias("_"), *columns(docs, text_col)).alias("row"), F.col(quoted(text_col)).cast("string").alias("text"))
+
+
+def out_of_row(names: list[str], new: dict[str, Column]) -> list[Column]:
+    """The columns of these names, from `new` or else from the struct row."""
+    return [new[x].alias(x) if x in new else F.col(f"row.{quoted(x)}").alias(x) for x in names]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder that all executors share.
 
@@ -65,12 +85,12 @@ def sieved(rows: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, Dat
     """
     name = ids.columns[0]
     bit = lambda c: F.shiftrightunsigned(F.xxhash64(F.col(c).cast("bigint")), 64 - SIEVE)
-    place = ids.select(bit(f"`{name}`").alias("_bit")).select(F.shiftright("_bit", 6).alias("_word"), F.expr("shiftleft(1L, CAST(_bit & 63 AS INT))").alias("_mask"))
+    place = ids.select(bit(quoted(name)).alias("_bit")).select(F.shiftright("_bit", 6).alias("_word"), F.expr("shiftleft(1L, CAST(_bit & 63 AS INT))").alias("_mask"))
     table = F.broadcast(place.groupBy("_word").agg(F.bit_or("_mask").alias("_mask")))
-    held = rows.select(F.struct(*[F.col(f"`{x}`") for x in rows.columns]).alias("_row"), bit(f"`{id_col}`").alias("_bit"))
+    held = rows.select(F.struct(*columns(rows)).alias("_row"), bit(quoted(id_col)).alias("_bit"))
     held = held.withColumn("_word", F.shiftright("_bit", 6)).join(table, "_word", "left")
     maybe = F.expr("coalesce(shiftrightunsigned(_mask, CAST(_bit & 63 AS INT)) & 1, 0) = 1")
-    return tuple(held.where(x).select(*[F.col(f"_row.`{c}`") for c in rows.columns]) for x in (maybe, ~maybe))
+    return tuple(held.where(part).select(*[F.col(f"_row.{quoted(x)}").alias(x) for x in rows.columns]) for part in (maybe, ~maybe))
 
 
 def buckets(key: Column, n: int) -> Column:

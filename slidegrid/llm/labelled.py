@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slidegrid.llm.common import quoted
+
 
 def held_out(id_col: str, parts: int, part: int) -> Column:
     """Whether a document is kept for testing: the remainder of the CRC-32 of its id as text is `part`."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def chosen(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chosen(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text", longest: int | None = None) -> DataFrame:
     """id, text, label: at most most[v] documents with label v, those of least hash of id among the rows to learn from.
 
     The labels are cut first, so what is joined to the documents is bounded by `most`, whatever the
-    tables' size. Of an id with several labels the largest counts, of repeated documents any one.
+    tables' size. Of an id with several labels the largest counts; of rows with one id the text that is least in order, before
+    rows move. Texts of more than `longest` bytes are left out.
     """
     known = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     known = known.withColumnRenamed("id", id_col).where(learn).groupBy(id_col).agg(F.max("label").alias("label"))
@@ -24,15 +26,7 @@ def chosen(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most:
     few = parts[0]
     for x in parts[1:]:
         few = few.union(x)
-    texts = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(few), id_col).select(F.col(id_col).alias("id"), "text", "label")
-
-
-def tidy(rows: pd.DataFrame) -> pd.DataFrame:
-    """Chosen rows once each, in the order of their ids."""
-    return rows.drop_duplicates("id").sort_values("id").reset_index(drop=True)
-
-
-def sample(*args, **kwargs) -> pd.DataFrame:
-    """text, label: the chosen documents on the driver."""
-    return tidy(chosen(*args, **kwargs).toPandas())[["text", "label"]]
+    texts = docs.select(F.col(quoted(id_col)).cast("bigint").alias(id_col), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
+    if longest:
+        texts = texts.where(F.octet_length("text") <= longest)
+    return texts.join(F.broadcast(few), id_col).groupBy(F.col(id_col).alias("id"), "label").agg(F.min("text").alias("text")).select("id", "text", "label")

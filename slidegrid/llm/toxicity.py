@@ -1,4 +1,4 @@
-"""Toxicity: words as bags of character n-grams, averaged into a linear softmax."""
+"""Toxicity: texts as averages of their words, words as averages of their character n-grams, and a linear softmax."""
 
 from __future__ import annotations
 
@@ -11,17 +11,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slidegrid.llm import common as c
-from slidegrid.llm.labelled import chosen, held_out, tidy
+from slidegrid.llm.labelled import chosen, held_out
 
-#: Documents that the model learns from at most, by label.
-LEARN = {0: 6000, 1: 1500}
+#: Documents that the model learns from at most, by label, and the bytes of the longest that it learns from.
+LEARN, LONGEST = {0: 6000, 1: 1500}, 1 << 16
 BUCKETS = 1 << 20
-WIDTH = 8
-DECAY = np.float32(0.001)
-#: Words of clean documents that each round adds to what is learnt from.
-MINED = 3000
+WIDTH = 2
+DECAY = np.float32(1e-5)
+#: Documents that an n-gram must be held by to start at half of its log-odds.
+SHRINK = 10
 #: Bytes that part words: all of ASCII but a to z (texts are lower-cased).
 APART = c.byte_set((0, 0x60), (0x7B, 0x7F))
 
@@ -61,30 +62,20 @@ def word_values(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.nda
     return total / np.maximum(np.bincount(owner, minlength=len(starts)), 1)
 
 
-def worst_words(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's largest word value and the place of that word; without words 0 and -1."""
-    n = np.diff(first)
-    best, where = np.zeros(len(n)), np.full(len(n), -1)
-    some = np.flatnonzero(n)
-    if len(some):
-        best[some] = np.maximum.reduceat(values, first[some])
-        owner = np.repeat(np.arange(len(n)), n)
-        hit = np.flatnonzero(values == best[owner])[::-1]
-        where[owner[hit]] = hit
-    return best, where
-
-
 def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return c.text_bytes(pc.utf8_lower(column.cast(pa.large_string())))
 
 
 def score_texts(model: Model, column: pa.Array) -> np.ndarray:
+    """The softmax of each text's average: of the words' averages of their n-grams."""
     data, offsets = lowered(column)
     out = np.zeros(len(offsets) - 1)
     for a, b in c.steps(offsets, c.STEP // 4):
         piece = data[offsets[a] : offsets[b]]
         starts, ends, first = c.words(piece, offsets[a : b + 1] - offsets[a], APART)
-        out[a:b] = worst_words(word_values(model, piece, starts, ends), first)[0]
+        n = np.diff(first)
+        owner = np.repeat(np.arange(b - a), n)
+        out[a:b] = np.bincount(owner, word_values(model, piece, starts, ends), b - a) / np.maximum(n, 1)
     return 1 / (1 + np.exp(-np.clip(out + model.bias, -30, 30)))
 
 
@@ -100,102 +91,104 @@ class _Adam:
             x -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-7)
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: int = 6, steps: int = 30) -> Model:
+class Bags:
+    """Sums of rows by owner and back: `items` are the rows' numbers, in the order of their owners, `sizes` how many each owner has."""
+
+    def __init__(self, items: np.ndarray, sizes: np.ndarray, n_items: int, weight: np.ndarray) -> None:
+        self.items, self.weight = items, weight.astype(np.float32)
+        self.some, self.first = np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]
+        self.n_owners, self.n_items = len(sizes), n_items
+        order = np.argsort(items, kind="stable")
+        self.owner_by_item, self.weight_by_item = np.repeat(np.arange(len(sizes)), sizes)[order], self.weight[order]
+        self.item_first = c.runs(items[order])
+        self.held = items[order][self.item_first]
+
+    def forward(self, values: np.ndarray) -> np.ndarray:
+        """values has a row for each dimension."""
+        out = np.zeros((len(values), self.n_owners), np.float32)
+        for k, v in enumerate(values):
+            out[k, self.some] = np.add.reduceat(v[self.items] * self.weight, self.first)
+        return out
+
+    def backward(self, slopes: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(slopes), self.n_items), np.float32)
+        for k, v in enumerate(slopes):
+            out[k, self.held] = np.add.reduceat(v[self.owner_by_item] * self.weight_by_item, self.item_first)
+        return out
+
+
+def train(texts: list[str], labels: np.ndarray, seed: int = 7, steps: int = 30, rate: float = 0.1) -> Model:
     """Fit the n-gram vectors and the softmax together.
 
-    The vectors start along one direction, at the log-odds with which documents of either label hold the
-    n-gram. Then, round after round, they learn from the worst word of each toxic document as the model sees it
-    (of those that toxic documents hold more often; a document is as toxic as its worst word) and from the MINED worst words of clean documents. Every fifth document is left out and sets the scale of the scores. Without two classes to
-    learn from, every score is the share of toxic rows.
+    A word's vector is the average of its n-grams' vectors, a text's that of its words, and the softmax is linear in it;
+    each step of Adam moves n-grams, softmax and bias. The vectors start along one direction, at the log-odds with which
+    documents of either label hold the n-gram. Every fifth document is left out and sets the scale of the scores. Without two
+    classes to learn from, every score is the share of toxic rows.
     """
     toxic = float(labels.mean()) if len(labels) else 0.0
     if not 0 < toxic < 1:
         return Model(np.zeros(BUCKETS, np.float32), 30.0 if toxic else -30.0)
     y = labels.astype(np.int64)
-    words, doc, grams, per_word = vocabulary(texts)
+    words, doc, count, grams, per_word = vocabulary(texts)
     if not len(per_word):
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(toxic / (1 - toxic))))
-    n_words, gram_first = len(per_word), np.r_[0, np.cumsum(per_word)]
-    first = np.searchsorted(doc, np.arange(len(y) + 1))
+    n_words = len(per_word)
     learn = np.random.default_rng(seed).permutation(len(y)) % 5 != 4
     if not 0 < y[learn].mean() < 1 or not 0 < y[~learn].mean() < 1:
         learn = np.ones(len(y), bool)
-
-    pieces = [(a, min(a + 65_536, n_words)) for a in range(0, n_words, 65_536)]
-
-    def by_gram(of_word: np.ndarray) -> np.ndarray:
-        """Sums over the words that hold each n-gram, piece by piece to spare memory."""
-        out = np.zeros(BUCKETS)
-        for a, b in pieces:
-            out += np.bincount(grams[gram_first[a] : gram_first[b]], np.repeat(of_word[a:b], per_word[a:b]), BUCKETS)
-        return out
-
-    held = []
+    used, where = np.unique(grams, return_inverse=True)
+    length = np.maximum(np.bincount(doc, count, len(y)), 1)
+    of_word = Bags(where, per_word, len(used), np.repeat(1 / per_word, per_word))
+    of_text = Bags(words, np.bincount(doc, minlength=len(y)), n_words, count / length[doc])
+    seen, held = np.zeros(len(used)), []
     for v in (0, 1):
         mine = learn[doc] & (y[doc] == v)
         by_word = np.bincount(words[mine], minlength=n_words)
-        held.append((by_gram(by_word) + 1) / ((learn & (y == v)).sum() + 2))
+        n = np.bincount(where, np.repeat(by_word, per_word), len(used))
+        held.append((n + 1) / ((learn & (y == v)).sum() + 2))
+        seen += n
     rng = np.random.default_rng(seed)
     way = rng.standard_normal(WIDTH)
     way /= np.linalg.norm(way)
-    odds = np.log(held[1] / held[0]) * (by_gram(np.ones(n_words)) > 0)
-    vectors = np.outer(odds.astype(np.float32), way.astype(np.float32))
-    top = np.stack([-way / 2, way / 2], 1).astype(np.float32)
-    bias = np.array([0.5, -0.5], np.float32) * float(odds.max())
-
-    def fit(chosen: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> None:
-        """Steps of Adam; a row is a word, whose vector is the mean of its n-grams' vectors."""
-        sizes = per_word[chosen]
-        cut = np.r_[0, np.cumsum(sizes)]
-        at = np.arange(cut[-1]) - np.repeat(cut[:-1], sizes) + np.repeat(gram_first[chosen], sizes)
-        g, inverse = np.unique(grams[at], return_inverse=True)
-        own, share = np.repeat(np.arange(len(chosen)), sizes), 1 / sizes
-        mine, adam = vectors[g], _Adam((len(g), WIDTH), top.shape, bias.shape)
-        for _ in range(steps):
-            x = np.stack([np.bincount(own, mine[inverse, k], len(chosen)) for k in range(WIDTH)], 1) * share[:, None]
-            z = x @ top + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            p *= weight[:, None]
-            dx = (p @ top.T) * share[:, None]
-            dg = np.stack([np.bincount(inverse, dx[own, k], len(g)) for k in range(WIDTH)], 1).astype(np.float32) + DECAY * mine
-            adam.step([mine, top, bias], [dg, (x.T @ p).astype(np.float32), p.sum(0).astype(np.float32)], rate)
-        vectors[g] = mine
-
-    def worth() -> np.ndarray:
-        flat = vectors @ (top[:, 1] - top[:, 0])
-        return np.concatenate([np.add.reduceat(flat[grams[gram_first[a] : gram_first[b]]], gram_first[a:b] - gram_first[a]) for a, b in pieces]) / per_word
-
-    rate = [np.bincount(words[learn[doc] & (y[doc] == v)], minlength=n_words) / (learn & (y == v)).sum() for v in (0, 1)]
-    clean, suspect = rate[0] > 0, rate[1] > rate[0]
-    mined = np.zeros(n_words, bool)
-    for k in range(rounds):
-        value = worth()
-        _, place = worst_words(np.where(suspect, value, value.min() - 1)[words], first)
-        bad = words[place[(place >= 0) & learn & (y == 1)]]
-        left = np.flatnonzero(clean & ~mined)
-        mined[left[np.argsort(-value[left], kind="stable")[:MINED]]] = True
-        fine = np.flatnonzero(mined)
-        rows, hot = np.r_[bad, fine], np.r_[np.ones(len(bad), int), np.zeros(len(fine), int)]
-        fit(rows, hot, np.ones(len(rows)), 0.08 * (1 - k / rounds) + 0.005)
-    value = worst_words(worth()[words], first)[0] + float(bias[1] - bias[0])
+    vectors = np.outer(way, np.log(held[1] / held[0]) * seen / (seen + SHRINK)).astype(np.float32)
+    level = way @ of_text.forward(of_word.forward(vectors))
+    centre = [level[learn & (y == v)].mean() for v in (0, 1)]
+    slope = 6 / max(centre[1] - centre[0], 1e-3)
+    top = np.stack([-way * slope / 2, way * slope / 2], 1).astype(np.float32)
+    bias = np.array([1, -1], np.float32) * np.float32(slope * (centre[0] + centre[1]) / 4)
+    weight = np.where(learn, np.where(y == 1, 0.5 / y[learn].mean(), 0.5 / (1 - y[learn].mean())), 0.0) / learn.sum()
+    adam = _Adam(vectors.shape, top.shape, bias.shape)
+    for k in range(steps):
+        x = of_text.forward(of_word.forward(vectors)).T
+        z = x @ top + bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        p *= weight[:, None]
+        slopes = of_word.backward(of_text.backward((p @ top.T).T.astype(np.float32))) + DECAY * vectors
+        adam.step([vectors, top, bias], [slopes, (x.T @ p).astype(np.float32), p.sum(0).astype(np.float32)], rate * (1 - k / steps))
+    flat = (top[:, 1] - top[:, 0]) @ vectors
+    value = (of_text.forward(of_word.forward(flat[None]))[0] + (bias[1] - bias[0])).astype(float)
     judged = ~learn if not learn.all() else learn
     a, b = scaled(value[judged], y[judged])
-    return Model((vectors @ (top[:, 1] - top[:, 0]) * a).astype(np.float32), float(bias[1] - bias[0]) * a + b)
+    ngrams = np.zeros(BUCKETS, np.float32)
+    ngrams[used] = flat * a
+    return Model(ngrams, float(bias[1] - bias[0]) * a + b)
 
 
-def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each document's distinct words as numbers, with the document of each; n-grams word by word, and how many each word has."""
+def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's distinct words as numbers, with the document of each and how often it stands there; n-grams word by word, and how many each word has."""
     data, offsets = lowered(pa.array(texts, pa.large_string()))
-    known, found, grams, sizes, docs, held = np.zeros(0, np.uint64), [], [], [], [], []
+    known, found, grams, sizes, docs, held, often = np.zeros(0, np.uint64), [], [], [], [], [], []
     for a, b in c.steps(offsets, c.STEP // 8):
         piece = data[offsets[a] : offsets[b]]
         starts, ends, first = c.words(piece, offsets[a : b + 1] - offsets[a], APART)
         hashes = c.slice_hashes(c.sums_before(piece, 5), starts, ends)
         doc = np.repeat(np.arange(a, b), np.diff(first))
         order = np.lexsort((hashes, doc))
-        keep = order[np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (doc[order][1:] != doc[order][:-1])]] if len(order) else order
+        at = np.flatnonzero(np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (doc[order][1:] != doc[order][:-1])]) if len(order) else order
+        keep = order[at]
+        often.append(np.diff(np.r_[at, len(order)]))
         docs.append(doc[keep])
         held.append(hashes[keep])
         new, at = np.unique(hashes, return_index=True)
@@ -206,11 +199,11 @@ def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         found.append(hashes[fresh])
         known = np.union1d(known, new)
     if not len(known):
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     names = np.concatenate(found)
     order = np.argsort(names)
     words = order[np.searchsorted(names[order], np.concatenate(held))]
-    return words, np.concatenate(docs), np.concatenate(grams), np.concatenate(sizes)
+    return words, np.concatenate(docs), np.concatenate(often), np.concatenate(grams), np.concatenate(sizes)
 
 
 def scaled(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -237,54 +230,13 @@ def scaled(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
 
 
-def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each document's distinct words as numbers, with the document of each; n-grams word by word, and how many each word has."""
-    data, offsets = lowered(pa.array(texts, pa.large_string()))
-    known, found, grams, sizes, docs, held = np.zeros(0, np.uint64), [], [], [], [], []
-    for a, b in c.steps(offsets, c.STEP // 8):
-        piece = data[offsets[a] : offsets[b]]
-        starts, ends, first = c.words(piece, offsets[a : b + 1] - offsets[a], APART)
-        hashes = c.slice_hashes(c.sums_before(piece, 5), starts, ends)
-        doc = np.repeat(np.arange(a, b), np.diff(first))
-        order = np.lexsort((hashes, doc))
-        keep = order[np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (doc[order][1:] != doc[order][:-1])]] if len(order) else order
-        docs.append(doc[keep])
-        held.append(hashes[keep])
-        new, at = np.unique(hashes, return_index=True)
-        fresh = np.sort(at[~c.among(new, known)])  # in the order of the text, as word_ngrams() needs them
-        own, owner = word_ngrams(piece, starts[fresh], ends[fresh])
-        grams.append(own[np.argsort(owner, kind="stable")])
-        sizes.append(np.bincount(owner, minlength=len(fresh)))
-        found.append(hashes[fresh])
-        known = np.union1d(known, new)
-    if not len(known):
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    names = np.concatenate(found)
-    order = np.argsort(names)
-    words = order[np.searchsorted(names[order], np.concatenate(held))]
-    return words, np.concatenate(docs), np.concatenate(grams), np.concatenate(sizes)
-
-
-def scaled(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that make logits of the values: logistic regression, the slope over 0."""
-    mean, spread = value.mean(), value.std() + 1e-9
-    x = np.stack([(value - mean) / spread, np.ones(len(value))], 1)
-    w = np.array([1.0, 0.0])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([0.05, 0.05])
-        w = w - np.linalg.solve(h, x.T @ (p - y) + 0.05 * w)
-        w[0] = max(w[0], 0.05)
-    return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
-
-
 def fitted(known: DataFrame) -> Model:
     """The model of the chosen rows, trained in one task; only the model, whose size is fixed, reaches the driver."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = list(batches)
         if rows:
-            pdf = tidy(pd.concat(rows))
+            pdf = pd.concat(rows).sort_values("id")
             model = train(pdf["text"].tolist(), pdf["label"].to_numpy())
             yield pd.DataFrame({"ngrams": [model.ngrams.tobytes()], "bias": [model.bias]})
 
@@ -296,16 +248,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2,
     """row, text, held_out, score, predicted: every row of docs with its score from 0 to 1; predicted is 1 from the threshold on.
 
     row is a struct of the columns other than the text, so no names clash.
-    The model learns from at most LEARN labelled documents that are not held out; its size is fixed. Scores
+    The model learns from at most LEARN labelled documents of up to LONGEST bytes that are not held out; its size is fixed. Scores
     depend on the text alone. Null and empty texts get the score of no words; rows with null ids are
     scored and not held out; an empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fitted(chosen(docs, labels, "toxic", ~held_out(id_col, parts, part), LEARN, id_col, text_col)))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(chosen(docs, labels, "toxic", ~held_out(id_col, parts, part), LEARN, id_col, text_col, LONGEST)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score_texts(model.value, b.column(1)))], ["row", "text", "score"])
 
-    kept = docs.select(F.struct(*[x for x in docs.columns if x != text_col]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    scored = kept.mapInArrow(work, f"row {kept.schema['row'].dataType.simpleString()}, text string, score double")
-    return scored.select("row", "text", held_out(f"row.{id_col}", parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    kept = c.in_row(docs, text_col)
+    scored = kept.mapInArrow(work, T.StructType([*kept.schema, T.StructField("score", T.DoubleType())]))
+    return scored.select("row", "text", held_out(f"row.`{id_col}`", parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
