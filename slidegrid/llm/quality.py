@@ -1,7 +1,11 @@
-"""Text quality by a vote of the nearest labelled documents in a latent-semantic space."""
+"""Text quality by a vote of the nearest labelled documents in a latent-semantic space.
+
+The space's terms are hashed words, shapes of words, pairs of shapes, lengths and repeats.
+"""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,14 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slidegrid.llm import common as c
-from slidegrid.llm.labelled import held_out, sample
+from slidegrid.llm.labelled import chosen, held_out
 
 #: Labelled documents that vote at most, by label; the vectors are broadcast.
 LEARN = {0: 2000, 1: 4000}
-SHAPES, PAIRS, LENGTHS, WIDTH, NEIGHBOURS = 1024, 512, 24, 32, 15
-TERMS = SHAPES + PAIRS + LENGTHS + 3
+SHAPES, PAIRS, LENGTHS, WORDS, WIDTH, NEIGHBOURS = 1024, 512, 24, 512, 32, 15
+TERMS = SHAPES + PAIRS + LENGTHS + WORDS + 3
 #: Classes of bytes for the shape of a word: A for capitals, a for other letters, 0 for digits, else the byte.
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[ord("A") : ord("Z") + 1] = ord("A")
@@ -37,7 +42,7 @@ class Space:
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Counts of shapes of words, pairs of shapes, lengths of words, and repeated words and lines, one row a text."""
+    """Shares of words, shapes of words, pairs of shapes, lengths of words, and repeated words and lines, one row a text."""
     n = len(offsets) - 1
     out = np.zeros((n, TERMS), np.float32)
     starts, ends, first = c.words(data, offsets)
@@ -57,6 +62,7 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     at.append(base[1:][same_text] + SHAPES + (pair % np.uint64(PAIRS)).astype(np.int64))
     at.append(base + SHAPES + PAIRS + np.minimum(ends - starts, LENGTHS) - 1)
     word = c.slice_hashes(c.sums_before(data, 12), starts, ends)
+    at.append(base + SHAPES + PAIRS + LENGTHS + (word % np.uint64(WORDS)).astype(np.int64))
     again = same_text & (word[1:] == word[:-1])
     at.append(base[1:][again] + TERMS - 3)
     line_starts, line_ends, line_first = c.words(data, offsets, c.byte_set((10, 10)))
@@ -86,11 +92,11 @@ def all_terms(column: pa.Array) -> Iterator[np.ndarray]:
             yield terms(data[offsets[k] : offsets[m]], offsets[k : m + 1] - offsets[k])
 
 
-def fit(texts: list[str], labels: np.ndarray, prior: float) -> Space:
-    """Term weights by rarity, and the axes of the largest singular values of the labelled documents' terms."""
-    if not len(texts):
+def fit(counts: np.ndarray, labels: np.ndarray) -> Space:
+    """Term weights by rarity, and the axes of the largest singular values of the labelled documents' terms (one row a document)."""
+    prior = float(labels.mean()) if len(labels) else 0.5
+    if not len(counts):
         return Space(np.ones(TERMS), np.zeros((TERMS, WIDTH)), np.zeros((0, WIDTH), np.float32), labels.astype(float), prior)
-    counts = np.concatenate(list(all_terms(pa.array(texts, pa.large_string()))))
     weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.5
     x = np.sqrt(counts) * weights
     _, vectors = np.linalg.eigh(x.T.astype(np.float64) @ x)
@@ -98,6 +104,28 @@ def fit(texts: list[str], labels: np.ndarray, prior: float) -> Space:
     return Space(weights, axes, embedded(weights, axes, counts), labels.astype(float), prior)
 
 
+def fitted(known: DataFrame) -> Space:
+    """The space of the chosen documents: their terms are counted where they are read, and the axes found in one task.
+
+    A document brings TERMS numbers there, however long it is, and the driver gets the space, whose size is bounded by LEARN.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [np.zeros((0, TERMS), np.float32), *all_terms(b.column(1))]
+            out = pa.array([r.tobytes() for r in np.concatenate(rows)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), out, b.column(2)], ["id", "terms", "label"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), pa.schema([("id", pa.int64()), ("terms", pa.binary()), ("label", pa.int32())])).sort_by("id")
+        counts = np.frombuffer(b"".join(table["terms"].to_pylist()), np.float32).reshape(-1, TERMS)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(counts, table["label"].to_numpy()))])], ["space"])
+
+    counted = known.select("id", "text", "label").mapInArrow(count, "id bigint, terms binary, label int")
+    found = counted.repartition(1).mapInArrow(learn, "space binary").collect()
+    return pickle.loads(found[0].space) if found else fit(np.zeros((0, TERMS)), np.zeros(0))
+
+
 def vote(space: Space, vectors: np.ndarray, sharp: float = 40.0) -> np.ndarray:
     """Mean label of the nearest labelled vectors, weighted by their cosine similarity, with one vote for the prior."""
     if not len(space.vectors):
@@ -120,9 +148,8 @@ def quality(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, t
     on the text alone; null and empty texts get the prior's score; without labels all scores are 0.5;
     an empty table gives no rows.
     """
-    known = sample(docs, labels, "quality", ~held_out(id_col, parts, part), LEARN, id_col, text_col)
-    y = known["label"].to_numpy()
-    space = docs.sparkSession.sparkContext.broadcast(fit(known["text"].fillna("").tolist(), y, float(y.mean()) if len(y) else 0.5))
+    known = chosen(docs, labels, "quality", ~held_out(id_col, parts, part), LEARN, id_col, text_col)
+    space = docs.sparkSession.sparkContext.broadcast(fitted(known))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,6 +157,6 @@ def quality(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, t
             found = [vote(s, embedded(s.weights, s.axes, x)) for x in all_terms(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([np.zeros(0), *found]))], ["row", "score"])
 
-    kept = docs.select(F.struct(*[x for x in docs.columns if x != text_col]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    scored = kept.mapInArrow(work, f"row {kept.schema['row'].dataType.simpleString()}, score double")
-    return scored.select("row", held_out(f"row.{id_col}", parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    kept = c.in_row(docs, text_col)
+    scored = kept.mapInArrow(work, T.StructType([kept.schema["row"], T.StructField("score", T.DoubleType())]))
+    return scored.select("row", held_out(f"row.`{id_col}`", parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
