@@ -15,7 +15,9 @@ from slidegrid.llm import common as c
 #: A null id counts as this one, the largest.
 LAST = (1 << 63) - 1
 ASK = "part int, bucket int, hashes binary, checks binary, base bigint, width int, ids binary"
-REPLY = "bucket int, hashes binary"
+REPLY = "bucket int, hashes binary, checks binary"
+#: Documents and bytes of text of a bucket, about.
+MOST, BYTES = 4096, 1 << 25
 
 
 def levels(window: int) -> list[int]:
@@ -29,23 +31,26 @@ def levels(window: int) -> list[int]:
 class Bucket:
     """The words of a bucket of documents: hashes, places and the windows that still count."""
 
-    def __init__(self, table: pa.Table, window: int, seed: int = 1) -> None:
+    def __init__(self, table: pa.Table, window: int, checked: bool = True) -> None:
         self.data, self.offsets = c.text_bytes(table["text"])
         ids = table["id"].combine_chunks() if table.num_rows else pa.array([], pa.int64())
         self.ids = np.asarray(ids.fill_null(LAST), np.int64)
-        self.window, self.seed = window, seed
-        starts, ends, firsts, hashes = [], [], [np.zeros(1, np.int64)], []
+        self.window = window
+        starts, ends, firsts, hashes, others = [], [], [np.zeros(1, np.int64)], [], []
         for a, b in c.steps(self.offsets):
             lo = self.offsets[a]
             piece = self.data[lo : self.offsets[b]]
             s, e, f = c.words(piece, self.offsets[a : b + 1] - lo)
-            hashes.append(c.slice_hashes(c.sums_before(piece, seed), s, e))
+            hashes.append(c.slice_hashes(c.sums_before(piece, 1), s, e))
+            others.append(c.slice_hashes(c.sums_before(piece, 2), s, e) if checked else hashes[-1])
             firsts.append(f[1:] + firsts[-1][-1])
             starts.append(s + lo)
             ends.append(e + lo)
         empty = np.zeros(0, np.int64)
         self.starts, self.ends = np.concatenate([empty, *starts]), np.concatenate([empty, *ends])
         self.hashes, self.first = np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate(firsts)
+        #: Further hashes of the words, independent of the first ones, for the last level.
+        self.others = np.concatenate([np.zeros(0, np.uint64), *others])
         self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
 
     def all_windows(self, length: int) -> np.ndarray:
@@ -74,6 +79,15 @@ class Bucket:
             return hashes[:0], first, ids[:0], ids[:0]
         return hashes[order][first], order[first], np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
 
+    def least_ids(self, h: np.ndarray, other: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of windows by both of their hashes, where a new window starts in it, and each one's least id."""
+        order = np.lexsort((other, h))
+        if not len(order):
+            return order, order, self.ids[:0]
+        hs, os = h[order], other[order]
+        first = np.flatnonzero(np.r_[True, (hs[1:] != hs[:-1]) | (os[1:] != os[:-1])])
+        return order, first, np.minimum.reduceat(self.ids[self.doc[at[order]]], first)
+
     def survivors(self, replies: list[np.ndarray]) -> tuple[np.ndarray, int]:
         """Starts of the windows that count after the levels replied to so far, and the length they have."""
         steps = levels(self.window)
@@ -128,13 +142,13 @@ def ask(bucket: Bucket, number: int, replies: list[np.ndarray], n_parts: int) ->
         hashes = np.unique(h[np.unique(best)])
         return packed((hashes % np.uint64(n_parts)).astype(np.int64), n_parts, number, hashes, None, None)
     at, length = bucket.survivors(replies)
-    h = c.window_hashes(bucket.hashes, length)
-    hashes, where, low, _ = bucket.local(h[at], bucket.doc[at])
-    part = (hashes % np.uint64(n_parts)).astype(np.int64)
+    h = c.window_hashes(bucket.hashes, length)[at]
     if length < bucket.window:
-        return packed(part, n_parts, number, hashes, None, None)
-    other = c.window_hashes(c.mix(bucket.hashes ^ np.uint64(0x5851F42D4C957F2D)), length)[at[where]]
-    return packed(part, n_parts, number, hashes, (other >> np.uint64(32)).astype("<u4"), low)
+        hashes, _, _, _ = bucket.local(h, bucket.doc[at])
+        return packed((hashes % np.uint64(n_parts)).astype(np.int64), n_parts, number, hashes, None, None)
+    order, first, low = bucket.least_ids(h, c.window_hashes(bucket.others, length)[at], at)
+    hashes, other = h[order][first], c.window_hashes(bucket.others, length)[at[order[first]]]
+    return packed((hashes % np.uint64(n_parts)).astype(np.int64), n_parts, number, hashes, other, low)
 
 
 def answer(table: pa.Table) -> pa.Table:
@@ -145,7 +159,7 @@ def answer(table: pa.Table) -> pa.Table:
     owner = np.repeat(np.arange(len(sizes)), sizes)
     widths = table["width"].to_pylist()
     if widths[0]:
-        checks = np.concatenate([np.frombuffer(x, "<u4") for x in table["checks"].to_pylist()])
+        checks = np.concatenate([np.frombuffer(x, "<u8") for x in table["checks"].to_pylist()])
         ids = np.concatenate([
             np.frombuffer(x, f"<u{w}").astype(np.int64) + b
             for x, w, b in zip(table["ids"].to_pylist(), widths, table["base"].to_pylist(), strict=True)
@@ -163,19 +177,25 @@ def answer(table: pa.Table) -> pa.Table:
     yes = yes[np.argsort(owner[yes], kind="stable")]
     cuts = np.searchsorted(owner[yes], np.arange(len(sizes) + 1))
     numbers = table["bucket"].to_pylist()
-    rows = [{"bucket": numbers[i], "hashes": h[yes[cuts[i] : cuts[i + 1]]].tobytes()} for i in range(len(sizes)) if cuts[i] < cuts[i + 1]]
+    own = [yes[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    rows = [{"bucket": numbers[i], "hashes": h[x].tobytes(), "checks": checks[x].tobytes() if widths[0] else b""} for i, x in enumerate(own) if len(x)]
     return pa.Table.from_pylist(rows, _schema(REPLY))
 
 
-def covered(bucket: Bucket, replies: list[np.ndarray]) -> np.ndarray:
-    """Which words stand in a window that a document with a smaller id has too."""
+def covered(bucket: Bucket, replies: list[np.ndarray], checks: np.ndarray) -> np.ndarray:
+    """Which words stand in a window that a document with a smaller id has too. checks: in step with the last replies.
+
+    Windows are compared by two independent hashes of 64 bits of their words.
+    """
     at, length = bucket.survivors(replies[:-1])
-    h = c.window_hashes(bucket.hashes, length)[at]
-    distinct, _, low, _ = bucket.local(h, bucket.doc[at])
+    h, other = (c.window_hashes(x, length)[at] for x in (bucket.hashes, bucket.others))
+    order, first, low = bucket.least_ids(h, other, at)
     here = np.zeros(len(h), bool)
-    if len(distinct):
-        here = low[np.searchsorted(distinct, h)] < bucket.ids[bucket.doc[at]]
-    hit = at[here | c.among(h, np.sort(replies[-1]))]
+    here[order] = np.repeat(low, np.diff(np.r_[first, len(h)])) < bucket.ids[bucket.doc[at[order]]] if len(h) else False
+    both = np.empty(len(h) + len(checks), [("h", np.uint64), ("c", np.uint64)])
+    both["h"], both["c"] = np.r_[h, replies[-1]], np.r_[other, checks]
+    _, number = np.unique(both, return_inverse=True)
+    hit = at[here | np.isin(number[: len(h)], number[len(h) :])]
     edge = np.zeros(len(bucket.hashes) + 1, np.int64)
     np.add.at(edge, hit, 1)
     np.add.at(edge, hit + length, -1)
@@ -213,35 +233,34 @@ def without_repeats(docs: DataFrame, window: int = 13, tidy: bool = True, id_col
     length a window asks for the part with the least hash alone. A bucket asks for a hash once, however many copies
     it holds, so a common passage makes no large group.
     """
-    rest = [x for x in docs.columns if x != text_col]
-    n = docs.count()
-    n_buckets = max(16, -(-n // min(max(int(2 * n**0.5), 256), 4096)))
+    size = F.octet_length(F.col(c.quoted(text_col)).cast("string"))
+    n, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    n_buckets = max(16, -(-n // min(max(int(2 * n**0.5), 256), MOST)), n_bytes // BYTES)
     n_parts = max(64, -(-n // 4096))
-    placed = docs.select(
-        F.struct(*rest).alias("row"),
-        F.col(id_col).cast("bigint").alias("id"),
-        F.col(text_col).cast("string").alias("text"),
-        c.buckets(F.col(id_col).cast("bigint"), n_buckets).alias("bucket"),
-    )
+    id_ = F.col(c.quoted(id_col)).cast("bigint")
+    placed = c.in_row(docs, text_col).withColumns({"id": F.col(f"row.{c.quoted(id_col)}").cast("bigint"), "bucket": c.buckets(F.col(f"row.{c.quoted(id_col)}").cast("bigint"), n_buckets)})
+    asked = docs.select(id_.alias("id"), F.col(c.quoted(text_col)).cast("string").alias("text"), c.buckets(id_, n_buckets).alias("bucket"))
     n_levels = len(levels(window))
 
-    def told(replies: pa.Table) -> list[np.ndarray]:
+    def told(replies: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+        """The replies of each level, and the checks of the last one."""
         level = np.asarray(replies["level"], np.int64)
-        found = [np.frombuffer(x, "<u8") for x in replies["hashes"].to_pylist()]
-        return [np.unique(np.concatenate([np.zeros(0, np.uint64), *(f for f, k in zip(found, level, strict=True) if k == i)])) for i in range(n_levels)]
+        parts = {x: [np.frombuffer(v, "<u8") for v in replies[x].to_pylist()] for x in ("hashes", "checks")}
+        of = lambda x, i: np.concatenate([np.zeros(0, np.uint64), *(v for v, k in zip(parts[x], level, strict=True) if k == i)])
+        return [np.unique(of("hashes", i)) if i < n_levels - 1 else of("hashes", i) for i in range(n_levels)], of("checks", n_levels - 1)
 
     def asking(level: int):
         def work(table: pa.Table, replies: pa.Table) -> pa.Table:
             if not table.num_rows:
                 return pa.Table.from_pylist([], _schema(ASK))
-            return ask(Bucket(table, window), table["bucket"][0].as_py(), told(replies)[:level], n_parts)
+            return ask(Bucket(table, window, level == n_levels - 1), table["bucket"][0].as_py(), told(replies)[0][:level], n_parts)
 
         return work
 
     spark = docs.sparkSession
-    replies = spark.createDataFrame([], "bucket int, hashes binary, level int")
+    replies = spark.createDataFrame([], "bucket int, hashes binary, checks binary, level int")
     for level in range(n_levels):
-        questions = placed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(asking(level), ASK)
+        questions = asked.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(asking(level), ASK)
         new = questions.groupBy("part").applyInArrow(answer, REPLY).withColumn("level", F.lit(level))
         replies = replies.union(new) if level else new
 
@@ -249,7 +268,7 @@ def without_repeats(docs: DataFrame, window: int = 13, tidy: bool = True, id_col
 
     def work(table: pa.Table, replies: pa.Table) -> pa.Table:
         bucket = Bucket(table, window)
-        gone = covered(bucket, told(replies))
+        gone = covered(bucket, *told(replies))
         removed = np.r_[0, np.cumsum(gone)]
         return pa.table({
             "row": table["row"],
