@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidegrid.llm.common import checkpointed
+from slidegrid.llm.common import checkpointed, columns, join_hot, out_of_row, quoted, sieved
 
 #: Fixed patterns of the base kinds: name, pattern, group that is the secret, least length and what it is the length of (a group).
 BASE = (
@@ -47,34 +47,47 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.array_sort(F.concat(*found))).otherwise(F.expr(f"CAST(array() AS array<{SPAN}>)"))
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """hash, shared: for each candidate value whether many owners or repositories have it.
+def ownership(values: DataFrame) -> DataFrame:
+    """hash, shared, n: for each candidate value whether many owners or repositories have it, and how many rows do.
 
-    found has spans, owner and repository. Each value's owners and repositories are made distinct before
-    they are counted, so a value that a third of all documents copies makes few rows.
+    values has hash, owner and repository. A value's owners and repositories are counted before they
+    are made distinct, so a value that a third of all documents copies makes few rows.
     """
-    held = found.select(F.explode("spans").alias("s"), "owner", "repository").select(F.sha2("s.value", 256).alias("hash"), "owner", "repository").distinct()
-    counted = held.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
-    return counted.select("hash", ((F.col("owners") >= OWNERS) | (F.col("repositories") >= REPOSITORIES)).alias("shared"))
+    held = values.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
+    counted = held.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"), F.sum("n").alias("n"))
+    return counted.select("hash", ((F.col("owners") >= OWNERS) | (F.col("repositories") >= REPOSITORIES)).alias("shared"), "n")
+
+
+def examples(some: DataFrame) -> DataFrame:
+    """key, examples: for each key of rows with spans the hashes of its values that are copied examples.
+
+    some has key, owner, repository and spans. The values that many rows have are joined apart from the others.
+    """
+    hashes = F.array_distinct(F.transform("spans", lambda s: F.sha2(s["value"], 256)))
+    values = some.select("key", "owner", "repository", F.explode(hashes).alias("hash"))
+    owned = checkpointed(ownership(values))
+    total = owned.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = join_hot(values.select("key", "hash"), owned.where("shared").select("hash", "n"), "hash", "n", total)
+    return found.groupBy("key").agg(F.collect_set("hash").alias("examples"))
+
+
+def _candidates_of(docs: DataFrame, text_col: str, owner: Column | None, repository: Column | None, *keys: Column) -> DataFrame:
+    owner = F.col("source") if owner is None else owner
+    repository = F.concat_ws("/", "source", "lang") if repository is None else repository
+    return docs.select(*keys, owner.alias("owner"), repository.alias("repository"), candidates(F.col(quoted(text_col))).alias("spans"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repository: Column | None = None) -> DataFrame:
     """id, spans, shared: every row's spans and, in step with them, whether a span's value is a copied example.
 
     owner is the documents' `source` and repository their source and language, if not given. Null and empty texts have
-    no spans; null ids are kept; rows with one id each keep their own spans; an empty table gives no rows.
+    no spans; null ids are kept; each row keeps its own spans, whatever its id; an empty table gives no rows.
     A value is an example if OWNERS owners or REPOSITORIES repositories have it anywhere in docs.
     """
-    owner = F.col("source") if owner is None else owner
-    repository = F.concat_ws("/", "source", "lang") if repository is None else repository
-    rows = checkpointed(
-        docs.select(F.col(id_col).cast("bigint").alias("id"), owner.alias("owner"), repository.alias("repository"), candidates(F.col(text_col)).alias("spans"))
-    )
-    some = rows.where(F.size("spans") > 0).select("id", "owner", "repository", "spans")
-    key = F.coalesce(F.col("id").cast("string"), F.lit("none")).alias("key")
-    values = some.select(key, F.explode(F.transform("spans", lambda s: F.sha2(s["value"], 256))).alias("hash")).distinct()
-    verdicts = values.join(ownership(some), "hash").where("shared").groupBy("key").agg(F.collect_set("hash").alias("examples"))
-    judged = some.select("*", key).join(verdicts, "key", "left").select(
+    ids = F.col(quoted(id_col)).cast("bigint").alias("id"), F.monotonically_increasing_id().alias("key")
+    rows = checkpointed(_candidates_of(docs, text_col, owner, repository, *ids))
+    some = rows.where(F.size("spans") > 0)
+    judged = some.join(examples(some), "key", "left").select(
         "id", "spans",
         F.transform("spans", lambda s: F.coalesce(F.array_contains("examples", F.sha2(s["value"], 256)), F.lit(False))).alias("shared"),
     )
@@ -87,13 +100,42 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def without_live_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with owner-specific secrets in the texts replaced by the mark; widely copied examples stay."""
-    found = scan(docs, id_col, text_col).select(
-        F.coalesce(F.col("id").cast("string"), F.lit("none")).alias("_key"),
-        F.explode(F.filter(F.arrays_zip("spans", "shared"), lambda x: ~x["shared"])).alias("x"),
-    )
-    live = found.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct((-F.length("x.spans.value")).alias("n"), F.col("x.spans.value").alias("value")))).alias("_live"))
-    joined = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("string"), F.lit("none"))).join(live, "_key", "left")
-    text = F.aggregate(F.coalesce("_live", F.expr("CAST(array() AS array<struct<n:int,value:string>>)")), F.col(text_col), lambda t, v: F.replace(t, v["value"], F.lit(mark)))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+def masked(text: Column, spans: Column, mark: str) -> Column:
+    """The text with the mark in place of each span's value; values that overlap have one mark."""
+    places = F.array_sort(F.transform(spans, lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"))))
+
+    def put(done: Column, x: Column) -> Column:
+        between = F.substring(text, done["at"] + 1, F.greatest(x["start"] - done["at"], F.lit(0)))
+        new = F.when(x["start"] >= done["at"], F.concat(done["out"], between, F.lit(mark))).otherwise(done["out"])
+        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), new.alias("out"))
+
+    return F.aggregate(places, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda x: F.concat(x["out"], F.substring(text, x["at"] + 1, F.length(text))))
+
+
+def without_live_secrets(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", owner: Column | None = None, repository: Column | None = None
+) -> DataFrame:
+    """docs with the values of owner-specific secrets in the texts replaced by the mark; widely copied examples stay.
+
+    Only the found places of a row change, not the same letters elsewhere. Rows are told apart by id and text, so those with
+    null ids don't mask one another. Texts are looked through once; then only rows that can hold a live secret are shuffled.
+    """
+    names = docs.columns
+    held = docs.select(F.struct(F.lit(0).alias("_"), *columns(docs, text_col)).alias("row"), F.col(quoted(text_col)).alias("text"))
+    id_ = F.col(f"row.{quoted(id_col)}").cast("string")
+    held = held.withColumn("sum", F.xxhash64(id_, F.col("text").cast("string")))
+    key = F.md5(F.concat(F.coalesce(F.concat(id_, F.lit(" ")), F.lit("")), F.col("text").cast("string")).cast("binary"))
+    owner = F.col("row.source") if owner is None else owner
+    repository = F.concat_ws("/", "row.source", "row.lang") if repository is None else repository
+    some = checkpointed(_candidates_of(held, "text", owner, repository, F.col("sum"), key.alias("key")).where(F.size("spans") > 0))
+    once = some.groupBy("key").agg(F.min("sum").alias("sum"), F.first("spans").alias("spans"), F.count("*").alias("n"))
+    live = F.filter("spans", lambda s: ~F.coalesce(F.array_contains("examples", F.sha2(s["value"], 256)), F.lit(False)))
+    found = checkpointed(once.join(examples(some), "key", "left").select("key", "sum", live.alias("live"), "n").where(F.size("live") > 0))
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    maybe, never = sieved(held, found.select("sum"), "sum")
+    maybe = maybe.withColumn("key", key)
+    hit = join_hot(maybe, found.select("key", "live", "n"), "key", "n", total)
+    rest = maybe.join(found.select("key"), "key", "left_anti")
+    text = F.col("text")
+    done = hit.select(*out_of_row(names, {text_col: masked(text, F.col("live"), mark)}))
+    return done.unionAll(rest.unionByName(never, allowMissingColumns=True).select(*out_of_row(names, {text_col: text})))
