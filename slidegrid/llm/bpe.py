@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slidegrid.llm.common import out_of_row, quoted
+
 #: The suffix that marks the last symbol of a word in the vocabulary.
 END = "</w>"
 #: White space of Unicode, which the tokenizer's \s stands for.
@@ -284,10 +286,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), pa.ListArray.from_arrays(offsets, values)], ["row", "text", "ids"])
                 at += len(texts)
 
-    kept = docs.select(F.struct(F.lit(0).alias("_"), *[x for x in rest if x != text_col]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    kept = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(quoted(x)) for x in rest if x != text_col]).alias("row"), F.col(quoted(text_col)).cast("string").alias("text"))
     out = T.StructType([*kept.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     done = kept.mapInArrow(work, out)
-    return done.select(*[F.col("text").alias(x) if x == text_col else F.col(f"row.`{x}`") for x in rest], F.col("ids").alias(ids_col))
+    return done.select(*out_of_row(rest, {text_col: F.col("text")}), F.col("ids").alias(ids_col))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -299,9 +301,22 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
             texts = [codec(path).decode_ids(np.array(x.as_py() or [], "<u4").tobytes()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["row", "ids", "text"])
 
-    kept = docs.select(F.struct(F.lit(0).alias("_"), *[x for x in rest if x != ids_col]).alias("row"), F.col(ids_col).alias("ids"))
+    kept = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(quoted(x)) for x in rest if x != ids_col]).alias("row"), F.col(quoted(ids_col)).alias("ids"))
     done = kept.mapInArrow(work, T.StructType([*kept.schema, T.StructField("text", T.StringType())]))
-    return done.select(*[F.col("ids").alias(x) if x == ids_col else F.col(f"row.`{x}`") for x in rest], F.col("text").alias(text_col))
+    return done.select(*out_of_row(rest, {ids_col: F.col("ids")}), F.col("text").alias(text_col))
+
+
+def counted(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n: how many tokens every row's text has; null and empty texts have none."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for b in batches:
+            n = [len(ids) // 4 for texts in _groups(b.column(1)) for ids in own.encode_texts([t or "" for t in texts])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["id", "n"])
+
+    kept = docs.select(F.col(quoted(id_col)).cast("bigint").alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
+    return kept.mapInArrow(work, "id bigint, n bigint")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,5 +337,5 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     text_digest.append(hashlib.sha256(own.decode_ids(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kept = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     return kept.mapInArrow(work, f"id {kept.schema['id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

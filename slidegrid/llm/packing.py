@@ -6,12 +6,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slidegrid.llm.common import checkpointed, quoted
+
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Documents that are packed together, about.
-SHARD = 8_192
+SHARD = 4_096
 #: What a sequence costs besides its tokens, and how attention adds to a token's cost with the length.
 EACH, LONGEST_EXTRA = 32.0, 0.15
 
@@ -60,23 +62,26 @@ def pack(lengths: np.ndarray, capacities: Sequence[int] = CAPACITIES) -> tuple[n
     return bins, places, table[np.searchsorted(table, np.array(filled, np.int64))]
 
 
-def packed(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def n_words(text: Column) -> Column:
+    """How many words a text has (parted by blanks and 0x09 to 0x0D); null has none."""
+    return F.size(F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
+
+
+def packed(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None) -> DataFrame:
     """id, piece, start, n_tokens, bin, place, capacity: where each piece of each document goes.
 
-    A token is a word (parted by blanks and 0x09 to 0x0D), and each document has one more that ends it. Longer
-    documents than the largest capacity are cut in pieces of that size and one of the rest. Documents are
-    dealt by a hash of id and text to shards of about SHARD, each packed by itself; a bin's name is its
-    shard and its number there. Null and empty texts take the one token that ends a document; null
+    length is how many tokens a row has, by default the number of its words; each document has one more token that ends it. Longer
+    documents than the largest capacity are cut in pieces of that size and one of the rest. Rows are
+    dealt at random to shards of about SHARD, each packed by itself; a bin's name is its
+    shard and its number there. Null and empty texts take the one token that ends a document (as does a null length); null
     ids are kept, repeated rows each have a place; an empty table gives no rows.
     """
     largest = max(capacities)
-    shards = max(1, -(-docs.count() // SHARD))
-    words = F.size(F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
-    items = docs.select(
-        F.col(id_col).cast("bigint").alias("id"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")), F.lit(shards)).cast("int").alias("shard"),
-        (words + 1).cast("int").alias("n"),
-    )
+    length = n_words(F.col(quoted(text_col))) if length is None else length
+    rows = checkpointed(docs.select(F.col(quoted(id_col)).cast("bigint").alias("id"), (F.coalesce(length, F.lit(0)) + 1).cast("bigint").alias("n")))
+    shards = max(1, -(-rows.count() // SHARD))
+    # by the row's number, which the checkpoint keeps, so that equal rows go to different shards
+    items = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "id"], ascending=[False, True], kind="stable")
