@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from dataclasses import dataclass
 
@@ -10,13 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slidegrid.llm.common import buckets, checkpointed
+from slidegrid.llm.common import checkpointed, quoted
 
 LEAF = 128
-#: Vectors of a shard, queries of a block.
-SHARD, BLOCK = 16_384, 1_024
+#: Vectors of a shard and queries of a block at most, and queries that are walked together.
+SHARD, BLOCK, TOGETHER = 131_072, 65_536, 1_024
+#: Shards that a small table is dealt to, for the sake of more tasks, and vectors by which the axes of the cells are chosen.
+LEAST, SAMPLE = 24, 20_000
 #: Products of integers below this are exact in floating point for up to 2**13 components.
 EXACT = 1 << 20
+NONE = np.iinfo(np.int64).min
 
 
 @dataclass
@@ -84,7 +88,7 @@ def search(tree: Tree, queries: np.ndarray, query_ids: np.ndarray, floor: np.nda
     a box whose bound equals the kth score is still opened.
     """
     n = len(queries)
-    none = np.iinfo(np.int64).min
+    none = NONE
     open_ = np.full((n, len(tree.first)), none)
     open_[:, 0] = bounds(queries, tree.low[:1], tree.high[:1])[:, 0]
     best = np.full((n, k), none)
@@ -132,75 +136,103 @@ def whole_numbers(vector: Column, scale: int = 64) -> Column:
     return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(False)), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("bigint")))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def levels(n: int, most: int, least: int = 1) -> int:
+    """How often n is halved until at most `most` are left, and until there are `least` parts."""
+    return max(0, math.ceil(math.log2(max(least, n / most))))
+
+
+def cell_of(rows: DataFrame, n: int, deep: int) -> Column:
+    """A number of the vector's cell: a bit for each of the `deep` widest axes, whether the component is above the median.
+
+    Axes and medians come from a sample of about SAMPLE vectors; they only decide which vectors go together.
+    """
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0)
+    spread = some.select("size", F.posexplode("v").alias("axis", "x")).groupBy("size", "axis").agg(F.stddev("x").alias("s"), F.median("x").cast("bigint").alias("middle"))
+    cell = F.lit(0)
+    for size, axes in spread.orderBy("size", F.desc("s"), "axis").toPandas().groupby("size"):
+        bits = [F.when(F.col("v")[int(r.axis)] > int(r.middle), 1 << i).otherwise(0) for i, r in enumerate(axes.head(deep).itertuples())]
+        cell = F.when(F.col("size") == int(size), sum(bits, F.lit(0))).otherwise(cell)
+    return cell.cast("int")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = BLOCK, least: int = LEAST) -> DataFrame:
     """query_id, rank, id, score: for every query the k rows with the largest inner product, its own id apart.
 
     Exact; ties go to smaller ids. Null, NaN or infinite components and null ids take no part, and vectors
-    of different lengths never meet. Repeated ids are candidates each. An empty table gives no rows.
+    of different lengths never meet. Repeated ids are candidates each. An empty table gives no rows. Components have to be
+    below 2**28 after scaling, so that no product of 128 components leaves 64 bits.
 
-    Vectors are dealt by a hash of the id to shards of bounded size, queries to blocks. A block first meets
-    one shard, which gives each of its queries a kth score; that score goes with it to all others,
-    where boxes below it are never opened.
+    Vectors that lie in one cell of space go to one shard, and where a cell holds more than `shard`, to several by their ids' hash.
+    Queries first meet a shard of their own cell, which gives each of them a kth score. With these scores they go on, in
+    blocks of neighbouring cells, to the shards whose box can hold a better one for the block's box, and
+    there boxes below a query's score are never opened. A task holds one shard's tree and one block.
     """
     rows = checkpointed(
         vectors.select(
-            F.col(id_col).cast("bigint").alias("id"), whole_numbers(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
-        ).where("id IS NOT NULL AND v IS NOT NULL").withColumn("size", F.size("v"))
+            F.col(quoted(id_col)).cast("bigint").alias("id"), whole_numbers(F.col(quoted(vector_col))).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
+        ).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0").withColumn("size", F.size("v"))
     )
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
-    n_shards, n_blocks = max(24, -(-n // SHARD)), max(1, -(-n_queries // BLOCK))
+    deep, coarse = levels(n, shard, least), levels(n_queries, block)
+    placed = rows.withColumn("cell", cell_of(rows, n, deep)).withColumn("around", F.col("cell").bitwiseAND((1 << coarse) - 1))
+
+    def dealt(df: DataFrame, name: str, cell: str, most: int) -> DataFrame:
+        """df with the part of its cell that a row goes to; the counts have a row for each cell, about 2 * n / most."""
+        parts = df.groupBy("size", cell).agg(F.ceil(F.count("*") / most).cast("int").alias("_n"))
+        number = F.concat_ws(":", "size", cell, F.pmod(F.xxhash64("id"), F.col("_n")))
+        return df.join(F.broadcast(parts), ["size", cell]).withColumn(name, number).drop("_n")
 
     def matrix(v: pd.Series) -> np.ndarray:
         return np.stack(v.to_list()).astype(np.int64)
 
+    def small(values: np.ndarray) -> np.ndarray:
+        return values.astype(np.int16) if abs(values).max(initial=0) < 1 << 15 else values
+
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = matrix(pdf["v"])
-        small = values.astype(np.int16) if abs(values).max(initial=0) < 1 << 15 else values
-        tree = build(pdf["id"].to_numpy(), small)
-        return pd.DataFrame({"size": pdf["size"].iloc[:1], "shard": pdf["shard"].iloc[:1], "tree": [pickle.dumps(tree)]})
+        tree = build(pdf["id"].to_numpy(), small(matrix(pdf["v"])))
+        low, high = tree.low[0].astype(np.int64), tree.high[0].astype(np.int64)
+        return pdf.iloc[:1][["size", "cell", "shard"]].assign(tree=[pickle.dumps(tree)], low=[low], high=[high])
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"size": pdf["size"].iloc[:1], "block": pdf["block"].iloc[:1], "queries": [pickle.dumps((pdf["id"].to_numpy(), matrix(pdf["v"])))]})
+        values, floor = matrix(pdf["v"]), pdf["kth"].to_numpy(np.int64)
+        queries = pickle.dumps((pdf["id"].to_numpy(), small(values), floor))
+        return pdf.iloc[:1][["size", "block"]].assign(shard=pdf["home"].iloc[:1], queries=[queries], low=[values.min(0)], high=[values.max(0)], least=[int(floor.min())])
 
-    spread = rows.withColumn("shard", buckets(F.col("id"), n_shards))
-    trees = checkpointed(spread.groupBy("size", "shard").applyInPandas(grow, "size int, shard int, tree binary"))
-    asked = rows.where("q").withColumn("block", buckets(F.col("id") + 1, n_blocks))
-    blocks = checkpointed(asked.groupBy("size", "block").applyInPandas(pack, "size int, block int, queries binary"))
+    box = "low array<bigint>, high array<bigint>"
+    block_type = f"size int, block string, shard string, queries binary, {box}, least bigint"
+    trees = checkpointed(dealt(placed, "shard", "cell", shard).groupBy("shard").applyInPandas(grow, f"size int, cell int, shard string, tree binary, {box}"))
+    result = "query_id bigint, id bigint, score bigint"
 
-    def met(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "id": [], "score": []}, dtype=np.int64)]
         for t in map(pickle.loads, left["tree"]):
-            for blob, known in zip(right["queries"], right["floor"] if "floor" in right else [None] * len(right), strict=True):
-                ids, values = pickle.loads(blob)
-                floor = np.full(len(ids), np.iinfo(np.int64).min + 1)
-                if known is not None:
-                    floor = np.frombuffer(known, np.int64)
-                q, found, score = search(t, values, ids, floor, k)
-                out.append(pd.DataFrame({"query_id": ids[q], "id": found, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []}, dtype=np.int64)
-
-    result = "query_id bigint, id bigint, score bigint"
-    home = trees.groupBy("size").agg(F.min("shard").alias("shard"))
-    first = blocks.join(home, "size")
-    block_names = blocks.select(*[F.col(x).alias(x) for x in ("size", "block")])  # columns of their own, for the joins
-    near = trees.join(home, ["size", "shard"], "left_semi").join(block_names, "size")
-    begun = checkpointed(near.groupBy("size", "block").cogroup(first.groupBy("size", "block")).applyInPandas(met, result))
-
-    def with_floor(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The block again, with the kth score that each of its queries has found."""
-        ids, _ = pickle.loads(left["queries"].iloc[0])
-        floor = np.full(len(ids), np.iinfo(np.int64).min + 1)
-        kth = dict(zip(right["query_id"], right["kth"], strict=True))
-        floor = np.array([kth.get(i, f) for i, f in zip(ids.tolist(), floor.tolist(), strict=True)], np.int64)
-        return left.assign(floor=[floor.tobytes()])[["size", "block", "queries", "floor"]]
-
-    kth = begun.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k)
-    placed = asked.select(F.col("id").alias("query_id"), *[F.col(x).alias(x) for x in ("size", "block")])
-    kth = kth.join(placed, "query_id").drop("n")
-    told = blocks.groupBy("size", "block").cogroup(kth.groupBy("size", "block")).applyInPandas(with_floor, "size int, block int, queries binary, floor binary")
-    others = trees.join(home, ["size", "shard"], "left_anti")
-    pairs_left = others.join(block_names, "size")
-    pairs_right = told.join(others.select(*[F.col(x).alias(x) for x in ("size", "shard")]), "size")
-    rest = pairs_left.groupBy("size", "shard", "block").cogroup(pairs_right.groupBy("size", "shard", "block")).applyInPandas(met, result)
+            for blob in right["queries"]:
+                ids, values, floor = pickle.loads(blob)
+                for a in range(0, len(ids), TOGETHER):
+                    cut = slice(a, a + TOGETHER)
+                    q, found, score = search(t, values[cut].astype(np.int64), ids[cut], floor[cut], k)
+                    out.append(pd.DataFrame({"query_id": ids[cut][q], "id": found, "score": score}))
+        return pd.concat(out)
+
+    def meet(blocks: DataFrame) -> DataFrame:
+        """What the blocks (shard, block, queries) find in their shards."""
+        own = lambda df, *names: df.select(*[F.col(x).alias(x) for x in names])  # noqa: E731  (columns of their own, for the joins)
+        there = own(own(trees, "shard", "tree").join(own(blocks, "shard", "block"), "shard"), "shard", "block", "tree")
+        return there.groupBy("shard", "block").cogroup(own(blocks, "shard", "block", "queries").groupBy("shard", "block")).applyInPandas(met, result)
+
+    homes = trees.groupBy("size", "cell").agg(F.min("shard").alias("home"))
+    asking = dealt(placed.where("q"), "block", "cell", block).join(homes, ["size", "cell"]).withColumn("kth", F.lit(NONE + 1))
+    begun = checkpointed(meet(checkpointed(asking.groupBy("block").applyInPandas(pack, block_type))))
+    kth = begun.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "kth")
+    asking = dealt(placed.where("q"), "block", "around", block).join(homes, ["size", "cell"]).join(kth, "id", "left").withColumn("kth", F.coalesce("kth", F.lit(NONE + 1)))
+    asked = checkpointed(asking.groupBy("block").applyInPandas(pack, block_type)).drop("shard")
+    # the largest product of two boxes, axis by axis: a row for each shard and block, without vectors, in parts of 64 blocks
+    times = max(1, asked.count() // 64)
+    corners = trees.select("size", "shard", F.col("low").alias("s_low"), F.col("high").alias("s_high"), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("part"))
+    ends = F.zip_with(F.arrays_zip("low", "high"), F.arrays_zip("s_low", "s_high"), lambda x, y: F.greatest(x["low"] * y["s_low"], x["low"] * y["s_high"], x["high"] * y["s_low"], x["high"] * y["s_high"]))
+    boxes = asked.select("size", "block", "low", "high", "least", F.pmod(F.xxhash64("block"), F.lit(times)).cast("int").alias("part"))
+    pairs = boxes.join(corners, ["size", "part"]).where(F.aggregate(ends, F.lit(0).cast("bigint"), lambda a, x: a + x) >= F.col("least")).select("shard", "block")
+    rest = meet(checkpointed(pairs).join(asked.select("block", "queries"), "block"))
+    # a query's home shard answers again, so that what both rounds found is kept once
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return begun.union(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
