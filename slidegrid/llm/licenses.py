@@ -14,28 +14,76 @@ from slidegrid.llm import common as c
 
 #: Fixed phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Fixed templates: what licence notices say, as words, and their labels.
+#: Fixed templates: what licence notices say and the texts of short licences, as words, and their labels.
 TEMPLATES = (
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without "
+        "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the "
+        "software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions "
+        "of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a "
+        "particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract "
+        "tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "mit",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission "
+        "notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use "
+        "data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "isc",
+    ),
     ("licensed under the apache license version 2 0", "apache-2.0"),
     ("you may not use this file except in compliance with the license", "apache-2.0"),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache "
+        "org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or "
+        "conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "apache-2.0",
+    ),
     ("this work is licensed under the gnu general public license version 3", "gpl-3.0"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either "
+        "version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied "
+        "warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        "gpl-3.0",
+    ),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must "
+        "retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of "
+        "conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and "
+        "contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are "
+        "disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not "
+        "limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract "
+        "strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+        "bsd",
+    ),
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
+    (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at "
+        "http mozilla org mpl 2 0",
+        "mpl",
+    ),
     ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-4.0"),
     ("dedicated to the public domain under cc0 1 0 universal", "cc0-1.0"),
 )
 THRESHOLD = 0.8
-#: Words of a block at most, and from one block of a longer line or of the text to the next; each template fits in what blocks share.
-BLOCK, STRIDE = 64, 32
+#: Least words of a stride; strides double up to the longest template.
+SHORTEST = 8
 APART = c.byte_set((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def stride(n_words: int) -> int:
+    """From one block to the next for a template of n words: the next power of two; a block is twice as long, so each stretch of n words stands in one."""
+    return max(SHORTEST, 1 << (n_words - 1).bit_length())
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
     data = np.frombuffer("\n".join(words).encode(), np.uint8)
     starts, ends, _ = c.words(data, np.array([0, len(data)]), APART)
@@ -55,26 +103,26 @@ class Templates:
         self.sets = [sorted({self.place[w] for w in text.split()}) for text, _ in templates]
         self.labels = [label for _, label in templates]
         self.need = [math.ceil(threshold * len(s) - 1e-9) for s in self.sets]
-        #: Token to the templates whose prefix it is in; a block that has no token of the prefix misses too many.
-        self.prefix: dict[int, list[tuple[int, int]]] = {}
+        #: By stride, token to the templates whose prefix it is in; a block that has no token of the prefix misses too many.
+        self.prefix: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for t, tokens in enumerate(self.sets):
+            mine = self.prefix.setdefault(stride(len(templates[t][0].split())), {})
             for p, token in enumerate(tokens[: len(tokens) - self.need[t] + 1]):
-                self.prefix.setdefault(token, []).append((t, p))
-        self.rare = np.zeros(len(self.names) + 1, bool)
-        self.rare[list(self.prefix)] = True
+                mine.setdefault(token, []).append((t, p))
+        self.rare = {k: np.isin(np.arange(len(self.names) + 1), list(prefix)) for k, prefix in self.prefix.items()}
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
         """Places of words in the order of frequency, -1 for words of no template."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.places[at], -1)
 
-    def matches(self, block: np.ndarray, n_words: int) -> dict[int, float]:
-        """Templates whose share of tokens in the block reaches the threshold. block: its tokens in order, each once."""
+    def matches(self, block: np.ndarray, n_words: int, step: int) -> dict[int, float]:
+        """Templates of the stride whose share of tokens in the block reaches the threshold. block: its tokens in order, each once."""
         out: dict[int, float] = {}
         seen = set(block.tolist())
         tried = set()
         for q, token in enumerate(block.tolist()):
-            for t, p in self.prefix.get(token, ()):
+            for t, p in self.prefix[step].get(token, ()):
                 if t in tried:
                     continue
                 tried.add(t)
@@ -92,13 +140,13 @@ def vocabulary(templates: tuple = TEMPLATES) -> list[str]:
     return sorted({w for text, _ in templates for w in text.split()})
 
 
-def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]]:
+def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
     data, offsets = c.text_bytes(column)
     data = _LOWER[data]
     for a, b in c.steps(offsets):
         piece, places = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, first = c.words(piece, places, APART)
-        yield piece, starts, first, c.slice_hashes(c.sums_before(piece, 21), starts, ends), a, b
+        yield first, c.slice_hashes(c.sums_before(piece, 21), starts, ends), a, b
 
 
 def frequencies(docs: DataFrame, text_col: str, templates: tuple = TEMPLATES) -> dict[str, int]:
@@ -110,12 +158,12 @@ def frequencies(docs: DataFrame, text_col: str, templates: tuple = TEMPLATES) ->
         order = np.argsort(hashes)
         total = np.zeros(len(names), np.int64)
         for b in batches:
-            for _, _, _, h, _, _ in _pieces(b.column(0)):
+            for _, h, _, _ in _pieces(b.column(0)):
                 at = np.minimum(np.searchsorted(hashes[order], h), len(names) - 1)
                 total += np.bincount(order[at[hashes[order][at] == h]], minlength=len(names))
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], ["word", "n"])
 
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(work, "word string, n bigint")
+    counted = docs.select(F.col(c.quoted(text_col)).cast("string").alias("text")).mapInArrow(work, "word string, n bigint")
     return {r["word"]: r["n"] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -134,49 +182,35 @@ def _phrases(h: np.ndarray, first: np.ndarray) -> list[tuple[str, np.ndarray]]:
     return out
 
 
-def _join(known: Templates, piece: np.ndarray, starts: np.ndarray, first: np.ndarray, h: np.ndarray) -> dict[int, dict[int, float]]:
+def _join(known: Templates, first: np.ndarray, h: np.ndarray) -> dict[int, dict[int, float]]:
     """Templates that each text's blocks match, with the largest share.
 
-    A block is a line or, of a longer one, BLOCK words; and BLOCK words of the whole text where they cross a newline,
-    for notices that are wrapped.
+    A block is twice a stride's words of a text, whatever the lines, from each multiple of the stride on; only blocks
+    with a token of a template's prefix are looked at.
     """
     tokens = known.tokens(h)
-    rare = np.flatnonzero(known.rare[tokens])
     found: dict[int, dict[int, float]] = {}
-    if not len(rare):
-        return found
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    line = np.cumsum(piece == 10)[starts] + doc  # grows from text to text too
-    blocks = []
-    for k in np.unique(line[rare]).tolist():
-        a, b = np.searchsorted(line, k), np.searchsorted(line, k, "right")
-        for x, y in zip(*(v.tolist() for v in _texts_of(doc, a, b)), strict=True):
-            blocks += [(s, min(s + BLOCK, y)) for s in (range(x, max(y - BLOCK, x) + STRIDE, STRIDE) if y - x > BLOCK else (x,))]
-    own = first[doc[rare]]
-    near = (rare - own) // STRIDE * STRIDE
-    for s in np.unique(np.concatenate([own + np.maximum(near - k, 0) for k in range(0, BLOCK, STRIDE)])).tolist():
-        e = min(s + BLOCK, int(first[doc[s] + 1]))
-        if line[s] != line[e - 1]:
-            blocks.append((s, e))
-    for s, e in blocks:
-        block = np.unique(tokens[s:e])
-        block = block[block >= 0]
-        for t, share in known.matches(block, e - s).items():
-            best = found.setdefault(int(doc[s]), {})
-            best[t] = max(share, best.get(t, 0.0))
+    for step, of_prefix in known.rare.items():
+        rare = np.flatnonzero(of_prefix[tokens])
+        if not len(rare):
+            continue
+        doc = np.searchsorted(first, rare, "right") - 1
+        own = first[doc]
+        near = (rare - own) // step * step
+        starts, where = np.unique(np.concatenate([own + near, own + np.maximum(near - step, 0)]), return_index=True)
+        for s, d in zip(starts.tolist(), np.concatenate([doc, doc])[where].tolist(), strict=True):
+            e = min(s + 2 * step, int(first[d + 1]))
+            block = np.unique(tokens[s:e])
+            for t, share in known.matches(block[block >= 0], e - s, step).items():
+                best = found.setdefault(d, {})
+                best[t] = max(share, best.get(t, 0.0))
     return found
 
 
-def _texts_of(doc: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """Parts of the words a to b that belong to one text each."""
-    cut = np.flatnonzero(np.diff(doc[a:b])) + 1 + a
-    return np.r_[a, cut], np.r_[cut, b]
-
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score: what every text says of licences.
 
-    Phrases are found word by word. Then each block of a text is joined with every template of which it has
+    Phrases are found word by word. Then each block of a text (stride() gives its length, newlines count for nothing) is joined with every template of which it has
     `threshold` of the tokens or more: tokens are ordered by how often they stand in docs, blocks are looked at only if
     they have one of a template's rarest tokens, and length and place of the first common token bound what
     is left. The score is the largest share of a template, 1 for a phrase. Null and empty texts have no words and score
@@ -187,7 +221,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for piece, starts, first, h, a, b in _pieces(batch.column(1)):
+            for first, h, a, b in _pieces(batch.column(1)):
                 n = np.diff(first)
                 count, low, high = np.zeros(b - a, np.int64), np.full(b - a, len(h)), np.full(b - a, -1)
                 base: dict[int, set[str]] = {}
@@ -199,7 +233,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                     np.maximum.at(high, own, place)
                     for i in np.unique(own).tolist():
                         base.setdefault(i, set()).add(label)
-                joined = _join(known.value, piece, starts, first, h)
+                joined = _join(known.value, first, h)
                 for i in range(b - a):
                     own, more = base.get(i, set()), joined.get(i, {})
                     some = bool(count[i])
@@ -211,5 +245,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
-    kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    kept = docs.select(F.col(c.quoted(id_col)).cast("bigint").alias("id"), F.col(c.quoted(text_col)).cast("string").alias("text"))
     return kept.mapInArrow(work, "id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")

@@ -90,16 +90,14 @@ def _licence_sql() -> str:
     for phrase, label in licenses.PHRASES.items():
         test = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
         places.append(f"list_transform(list_filter(range(1, len(w) + 1), lambda i: {test}), lambda i: struct_pack(at := i - 1, label := '{label}'))")
-    templates = ", ".join(f"('{' '.join(sorted(set(text.split())))}', '{label}')" for text, label in licenses.TEMPLATES)
-    block, stride = licenses.BLOCK, licenses.STRIDE
+    templates = ", ".join(f"('{' '.join(sorted(set(text.split())))}', '{label}', {licenses.stride(len(text.split()))})" for text, label in licenses.TEMPLATES)
     return rf"""
     WITH docs AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
-    words AS (SELECT doc_id, low, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs),
-    base AS (SELECT doc_id, low, len(w) AS n, list_concat({places[0]}, {places[1]}, {places[2]}) AS p FROM words),
-    lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(low, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs),
-    blocks AS (SELECT doc_id, w[k + 1:k + {block}] AS w FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) > {block} THEN range(0, len(w), {stride}) ELSE [0] END) AS k FROM lines)),
-    templates AS (SELECT string_split(words, ' ') AS t, label FROM (VALUES {templates}) v(words, label)),
-    shares AS (SELECT doc_id, label, len(list_intersect(t, w)) / len(t) AS share FROM blocks, templates WHERE len(w) > 0),
+    words AS (SELECT doc_id, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs),
+    base AS (SELECT doc_id, len(w) AS n, list_concat({places[0]}, {places[1]}, {places[2]}) AS p FROM words),
+    templates AS (SELECT string_split(words, ' ') AS t, label, stride FROM (VALUES {templates}) v(words, label, stride)),
+    blocks AS (SELECT doc_id, stride, list_distinct(w[k + 1:k + 2 * stride]) AS w FROM (SELECT doc_id, w, stride, unnest(range(0, len(w), stride)) AS k FROM words, (SELECT DISTINCT stride FROM templates))),
+    shares AS (SELECT doc_id, label, len(list_intersect(t, w)) / len(t) AS share FROM blocks JOIN templates USING (stride)),
     found AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS best FROM shares WHERE share >= {licenses.THRESHOLD} - 1e-9 GROUP BY doc_id)
     SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(list_transform(p, lambda x: x.at)) AS BIGINT) AS first_word,
       CAST(list_max(list_transform(p, lambda x: x.at)) AS BIGINT) AS last_word, array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels,
