@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 POINT = "struct<x:double,y:double>"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is computed once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def parsed(text: Column, between: str = " ") -> Column:
     """Points of a text of `x,y` parts; parts without exactly two numbers are dropped."""
     parts = F.filter(F.transform(F.split(text, between), lambda p: F.split(p, ",")), lambda p: F.size(p) == 2)
@@ -39,34 +46,42 @@ def _sides(points: Column, i: Column) -> tuple[Column, Column, Column, Column]:
 
 def without_repeats(points: Column) -> Column:
     """Points without those equal to the one before."""
-    return F.filter(points, lambda p, i: (i == 0) | (p["x"] != points[F.greatest(i - 1, F.lit(0))]["x"]) | (p["y"] != points[F.greatest(i - 1, F.lit(0))]["y"]))
+    return bound(points, lambda q: F.filter(q, lambda p, i: (i == 0) | (p["x"] != q[F.greatest(i - 1, F.lit(0))]["x"]) | (p["y"] != q[F.greatest(i - 1, F.lit(0))]["y"])))
 
 
 def merged(points: Column) -> Column:
     """without vertices between two collinear sides, and stationary repeats."""
-    points = without_repeats(points)
 
-    def bends(p: Column, i: Column) -> Column:
-        x1, y1, x2, y2 = _sides(points, F.greatest(i, F.lit(1)))
-        return (i == 0) | (i == F.size(points) - 1) | (x1 * y2 - x2 * y1 != 0)
+    def bends(q: Column, i: Column) -> Column:
+        x1, y1, x2, y2 = _sides(q, F.greatest(i, F.lit(1)))
+        return (i == 0) | (i == F.size(q) - 1) | (x1 * y2 - x2 * y1 != 0)
 
-    return F.filter(points, bends)
+    return bound(without_repeats(points), lambda q: F.filter(q, lambda p, i: bends(q, i)))
 
 
 def without_spurs(points: Column) -> Column:
     """without points at which a side turns straight back: cross product 0 and dot product below 0."""
-    def goes_on(p: Column, i: Column) -> Column:
-        x1, y1, x2, y2 = _sides(points, F.greatest(i, F.lit(1)))
-        return (i == 0) | (i == F.size(points) - 1) | (x1 * y2 - x2 * y1 != 0) | (x1 * x2 + y1 * y2 >= 0)
 
-    return F.filter(points, goes_on)
+    def goes_on(q: Column, i: Column) -> Column:
+        x1, y1, x2, y2 = _sides(q, F.greatest(i, F.lit(1)))
+        return (i == 0) | (i == F.size(q) - 1) | (x1 * y2 - x2 * y1 != 0) | (x1 * x2 + y1 * y2 >= 0)
+
+    return bound(points, lambda q: F.filter(q, lambda p, i: goes_on(q, i)))
 
 
 def distinct(points: Column) -> Column:
     """the first copy of each vertex, and the closing vertex if the boundary is closed."""
-    last = F.element_at(points, -1)
-    closed = (F.size(points) > 1) & (points[0] == last)
-    return F.when(closed, F.concat(F.array_distinct(points), F.array(last))).otherwise(F.array_distinct(points))
+
+    def once(q: Column) -> Column:
+        last = F.element_at(q, -1)
+        return F.when((F.size(q) > 1) & (q[0] == last), F.concat(F.array_distinct(q), F.array(last))).otherwise(F.array_distinct(q))
+
+    return bound(points, once)
+
+
+def cleaned(points: Column) -> Column:
+    """merged, then each vertex once, then without spurs."""
+    return without_spurs(distinct(merged(points)))
 
 
 def lengths(points: Column) -> Column:
@@ -74,26 +89,47 @@ def lengths(points: Column) -> Column:
     def side(a: Column, b: Column) -> Column:
         return F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"]))
 
-    n = F.size(points)
-    return F.when(n < 2, F.expr("CAST(array() AS array<double>)")).otherwise(
-        F.zip_with(F.slice(points, 1, F.greatest(n - 1, F.lit(0))), F.slice(points, 2, F.greatest(n - 1, F.lit(0))), side)
-    )
+    def sides(q: Column) -> Column:
+        n = F.greatest(F.size(q) - 1, F.lit(0))
+        return F.when(n < 1, F.expr("CAST(array() AS array<double>)")).otherwise(F.zip_with(F.slice(q, 1, n), F.slice(q, 2, n), side))
+
+    return bound(points, sides)
+
+
+def arc_lengths(points: Column) -> Column:
+    """The way along the boundary to each vertex."""
+    return F.aggregate(lengths(points), F.array(F.lit(0.0)), lambda way, side: F.concat(way, F.array(F.element_at(way, -1) + side)))
+
+
+def resampled(points: Column, n: int) -> Column:
+    """n + 1 points at equal distances along the boundary; a boundary without length gives its first point."""
+
+    def at(q: Column, way: Column, to: Column) -> Column:
+        j = F.size(F.filter(way, lambda w: w <= to))
+        a, b, share = q[j - 1], q[j], (to - way[j - 1]) / (way[j] - way[j - 1])
+        between = F.struct((a["x"] + (b["x"] - a["x"]) * share).alias("x"), (a["y"] + (b["y"] - a["y"]) * share).alias("y"))
+        return F.when(F.element_at(way, -1) == 0, q[0]).when(j >= F.size(q), F.element_at(q, -1)).otherwise(between)
+
+    steps = F.sequence(F.lit(0), F.lit(n))
+    return bound(points, lambda q: bound(arc_lengths(q), lambda way: F.transform(steps, lambda k: bound(k * F.element_at(way, -1) / n, lambda to: at(q, way, to)))))
 
 
 def perimeter(points: Column) -> Column:
     """Sum of the sides and of the one that closes the polygon."""
-    return F.aggregate(lengths(F.concat(points, F.array(points[0]))), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(lengths(bound(points, lambda q: F.concat(q, F.array(q[0])))), F.lit(0.0), lambda a, x: a + x)
 
 
 def area(points: Column) -> Column:
     """Area of a polygon, by the shoelace formula."""
-    ring = F.concat(points, F.array(points[0]))
-    n = F.size(points)
-    crossed = F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    return F.abs(F.aggregate(crossed, F.lit(0.0), lambda a, x: a + x)) / 2
+
+    def crossed(ring: Column) -> Column:
+        n = F.size(ring) - 1
+        return F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+
+    ring = bound(points, lambda q: F.concat(q, F.array(q[0])))
+    return F.abs(F.aggregate(bound(ring, crossed), F.lit(0.0), lambda a, x: a + x)) / 2
 
 
 def circularity(points: Column) -> Column:
     """4 pi area by perimeter squared."""
-    p = perimeter(points)
-    return F.when(p > 0, 4 * 3.141592653589793 * area(points) / (p * p))
+    return bound(perimeter(points), lambda p: F.when(p > 0, 4 * 3.141592653589793 * area(points) / (p * p)))

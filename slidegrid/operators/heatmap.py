@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slidegrid.functions.boundaries import bound
+
 CELL, SIGMA, BINS, SHARE = 40, 3.5, 20, 0.9
 HALF = 19
 
@@ -48,26 +50,39 @@ def region_cells(objects: DataFrame) -> DataFrame:
 def blurred(maps: DataFrame, slides: DataFrame) -> DataFrame:
     """Both maps of cells() blurred on the dense grid of each slide, rows then columns.
 
-    Each pass sends a value to the 39 cells around it and adds up there, mirrored at the borders (without
-    repeating the border), so no map has to fit in one task.
+    A grid row is one array, whose length the slide's width bounds, and is convolved where it is. The rows' columns are then
+    gathered as arrays in turn; so each value is shuffled twice, and no map has to fit in one task. Borders
+    are mirrored (without repeating the border).
     """
     sizes = slides.selectExpr("name AS slide", f"CAST(ceil(x_size / {CELL}) AS INT) + 1 AS nx", f"CAST(ceil(y_size / {CELL}) AS INT) + 1 AS ny")
-    grid = sizes.select("slide", "nx", "ny", F.explode(F.expr("sequence(0, nx - 1)")).alias("cx")).select("*", F.explode(F.expr("sequence(0, ny - 1)")).alias("cy"))
-    dense = grid.join(maps, ["slide", "cx", "cy"], "left").select("slide", "nx", "ny", "cx", "cy", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("uncertainty", "positive")])
-    weights = F.array(*[F.struct(F.lit(i - HALF).alias("o"), F.lit(w).alias("w")) for i, w in enumerate(kernel())])
-
-    def one_way(df: DataFrame, axis: str, size: str, other: str) -> DataFrame:
-        # target t reads from t + o, mirrored; so a source sends to each t whose mirrored place it is
-        target = df.select("slide", "nx", "ny", axis, other, F.explode(weights).alias("k"))
-        place = F.col(axis) + F.col("k.o")
-        mirrored = F.when(place < 0, -place).when(place > F.col(size) - 1, 2 * (F.col(size) - 1) - place).otherwise(place)
-        asked = target.select("slide", "nx", "ny", F.col(axis).alias("to"), other, mirrored.alias(axis), F.col("k.w").alias("w"))
-        met = asked.join(df.select("slide", axis, other, "uncertainty", "positive"), ["slide", axis, other])
-        return met.groupBy("slide", "nx", "ny", F.col("to").alias(axis), other).agg(
-            F.sum(F.col("w") * F.col("uncertainty")).alias("uncertainty"), F.sum(F.col("w") * F.col("positive")).alias("positive")
-        )
-
-    return one_way(one_way(dense, "cx", "nx", "cy"), "cy", "ny", "cx").select("slide", "cx", "cy", "uncertainty", "positive")
+    row = F.collect_list(F.struct("cx", "uncertainty", "positive")).alias("row")
+    rows = maps.where("cx >= 0 AND cy >= 0").groupBy("slide", "cy").agg(row)
+    grid = sizes.select("slide", "nx", "ny", F.explode(F.expr("sequence(0, ny - 1)")).alias("cy"))
+    dense = grid.join(rows, ["slide", "cy"], "left").select("slide", "ny", "cy", *[_line("row", "cx", "nx", v).alias(v) for v in ("uncertainty", "positive")])
+    across = dense.select("slide", "ny", "cy", *[_convolved(F.col(v)).alias(v) for v in ("uncertainty", "positive")])
+    cells_ = across.select("slide", "ny", "cy", F.posexplode(F.arrays_zip("uncertainty", "positive")).alias("cx", "v"))
+    columns = cells_.groupBy("slide", "ny", "cx").agg(F.collect_list(F.struct("cy", "v.uncertainty", "v.positive")).alias("row"))
+    down = columns.select("slide", "cx", *[_convolved(_line("row", "cy", "ny", v)).alias(v) for v in ("uncertainty", "positive")])
+    return down.select("slide", "cx", F.posexplode(F.arrays_zip("uncertainty", "positive")).alias("cy", "v")).select("slide", "cx", "cy", "v.uncertainty", "v.positive")
+
+
+def _line(row: str, place: str, size: str, value: str) -> Column:
+    """The values of a row's cells as an array of `size`, 0 where there is none."""
+    found = F.map_from_entries(F.transform(row, lambda x: F.struct(x[place], x[value])))
+    return bound(F.coalesce(found, F.expr("CAST(map() AS map<int, double>)")), lambda m: F.transform(F.expr(f"sequence(0, {size} - 1)"), lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0))))
+
+
+def _convolved(line: Column) -> Column:
+    """The array's sums with the kernel's weights around each place."""
+    weights = F.array(*[F.lit(w) for w in kernel()])
+
+    def at(values: Column, i: Column) -> Column:
+        last = F.size(values) - 1
+        place = lambda k: i + k - HALF
+        mirrored = lambda p: F.when(p < 0, -p).when(p > last, 2 * last - p).otherwise(p)
+        return F.aggregate(F.transform(weights, lambda w, k: w * F.coalesce(F.get(values, mirrored(place(k))), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+
+    return bound(line, lambda values: F.transform(values, lambda v, i: at(values, i)))
 
 
 def ranges(maps: DataFrame) -> DataFrame:

@@ -47,19 +47,24 @@ def upserted(table: DataFrame, new: DataFrame, key: str, value: str) -> DataFram
     return table.join(fresh, key, "full_outer").select(key, F.coalesce("_new", value).alias(value))
 
 
-def numbered(rows: DataFrame, key: str, above: DataFrame, id_col: str) -> DataFrame:
-    """M8: new rows with ids after the largest one in use, in the order of the key.
+def numbered(rows: DataFrame, key: str, above: DataFrame, id_col: str, parts: int = 200) -> DataFrame:
+    """New rows with ids after the largest one in use, in the order of the key.
 
-    Ids are dealt range by range: each range's offset comes from the counts of the ranges before it, so
-    no task holds all rows.
+    Rows are dealt to about `parts` ranges of the key between its quantiles, so dense and sparse keys alike give ranges of about
+    one size; each range's offset comes from the counts of those before it, which are at most `parts` numbers.
     """
-    top = above.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    ranged = rows.withColumn("_part", F.floor(F.col(key) / 100_000))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("_part").agg(F.count("*").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    top = above.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top")).first()[0]
+    cuts = sorted(set(rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.5 / parts)))
+    # the bucket of a key: how many cuts are not above it
+    cut = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col(key))) if cuts else F.lit(0)
+    ranged = rows.withColumn("_part", cut)
+    counts = {r["_part"]: r["c"] for r in ranged.groupBy("_part").agg(F.count("*").alias("c")).collect()}
+    before, total = {}, top
+    for part in sorted(counts):
+        before[part], total = total, total + counts[part]
+    offsets = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.lit(None)
     own = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    numbered_ = ranged.withColumn("_own", own).join(F.broadcast(offsets), "_part").crossJoin(F.broadcast(top))
-    return numbered_.withColumn(id_col, F.col("_top") + F.col("_before") + F.col("_own")).drop("_part", "_own", "_before", "_top")
+    return ranged.withColumn(id_col, (offsets[F.col("_part")] if before else F.lit(0)) + own).drop("_part")
 
 
 def created(existing: DataFrame, wanted: DataFrame, name: str) -> DataFrame:

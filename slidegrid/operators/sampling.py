@@ -71,20 +71,30 @@ def random_objects(objects: DataFrame, n: int, seed: int) -> DataFrame:
 def strata(objects: DataFrame, n_strata: int, n_group: int) -> DataFrame:
     """Of each predicted class, n_strata groups of n_group objects at evenly spread ranks of the score.
 
-    Groups start at ranks 0, i * n / (n_strata - 1), ..., n - n_group - 1. Ranks come from a sort of
-    ranges of scores and each range's offset, not from a window that holds a whole class.
+    Groups start at ranks 0, i * n / (n_strata - 1), ..., n - n_group - 1. Scores are counted first: the running counts of a
+    class's distinct scores tell which scores hold the wanted ranks, and only objects of those scores are
+    ranked among themselves, so no task sorts a class.
     """
     side = objects.withColumn("class", F.when(F.col("score") < 0, -1).otherwise(1))
-    bucket = F.floor((F.col("score") + 1) * 100).cast("int")
-    counted = side.groupBy("class", bucket.alias("part")).agg(F.count("*").alias("c"))
-    offset = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("class")
-    offsets = counted.select("class", "part", F.coalesce(F.sum("c").over(offset), F.lit(0)).alias("before"), F.sum("c").over(whole).alias("n"))
-    within = Window.partitionBy("class", "part").orderBy("score", "object_id")
-    ranked = side.withColumn("part", bucket).withColumn("r", F.row_number().over(within) - 1).join(F.broadcast(offsets), ["class", "part"])
-    ranked = ranked.withColumn("rank", F.col("r") + F.col("before"))
+    bucket = F.floor((F.col("score") + 1) * 1000).cast("int")
+    by_score = side.groupBy("class", bucket.alias("part"), "score").agg(F.count("*").alias("c"))
+    parts = running(by_score.groupBy("class", "part").agg(F.sum("c").alias("c")), ["class"], "part")
+    within = running(by_score, ["class", "part"], "score").withColumnRenamed("before", "inner").drop("n")
+    counted = within.join(F.broadcast(parts.select("class", "part", "before", "n")), ["class", "part"]).select("class", "score", "c", (F.col("before") + F.col("inner")).alias("before"), "n")
     i = F.explode(F.expr(f"sequence(0, {n_strata - 1})"))
     start = F.when(F.col("i") == n_strata - 1, F.greatest(F.col("n") - n_group - 1, F.lit(0))).otherwise(F.floor(F.col("i") * F.col("n") / (n_strata - 1)))
-    starts = offsets.groupBy("class").agg(F.max("n").alias("n")).select("class", "n", i.alias("i")).select("class", start.alias("start"), F.col("i").alias("stratum"))
-    places = starts.select("class", "stratum", F.explode(F.expr(f"sequence(CAST(start AS BIGINT), CAST(start AS BIGINT) + {n_group - 1})")).alias("rank"))
-    return ranked.join(F.broadcast(places), ["class", "rank"]).select("class", "stratum", "rank", "object_id", "score")
+    starts = parts.groupBy("class").agg(F.max("n").alias("n")).select("class", "n", i.alias("i")).select("class", start.alias("start"), F.col("i").alias("stratum"))
+    places = F.broadcast(starts.select("class", "stratum", F.explode(F.expr(f"sequence(CAST(start AS BIGINT), CAST(start AS BIGINT) + {n_group - 1})")).alias("rank")))
+    held = counted.join(places, "class").where("rank >= before AND rank < before + c")
+    wanted = held.groupBy("class", "score").agg(F.first("before").alias("before"), (F.max("rank") - F.first("before") + 1).alias("deep"))
+    # of a score's objects only the first ones are wanted: each part of the ids keeps so many before they meet
+    tied = side.join(F.broadcast(wanted), ["class", "score"]).withColumn("some", F.pmod(F.xxhash64("object_id"), F.lit(256)))
+    first = tied.withColumn("r", F.row_number().over(Window.partitionBy("class", "score", "some").orderBy("object_id"))).where("r <= deep")
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("class", "score").orderBy("object_id")) - 1 + F.col("before"))
+    return ranked.join(places, ["class", "rank"]).select("class", "stratum", "rank", "object_id", "score")
+
+
+def running(counted: DataFrame, group: list[str], order: str) -> DataFrame:
+    """counted with `before`, the sum of `c` of the group's rows before each, and `n`, that of all its rows."""
+    up = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return counted.select("*", F.coalesce(F.sum("c").over(up), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy(*group)).alias("n"))

@@ -11,10 +11,16 @@ def in_view(objects: DataFrame, slide: str, left: float, top: float, right: floa
     return objects.where((F.col("slide") == slide) & F.col("x_centroid").between(left, right) & F.col("y_centroid").between(top, bottom))
 
 
-def in_views(objects: DataFrame, views: DataFrame) -> DataFrame:
-    """P8 for a table of viewports: an equi-join on slide with the box as a further condition."""
+def in_views(objects: DataFrame, views: DataFrame, side: float = 512.0) -> DataFrame:
+    """P8 for a table of viewports: both are keyed by grid cells of this side, and the box is a further condition.
+
+    A view goes to the cells that it touches, an object to its own, so a slide's objects are dealt to many tasks.
+    """
+    cell = lambda v: F.floor(v / side).cast("bigint")
+    cells = views.withColumn("_x", F.explode(F.sequence(cell(F.col("l")), cell(F.col("r"))))).withColumn("_y", F.explode(F.sequence(cell(F.col("t")), cell(F.col("b")))))
+    held = objects.withColumns({"_x": cell(F.col("x_centroid")), "_y": cell(F.col("y_centroid"))})
     box = F.col("x_centroid").between(F.col("l"), F.col("r")) & F.col("y_centroid").between(F.col("t"), F.col("b"))
-    return objects.join(views.withColumnRenamed("slide", "v_slide"), (F.col("slide") == F.col("v_slide")) & box).drop("v_slide")
+    return held.join(cells, ["slide", "_x", "_y"]).where(box).drop("_x", "_y")
 
 
 def expanded(views: DataFrame) -> DataFrame:

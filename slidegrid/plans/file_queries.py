@@ -5,15 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidegrid import fixtures as fx
 from slidegrid.fixtures import sql
 from slidegrid.functions import boundaries as b
-from slidegrid.operators import counts, pixels
+from slidegrid.operators import counts
 from slidegrid.plans.model_queries import vectors
 from slidegrid.plans.registry import query, rounded
 from slidegrid.plans.table_queries import POINTS, TEXT
@@ -131,17 +129,9 @@ query("t4_incremental_import", sql("SELECT object_id, slide, label FROM samples"
 
 
 def _resampled(s: SparkSession, d: str) -> DataFrame:
-    def work(batches):
-        for pdf in batches:
-            out = []
-            for i, text in zip(pdf["object_id"], pdf["boundary"], strict=True):
-                p = np.array([v.split(",") for v in text.split()], float)
-                line = pixels.resampled(p[:, 0], p[:, 1], 8)
-                out.append(pd.DataFrame({"object_id": i, "k": np.arange(len(line)), "x": line[:, 0], "y": line[:, 1]}))
-            if out:
-                yield pd.concat(out)
-
-    return rounded(fx.boundaries(s, d).select("object_id", "boundary").mapInPandas(work, "object_id bigint, k bigint, x double, y double"))
+    points = b.resampled(b.parsed(F.col("boundary")), 8)
+    rows = fx.boundaries(s, d).select("object_id", F.posexplode(points).alias("k", "p"))
+    return rounded(rows.select("object_id", F.col("k").cast("bigint").alias("k"), "p.x", "p.y"))
 
 
 query("f6_resample", sql(f"""SELECT object_id, k, round(CASE WHEN total = 0 THEN ax[1] WHEN j >= n THEN ax[n] ELSE ax[j] + (ax[j + 1] - ax[j]) * (k * total / 8 - way[j]) / (way[j + 1] - way[j]) END, 6) AS x,

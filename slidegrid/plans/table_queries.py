@@ -172,12 +172,12 @@ query("f3_remove_spurs", sql(f"""SELECT object_id, {TEXT.format(BY_INDEX.format(
     FROM (SELECT object_id, {POINTS} AS q FROM boundaries)""", "boundaries"))(lambda s, d: _points(s, d).select("object_id", b.written(b.without_spurs(F.col("p"))).alias("boundary")))
 query("f5_clean_boundaries", sql(f"""SELECT object_id, {TEXT.format(BY_INDEX.format("q", f"i = 1 OR i = len(q) OR {CROSS} <> 0 OR {DOT} >= 0"), " ")} AS boundary FROM (SELECT object_id, {DISTINCT} AS q FROM (
     SELECT object_id, {BY_INDEX.format("q", f"i = 1 OR i = len(q) OR {CROSS} <> 0")} AS p FROM (SELECT object_id, {NO_REPEATS} AS q FROM (SELECT object_id, {POINTS} AS p FROM boundaries))))""", "boundaries"))(
-    lambda s, d: _points(s, d).select("object_id", b.merged(F.col("p")).alias("p")).select("object_id", b.distinct(F.col("p")).alias("p")).select("object_id", b.written(b.without_spurs(F.col("p"))).alias("boundary")))
+    lambda s, d: _points(s, d).select("object_id", b.written(b.cleaned(F.col("p"))).alias("boundary")))
 SIDES = "list_transform(range(1, len({0})), lambda i: sqrt(pow({0}[i + 1].x - {0}[i].x, 2) + pow({0}[i + 1].y - {0}[i].y, 2)))"
 query("w7_side_lengths", sql(f"SELECT object_id, i AS side, round(unnest, 6) AS length FROM (SELECT object_id, unnest({SIDES.format('p')}) AS unnest, generate_subscripts({SIDES.format('p')}, 1) - 1 AS i FROM (SELECT object_id, {POINTS} AS p FROM boundaries))", "boundaries"))(
     lambda s, d: rounded(_points(s, d).select("object_id", F.posexplode(b.lengths(F.col("p"))).alias("side", "length")).select("object_id", F.col("side").cast("bigint").alias("side"), "length")))
-query("w8_arc_length", sql(f"SELECT object_id, round(list_sum({SIDES.format('p')}), 6) AS arc FROM (SELECT object_id, {POINTS} AS p FROM boundaries)", "boundaries"))(
-    lambda s, d: rounded(_points(s, d).select("object_id", F.aggregate(b.lengths(F.col("p")), F.lit(0.0), lambda a, x: a + x).alias("arc"))))
+query("w8_arc_length", sql(f"SELECT object_id, i AS vertex, round(coalesce(list_sum(sides[1:i]), 0), 6) AS arc FROM (SELECT object_id, {SIDES.format('p')} AS sides, unnest(range(0, len(p))) AS i FROM (SELECT object_id, {POINTS} AS p FROM boundaries))", "boundaries"))(
+    lambda s, d: rounded(_points(s, d).select("object_id", F.posexplode(b.arc_lengths(F.col("p"))).alias("vertex", "arc")).select("object_id", F.col("vertex").cast("bigint").alias("vertex"), "arc")))
 query("a13_circularity", sql(f"""SELECT object_id, round(per, 6) AS perimeter, round(CASE WHEN per > 0 THEN 4 * pi() * area / (per * per) END, 6) AS circularity FROM (
     SELECT object_id, list_sum({SIDES.format('r')}) AS per, abs(list_sum(list_transform(range(1, len(r)), lambda i: r[i].x * r[i + 1].y - r[i + 1].x * r[i].y))) / 2 AS area
     FROM (SELECT object_id, list_append(p, p[1]) AS r FROM (SELECT object_id, {POINTS} AS p FROM boundaries)))""", "boundaries"))(

@@ -79,8 +79,11 @@ def read_survival(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_dataset(objects: DataFrame, path: str) -> None:
-    """An object dataset or training set, in folders by slide, ordered by centroid for box filters."""
-    objects.repartition("slide").sortWithinPartitions("slide", "x_centroid", "y_centroid").write.partitionBy("slide").mode("overwrite").parquet(path)
+    """An object dataset or training set, in folders by slide, ordered by centroid for box filters.
+
+    Ranges of slide and centroid go to a file each, so a slide with many objects is written by several tasks.
+    """
+    objects.repartitionByRange("slide", "x_centroid", "y_centroid").sortWithinPartitions("slide", "x_centroid", "y_centroid").write.partitionBy("slide").mode("overwrite").parquet(path)
 
 
 def read_dataset(spark: SparkSession, path: str, dims: int | None = None) -> DataFrame:
