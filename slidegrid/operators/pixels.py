@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slidegrid.functions import boundaries as b
+
 #: Stain vectors, tissue discriminants, and the matrices of the opponent colour space.
 STAINS = ((0.650, 0.072, 0.0), (0.704, 0.990, 0.0), (0.286, 0.105, 0.0))
 TISSUE = ((-0.154, 0.035, 0.549, -45.718), (-0.057, -0.817, 1.170, -49.887))
@@ -50,6 +52,11 @@ def unmixed(pixels: DataFrame) -> DataFrame:
     return pixels.select("tile_id", "x", "y", *[mixed(d, inverse[k]).alias(f"stain{k + 1}") for k in range(3)])
 
 
+def stain_intensities(stains: DataFrame) -> DataFrame:
+    """stains as intensities, by the inverse of the density transform."""
+    return stains.select("tile_id", "x", "y", *[intensity(F.col(f"stain{k}")).alias(f"stain{k}") for k in (1, 2, 3)])
+
+
 def remixed(stains: DataFrame) -> DataFrame:
     """colours of stains."""
     m = stain_matrix()
@@ -156,28 +163,120 @@ def gradients(pixels: DataFrame, value: str) -> DataFrame:
     return intensities(g, "magnitude").select("tile_id", "label", "mean", "std").join(textures(g, "magnitude"), ["tile_id", "label"])
 
 
-def rings(pixels: DataFrame, radius: int = 2) -> DataFrame:
-    """for each object the pixels within the radius of it that belong to no object. Each pixel of an object's rim asks its disk."""
+def rims(pixels: DataFrame) -> DataFrame:
+    """tile_id, label, x, y: pixels of objects that have a neighbour to a side which is not of the object."""
+    along, down = Window.partitionBy("tile_id", "y").orderBy("x"), Window.partitionBy("tile_id", "x").orderBy("y")
+    inner = F.lit(True)
+    for w, place in ((along, "x"), (down, "y")):
+        for f, by in ((F.lag, -1), (F.lead, 1)):
+            inner = inner & F.coalesce((f("label").over(w) == F.col("label")) & (f(place).over(w) == F.col(place) + by), F.lit(False))
+    return pixels.withColumn("_inner", inner).where("label > 0 AND NOT _inner").select("tile_id", "label", "x", "y")
+
+
+def rings(pixels: DataFrame, radius: int = 8) -> DataFrame:
+    """for each object the pixels within the radius of it that belong to no object. Only pixels of an object's rim ask their disk."""
     disk = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in disk])
-    near = pixels.where("label > 0").select("tile_id", "label", "x", "y", F.explode(offsets).alias("o"))
+    near = rims(pixels).select("tile_id", "label", "x", "y", F.explode(offsets).alias("o"))
     near = near.select("tile_id", "label", (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y")).distinct()
     return near.join(pixels.where("label = 0").select("tile_id", "x", "y"), ["tile_id", "x", "y"], "left_semi").select("tile_id", "label", "x", "y")
 
 
-def vectors(pixels: DataFrame) -> DataFrame:
-    """one feature array for each object, from the groups of features; a group without a row for the object shows as a gap."""
-    shape, colour, grain, slope = morphometry(pixels), intensities(pixels, "r"), textures(pixels, "r"), gradients(pixels, "r")
+def outlines(pixels: DataFrame) -> DataFrame:
+    """tile_id, label, points: the outer rim of each object's first part, walked clockwise from its topmost pixel on, with the start again at the end.
+
+    Only pixels of the rim go to the object's task, and each is met a few times at most.
+    """
+    around = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
+
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        held = set(zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True))
+        start = min(held, key=lambda p: (p[1], p[0]))
+        path, at, way, first = [start], start, 0, None
+        for _ in range(4 * len(held) + 8):
+            # from the pixel behind on, clockwise, to the first neighbour of the object
+            turn = next((k for k in range(8) if (at[0] + around[(way + 6 + k) % 8][0], at[1] + around[(way + 6 + k) % 8][1]) in held), None)
+            if turn is None:
+                break
+            way = (way + 6 + turn) % 8
+            if (at, way) == first:
+                break
+            first = first or (at, way)
+            at = (at[0] + around[way][0], at[1] + around[way][1])
+            path.append(at)
+        points = [{"x": float(x), "y": float(y)} for x, y in path]
+        return pd.DataFrame({"tile_id": [key[0]], "label": [key[1]], "points": [points]})
+
+    return rims(pixels).groupBy("tile_id", "label").applyInPandas(walk, "tile_id bigint, label int, points array<struct<x:double,y:double>>")
+
+
+#: Names of the values of an object's vector, in order.
+SHAPE_NAMES = ("Area", "Perimeter", "Eccentricity", "Circularity", "MajorAxisLength", "MinorAxisLength", "Extent", "Solidity", *(f"FSD{i}" for i in range(1, 7)))
+STAIN_NAMES = (
+    "MeanIntensity", "MeanMedianDifferenceIntensity", "MaxIntensity", "MinIntensity", "StdIntensity", "Entropy", "Energy", "Skewness", "Kurtosis",
+    "MeanGradMag", "StdGradMag", "EntropyGradMag", "EnergyGradMag", "SkewnessGradMag", "KurtosisGradMag",
+)
+NAMES = (*SHAPE_NAMES, *(f"Hematoxylin{n}" for n in STAIN_NAMES), *(f"Cytoplasm{n}" for n in STAIN_NAMES))
+
+
+def stain_channels(pixels: DataFrame) -> DataFrame:
+    """tile_id, x, y, label and both stains as intensities from 0 to 255: unmixed densities, turned back into intensities."""
+    inverse = np.linalg.inv(stain_matrix())
+    d = [density(F.col(c)) for c in "rgb"]
+    return pixels.select("tile_id", "x", "y", "label", *[F.least(intensity(mixed(d, inverse[k])), F.lit(255.0)).alias(n) for k, n in enumerate(("hematoxylin", "eosin"))])
+
+
+def stain_groups(values: DataFrame, slopes: DataFrame, value: str) -> DataFrame:
+    """tile_id, label, and the 15 intensity, texture and gradient values of each label's pixels. slopes: the same pixels with a magnitude."""
     parts = [
-        shape.select("tile_id", "label", F.array(F.col("area").cast("double"), "extent", "major", "minor", "eccentricity").alias("f1")),
-        colour.select("tile_id", "label", F.array("mean", "mean_median", F.col("max").cast("double"), F.col("min").cast("double"), "std").alias("f2")),
-        grain.select("tile_id", "label", F.array("entropy", "energy", "skewness", "kurtosis").alias("f3")),
-        slope.select("tile_id", "label", F.array("mean", "std", "entropy", "energy", "skewness", "kurtosis").alias("f4")),
+        intensities(values, value).select("tile_id", "label", F.array("mean", "mean_median", F.col("max").cast("double"), F.col("min").cast("double"), "std").alias("v1")),
+        textures(values, value).select("tile_id", "label", F.array("entropy", "energy", "skewness", "kurtosis").alias("v2")),
+        intensities(slopes, "magnitude").select("tile_id", "label", F.array("mean", "std").alias("v3")),
+        textures(slopes, "magnitude").select("tile_id", "label", F.array("entropy", "energy", "skewness", "kurtosis").alias("v4")),
     ]
     joined = parts[0]
     for p in parts[1:]:
-        joined = joined.join(p, ["tile_id", "label"], "full_outer")
-    return joined.select("tile_id", "label", F.concat("f1", "f2", "f3", "f4").alias("features"))
+        joined = joined.join(p, ["tile_id", "label"])
+    return joined.select("tile_id", "label", F.concat("v1", "v2", "v3", "v4").alias("values"))
+
+
+def nuclear_values(pixels: DataFrame) -> DataFrame:
+    """the haematoxylin values of each object."""
+    stains = stain_channels(pixels)
+    return stain_groups(stains, gradient(stains, "hematoxylin"), "hematoxylin")
+
+
+def cytoplasm_values(pixels: DataFrame, radius: int = 8) -> DataFrame:
+    """the eosin values of the ring around each object."""
+    stains = stain_channels(pixels)
+    ring = rings(pixels, radius)
+    place = ["tile_id", "x", "y"]
+    values, slopes = (ring.join(df.drop("label"), place) for df in (stains, gradient(stains, "eosin")))
+    return stain_groups(values, slopes, "eosin")
+
+
+def shape_values(pixels: DataFrame) -> DataFrame:
+    """area, perimeter, eccentricity, circularity, axes, extent, solidity and Fourier energies of each object."""
+    outer = outlines(pixels).withColumn("perimeter", F.aggregate(b.lengths(F.col("points")), F.lit(0.0), lambda a, x: a + x))
+    fourier = fourier_energies(outer.select("tile_id", "label", "points"), ["tile_id", "label"])
+    joined = morphometry(pixels).join(outer.select("tile_id", "label", "perimeter"), ["tile_id", "label"]).join(solidity(pixels), ["tile_id", "label"]).join(fourier, ["tile_id", "label"])
+    round_ = F.when(F.col("perimeter") > 0, 4 * 3.141592653589793 * F.col("area") / (F.col("perimeter") * F.col("perimeter")))
+    own = F.array(F.col("area").cast("double"), "perimeter", "eccentricity", round_, "major", "minor", "extent", "solidity")
+    return joined.select("tile_id", "label", F.concat(own, "energies").alias("values"))
+
+
+def vectors(pixels: DataFrame) -> DataFrame:
+    """one feature array for each object, in the order of NAMES (44 values; the two of edge detection are not built).
+
+    Each group has a row for every object; an object that a group lacks is an error, but for the cytoplasm of an object without a ring.
+    """
+    key = ["tile_id", "label"]
+    shape, nuclear, ring = (f(pixels).withColumnRenamed("values", n) for f, n in ((shape_values, "v1"), (nuclear_values, "v2"), (cytoplasm_values, "v3")))
+    objects = pixels.where("label > 0").select(*key).distinct()
+    joined = objects.join(shape, key, "full_outer").join(nuclear, key, "full_outer").join(ring, key, "full_outer")
+    gap = F.array(*[F.lit(None).cast("double")] * len(STAIN_NAMES))
+    whole = F.when(F.col("v1").isNull() | F.col("v2").isNull(), F.raise_error(F.lit("a group of features has no row for an object"))).otherwise(F.concat("v1", "v2", F.coalesce("v3", gap)))
+    return joined.select(*key, whole.alias("features"))
 
 
 def solidity(pixels: DataFrame) -> DataFrame:
@@ -202,56 +301,52 @@ def solidity(pixels: DataFrame) -> DataFrame:
     return ends.groupBy("tile_id", "label").applyInPandas(hull, "tile_id bigint, label int, solidity double")
 
 
-def resampled(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """n + 1 points at equal distances along a line of points."""
-    way = np.r_[0, np.cumsum(np.hypot(np.diff(x), np.diff(y)))]
-    at = np.linspace(0, way[-1], n + 1)
-    return np.stack([np.interp(at, way, x), np.interp(at, way, y)], 1)
+def fourier_shapes(boundaries: DataFrame, points: int = 128, bands: int = 6) -> DataFrame:
+    """object_id, energies: Fourier energies of boundaries that are text; the polygon is closed first."""
+    closed = b.bound(b.parsed(F.col("boundary")), lambda q: F.concat(q, F.array(q[0])))
+    return fourier_energies(boundaries.select("object_id", closed.alias("points")), ["object_id"], points, bands)
+
 
+def fourier_energies(boundaries: DataFrame, keep: list[str], points: int = 128, bands: int = 6) -> DataFrame:
+    """spectral energy of a closed boundary's direction in log-spaced bands, neighbours sharing their common end.
 
-def fourier_shapes(boundaries: DataFrame, points: int = 64, bands: int = 6) -> DataFrame:
-    """spectral energy of the boundary's cumulative direction in log-spaced bands, neighbours sharing their common end."""
+    Boundaries are resampled where they are; a batch of them has one transform. keep: columns besides `points`.
+    """
     ends = np.unique(np.rint(2.0 ** np.linspace(0, np.log2(points / 2), bands + 1)).astype(int))
+    line = boundaries.select(*keep, b.resampled(F.col("points"), points).alias("p"))
+    line = line.select(*keep, F.transform("p", lambda v: v["x"]).alias("px"), F.transform("p", lambda v: v["y"]).alias("py"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for text in pdf["boundary"]:
-                xy = np.array([p.split(",") for p in text.split()], float)
-                line = resampled(np.r_[xy[:, 0], xy[0, 0]], np.r_[xy[:, 1], xy[0, 1]], points)
-                step = np.diff(line, axis=0)
-                angle = np.arctan2(step[:, 1], step[:, 0])
-                power = abs(np.fft.fft(angle - angle[0])) ** 2
-                power = power / power.sum() if power.sum() else power
-                out.append([float(power[a - 1 : b].sum()) for a, b in zip(ends, ends[1:], strict=False)])
-            yield pd.DataFrame({"object_id": pdf["object_id"], "energies": out})
+            if len(pdf):
+                x, y = (np.stack(pdf[c].to_list()) for c in ("px", "py"))
+                angle = np.arctan2(np.diff(y), np.diff(x))
+                power = abs(np.fft.fft(angle - angle[:, :1])) ** 2
+                total = power.sum(1, keepdims=True)
+                power = np.divide(power, total, out=np.zeros_like(power), where=total > 0)
+                energies = np.stack([power[:, i - 1 : j].sum(1) for i, j in zip(ends, ends[1:], strict=False)], 1)
+                yield pdf[keep].assign(energies=list(energies))
 
-    return boundaries.select("object_id", "boundary").mapInPandas(work, "object_id bigint, energies array<double>")
+    kinds = dict(line.dtypes)
+    return line.mapInPandas(work, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", energies array<double>")
 
 
 def score_mask(polygons: DataFrame, empty: float = 7.0) -> DataFrame:
     """pixels of each view's region with the score of the polygon that covers their centre; the largest object id wins, `empty` elsewhere.
 
-    polygons: view_id, l, t, r, b, object_id, score, boundary. Each polygon is filled by itself; the region is left dense.
+    polygons: view_id, l, t, r, b, object_id, score, boundary; those that only reach into the view belong to it too. A pixel is inside if a
+    line from it to the right crosses an odd number of sides. The region is left dense.
     """
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples():
-                p = np.array([v.split(",") for v in row.boundary.split()], float)
-                x, y = np.meshgrid(np.arange(int(p[:, 0].min()), int(p[:, 0].max()) + 1), np.arange(int(p[:, 1].min()), int(p[:, 1].max()) + 1))
-                inside = np.zeros(x.shape, bool)
-                for (x0, y0), (x1, y1) in zip(p, np.roll(p, -1, 0), strict=True):
-                    if y0 != y1:
-                        inside ^= ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
-                inside &= (x >= row.l) & (x <= row.r) & (y >= row.t) & (y <= row.b)
-                n = int(inside.sum())
-                out.append(pd.DataFrame({"view_id": [row.view_id] * n, "x": x[inside], "y": y[inside], "object_id": [row.object_id] * n, "score": [row.score] * n}))
-            if out:
-                yield pd.concat(out)
-
     views = polygons.select("view_id", "l", "t", "r", "b").distinct()
-    filled = polygons.mapInPandas(fill, "view_id bigint, x int, y int, object_id bigint, score double")
-    top = filled.groupBy("view_id", "x", "y").agg(F.max_by("score", "object_id").alias("score"))
+    p = polygons.withColumn("p", b.parsed(F.col("boundary"))).withColumn("q", F.expr("concat(slice(p, 2, size(p)), slice(p, 1, 1))"))
+    least, most = (lambda v: F.array_min(F.transform("p", lambda q: q[v]))), (lambda v: F.array_max(F.transform("p", lambda q: q[v])))
+    top, low = F.ceil(F.greatest(least("y"), F.col("t"))).cast("int"), F.floor(F.least(most("y"), F.col("b"))).cast("int")
+    lines = p.withColumn("y", F.explode(F.when(top <= low, F.sequence(top, low))))
+    up = lambda e: (e["p"]["y"] > F.col("y")) != (e["q"]["y"] > F.col("y"))
+    at = lambda e: (e["q"]["x"] - e["p"]["x"]) * (F.col("y") - e["p"]["y"]) / (e["q"]["y"] - e["p"]["y"]) + e["p"]["x"]
+    lines = lines.withColumn("cut", F.transform(F.filter(F.arrays_zip("p", "q"), up), at))
+    left, right = F.ceil(F.greatest(F.array_min("cut"), F.col("l"))).cast("int"), F.floor(F.least(F.array_max("cut"), F.col("r"))).cast("int")
+    filled = lines.withColumn("x", F.explode(F.when(left <= right, F.sequence(left, right)))).where(F.size(F.filter("cut", lambda c: c > F.col("x"))) % 2 == 1)
+    best = filled.groupBy("view_id", "x", "y").agg(F.max_by("score", "object_id").alias("score"))
     dense = views.select("view_id", "t", "b", F.explode(F.expr("sequence(CAST(l AS INT), CAST(r AS INT))")).alias("x")).select("view_id", "x", F.explode(F.expr("sequence(CAST(t AS INT), CAST(b AS INT))")).alias("y"))
-    return dense.join(top, ["view_id", "x", "y"], "left").na.fill(empty, ["score"])
+    return dense.join(best, ["view_id", "x", "y"], "left").na.fill(empty, ["score"])
