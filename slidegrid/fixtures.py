@@ -32,10 +32,10 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.max("l_discount").alias("disc"), F.max("l_returnflag").alias("flag"),
         )
     )
-    return grouped.selectExpr(*_split(_OBJECT.format(text="STRING")))
+    return grouped.selectExpr(*select_list(_OBJECT.format(text="STRING")))
 
 
-def _split(columns: str) -> list[str]:
+def select_list(columns: str) -> list[str]:
     """Column expressions of a select list."""
     out, depth, start = [], 0, 0
     for i, x in enumerate(columns):
@@ -54,11 +54,11 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").selectExpr(*_split(_CLICK.format(text="STRING")))
+    return table(spark, sf_dir, "supplier").selectExpr(*select_list(_CLICK.format(text="STRING")))
 
 
 def viewports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").selectExpr(*_split(_VIEWPORT.format(text="STRING")))
+    return table(spark, sf_dir, "nation").selectExpr(*select_list(_VIEWPORT.format(text="STRING")))
 
 
 _CLICK = """CAST(s_suppkey AS BIGINT) AS click_id, concat('S', lpad(CAST(s_suppkey % 20 AS {text}), 2, '0')) AS slide,
@@ -91,7 +91,7 @@ _SURVIVAL = """CAST(o_orderkey AS BIGINT) AS subject, CAST(floor({days} / 10) AS
 def survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subjects with a time in tens of days, an event flag, a group and two covariates: one for each order."""
     days = "abs(datediff(CAST(o_orderdate AS DATE), DATE'1995-01-01'))"
-    return table(spark, sf_dir, "orders").selectExpr(*_split(_SURVIVAL.format(days=days).replace('"group"', "`group`")))
+    return table(spark, sf_dir, "orders").selectExpr(*select_list(_SURVIVAL.format(days=days).replace('"group"', "`group`")))
 
 
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +130,7 @@ _PIXEL = """tile_id, x, y, CAST((x * x * 3 + y * y * 5 + x * y + tile_id * 3) %
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tile of 32 x 32 pixels with 16 objects for each supplier."""
     tiles = table(spark, sf_dir, "supplier").selectExpr("CAST(s_suppkey AS BIGINT) AS tile_id", "explode(sequence(0, 31)) AS x").selectExpr("tile_id", "x", "explode(sequence(0, 31)) AS y")
-    return tiles.selectExpr(*_split(_PIXEL))
+    return tiles.selectExpr(*select_list(_PIXEL))
 
 
 #: The same views as common table expressions for the comparison engine.

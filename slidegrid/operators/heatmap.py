@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slidegrid.functions.boundaries import bound
+from slidegrid.sources.shared import checkpointed
 
 CELL, SIGMA, BINS, SHARE = 40, 3.5, 20, 0.9
 HALF = 19
@@ -103,7 +106,8 @@ def normalizers(maps: DataFrame) -> DataFrame:
 
 
 def gray(maps: DataFrame) -> DataFrame:
-    """gray levels from 0 to 255 of both maps; a map of zeros stays black."""
+    """gray levels from 0 to 255 of both maps; a map of zeros stays black. The maps, once blurred, are read from a checkpoint."""
+    maps = checkpointed(maps)
     joined = maps.join(F.broadcast(normalizers(maps)), "slide").join(F.broadcast(ranges(maps)), "slide")
     u = F.when(F.col("norm") > 0, F.least(F.lit(255.0), 255 * F.col("uncertainty") / F.col("norm"))).otherwise(0.0)
     p = F.when(F.col("p_max") > 0, 255 * F.col("positive") / F.col("p_max")).otherwise(0.0)
@@ -113,3 +117,13 @@ def gray(maps: DataFrame) -> DataFrame:
 def ranked(maps: DataFrame) -> DataFrame:
     """Slides by their largest blurred uncertainty."""
     return ranges(maps).select("slide", "u_max").orderBy(F.desc("u_max"), "slide")
+
+
+def heatmap_set(spark: SparkSession, path: str, iteration: int, make: Callable[[], DataFrame]) -> DataFrame:
+    """The maps of all slides for the labels of this iteration: read if they were written before, else made and written."""
+    place = f"{path}/iteration={iteration}"
+    try:
+        return spark.read.parquet(place)
+    except AnalysisException:  # no such folder yet
+        make().write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place)

@@ -72,6 +72,25 @@ def created(existing: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     return wanted.join(existing.select(name), name, "left_anti")
 
 
+def safe_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
+    """Wanted (name, uid and others), where a name that exists already gets the last three characters of the uid."""
+    taken = existing.select("name").distinct().withColumn("_taken", F.lit(True))
+    new = F.when(F.col("_taken"), F.concat_ws("_", "name", F.substring("uid", -3, 3))).otherwise(F.col("name"))
+    return wanted.join(taken, "name", "left").withColumn("name", new).drop("_taken")
+
+
+def session_status(requests: DataFrame, timeout: int, ending: str = "logout") -> DataFrame:
+    """Uid, last_seen, idle_seconds of each open session, and how many there are (n_open).
+
+    A session is open if its last command does not end it and it has been idle for no more than the timeout.
+    """
+    last = requests.groupBy("uid").agg(F.max("ts").alias("last_seen"), F.max_by("command", "ts").alias("command"))
+    now = requests.agg(F.max("ts").alias("now"))
+    idle = last.crossJoin(F.broadcast(now)).withColumn("idle_seconds", F.unix_seconds("now") - F.unix_seconds("last_seen"))
+    open_ = idle.where((F.col("command") != ending) & (F.col("idle_seconds") <= timeout)).select("uid", "last_seen", "idle_seconds")
+    return open_.crossJoin(F.broadcast(open_.agg(F.count("*").alias("n_open"))))
+
+
 def cascaded(parents: DataFrame, children: DataFrame, gone: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Both tables without the keys that go."""
     return parents.join(gone, key, "left_anti"), children.join(gone, key, "left_anti")

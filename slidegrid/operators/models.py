@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidegrid.operators import sampling
+from slidegrid.operators import counts, sampling
 
 
 class Sampler(Protocol):
@@ -29,6 +29,15 @@ def at_random(scored: DataFrame, n: int, seed: int) -> DataFrame:
     return sampling.random_objects(scored, n, seed)
 
 
+def by_bins(scored: DataFrame, n: int, seed: int) -> DataFrame:
+    """At most one object for each score bin, n in all."""
+    return sampling.one_of_each_bin(scored, seed).orderBy("score_bin").limit(n).select("object_id", "score")
+
+
+#: Samplers by name.
+SAMPLERS: dict[str, Sampler] = {"uncertain": uncertain, "random": at_random, "bins": by_bins}
+
+
 def moments(vectors: DataFrame) -> DataFrame:
     """One row: arrays of each dimension's mean and deviation."""
     each = vectors.select(F.posexplode("features").alias("dim", "v")).groupBy("dim").agg(F.avg("v").alias("m"), F.stddev("v").alias("s"))
@@ -76,10 +85,10 @@ def waves(features: Column, dims: int, n: int = 128, gamma: float | None = None,
     return F.array(*[one(row, s) * math.sqrt(2 / n) for row, s in zip(w, shift, strict=True)])
 
 
-def svm(samples: DataFrame, dims: int, n: int = 32) -> tuple[Model, int]:
+def svm(samples: DataFrame, dims: int, n: int = 128) -> tuple[Model, int]:
     """L4: an approximate radial SVM: a linear one over random Fourier features."""
     rows = prepared(samples).withColumn("vector", array_to_vector(waves(F.col("features").cast("array<double>"), dims, n)))
-    return LinearSVC(featuresCol="vector", labelCol="target", regParam=0.001, maxIter=30, tol=1e-3).fit(rows), n
+    return LinearSVC(featuresCol="vector", labelCol="target", regParam=0.001, maxIter=100, tol=1e-3).fit(rows), n
 
 
 def margins(model: Model, n: int, objects: DataFrame, dims: int, keep: list[str]) -> DataFrame:
@@ -89,13 +98,34 @@ def margins(model: Model, n: int, objects: DataFrame, dims: int, keep: list[str]
     return model.transform(rows).select(*keep, m.alias("score"), F.when(m < 0, -1).otherwise(1).alias("predicted"))
 
 
-def active_round(objects: DataFrame, samples: DataFrame, dims: int, n: int = 8, seed: int = 1, sampler: Sampler = uncertain) -> DataFrame:
+def active_round(objects: DataFrame, samples: DataFrame, dims: int, n: int = 8, seed: int = 1, sampler: Sampler = uncertain, trees: int = 100) -> DataFrame:
     """Train on the samples, score all other objects, and choose the next n to label."""
-    model = forest(samples, dims, seed, trees=20)
+    model = forest(samples, dims, seed, trees)
     rest = objects.join(samples.select("object_id"), "object_id", "left_anti")
     return sampler(scored(model, rest, ["object_id"]), n, seed)
 
 
+def next_batch(pending: DataFrame, fresh: DataFrame, submitted: DataFrame) -> DataFrame:
+    """K9: uid, iteration, object_id, resent: what each session gets next.
+
+    pending: uid, iteration, object_id of batches sent before. submitted: uid, iteration of sessions now; while a session's iteration is that of its
+    pending batch, it gets the same batch again, else the fresh one (uid, object_id).
+    """
+    sent = pending.select("uid", "iteration").distinct().withColumn("resent", F.lit(True))
+    now = submitted.join(sent, ["uid", "iteration"], "left").withColumn("resent", F.coalesce("resent", F.lit(False)))
+    again = now.where("resent").join(pending, ["uid", "iteration"]).select("uid", "iteration", "object_id", "resent")
+    return again.unionByName(now.where("NOT resent").join(fresh, "uid").select("uid", "iteration", "object_id", "resent"))
+
+
+def roc_report(samples: DataFrame) -> DataFrame:
+    """Kind, object_id, value: the labels' rows, the probabilities' rows, and a row for each rate (of object 0). samples: object_id, label, score."""
+    known = samples.where("label <> 0")
+    rows = known.select("object_id", F.explode(F.create_map(F.lit("label"), F.col("label").cast("double"), F.lit("probability"), (F.col("score") + 1) / 2)).alias("kind", "value"))
+    rates = counts.rates(counts.confusion(known, F.col("label"), counts.predicted_label(F.col("score"))))
+    each = F.explode(F.create_map(*[x for c in rates.columns for x in (F.lit(c), F.col(c))])).alias("kind", "value")
+    return rows.select("kind", "object_id", "value").unionByName(rates.select(each).select("kind", F.lit(0).cast("bigint").alias("object_id"), "value"))
+
+
 def folds(samples: DataFrame, n: int = 5, seed: int = 1) -> DataFrame:
     """A fold for each sample: random by a hash of id and seed, so no task has to hold all of them."""
     return samples.select("object_id", F.pmod(F.xxhash64("object_id", F.lit(seed)), F.lit(n)).cast("int").alias("fold"))

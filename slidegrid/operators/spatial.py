@@ -28,6 +28,16 @@ def expanded(views: DataFrame) -> DataFrame:
     return views.selectExpr("view_id", "slide", "greatest(l - (r - l), 0D) AS l", "greatest(t - (b - t), 0D) AS t", "r + (r - l) AS r", "b + (b - t) AS b")
 
 
+def to_fetch(views: DataFrame) -> DataFrame:
+    """Whether each view has to be fetched again: above zoom 0.5, and its centre outside the box fetched last.
+
+    views: view_id, l, t, r, b, zoom, and last_l, last_t, last_r, last_b, which are null before the first fetch.
+    """
+    x, y = (F.col("l") + F.col("r")) / 2, (F.col("t") + F.col("b")) / 2
+    inside = x.between(F.col("last_l"), F.col("last_r")) & y.between(F.col("last_t"), F.col("last_b"))
+    return views.select("view_id", ((F.col("zoom") > 0.5) & ~F.coalesce(inside, F.lit(False))).alias("fetch"))
+
+
 def centroid_key(x: Column, y: Column) -> Column:
     """Centroid with one decimal as text; decimals, as these round alike everywhere."""
     return F.concat_ws("_", x.cast("decimal(10,1)").cast("string"), y.cast("decimal(10,1)").cast("string"))

@@ -85,10 +85,15 @@ def two_figures(x: Column) -> Column:
     return F.when(x == 0, 0.0).otherwise(F.round(x / power, 1) * power)
 
 
-def risk_sums(rows: DataFrame, columns: list[str], beta: np.ndarray) -> DataFrame:
+def time_cuts(rows: DataFrame, parts: int = 64) -> list[float]:
+    """Times that cut the subjects in about `parts` ranges of one size."""
+    return sorted(set(rows.approxQuantile("time", [i / parts for i in range(1, parts)], 0.5 / parts)))
+
+
+def risk_sums(rows: DataFrame, columns: list[str], beta: np.ndarray, cuts: list[float] | None = None) -> DataFrame:
     """For each event time sums over the subjects still at risk (times from it on) of exp(xb), x exp(xb), xx' exp(xb), and over its events.
 
-    Sums are first made for each distinct time, so the running sum goes over times.
+    Sums are first made for each distinct time; running sums go over the times of a range, and over the ranges, of which there are a few.
     """
     w = F.exp(sum((F.col(c) * float(b) for c, b in zip(columns, beta, strict=True)), F.lit(0.0)))
     n = len(columns)
@@ -98,8 +103,16 @@ def risk_sums(rows: DataFrame, columns: list[str], beta: np.ndarray) -> DataFram
         *[F.sum(v).alias(f"r_{k}") for k, v in values.items()], *[F.sum(F.when(dead, v).otherwise(0.0)).alias(f"d_{k}") for k, v in values.items()],
         *[F.sum(F.when(dead, F.col(c)).otherwise(0.0)).alias(f"s_{i}") for i, c in enumerate(columns)], F.count_if(dead).alias("deaths"),
     )
-    later = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    return by_time.select("time", "deaths", *[F.sum(f"r_{k}").over(later).alias(f"r_{k}") for k in values], *[f"d_{k}" for k in values], *[f"s_{i}" for i in range(n)]).where("deaths > 0")
+    cuts = time_cuts(rows) if cuts is None else cuts
+    part = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x <= F.col("time"))) if cuts else F.lit(0)
+    ranged = by_time.withColumn("part", part)
+    beyond = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy("part").agg(*[F.sum(f"r_{k}").alias(f"r_{k}") for k in values])
+    ranges = ranges.select("part", *[F.coalesce(F.sum(f"r_{k}").over(beyond), F.lit(0.0)).alias(f"o_{k}") for k in values])
+    later = Window.partitionBy("part").orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
+    within = ranged.select("time", "part", "deaths", *[F.sum(f"r_{k}").over(later).alias(f"r_{k}") for k in values], *[f"d_{k}" for k in values], *[f"s_{i}" for i in range(n)])
+    joined = within.where("deaths > 0").join(F.broadcast(ranges), "part")
+    return joined.select("time", "deaths", *[(F.col(f"r_{k}") + F.col(f"o_{k}")).alias(f"r_{k}") for k in values], *[f"d_{k}" for k in values], *[f"s_{i}" for i in range(n)])
 
 
 def cox(rows: DataFrame, columns: list[str], most: int = 25, tolerance: float = 1e-7) -> dict:
@@ -110,8 +123,10 @@ def cox(rows: DataFrame, columns: list[str], most: int = 25, tolerance: float =
     n = len(columns)
     rows = rows.select("time", "event", *[F.col(c).cast("double").alias(c) for c in columns]).persist()
 
+    cuts = time_cuts(rows)
+
     def figures(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        sums = risk_sums(rows, columns, beta).select("*", F.explode(F.expr("sequence(0, CAST(deaths AS INT) - 1)")).alias("l"))
+        sums = risk_sums(rows, columns, beta, cuts).select("*", F.explode(F.expr("sequence(0, CAST(deaths AS INT) - 1)")).alias("l"))
         part = F.col("l") / F.col("deaths")
         of = lambda k: F.col(f"r_{k}") - part * F.col(f"d_{k}")
         first = F.col("l") == 0

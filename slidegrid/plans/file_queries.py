@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from slidegrid.fixtures import sql
 from slidegrid.functions import boundaries as b
 from slidegrid.operators import counts
 from slidegrid.plans.model_queries import vectors
-from slidegrid.plans.registry import query, rounded
+from slidegrid.plans.registry import query, rounded, shared
 from slidegrid.plans.table_queries import POINTS, TEXT
 from slidegrid.sources import files
 from slidegrid.streaming import jobs
@@ -21,16 +18,6 @@ from slidegrid.streaming import jobs
 DIMS = 3
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that all executors share; a temporary one if the session runs on this machine alone."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
 def _reported(s: SparkSession, d: str) -> DataFrame:
     """Objects with three features and points, as reports hold them."""
     return fx.boundaries(s, d).join(fx.objects(s, d).select("object_id", "score", "iteration"), "object_id").select(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidegrid import fixtures as fx
@@ -20,7 +23,7 @@ def vectors(s, d):
 
 
 def known(s, d):
-    """Labelled vectors: those of the even classes."""
+    """Labelled vectors: those of four of the ten classes, two of either label; the others stay unlabelled, as in a session's beginning."""
     return vectors(s, d).where("class IN (0, 2, 6, 8)")
 
 
@@ -33,7 +36,7 @@ query("f1_renormalize", f"""SELECT object_id, dim, round((v - n.m) / n.sd, 6) AS
 
 
 def _scored(s, d):
-    return models.scored(models.forest(known(s, d), DIMS, trees=20), vectors(s, d), ["object_id", "slide", "label"])
+    return models.scored(models.forest(known(s, d), DIMS), vectors(s, d), ["object_id", "slide", "label"])
 
 
 query("l1_train_forest")(lambda s, d: s.createDataFrame([(i, float(v)) for i, v in enumerate(models.forest(known(s, d), DIMS).featureImportances.toArray())], "dim int, importance double"))
@@ -48,19 +51,39 @@ def _margins(s, d):
 
 query("l4_svm")(lambda s, d: _margins(s, d).groupBy("predicted").agg(F.count("*").alias("n")))
 query("l5_svm_margin")(_margins)
-query("l6_samplers")(lambda s, d: models.at_random(_scored(s, d), 8, 3))
-query("l7_apply_to_slide")(lambda s, d: models.scored(models.forest(known(s, d), DIMS, trees=20), vectors(s, d).where("slide = 'S02'"), ["object_id"]))
+query("l6_samplers")(lambda s, d: (lambda scored: functools.reduce(
+    DataFrame.unionByName, [f(scored, 8, 3).select(F.lit(n).alias("sampler"), "object_id") for n, f in models.SAMPLERS.items()]))(_scored(s, d)))
+query("l7_apply_to_slide")(lambda s, d: models.scored(models.forest(known(s, d), DIMS), vectors(s, d).where("slide = 'S02'"), ["object_id"]))
 query("l8_scored_dataset")(lambda s, d: _scored(s, d).withColumnRenamed("score", "pred_score"))
 query("l9_score_map", sql("SELECT score, x_centroid AS x, y_centroid AS y FROM objects WHERE slide = 'S06'", "objects"))(
     lambda s, d: fx.objects(s, d).where("slide = 'S06'").select("score", F.col("x_centroid").alias("x"), F.col("y_centroid").alias("y")))
-query("l10_roc", sql("SELECT object_id, label, round((score + 1) / 2, 6) AS probability, CASE WHEN score < 0 THEN -1 ELSE 1 END AS predicted FROM samples WHERE label <> 0", "samples"))(
-    lambda s, d: rounded(fx.samples(s, d).where("label <> 0").select("object_id", "label", ((F.col("score") + 1) / 2).alias("probability"), counts.predicted_label(F.col("score")).alias("predicted"))))
+query("l10_roc", sql("""SELECT 'label' AS kind, object_id, CAST(label AS DOUBLE) AS value FROM samples WHERE label <> 0 UNION ALL
+    SELECT 'probability', object_id, round((score + 1) / 2, 6) FROM samples WHERE label <> 0 UNION ALL
+    SELECT kind, 0, round(value, 6) FROM (SELECT tp, fp, tn, p, n, unnest(['fp_rate', 'tp_rate', 'precision', 'accuracy']) AS kind, unnest([fp / nullif(n, 0), tp / nullif(p, 0), tp / nullif(tp + fp, 0), (tp + tn) / nullif(p + n, 0)]) AS value FROM (
+      SELECT count(*) FILTER (label = 1 AND score >= 0) AS tp, count(*) FILTER (label = -1 AND score >= 0) AS fp, count(*) FILTER (label = -1 AND score < 0) AS tn, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = -1) AS n FROM samples))""", "samples"))(
+    lambda s, d: rounded(models.roc_report(fx.samples(s, d))))
 query("l11_active_round")(lambda s, d: models.active_round(vectors(s, d), known(s, d), DIMS))
 query("l13_class_names", sql("SELECT DISTINCT label, CASE label WHEN 1 THEN 'positive' WHEN -1 THEN 'negative' ELSE 'ignored' END AS name FROM samples", "samples"))(
     lambda s, d: fx.samples(s, d).select("label").distinct().withColumn("name", F.when(F.col("label") == 1, "positive").when(F.col("label") == -1, "negative").otherwise("ignored")))
 query("w2_folds")(lambda s, d: models.folds(fx.samples(s, d)))
-query("k9_pending_batch", sql("SELECT object_id, iteration FROM (SELECT *, row_number() OVER (PARTITION BY iteration ORDER BY abs(score), object_id) AS k FROM samples) WHERE k <= 8", "samples"))(
-    lambda s, d: fx.samples(s, d).selectExpr("*", "row_number() OVER (PARTITION BY iteration ORDER BY abs(score), object_id) AS k").where("k <= 8").select("object_id", "iteration"))
+TOP8 = "SELECT slide AS uid, {0} AS iteration, object_id FROM (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY abs(score), object_id) AS k FROM {1}) WHERE k <= 8"
+
+
+def _top8(rows):
+    """The eight most uncertain objects of each slide."""
+    w = Window.partitionBy("slide").orderBy(F.abs("score"), "object_id")
+    return rows.withColumn("k", F.row_number().over(w)).where("k <= 8").select(F.col("slide").alias("uid"), "object_id")
+
+
+def _pending(s, d):
+    """Slides stand for sessions: each was sent its most uncertain samples at iteration 3; every other one has submitted since."""
+    sent = _top8(fx.samples(s, d)).select("uid", F.lit(3).alias("iteration"), "object_id")
+    now = fx.slides(s, d).select(F.col("name").alias("uid"), F.expr("3 + CAST(substring(name, 2) AS INT) % 2").alias("iteration"))
+    return models.next_batch(sent, _top8(fx.objects(s, d)), now)
+
+
+query("k9_pending_batch", sql(f"""SELECT uid, iteration, object_id, iteration = 3 AS resent FROM (SELECT name AS uid, 3 + CAST(substring(name, 2) AS INTEGER) % 2 AS iteration FROM slides)
+    JOIN ({TOP8.format(3, 'samples')} UNION ALL {TOP8.format(4, 'objects')}) USING (uid, iteration)""", "samples", "slides"))(_pending)
 
 # ---- streams, on batches
 SESSIONS = """SELECT uid, min(ts) AS started, max(ts) AS last_seen, count(*) AS n_requests FROM (SELECT *, sum(new) OVER (PARTITION BY uid ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (
@@ -78,7 +101,16 @@ def _lines(s, d):
 
 
 query("f25_json_requests", sql("SELECT slide AS uid, iteration, object_id, label, slide, x_centroid AS x, y_centroid AS y FROM samples", "samples"))(lambda s, d: jobs.submissions(_lines(s, d)))
-query("t2_latest_labels", sql("SELECT object_id, label, iteration FROM samples", "samples"))(lambda s, d: jobs.latest(jobs.accepted(jobs.submissions(_lines(s, d)))))
+def _two_lines(s, d):
+    """Each sample's submission, and for some a later one with another label, or one with a label that is none."""
+    later = F.regexp_replace("value", r'"iteration":[0-9]+', '"iteration":99')
+    lines = _lines(s, d)
+    return lines.unionAll(lines.where(F.col("value").contains('"label":1')).select(F.regexp_replace(later, '"label":1', '"label":-1'))).unionAll(
+        lines.where(F.col("value").contains('"label":0')).select(F.regexp_replace(later, '"label":0', '"label":7')))
+
+
+query("t2_latest_labels", sql("SELECT object_id, CASE WHEN label = 1 THEN -1 ELSE label END AS label, CASE WHEN label = 1 THEN 99 ELSE iteration END AS iteration FROM samples", "samples"))(
+    lambda s, d: jobs.latest(jobs.accepted(jobs.submissions(_two_lines(s, d)))))
 
 # ---- sources
 query("p1_nan_features", "SELECT 'S0' || CAST(vec_id % 5 AS VARCHAR) AS slide, count(*) FILTER (label = 3) AS n_rejected FROM embeddings GROUP BY 1")(

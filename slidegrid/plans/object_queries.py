@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slidegrid import fixtures as fx
 from slidegrid.fixtures import sql
 from slidegrid.operators import counts, heatmap, sampling, spatial
-from slidegrid.plans.registry import query, rounded
+from slidegrid.plans.registry import query, rounded, shared
 
 LABEL_SQL = "CASE WHEN score < 0 THEN -1 ELSE 1 END"
 HASH_SQL = "(((object_id % 1000003) * 7919 + {seed}) % 1000003)"
@@ -58,6 +58,9 @@ query("p8_one_viewport", sql("SELECT object_id, x_centroid, y_centroid FROM obje
     lambda s, d: spatial.in_view(fx.objects(s, d), "S07", 0, 100, 800, 900).select("object_id", "x_centroid", "y_centroid"))
 query("p9_viewport_expansion", sql("SELECT view_id, slide, greatest(l - (r - l), 0) AS l, greatest(t - (b - t), 0) AS t, r + (r - l) AS r, b + (b - t) AS b FROM viewports", "viewports"))(
     lambda s, d: spatial.expanded(fx.viewports(s, d)))
+MOVING = "view_id, l, t, r, b, (view_id % 4) / CAST(4 AS DOUBLE) AS zoom, CASE WHEN view_id % 5 > 0 THEN l - 250 END AS last_l, t - 10 AS last_t, CASE WHEN view_id % 5 > 0 THEN l + (view_id % 3) * 150 END AS last_r, b + 10 AS last_b"
+query("p9_refetch", sql(f"""SELECT view_id, zoom > 0.5 AND NOT coalesce((l + r) / 2 BETWEEN last_l AND last_r AND (t + b) / 2 BETWEEN last_t AND last_b, false) AS fetch FROM (SELECT {MOVING} FROM viewports)""", "viewports"))(
+    lambda s, d: spatial.to_fetch(fx.viewports(s, d).selectExpr(*fx.select_list(MOVING))))
 KEY_SQL = "concat_ws('_', CAST(CAST(x_centroid AS DECIMAL(10,1)) AS VARCHAR), CAST(CAST(y_centroid AS DECIMAL(10,1)) AS VARCHAR))"
 query("p11_centroid_key", sql(f"SELECT object_id, {KEY_SQL} AS key FROM objects", "objects"))(
     lambda s, d: fx.objects(s, d).select("object_id", spatial.centroid_key(F.col("x_centroid"), F.col("y_centroid")).alias("key")))
@@ -175,4 +178,13 @@ GRAY_SQL = f"""SELECT slide, cx, cy, round(CASE WHEN norm > 0 THEN least(255.0,
     FROM ({BLUR_SQL}) JOIN ({NORM_SQL}) USING (slide) JOIN ({RANGES_SQL}) USING (slide)"""
 query("f17_gray_levels", sql(GRAY_SQL, "objects", "slides"))(lambda s, d: rounded(heatmap.gray(_blurred(s, d)), 4))
 query("k10_ranked_slides", sql(f"SELECT slide, round(u_max, 6) AS u_max FROM ({RANGES_SQL})", "objects", "slides"))(lambda s, d: rounded(heatmap.ranked(_blurred(s, d))))
-query("l12_heatmap_set", sql(GRAY_SQL, "objects", "slides"))(lambda s, d: rounded(heatmap.gray(_blurred(s, d).persist()), 4))
+
+
+def _heatmap_set(s, d):
+    """Made for all slides at iteration 3; a second call at the same iteration reads them, as a call at another would make them anew."""
+    path = shared(s, "heatmaps")
+    heatmap.heatmap_set(s, path, 3, lambda: heatmap.gray(_blurred(s, d)))
+    return heatmap.heatmap_set(s, path, 3, lambda: heatmap.gray(_blurred(s, d).where("false")))
+
+
+query("l12_heatmap_set", sql(GRAY_SQL, "objects", "slides"))(lambda s, d: rounded(_heatmap_set(s, d), 4))

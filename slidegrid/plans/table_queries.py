@@ -8,7 +8,8 @@ from slidegrid import fixtures as fx
 from slidegrid.fixtures import sql
 from slidegrid.functions import boundaries as b
 from slidegrid.operators import labels, spatial, survival
-from slidegrid.plans.registry import query, rounded
+from slidegrid.plans.registry import query, rounded, shared
+from slidegrid.sources import files
 
 # ---- labels
 SUBMITTED = "SELECT object_id, -label AS label, iteration > 5 AS picked FROM objects WHERE iteration >= 9 UNION ALL SELECT -object_id, 1, false FROM objects WHERE iteration = 10"
@@ -59,8 +60,8 @@ query("m14_picker_add", sql("SELECT object_id, label, x_centroid AS x_click, y_c
     lambda s, d: fx.samples(s, d).join(fx.objects(s, d).select("object_id"), "object_id", "left_semi").selectExpr("object_id", "label", "x_centroid AS x_click", "y_centroid AS y_click"))
 query("m15_mark_selected", sql("SELECT object_id, object_id IN (SELECT object_id FROM samples) AS selected FROM objects WHERE slide = 'S04'", "samples"))(
     lambda s, d: labels.marked(fx.objects(s, d).where("slide = 'S04'"), fx.samples(s, d)))
-query("m16_cancel_session", sql("SELECT event_id, uid FROM requests WHERE uid NOT IN (SELECT uid FROM requests WHERE command = 'error')", "requests"))(
-    lambda s, d: fx.requests(s, d).join(fx.requests(s, d).where("command = 'error'").select("uid").distinct(), "uid", "left_anti").select("event_id", "uid"))
+query("m16_cancel_session", sql("SELECT event_id, uid FROM requests WHERE uid NOT IN (SELECT uid FROM requests WHERE command = 'purchase' AND uid % 2 = 0)", "requests"))(
+    lambda s, d: fx.requests(s, d).join(fx.requests(s, d).where("command = 'purchase' AND uid % 2 = 0").select("uid").distinct(), "uid", "left_anti").select("event_id", "uid"))
 query("m17_running_index", sql("SELECT object_id, row_number() OVER (ORDER BY object_id) AS row_id FROM objects", "objects"))(
     lambda s, d: labels.numbered(fx.objects(s, d).select("object_id"), "object_id", s.range(0).selectExpr("id AS row_id"), "row_id"))
 
@@ -84,15 +85,41 @@ query("j13_mask_objects", sql("SELECT v.view_id, o.object_id, o.boundary FROM bo
     lambda s, d: spatial.in_views(fx.boundaries(s, d), fx.viewports(s, d).selectExpr("view_id", "slide", "l - 32 AS l", "r + 32 AS r", "t - 32 AS t", "b + 32 AS b")).select("view_id", "object_id", "boundary"))
 query("k11_listings", sql("SELECT set_id, name FROM training_sets", "training_sets"))(lambda s, d: fx.training_sets(s, d).select("set_id", "name").orderBy("name"))
 query("a29_slides_with_boundaries", sql("SELECT DISTINCT slide FROM boundaries", "boundaries"))(lambda s, d: fx.boundaries(s, d).select("slide").distinct())
-query("s6_slide_list", sql("SELECT name FROM slides", "slides"))(lambda s, d: fx.slides(s, d).select("name"))
-query("s9_dataset_kinds", sql("SELECT name, CASE WHEN name LIKE '%1%' THEN 'region' WHEN name LIKE '%2%' THEN 'cell' ELSE 'nuclei' END AS kind FROM training_sets", "training_sets"))(
-    lambda s, d: fx.training_sets(s, d).select("name", F.when(F.col("name").like("%1%"), "region").when(F.col("name").like("%2%"), "cell").otherwise("nuclei").alias("kind")))
-query("s14_log_rows", sql("SELECT event_id, coalesce(CASE WHEN uid % 7 > 0 THEN CAST(uid AS VARCHAR) END, 'UNKNOWN') AS remote, command AS message FROM requests WHERE command <> ''", "requests"))(
-    lambda s, d: fx.requests(s, d).where("command <> ''").select("event_id", F.coalesce(F.when(F.col("uid") % 7 > 0, F.col("uid").cast("string")), F.lit("UNKNOWN")).alias("remote"), F.col("command").alias("message")))
-query("s16_safe_names", sql("SELECT set_id, CASE WHEN count(*) OVER (PARTITION BY dataset_id) > 1 THEN concat(name, '_', right(CAST(set_id AS VARCHAR), 3)) ELSE name END AS name FROM training_sets", "training_sets"))(
-    lambda s, d: (lambda t: t.join(F.broadcast(t.groupBy("dataset_id").agg(F.count("*").alias("n"))), "dataset_id").select("set_id", F.when(F.col("n") > 1, F.concat_ws("_", "name", F.substring(F.col("set_id").cast("string"), -3, 3))).otherwise(F.col("name")).alias("name")))(fx.training_sets(s, d)))
-query("a27_session_status", sql("SELECT uid, max(ts) AS last_seen, CAST(date_diff('second', max(ts), (SELECT max(ts) FROM requests)) AS BIGINT) AS idle_seconds FROM requests GROUP BY uid", "requests"))(
-    lambda s, d: (lambda r: r.groupBy("uid").agg(F.max("ts").alias("last_seen")).crossJoin(r.agg(F.max("ts").alias("now"))).select("uid", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), (F.unix_seconds("now") - F.unix_seconds("last_seen")).alias("idle_seconds")))(fx.requests(s, d)))
+
+
+def _slide_list(s, d):
+    """A slide file, of which only the first field of each line is read."""
+    path = shared(s, "slide-list")
+    fx.slides(s, d).select("name", "x_size", "y_size", "pyramid_path", "scale").write.csv(path)
+    return files.read_slide_list(s, path)
+
+
+query("s6_slide_list", sql("SELECT name FROM slides", "slides"))(_slide_list)
+KINDS = "CASE WHEN {0} LIKE '%spfeatures%' THEN 'region' WHEN {0} LIKE '%pofeatures%' THEN 'cell' ELSE 'nuclei' END"
+FILES = "concat('/data/', name, CASE set_id % 3 WHEN 0 THEN '-spfeatures' WHEN 1 THEN '-pofeatures' ELSE '-features' END, '.h5')"
+query("s9_dataset_kinds", sql(f"SELECT file, {KINDS.format('file')} AS kind FROM (SELECT {FILES} AS file FROM training_sets)", "training_sets"))(
+    lambda s, d: files.with_kinds(fx.training_sets(s, d).select(F.expr(FILES).alias("file")), "file").select("file", "kind"))
+LOGGED = "SELECT event_id, CASE WHEN uid % 7 > 0 THEN CAST(uid AS {0}) ELSE '' END AS remote_addr, upper(command) AS type, CASE WHEN uid % 5 = 0 THEN '' ELSE concat(command, ' of ', uid) END AS message, ts FROM requests"
+
+
+def _logged(s, d):
+    """Two appends to one log, read back."""
+    path = shared(s, "logs")
+    rows = fx.requests(s, d).selectExpr("event_id", "CASE WHEN uid % 7 > 0 THEN CAST(uid AS STRING) ELSE '' END AS remote_addr", "upper(command) AS type", "CASE WHEN uid % 5 = 0 THEN '' ELSE concat(command, ' of ', uid) END AS message", "ts")
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        files.append_log(rows.where(part), path)
+    return files.read_log(s, path, "event_id bigint")
+
+
+query("s14_log_rows", sql(f"SELECT event_id, CASE WHEN remote_addr = '' THEN 'UNKNOWN' ELSE remote_addr END AS remote_addr, type, message, strftime(ts, '%Y-%m-%d %H:%M:%S') AS written FROM ({LOGGED.format('VARCHAR')}) WHERE message <> ''", "requests"))(
+    lambda s, d: _logged(s, d).select("event_id", "remote_addr", "type", "message", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("written")))
+query("s16_safe_names", sql("""SELECT set_id, CASE WHEN name IN (SELECT name FROM training_sets WHERE set_id % 3 = 0) THEN concat(name, '_', right(concat('uid-', set_id * 7919), 3)) ELSE name END AS name FROM (
+    SELECT set_id, CASE WHEN set_id % 2 = 0 THEN name ELSE concat('new ', name) END AS name FROM training_sets)""", "training_sets"))(
+    lambda s, d: (lambda t: labels.safe_names(t.selectExpr("set_id", "CASE WHEN set_id % 2 = 0 THEN name ELSE concat('new ', name) END AS name", "concat('uid-', set_id * 7919) AS uid"), t.where("set_id % 3 = 0").select("name")).select("set_id", "name"))(fx.training_sets(s, d)))
+STATUS = """SELECT uid, max(ts) AS last_seen, CAST(date_diff('second', max(ts), (SELECT max(ts) FROM requests)) AS BIGINT) AS idle_seconds FROM requests GROUP BY uid
+    HAVING arg_max(command, ts) <> 'logout' AND date_diff('second', max(ts), (SELECT max(ts) FROM requests)) <= 86400"""
+query("a27_session_status", sql(f"SELECT *, count(*) OVER () AS n_open FROM ({STATUS})", "requests"))(
+    lambda s, d: labels.session_status(fx.requests(s, d), 86400).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz")))
 
 # ---- survival
 KM = """SELECT "group", time, at_risk, events, censored, CASE WHEN ended = 1 THEN 0 ELSE exp(logs) END AS survival, CASE WHEN ended = 0 THEN exp(logs) * sqrt(green) END AS se,
@@ -127,7 +154,17 @@ query("f21_complete_flipped", sql("SELECT subject, price2 AS price, 1 - event AS
     lambda s, d: survival.complete(fx.survival(s, d).selectExpr("subject", "CASE WHEN odd = 1 THEN price END AS price", "event"), True))
 query("f22_rounding", sql("SELECT subject, round(round(price / pow(10, floor(log10(price))), 1) * pow(10, floor(log10(price))), 6) AS p, CAST(round(CAST(price AS DECIMAL(18, 4)), 2) AS DOUBLE) AS r FROM survival", "survival"))(
     lambda s, d: rounded(fx.survival(s, d).select("subject", survival.two_figures(F.col("price")).alias("p"), F.round(F.col("price").cast("decimal(18,4)"), 2).cast("double").alias("r"))))
-query("s12_survival_source", sql('SELECT subject, time, event, "group", price, odd FROM survival', "survival"))(lambda s, d: fx.survival(s, d))
+
+
+def _survival_file(s, d):
+    """A survival table with carriage returns in its header, as other systems write it."""
+    path = shared(s, "survival")
+    named = fx.survival(s, d).select("subject", "time", "event", F.col("group").alias(" group"), "price", F.col("odd").alias("odd\r"))
+    named.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("quoteAll", True).csv(path)
+    return files.read_survival(s, path).selectExpr("CAST(subject AS BIGINT) AS subject", "time", "event", "`group`", "CAST(price AS DOUBLE) AS price", "CAST(odd AS INT) AS odd")
+
+
+query("s12_survival_source", sql('SELECT subject, time, event, "group", CAST(price AS DOUBLE) AS price, odd FROM survival', "survival"))(_survival_file)
 
 
 def _covariates(s, d):
@@ -139,6 +176,9 @@ query("w9_risk_sums", sql("""SELECT time, deaths, round(r_w, 3) AS r_w, round(r_
     lambda s, d: rounded(survival.risk_sums(fx.survival(s, d), ["odd"], [0.5]).select("time", "deaths", "r_w", "r_x0"), 3))
 query("l14_cox_univariate")(lambda s, d: survival.cox_table(s, _covariates(s, d), ["price"]).union(survival.cox_table(s, _covariates(s, d), ["odd"])))
 query("l15_cox_multivariate")(lambda s, d: survival.cox_table(s, _covariates(s, d), ["price", "odd"]))
+query("j14_side_by_side", sql("""SELECT coalesce(a.variable, b.variable) AS variable, coalesce(a.n, 0) AS uni_n, coalesce(b.n, 0) AS multi_n FROM (SELECT slide AS variable, count(*) AS n FROM samples WHERE label = 1 GROUP BY 1) a
+    FULL JOIN (SELECT slide AS variable, count(*) AS n FROM samples WHERE label = 0 AND slide <> 'S03' GROUP BY 1) b ON a.variable = b.variable""", "samples"))(lambda s, d: survival.side_by_side(
+    *[fx.samples(s, d).where(w).groupBy(F.col("slide").alias("variable")).agg(F.count("*").alias("n")) for w in ("label = 1", "label = 0 AND slide <> 'S03'")]).na.fill(0))
 query("j14_cox_side_by_side")(lambda s, d: survival.side_by_side(
     survival.cox_table(s, _covariates(s, d), ["price"]).union(survival.cox_table(s, _covariates(s, d), ["odd"])), survival.cox_table(s, _covariates(s, d), ["price", "odd"])))
 

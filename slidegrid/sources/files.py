@@ -72,10 +72,33 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REGION_SCHEMA).option("mode", "DROPMALFORMED").csv(path).dropna("any")
 
 
-def read_survival(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A survival table with a header; carriage returns are no part of names."""
-    rows = spark.read.option("header", True).schema(schema).csv(path)
-    return rows.toDF(*[c.strip().replace("\r", "") for c in rows.columns])
+def read_slide_list(spark: SparkSession, path: str) -> DataFrame:
+    """Name: the first field of each line of a slide file."""
+    return spark.read.schema("name string").option("enforceSchema", True).csv(path).where("name IS NOT NULL")
+
+
+def with_kinds(rows: DataFrame, file_col: str) -> DataFrame:
+    """Rows with the kind of dataset that a file's name tells: spfeatures are regions, pofeatures cells, others nuclei."""
+    name = F.col(file_col)
+    return rows.withColumn("kind", F.when(name.contains("spfeatures"), "region").when(name.contains("pofeatures"), "cell").otherwise("nuclei"))
+
+
+def read_survival(spark: SparkSession, path: str) -> DataFrame:
+    """A survival table with a header: time, event, group if there is one, and covariates as text; blanks and carriage returns are no part of names."""
+    rows = spark.read.option("header", True).csv(path)
+    rows = rows.toDF(*[c.replace("\r", "").strip() for c in rows.columns])
+    return rows.withColumns({"time": F.col("time").try_cast("double"), "event": F.col("event").try_cast("int")})
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Append log rows (remote_addr, type, message, ts and others); rows without a message are left out, an address that is missing is UNKNOWN."""
+    address = F.when(F.coalesce("remote_addr", F.lit("")) == "", "UNKNOWN").otherwise(F.col("remote_addr"))
+    rows.where("message IS NOT NULL AND message <> ''").withColumn("remote_addr", address).write.mode("append").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str, more: str = "") -> DataFrame:
+    """A log; more: columns besides remote_addr, type, message and ts."""
+    return spark.read.schema(", ".join(x for x in ("remote_addr string, type string, message string, ts timestamp", more) if x)).parquet(path)
 
 
 def write_dataset(objects: DataFrame, path: str) -> None:

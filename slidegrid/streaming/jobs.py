@@ -44,15 +44,22 @@ def latest(rows: DataFrame) -> DataFrame:
 
 
 def take_labels(lines: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep a table of latest labels up to date; each batch is merged with what is there and written to a new version."""
-    def merge(batch: DataFrame, number: int) -> None:
-        new = latest(accepted(submissions(batch)))
-        spark = batch.sparkSession
-        if number:
-            new = latest(new.unionByName(spark.read.parquet(f"{table}/v={number - 1}")))
-        new.write.mode("overwrite").parquet(f"{table}/v={number}")
-
-    return lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Append each batch's latest labels as a version of its own; a batch that runs again replaces its version. current_labels() reads them."""
+    def keep(batch: DataFrame, number: int) -> None:
+        latest(accepted(submissions(batch))).write.mode("overwrite").parquet(f"{table}/v={number}")
+
+    return lines.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_labels(spark: SparkSession, table: str) -> DataFrame:
+    """The latest label of each object over all versions; later batches count more where iterations are equal."""
+    rows = spark.read.option("basePath", table).parquet(table)
+    return rows.groupBy("object_id").agg(F.max_by("label", F.struct("iteration", "v")).alias("label"), F.max("iteration").alias("iteration"))
+
+
+def compact_labels(spark: SparkSession, table: str, new: str) -> None:
+    """The current labels as the only version of a new table, for readers to turn to from time to time."""
+    current_labels(spark, table).write.mode("overwrite").parquet(f"{new}/v=0")
 
 
 def import_new(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str) -> StreamingQuery:

@@ -28,8 +28,10 @@ def test_label_intake_keeps_the_latest(spark, tmp_path):
     for k, text in enumerate([message(1, (1, 1), (2, -1)), "not json", message(2, (1, -1), (3, 7))]):
         (source / f"{k}.txt").write_text(text + "\n")
         jobs.take_labels(spark.readStream.text(str(source)), f"{tmp_path}/table", f"{tmp_path}/seen").awaitTermination()
-    rows = spark.read.parquet(f"{tmp_path}/table/v=2").select("object_id", "label").collect()
-    assert {(r.object_id, r.label) for r in rows} == {(1, -1), (2, -1)}
+    jobs.compact_labels(spark, f"{tmp_path}/table", f"{tmp_path}/compact")
+    for table in ("table", "compact"):
+        rows = jobs.current_labels(spark, f"{tmp_path}/{table}").collect()
+        assert {(r.object_id, r.label, r.iteration) for r in rows} == {(1, -1, 2), (2, -1, 1)}
 
 
 def test_log_counts_in_sliding_windows(spark):
