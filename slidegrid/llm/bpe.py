@@ -48,7 +48,7 @@ LATE = (
 #: Longer words are merged with a heap.
 HEAPED = 64
 #: Words that a worker remembers at most; then it starts anew.
-REMEMBERED = 3 << 18
+REMEMBERED = 1 << 18
 NEVER = np.int64(1) << 40
 
 

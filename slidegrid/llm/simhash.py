@@ -25,7 +25,7 @@ GROUP = 32_768
 #: Trie node pairs that are walked at a time.
 FRONTIER = 1 << 20
 #: Documents, about, of which the runs are counted to order them, and runs counted there that are kept.
-SAMPLE, COMMON = 20_000, 400_000
+SAMPLE, COMMON = 20_000, 100_000
 #: Runs that a task gathers in lists, about.
 LISTED = 1 << 18
 
@@ -263,21 +263,19 @@ def describe(docs: DataFrame, words: int, seed: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """name, shingles: each text's sorted distinct 64-bit hashes of its runs, as bytes; each text once for each task."""
+    """name, shingles: each text's distinct 64-bit hashes of its runs; each text once for each task, in batches of a few texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            names, sets = [], []
             for t in named_texts(batch.column(0), words, seed):
-                for name, own in zip(t.name.tolist(), t.runs, strict=True):
-                    if name not in seen:
-                        seen.add(name)
-                        names.append(name)
-                        sets.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["name", "shingles"])
+                fresh = [k for k, name in enumerate(t.name.tolist()) if not (name in seen or seen.add(name))]
+                sets = [t.runs[k].view(np.int64) for k in fresh]
+                offsets = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
+                values = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
+                yield pa.RecordBatch.from_arrays([pa.array(t.name[fresh], pa.int64()), pa.ListArray.from_arrays(offsets, values)], ["name", "shingles"])
 
-    return docs.select("text").mapInArrow(work, "name bigint, shingles binary")
+    return docs.select("text").mapInArrow(work, "name bigint, shingles array<bigint>")
 
 
 def common_runs(docs: DataFrame, words: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -453,18 +451,9 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, words: i
     some, _ = c.sieved(docs, wanted, "id")
     sets = checkpointed(shingle_sets(some.join(wanted, "id"), words, seed))
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9:
-                    common = int(c.among(x, y).sum())
-                    keep[i] = common >= similarity * (len(x) + len(y) - common) - 1e-9
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
     first, second = (sets.select(F.col("name").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    return kept.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(compared, "a bigint, b bigint").distinct()
+    both = kept.join(first, "a").join(second, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9).select("a", "b").distinct()
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, few: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

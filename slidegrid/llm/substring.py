@@ -17,7 +17,7 @@ LAST = (1 << 63) - 1
 ASK = "part int, bucket int, hashes binary, checks binary, base bigint, width int, ids binary"
 REPLY = "bucket int, hashes binary, checks binary"
 #: Documents and bytes of text of a bucket, about.
-MOST, BYTES = 4096, 1 << 25
+MOST, BYTES = 4096, 1 << 24
 
 
 def levels(window: int) -> list[int]:

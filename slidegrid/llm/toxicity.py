@@ -95,13 +95,15 @@ class Bags:
     """Sums of rows by owner and back: `items` are the rows' numbers, in the order of their owners, `sizes` how many each owner has."""
 
     def __init__(self, items: np.ndarray, sizes: np.ndarray, n_items: int, weight: np.ndarray) -> None:
-        self.items, self.weight = items, weight.astype(np.float32)
+        self.items, self.weight = items.astype(np.int32), weight.astype(np.float32)
         self.some, self.first = np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]
         self.n_owners, self.n_items = len(sizes), n_items
         order = np.argsort(items, kind="stable")
-        self.owner_by_item, self.weight_by_item = np.repeat(np.arange(len(sizes)), sizes)[order], self.weight[order]
-        self.item_first = c.runs(items[order])
-        self.held = items[order][self.item_first]
+        self.owner_by_item = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.weight_by_item = self.weight[order]
+        items = self.items[order]
+        self.item_first = c.runs(items)
+        self.held = items[self.item_first]
 
     def forward(self, values: np.ndarray) -> np.ndarray:
         """values has a row for each dimension."""
@@ -137,6 +139,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, steps: int = 30,
     if not 0 < y[learn].mean() < 1 or not 0 < y[~learn].mean() < 1:
         learn = np.ones(len(y), bool)
     used, where = np.unique(grams, return_inverse=True)
+    where = where.astype(np.int32)
+    del grams
     length = np.maximum(np.bincount(doc, count, len(y)), 1)
     of_word = Bags(where, per_word, len(used), np.repeat(1 / per_word, per_word))
     of_text = Bags(words, np.bincount(doc, minlength=len(y)), n_words, count / length[doc])
