@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,8 +177,39 @@ class _Powers:
 _UP, _DOWN = _Powers(_ODD), _Powers(_ODD_INVERSE)
 
 
+#: Words of at most so many bytes are hashed together, eight bytes at a time; longer ones go by XXH3 one by one.
+TOGETHER = 64
+_BYTES = np.array([*((1 << 8 * n) - 1 for n in range(9))], np.uint64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of slices of the bytes: the 128 bits by which equal words are told from others.
+
+    Each eight bytes go through a one-to-one mixing of either hash, so slices that differ in one such part never have
+    the same hash.
+    """
+    size = end - start
+    ahead = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    one, two = mix(size.astype(np.uint64) + _ODD), mix(size.astype(np.uint64) ^ np.uint64(0xA0761D6478BD642F))
+    live = np.flatnonzero((size > 0) & (size <= TOGETHER))
+    done = 0
+    while len(live):
+        part = ahead[start[live] + done] & _BYTES[np.minimum(size[live] - done, 8)]
+        one[live] = mix(one[live] ^ part * np.uint64(0xE7037ED1A0B428DB))
+        two[live] = mix((two[live] + part) * np.uint64(0x8EBC6AF09C88C6E3))
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size > TOGETHER).tolist():
+        whole = xxhash.xxh3_128_intdigest(data[start[i] : end[i]].tobytes())
+        one[i], two[i] = whole >> 64, whole & ((1 << 64) - 1)
+    return one, two
+
+
 def sums_before(data: np.ndarray, seed: int) -> np.ndarray:
-    """Sums of the bytes' codes times powers: slices of equal bytes differ by a power alone."""
+    """Sums of the bytes' codes times powers: slices of equal bytes differ by a power alone.
+
+    For features only: some words of a very regular form have equal hashes under every seed.
+    """
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_letters(seed)[data] * _UP.upto(len(data)), dtype=np.uint64, out=out[1:])
     return out

@@ -87,7 +87,7 @@ def stride(n_words: int) -> int:
 def word_hashes(words: list[str]) -> np.ndarray:
     data = np.frombuffer("\n".join(words).encode(), np.uint8)
     starts, ends, _ = c.words(data, np.array([0, len(data)]), APART)
-    return c.slice_hashes(c.sums_before(data, 21), starts, ends)
+    return c.word_hashes(data, starts, ends)[0]
 
 
 class Templates:
@@ -146,7 +146,7 @@ def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, int
     for a, b in c.steps(offsets):
         piece, places = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, first = c.words(piece, places, APART)
-        yield first, c.slice_hashes(c.sums_before(piece, 21), starts, ends), a, b
+        yield first, c.word_hashes(piece, starts, ends)[0], a, b
 
 
 def frequencies(docs: DataFrame, text_col: str, templates: tuple = TEMPLATES) -> dict[str, int]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,24 +22,41 @@ ADDED = (("provider", PROVIDERS, 0, 12, 0),)
 HINT = rf"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=])|AKIA[A-Z0-9]{{12}}|[0-9a-f]{{32}}|{PROVIDERS}"""
 #: From how many owners or repositories on a value counts as a copied example.
 OWNERS, REPOSITORIES = 3, 5
-SPAN = "struct<start:int,no:int,end:int,kind:string,value:string>"
+SPAN = "struct<start:int,no:int,end:int,kind:string,value:string,to:int>"
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _running(values: Column, neutral: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Each value joined with all before it, in log n passes over the array: pass k joins with what stands 2**k before."""
+    passes = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int") - 1)).otherwise(F.expr("CAST(array() AS array<int>)"))
+
+    def once(done: Column, k: Column) -> Column:
+        by = F.pow(F.lit(2), k).cast("int")
+        return F.zip_with(done, F.concat(F.array_repeat(neutral, by), F.slice(done, F.lit(1), F.greatest(F.size(done) - by, F.lit(0)))), join)
+
+    return F.aggregate(passes, values, once)
 
 
 def _spans(text: Column, no: int, kind: str, pattern: str, group: int, least: int, measured: int) -> Column:
-    """Spans of the leftmost non-overlapping matches, in code points: what lies between matches gives their places."""
+    """Spans of the leftmost non-overlapping matches, in code points and bytes: what lies between matches gives their places."""
     whole, inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    parts = F.arrays_zip(between.alias("gap"), whole.alias("whole"), inner.alias("inner"))
+    sizes = lambda gap, x: F.struct((F.length(gap) + F.coalesce(F.length(x), F.lit(0))).alias("chars"), (F.octet_length(gap) + F.coalesce(F.octet_length(x), F.lit(0))).alias("bytes"))
+    both = lambda x, y: F.struct((x["chars"] + y["chars"]).alias("chars"), (x["bytes"] + y["bytes"]).alias("bytes"))
+
+    def placed(p: Column) -> Column:
+        return _let(F.zip_with(p["gap"], p["whole"], sizes), lambda x: F.arrays_zip(_running(x, F.struct(F.lit(0).alias("chars"), F.lit(0).alias("bytes")), both).alias("to"), p["whole"].alias("whole"), p["inner"].alias("inner")))
 
-    def add(done: Column, x: Column) -> Column:
-        start = done["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["whole"]), F.lit(0))
-        fits = x["whole"].isNotNull() & (F.length(x["inner"] if measured else x["whole"]) >= least)
-        span = F.struct(start.alias("start"), F.lit(no).alias("no"), end.alias("end"), F.lit(kind).alias("kind"), x["inner"].alias("value"))
-        return F.struct(end.alias("at"), F.when(fits, F.concat(done["out"], F.array(span))).otherwise(done["out"]).alias("out"))
+    def span(x: Column) -> Column:
+        end = x["to"]["chars"]
+        return F.struct((end - F.length(x["whole"])).alias("start"), F.lit(no).alias("no"), end.alias("end"), F.lit(kind).alias("kind"), x["inner"].alias("value"), x["to"]["bytes"].alias("to"))
 
-    none = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS array<{SPAN}>)").alias("out"))
-    return F.aggregate(parts, none, add, lambda x: x["out"])
+    parts = _let(F.struct(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), inner.alias("inner")), placed)
+    fits = F.filter(parts, lambda x: x["whole"].isNotNull() & (F.length(x["inner"] if measured else x["whole"]) >= least))
+    return F.transform(fits, span)
 
 
 def candidates(text: Column) -> Column:
@@ -101,15 +120,21 @@ def written(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column, mark: str) -> Column:
-    """The text with the mark in place of each span's value; values that overlap have one mark."""
-    places = F.array_sort(F.transform(spans, lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"))))
+    """The text with the mark in place of each span's value; values that overlap have one mark.
+
+    Pieces are cut by places in bytes, each from where the values before it end at the latest, so the work grows with the text and not
+    with its square.
+    """
+    places = F.array_sort(F.transform(spans, lambda s: F.struct((s["to"] - F.octet_length(s["value"])).alias("start"), s["to"].alias("end"))))
+    cut = lambda whole, a, n: F.substring(whole, a + 1, n).cast("string")
 
-    def put(done: Column, x: Column) -> Column:
-        between = F.substring(text, done["at"] + 1, F.greatest(x["start"] - done["at"], F.lit(0)))
-        new = F.when(x["start"] >= done["at"], F.concat(done["out"], between, F.lit(mark))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), new.alias("out"))
+    def put(p: Column) -> Column:
+        ends = _running(F.transform(p["places"], lambda x: x["end"]), F.lit(0), lambda x, y: F.greatest(x, y))
+        last = F.coalesce(F.array_max(F.transform(p["places"], lambda x: x["end"])), F.lit(0))
+        each = F.zip_with(p["places"], F.concat(F.array(F.lit(0)), ends), lambda x, at: F.when(x["start"] >= at, F.concat(cut(p["text"], at, x["start"] - at), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(each, ""), cut(p["text"], last, F.octet_length(p["text"])))
 
-    return F.aggregate(places, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda x: F.concat(x["out"], F.substring(text, x["at"] + 1, F.length(text))))
+    return _let(F.struct(text.cast("string").cast("binary").alias("text"), places.alias("places")), put)
 
 
 def without_live_secrets(

@@ -230,7 +230,7 @@ def named_texts(column: pa.Array, words: int, seed: int) -> Iterator[Texts]:
     for a, b in c.steps(offsets):
         piece = data[offsets[a] : offsets[b]]
         starts, ends, first = c.words(piece, offsets[a : b + 1] - offsets[a])
-        h = c.slice_hashes(c.sums_before(piece, 31), starts, ends)
+        h, other = c.word_hashes(piece, starts, ends)
         place = (np.arange(len(h)) - first[np.repeat(np.arange(b - a), np.diff(first))]).astype(np.uint64)
         n = np.diff(first)
 
@@ -239,7 +239,7 @@ def named_texts(column: pa.Array, words: int, seed: int) -> Iterator[Texts]:
             return c.mix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64)).view(np.int64)
 
         name = whole(c.mix(h ^ np.uint64(seed)))
-        check = whole(c.slice_hashes(c.sums_before(piece, 37), starts, ends))
+        check = whole(other)
         runs = []
         for k in range(b - a):
             own = h[first[k] : first[k + 1]]

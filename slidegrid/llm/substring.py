@@ -41,8 +41,9 @@ class Bucket:
             lo = self.offsets[a]
             piece = self.data[lo : self.offsets[b]]
             s, e, f = c.words(piece, self.offsets[a : b + 1] - lo)
-            hashes.append(c.slice_hashes(c.sums_before(piece, 1), s, e))
-            others.append(c.slice_hashes(c.sums_before(piece, 2), s, e) if checked else hashes[-1])
+            one, two = c.word_hashes(piece, s, e)
+            hashes.append(one)
+            others.append(two if checked else one)
             firsts.append(f[1:] + firsts[-1][-1])
             starts.append(s + lo)
             ends.append(e + lo)
