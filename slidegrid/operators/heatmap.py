@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slidegrid.functions.boundaries import bound
+from slidegrid.sources import published
 from slidegrid.sources.shared import checkpointed
 
 CELL, SIGMA, BINS, SHARE = 40, 3.5, 20, 0.9
@@ -120,10 +120,5 @@ def ranked(maps: DataFrame) -> DataFrame:
 
 
 def heatmap_set(spark: SparkSession, path: str, iteration: int, make: Callable[[], DataFrame]) -> DataFrame:
-    """The maps of all slides for the labels of this iteration: read if they were written before, else made and written."""
-    place = f"{path}/iteration={iteration}"
-    try:
-        return spark.read.parquet(place)
-    except AnalysisException:  # no such folder yet
-        make().write.mode("overwrite").parquet(place)
-    return spark.read.parquet(place)
+    """The maps of all slides for the labels of this iteration: read if they were finished before, else made, written aside and published."""
+    return spark.read.parquet(published.kept(spark, path, f"heatmaps of iteration {iteration}", lambda place: make().write.parquet(place)))

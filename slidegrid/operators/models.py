@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
 from pyspark.ml import Model
-from pyspark.ml.classification import LinearSVC, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slidegrid.operators import counts, sampling
+from slidegrid.sources import published
+from slidegrid.sources.shared import checkpointed
 
 
 class Sampler(Protocol):
@@ -76,6 +79,42 @@ def scored(model: Model, objects: DataFrame, keep: list[str]) -> DataFrame:
     return model.transform(rows).select(*keep, (2 * p - 1).alias("score"), F.when(2 * p - 1 < 0, -1).otherwise(1).alias("predicted"))
 
 
+def stored(spark: SparkSession, root: str, training_set: str, iteration: int, make: Callable[[], Model]) -> str:
+    """The folder of the classifier of a training set at an iteration. It is trained by `make` once, and read ever after."""
+    return published.kept(spark, root, f"{training_set} at iteration {iteration}", lambda place: make().write().save(place))
+
+
+def applied(place: str, objects: DataFrame, slide: str, left: float, right: float, top: float, bottom: float, keep: list[str]) -> DataFrame:
+    """Score and class of the objects of a viewport by a stored forest. Slide and bounds come first, so they reach the scan; only what is left is scored."""
+    seen = objects.where((F.col("slide") == slide) & F.col("x_centroid").between(left, right) & F.col("y_centroid").between(top, bottom))
+    return scored(RandomForestClassificationModel.load(place), seen, keep)
+
+
+def leaf_votes(spark: SparkSession, place: str) -> DataFrame:
+    """L3: tree, leaf, vote of a stored forest: the class that most training samples of the leaf have. Leaves are numbered as transform() numbers them.
+
+    At most trees * 2 ** depth rows.
+    """
+    nodes = spark.read.parquet(f"{place}/data").select(F.col("treeID").alias("tree"), "nodeData.*").where("leftChild < 0")
+    leaf = F.row_number().over(Window.partitionBy("tree").orderBy("id")) - 1
+    return nodes.select("tree", leaf.alias("leaf"), F.col("prediction").cast("int").alias("vote"))
+
+
+def voted(spark: SparkSession, place: str, objects: DataFrame, keep: list[str]) -> DataFrame:
+    """L2, L3: score 2 p - 1 of each object and its class, where p is the share of a stored forest's trees that vote for the positive class.
+
+    The leaf table, bounded by the forest's size, goes to every task as one array for each tree; votes are looked up where the objects are.
+    """
+    model = RandomForestClassificationModel.load(place).setLeafCol("leaves")
+    trees = leaf_votes(spark, place).groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("leaf", "vote"))).alias("leaves"))
+    table = trees.agg(F.transform(F.sort_array(F.collect_list(F.struct("tree", F.transform("leaves", lambda x: x["vote"]).alias("votes")))), lambda x: x["votes"]).alias("table"))
+    rows = objects.select(*keep, array_to_vector(F.col("features").cast("array<double>")).alias("vector"))
+    leaves = model.transform(rows).select(*keep, vector_to_array("leaves").alias("leaves")).crossJoin(F.broadcast(table))
+    votes = F.aggregate(F.zip_with("leaves", "table", lambda leaf, votes: F.get(votes, leaf.cast("int"))), F.lit(0), lambda a, x: a + x)
+    score = 2 * votes / F.size("table") - 1
+    return leaves.select(*keep, score.alias("score"), F.when(score < 0, -1).otherwise(1).alias("predicted"))
+
+
 def waves(features: Column, dims: int, n: int = 128, gamma: float | None = None, seed: int = 1) -> Column:
     """Random Fourier features of a radial kernel: cosines of random projections."""
     rng = np.random.default_rng(seed)
@@ -105,6 +144,34 @@ def active_round(objects: DataFrame, samples: DataFrame, dims: int, n: int = 8,
     return sampler(scored(model, rest, ["object_id"]), n, seed)
 
 
+def resolved(objects: DataFrame, submitted: DataFrame) -> DataFrame:
+    """The submitted labels (object_id, label) of objects that exist, with their features; other rows and labels are left out, of several labels the largest counts."""
+    valid = submitted.where("label IN (-1, 0, 1)").groupBy("object_id").agg(F.max("label").alias("label"))
+    return objects.select("object_id", "features").join(valid, "object_id")
+
+
+def active_rounds(
+    objects: DataFrame, samples: DataFrame, answers: Callable[[DataFrame, int], DataFrame], dims: int, rounds: int = 5, n: int = 8, seed: int = 1, sampler: Sampler = uncertain, trees: int = 100
+) -> tuple[DataFrame, DataFrame]:
+    """Iteration, object_id, score of what each round chose, and all samples after the last round, with their iterations.
+
+    A round trains on the samples so far, scores the objects that are left, and chooses n; `answers` gives the labels of
+    what was chosen (object_id, label), which are resolved to objects and join the samples; objects that were chosen and stay without a valid
+    label are not chosen again. Samples and choices are written to the shared folder after each round, so the plan of the
+    last round is that of the first. Objects are read in each round and never rewritten.
+    """
+    samples = checkpointed(samples.select("object_id", "features", "label", F.lit(0).alias("iteration")))
+    chosen = checkpointed(samples.where("false").select(F.lit(0).alias("iteration"), "object_id", F.lit(0.0).alias("score")))
+    for k in range(1, rounds + 1):
+        model = forest(samples, dims, seed + k, trees)
+        rest = objects.join(samples.select("object_id").union(chosen.select("object_id")), "object_id", "left_anti")
+        batch = checkpointed(sampler(scored(model, rest, ["object_id"]), n, seed + k))
+        new = resolved(objects, answers(batch, k).join(batch.select("object_id"), "object_id", "left_semi"))
+        samples = checkpointed(samples.unionByName(new.withColumn("iteration", F.lit(k))))
+        chosen = checkpointed(chosen.unionByName(batch.select(F.lit(k).alias("iteration"), "object_id", "score")))
+    return chosen, samples
+
+
 def next_batch(pending: DataFrame, fresh: DataFrame, submitted: DataFrame) -> DataFrame:
     """K9: uid, iteration, object_id, resent: what each session gets next.
 
@@ -127,5 +194,5 @@ def roc_report(samples: DataFrame) -> DataFrame:
 
 
 def folds(samples: DataFrame, n: int = 5, seed: int = 1) -> DataFrame:
-    """A fold for each sample: random by a hash of id and seed, so no task has to hold all of them."""
-    return samples.select("object_id", F.pmod(F.xxhash64("object_id", F.lit(seed)), F.lit(n)).cast("int").alias("fold"))
+    """A fold for each sample: its place in a random order, modulo n; so sizes differ by one at most."""
+    return sampling.ranked_at_random(samples, seed).select("object_id", (F.col("rank") % n).cast("int").alias("fold"))

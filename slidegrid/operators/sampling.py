@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def shuffled(seed: int) -> Column:
-    """A number that orders ids at random, the same in any SQL engine: a linear congruence of the id."""
-    return F.expr(f"((object_id % 1000003) * 7919 + {seed}) % 1000003")
+    """What orders ids at random, the same in any SQL engine: a digest of seed and id. Other seeds give orders that have nothing in common."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col("object_id").cast("string")).cast("binary"))
+
+
+def share_end(percent: float) -> str:
+    """Of random digests this share is smaller."""
+    return f"{int(percent / 100 * (1 << 48)):012x}" if percent < 100 else "g"
 
 
 def most_uncertain(objects: DataFrame, n: int, score: str = "score") -> DataFrame:
@@ -33,7 +38,7 @@ def weighted_uncertain(objects: DataFrame, weights: DataFrame, n: int) -> DataFr
 
 def uncertain_of_share(objects: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
     """K5: most uncertain of a random share of the objects, chosen by the hash order."""
-    return most_uncertain(objects.where(shuffled(seed) % 100 < percent), n)
+    return most_uncertain(objects.where(shuffled(seed) < share_end(percent)), n)
 
 
 #: Upper ends of the score bins.
@@ -68,6 +73,22 @@ def random_objects(objects: DataFrame, n: int, seed: int) -> DataFrame:
     return objects.orderBy(shuffled(seed), "object_id").limit(n).select("object_id")
 
 
+def ranked_at_random(objects: DataFrame, seed: int, deal: int = 10_000) -> DataFrame:
+    """object_id, rank: every object's place, from 0, in a random order of all of them; equal ids stand together.
+
+    Digests fall into ranges of about `deal` objects, whose counts give each range's first place; so no task orders more than a range.
+    """
+    n = objects.count()
+    digits = 1
+    while 16**digits * deal < n:
+        digits += 1
+    dealt = objects.select("object_id", shuffled(seed).alias("h")).withColumn("part", F.substring("h", 1, digits))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = dealt.groupBy("part").agg(F.count("*").alias("c")).select("part", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("h", "object_id")) - 1
+    return dealt.join(parts, "part").select("object_id", (F.col("before") + own).alias("rank"))
+
+
 def strata(objects: DataFrame, n_strata: int, n_group: int) -> DataFrame:
     """Of each predicted class, n_strata groups of n_group objects at evenly spread ranks of the score.
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slidegrid.sources.shared import checkpointed
+
 
 def kaplan_meier(subjects: DataFrame) -> DataFrame:
     """For each group and distinct time at risk, events, censored, survival and standard errors.
@@ -159,18 +163,76 @@ def cox(rows: DataFrame, columns: list[str], most: int = 25, tolerance: float =
     return {"beta": beta, "se": np.sqrt(np.diag(np.linalg.inv(curve))), "converged": converged, "log_likelihood": value}
 
 
-def cox_table(spark, rows: DataFrame, columns: list[str], z: float = 1.959963984540054) -> DataFrame:
-    """One row for each covariate: hazard ratio, its 95 % interval and Wald's p."""
-    from math import erfc, exp, sqrt
+def cox_each(rows: DataFrame, columns: list[str], most: int = 25, tolerance: float = 1e-7) -> dict[str, dict]:
+    """The Cox models, with Efron's ties, of every covariate by itself, all in the same jobs.
 
-    fit = cox(rows, columns)
-    out = [
-        (c, exp(b), exp(b - z * s), exp(b + z * s), erfc(abs(b / s) / sqrt(2)), fit["converged"])
-        for c, b, s in zip(columns, fit["beta"].tolist(), fit["se"].tolist(), strict=True)
-    ]
+    A long table has a row for each subject and covariate. Each Newton step is one aggregation over it for all covariates that have not converged
+    yet; three numbers for each of them reach the driver. Each covariate halves its own step and ends by itself.
+    """
+    long = rows.select("time", F.col("event").cast("int").alias("event"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v"))
+    long = checkpointed(long.select("time", "event", "v.c", "v.x"))
+    cuts = time_cuts(rows)
+    part = F.size(F.filter(F.array(*[F.lit(float(t)) for t in cuts]), lambda t: t <= F.col("time"))) if cuts else F.lit(0)
+    sums = {"w": F.col("w"), "wx": F.col("w") * F.col("x"), "wxx": F.col("w") * F.col("x") * F.col("x")}
+    dead = F.col("event") == 1
+
+    def figures(beta: dict[str, float]) -> dict[str, tuple[float, float, float]]:
+        betas = F.broadcast(rows.sparkSession.createDataFrame(list(beta.items()), "c string, b double"))
+        weighed = long.join(betas, "c").withColumn("w", F.exp(F.col("x") * F.col("b")))
+        by_time = weighed.groupBy("c", "b", "time", part.alias("part")).agg(
+            *[F.sum(v).alias(f"r_{k}") for k, v in sums.items()], *[F.sum(F.when(dead, v).otherwise(0.0)).alias(f"d_{k}") for k, v in sums.items()],
+            F.sum(F.when(dead, F.col("x")).otherwise(0.0)).alias("s"), F.count_if(dead).alias("deaths"),
+        )
+        beyond = Window.partitionBy("c").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+        ranges = by_time.groupBy("c", "part").agg(*[F.sum(f"r_{k}").alias(f"r_{k}") for k in sums])
+        ranges = ranges.select("c", "part", *[F.coalesce(F.sum(f"r_{k}").over(beyond), F.lit(0.0)).alias(f"o_{k}") for k in sums])
+        later = Window.partitionBy("c", "part").orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
+        within = by_time.select("c", "b", "part", "deaths", "s", *[F.sum(f"r_{k}").over(later).alias(f"r_{k}") for k in sums], *[f"d_{k}" for k in sums])
+        risk = within.where("deaths > 0").join(ranges, ["c", "part"]).withColumn("l", F.explode(F.expr("sequence(0, CAST(deaths AS INT) - 1)")))
+        of = lambda k: F.col(f"r_{k}") + F.col(f"o_{k}") - F.col("l") / F.col("deaths") * F.col(f"d_{k}")
+        first = F.when(F.col("l") == 0, F.col("s")).otherwise(0.0)
+        got = risk.groupBy("c").agg(
+            F.sum(first * F.col("b") - F.ln(of("w"))).alias("value"), F.sum(first - of("wx") / of("w")).alias("slope"), F.sum(of("wxx") / of("w") - F.pow(of("wx") / of("w"), 2)).alias("curve"),
+        )
+        return {r.c: (r.value, r.slope, r.curve) for r in got.collect()}
+
+    beta = dict.fromkeys(columns, 0.0)
+    at = {c: v for c, v in figures(beta).items() if v[2] > 0}
+    step = {c: v[1] / v[2] for c, v in at.items()}
+    taken, halved, converged = dict.fromkeys(at, 0), dict.fromkeys(at, 0), set()
+    while live := [c for c in at if c not in converged and taken[c] < most]:
+        new = figures({c: beta[c] + step[c] for c in live})
+        for c in live:
+            if new[c][0] < at[c][0] - 1e-12 and halved[c] < 10:
+                step[c] /= 2
+                halved[c] += 1
+                continue
+            if abs(new[c][0] - at[c][0]) < tolerance * (abs(at[c][0]) + tolerance):
+                converged.add(c)
+            beta[c] += step[c]
+            at[c], step[c] = new[c], new[c][1] / new[c][2] if new[c][2] > 0 else 0.0
+            taken[c] += 1
+            halved[c] = 0
+    return {c: {"beta": beta[c], "se": at[c][2] ** -0.5 if c in at and at[c][2] > 0 else float("nan"), "converged": c in converged} for c in columns}
+
+
+def wald(spark: SparkSession, fits: dict[str, tuple[float, float, bool]], z: float = 1.959963984540054) -> DataFrame:
+    """One row for each covariate: hazard ratio, its 95 % interval and Wald's p, from its coefficient, error, and whether it converged."""
+    out = [(c, math.exp(b), math.exp(b - z * s), math.exp(b + z * s), math.erfc(abs(b / s) / math.sqrt(2)), ok) for c, (b, s, ok) in fits.items()]
     return spark.createDataFrame(out, "variable string, hazard_ratio double, low double, high double, p double, converged boolean")
 
 
+def cox_each_table(spark: SparkSession, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Hazard ratio, interval and p of each covariate by itself."""
+    return wald(spark, {c: (f["beta"], f["se"], f["converged"]) for c, f in cox_each(rows, columns).items()})
+
+
+def cox_table(spark: SparkSession, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Hazard ratio, interval and p of each covariate in the model of all."""
+    fit = cox(rows, columns)
+    return wald(spark, {c: (b, s, fit["converged"]) for c, b, s in zip(columns, fit["beta"].tolist(), fit["se"].tolist(), strict=True)})
+
+
 def side_by_side(one: DataFrame, other: DataFrame) -> DataFrame:
     """Two tables by variable, the columns of either with its own prefix."""
     left = one.select("variable", *[F.col(c).alias(f"uni_{c}") for c in one.columns if c != "variable"])

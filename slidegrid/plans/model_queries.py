@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from slidegrid import fixtures as fx
 from slidegrid.fixtures import sql
 from slidegrid.functions import boundaries as b
-from slidegrid.operators import counts, models
-from slidegrid.plans.registry import query, rounded
+from slidegrid.operators import counts, models, svm
+from slidegrid.plans.registry import query, rounded, shared
 from slidegrid.sources import files
 from slidegrid.streaming import jobs
 
@@ -44,16 +44,50 @@ query("l2_classify")(lambda s, d: _scored(s, d).select("object_id", "predicted")
 query("l3_score")(lambda s, d: _scored(s, d).select("object_id", "score"))
 
 
+def _stored(s, d, root=None, make=None):
+    """The folder of the forest of the known vectors."""
+    return models.stored(s, root or shared(s, "models"), "known", 1, make or (lambda: models.forest(known(s, d), DIMS)))
+
+
+query("l3_votes")(lambda s, d: models.voted(s, _stored(s, d), vectors(s, d), ["object_id"]))
+
+
 def _margins(s, d):
-    model, n = models.svm(known(s, d), DIMS)
-    return models.margins(model, n, vectors(s, d), DIMS, ["object_id"])
+    return svm.margins(svm.fitted(known(s, d), DIMS), vectors(s, d), ["object_id"])
 
 
 query("l4_svm")(lambda s, d: _margins(s, d).groupBy("predicted").agg(F.count("*").alias("n")))
 query("l5_svm_margin")(_margins)
+
+
+def _fourier_margins(s, d):
+    model, n = models.svm(known(s, d), DIMS)
+    return models.margins(model, n, vectors(s, d), DIMS, ["object_id"])
+
+
+query("l4_svm_fourier")(lambda s, d: _fourier_margins(s, d).groupBy("predicted").agg(F.count("*").alias("n")))
 query("l6_samplers")(lambda s, d: (lambda scored: functools.reduce(
     DataFrame.unionByName, [f(scored, 8, 3).select(F.lit(n).alias("sampler"), "object_id") for n, f in models.SAMPLERS.items()]))(_scored(s, d)))
 query("l7_apply_to_slide")(lambda s, d: models.scored(models.forest(known(s, d), DIMS), vectors(s, d).where("slide = 'S02'"), ["object_id"]))
+
+
+def placed(s, d):
+    """Vectors at places on their slides."""
+    return vectors(s, d).selectExpr("*", "CAST(object_id * 37 % 2000 AS DOUBLE) AS x_centroid", "CAST(object_id * 53 % 1600 AS DOUBLE) AS y_centroid")
+
+
+def _stored_on_viewport(s, d):
+    """The first call trains and publishes; the second one finds the classifier, and would fail if it trained."""
+    root = shared(s, "models")
+    _stored(s, d, root)
+
+    def never():
+        raise AssertionError("trained again")
+
+    return models.applied(_stored(s, d, root, never), placed(s, d), "S02", 400, 1600, 300, 1200, ["object_id", "x_centroid", "y_centroid"])
+
+
+query("l7_stored_on_viewport")(_stored_on_viewport)
 query("l8_scored_dataset")(lambda s, d: _scored(s, d).withColumnRenamed("score", "pred_score"))
 query("l9_score_map", sql("SELECT score, x_centroid AS x, y_centroid AS y FROM objects WHERE slide = 'S06'", "objects"))(
     lambda s, d: fx.objects(s, d).where("slide = 'S06'").select("score", F.col("x_centroid").alias("x"), F.col("y_centroid").alias("y")))
@@ -63,9 +97,10 @@ query("l10_roc", sql("""SELECT 'label' AS kind, object_id, CAST(label AS DOUBLE)
       SELECT count(*) FILTER (label = 1 AND score >= 0) AS tp, count(*) FILTER (label = -1 AND score >= 0) AS fp, count(*) FILTER (label = -1 AND score < 0) AS tn, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = -1) AS n FROM samples))""", "samples"))(
     lambda s, d: rounded(models.roc_report(fx.samples(s, d))))
 query("l11_active_round")(lambda s, d: models.active_round(vectors(s, d), known(s, d), DIMS))
+query("l11_active_rounds")(lambda s, d: models.active_rounds(vectors(s, d), known(s, d), lambda batch, k: vectors(s, d).join(batch.select("object_id"), "object_id").select("object_id", "label"), DIMS, trees=20)[0])
 query("l13_class_names", sql("SELECT DISTINCT label, CASE label WHEN 1 THEN 'positive' WHEN -1 THEN 'negative' ELSE 'ignored' END AS name FROM samples", "samples"))(
     lambda s, d: fx.samples(s, d).select("label").distinct().withColumn("name", F.when(F.col("label") == 1, "positive").when(F.col("label") == -1, "negative").otherwise("ignored")))
-query("w2_folds")(lambda s, d: models.folds(fx.samples(s, d)))
+query("w2_folds", sql("SELECT object_id, CAST((row_number() OVER (ORDER BY md5(concat('1:', object_id)), object_id) - 1) % 5 AS INTEGER) AS fold FROM samples", "samples"))(lambda s, d: models.folds(fx.samples(s, d)))
 TOP8 = "SELECT slide AS uid, {0} AS iteration, object_id FROM (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY abs(score), object_id) AS k FROM {1}) WHERE k <= 8"
 
 

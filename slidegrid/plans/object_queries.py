@@ -10,7 +10,7 @@ from slidegrid.operators import counts, heatmap, sampling, spatial
 from slidegrid.plans.registry import query, rounded, shared
 
 LABEL_SQL = "CASE WHEN score < 0 THEN -1 ELSE 1 END"
-HASH_SQL = "(((object_id % 1000003) * 7919 + {seed}) % 1000003)"
+HASH_SQL = "md5(concat('{seed}:', object_id))"
 
 
 query("a1_slide_counts", sql("""SELECT s.name AS slide, count(o.object_id) FILTER (o.score >= 0) AS n_positive,
@@ -125,7 +125,7 @@ query("k3_tied_uncertain", sql(f"SELECT object_id, score_tied AS score FROM obje
 query("k4_weighted_uncertain", sql("""SELECT object_id, rank_by FROM (SELECT object_id, round(abs(score) + coalesce(w, 0), 9) AS rank_by FROM objects LEFT JOIN
     (SELECT slide, count(*) / (SELECT count(*) FROM samples) AS w FROM samples GROUP BY slide) USING (slide)) ORDER BY rank_by, object_id LIMIT 8""", "samples"))(
     lambda s, d: sampling.weighted_uncertain(fx.objects(s, d), counts.slide_weights(fx.samples(s, d)), 8))
-query("k5_uncertain_of_share", sql(f"SELECT object_id, score FROM objects WHERE {HASH_SQL.format(seed=5)} % 100 < 10 ORDER BY abs(score), object_id LIMIT 8", "objects"))(
+query("k5_uncertain_of_share", sql(f"SELECT object_id, score FROM objects WHERE {HASH_SQL.format(seed=5)} < '{sampling.share_end(10)}' ORDER BY abs(score), object_id LIMIT 8", "objects"))(
     lambda s, d: sampling.uncertain_of_share(fx.objects(s, d), 8, 10, 5))
 BIN_SQL = "CASE " + " ".join(f"WHEN score <= {e} THEN {i}" for i, e in enumerate(sampling.BIN_ENDS)) + " END"
 query("k6_one_of_each_bin", sql(f"""SELECT a.asks AS score_bin, r.object_id, r.score FROM (SELECT asks, bin, row_number() OVER (PARTITION BY bin ORDER BY away, asks) AS k FROM (

@@ -174,13 +174,13 @@ def _covariates(s, d):
 query("w9_risk_sums", sql("""SELECT time, deaths, round(r_w, 3) AS r_w, round(r_x0, 3) AS r_x0 FROM (SELECT time, CAST(sum(event) AS BIGINT) AS deaths,
     sum(sum(exp(odd * 0.5))) OVER (ORDER BY time DESC) AS r_w, sum(sum(odd * exp(odd * 0.5))) OVER (ORDER BY time DESC) AS r_x0 FROM survival GROUP BY time) WHERE deaths > 0""", "survival"))(
     lambda s, d: rounded(survival.risk_sums(fx.survival(s, d), ["odd"], [0.5]).select("time", "deaths", "r_w", "r_x0"), 3))
-query("l14_cox_univariate")(lambda s, d: survival.cox_table(s, _covariates(s, d), ["price"]).union(survival.cox_table(s, _covariates(s, d), ["odd"])))
+query("l14_cox_univariate")(lambda s, d: survival.cox_each_table(s, _covariates(s, d), ["price", "odd"]))
 query("l15_cox_multivariate")(lambda s, d: survival.cox_table(s, _covariates(s, d), ["price", "odd"]))
 query("j14_side_by_side", sql("""SELECT coalesce(a.variable, b.variable) AS variable, coalesce(a.n, 0) AS uni_n, coalesce(b.n, 0) AS multi_n FROM (SELECT slide AS variable, count(*) AS n FROM samples WHERE label = 1 GROUP BY 1) a
     FULL JOIN (SELECT slide AS variable, count(*) AS n FROM samples WHERE label = 0 AND slide <> 'S03' GROUP BY 1) b ON a.variable = b.variable""", "samples"))(lambda s, d: survival.side_by_side(
     *[fx.samples(s, d).where(w).groupBy(F.col("slide").alias("variable")).agg(F.count("*").alias("n")) for w in ("label = 1", "label = 0 AND slide <> 'S03'")]).na.fill(0))
 query("j14_cox_side_by_side")(lambda s, d: survival.side_by_side(
-    survival.cox_table(s, _covariates(s, d), ["price"]).union(survival.cox_table(s, _covariates(s, d), ["odd"])), survival.cox_table(s, _covariates(s, d), ["price", "odd"])))
+    survival.cox_each_table(s, _covariates(s, d), ["price", "odd"]), survival.cox_table(s, _covariates(s, d), ["price", "odd"])))
 
 # ---- boundaries
 POINTS = "list_transform(string_split(boundary, ' '), lambda p: struct_pack(x := CAST(string_split(p, ',')[1] AS DOUBLE), y := CAST(string_split(p, ',')[2] AS DOUBLE)))"

@@ -2,13 +2,18 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from slidegrid import fixtures as fx
-from slidegrid.operators import models, pixels, sampling
+from slidegrid.operators import models, pixels, sampling, survival, svm
+from slidegrid.sources import published
 
 SF = "/root/testdata/sf0.001"
 
@@ -126,5 +131,168 @@ def test_samplers_by_name(spark):
 
 
 def test_folds_are_even(spark):
-    n = models.folds(spark.range(5000).selectExpr("id AS object_id")).groupBy("fold").count().toPandas()
-    assert len(n) == 5 and n["count"].between(850, 1150).all()
+    """Sizes differ by one at most, with ranges of few and of many objects."""
+    ids = spark.range(5003).selectExpr("id * 7 AS object_id")
+    n = models.folds(ids).groupBy("fold").count().toPandas()
+    assert len(n) == 5 and n["count"].max() - n["count"].min() <= 1
+    ranks = [sampling.ranked_at_random(ids, 4, deal).orderBy("object_id").toPandas()["rank"].tolist() for deal in (10_000, 3)]
+    assert ranks[0] == ranks[1] and sorted(ranks[0]) == list(range(5003))
+
+
+def test_random_orders_of_other_seeds_are_independent(spark):
+    """Ids that are chosen together by one seed are not by another, neighbours and ids a fixed step apart neither."""
+    ids = spark.range(4000).selectExpr("id * 1000003 AS object_id").union(spark.range(4000).selectExpr("id AS object_id"))
+    chosen = [{r.object_id for r in sampling.random_objects(ids, 800, seed).collect()} for seed in range(4)]
+    assert all(len(c) >= 799 for c in chosen)
+    shared = [len(a & b) for i, a in enumerate(chosen) for b in chosen[:i]]
+    assert all(40 < n < 125 for n in shared)
+    ranks = [dict(sampling.ranked_at_random(ids.distinct(), s).collect()) for s in (1, 2)]
+    pairs = [(i, i + 1) for i in range(0, 3999)]
+    gaps = [[abs(r[a] - r[b]) for a, b in pairs] for r in ranks]
+    assert abs(np.corrcoef(gaps[0], gaps[1])[0, 1]) < 0.1
+    near = [sum(g < 80 for g in gap) for gap in gaps]
+    assert all(n < 200 for n in near)
+    share = ids.where(sampling.shuffled(9) < sampling.share_end(10)).count()
+    assert 650 < share < 950 and ids.where(sampling.shuffled(9) < sampling.share_end(100)).count() == 8000
+
+
+def test_vote_shares(spark, apart, tmp_path):
+    """Against each tree's own prediction, and against SQL over the exported leaf table."""
+    place = models.stored(spark, str(tmp_path), "circle", 1, lambda: models.forest(apart.where("object_id % 2 = 0"), 4, trees=15, depth=5))
+    objects = apart.where("object_id % 2 = 1")
+    got = {r.object_id: (r.score, r.predicted) for r in models.voted(spark, place, objects, ["object_id"]).collect()}
+    model = RandomForestClassificationModel.load(place)
+    for r in objects.collect():
+        votes = [t.predict(Vectors.dense(r.features)) for t in model.trees]
+        score = 2 * sum(votes) / 15 - 1
+        assert got[r.object_id] == (pytest.approx(score), -1 if score < 0 else 1)
+    table = models.leaf_votes(spark, place).toPandas()  # noqa: F841
+    assert table.groupby("tree").size().tolist() == [t.numNodes // 2 + 1 for t in model.trees]
+    rows = model.setLeafCol("leaves").transform(models.prepared(objects)).select("object_id", vector_to_array("leaves").alias("leaves")).toPandas()
+    each = rows.explode("leaves").assign(tree=lambda x: x.groupby("object_id").cumcount())  # noqa: F841
+    want = duckdb.sql("SELECT object_id, 2 * sum(vote) / count(*) - 1 AS score FROM each JOIN \"table\" t ON each.tree = t.tree AND each.leaves = t.leaf GROUP BY 1").fetchall()
+    assert {i: pytest.approx(s) for i, s in want} == {i: s for i, (s, _) in got.items()}
+
+
+def test_classifiers_are_trained_once(spark, apart, tmp_path):
+    """Each training set and iteration has its own; what a lost writer left is not read."""
+    made = []
+
+    def make(k):
+        made.append(k)
+        return models.forest(apart, 4, trees=3 + k, depth=3)
+
+    root = str(tmp_path)
+    first = models.stored(spark, root, "a", 1, lambda: make(1))
+    assert models.stored(spark, root, "a", 1, lambda: make(1)) == first and made == [1]
+    assert models.stored(spark, root, "a", 2, lambda: make(2)) != first
+    assert models.stored(spark, root, "b", 1, lambda: make(3)) != first and made == [1, 2, 3]
+    with pytest.raises(ZeroDivisionError):
+        models.stored(spark, root, "c", 1, lambda: 1 / 0)
+    place = models.stored(spark, root, "c", 1, lambda: make(4))
+    assert RandomForestClassificationModel.load(place).getNumTrees == 7
+
+
+def test_writers_that_race(spark, tmp_path):
+    """The result that was published first is everyone's."""
+    root = str(tmp_path)
+
+    def slow(place):
+        published.kept(spark, root, "k", lambda other: spark.range(1).write.parquet(other))
+        spark.range(2).write.parquet(place)
+
+    place = published.kept(spark, root, "k", slow)
+    assert spark.read.parquet(place).count() == 1 and published.place_of(spark, root, "k") == place and published.place_of(spark, root, "other") is None
+
+
+def test_viewport_of_a_stored_classifier(spark, apart, tmp_path):
+    """Bounds reach the scan, and only what is in the viewport is scored."""
+    objects = apart.selectExpr("*", "concat('S', object_id % 3) AS slide", "CAST(object_id AS DOUBLE) AS x_centroid", "CAST(object_id % 50 AS DOUBLE) AS y_centroid")
+    objects.write.partitionBy("slide").parquet(f"{tmp_path}/objects")
+    stored_objects = spark.read.parquet(f"{tmp_path}/objects")
+    place = models.stored(spark, f"{tmp_path}/m", "circle", 1, lambda: models.forest(apart, 4, trees=5, depth=4))
+    found = models.applied(place, stored_objects, "S1", 100, 300, 10, 30, ["object_id"])
+    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "GreaterThanOrEqual(x_centroid,100.0)" in plan and "LessThanOrEqual(y_centroid,30.0)" in plan and "PartitionFilters: [isnotnull(slide" in plan
+    want = {r.object_id: r.score for r in models.scored(RandomForestClassificationModel.load(place), apart, ["object_id"]).collect() if r.object_id % 3 == 1 and 100 <= r.object_id <= 300 and 10 <= r.object_id % 50 <= 30}
+    assert {r.object_id: r.score for r in found.collect()} == want
+
+
+def test_active_rounds(spark, apart):
+    """Five rounds choose forty different objects, learn from the answers, and plans do not grow."""
+    hidden = apart.select("object_id", "label")
+    samples = apart.where("object_id < 40")
+    plans = []
+
+    def answers(batch, k):
+        plans.append(len(batch._jdf.queryExecution().toString()))
+        given = hidden.join(batch.select("object_id"), "object_id")
+        wrong = given.limit(1).selectExpr("-5L AS object_id", "1 AS label").union(given.limit(1).selectExpr("object_id", "7 AS label"))
+        return given.where("object_id % 10 <> 3").union(wrong).union(hidden.where("object_id = 0"))
+
+    chosen, known = models.active_rounds(apart, samples, answers, 4, trees=10)
+    chosen, known = chosen.toPandas(), known.toPandas()
+    assert chosen.groupby("iteration").size().tolist() == [8] * 5
+    assert chosen.object_id.is_unique and (chosen.object_id >= 40).all()
+    want = {i for i in chosen.object_id if i % 10 != 3}
+    assert set(known[known.iteration > 0].object_id) == want and known.object_id.is_unique and (known.iteration == 0).sum() == 40
+    assert max(plans) - min(plans) < 0.2 * max(plans)
+
+
+def test_radial_machine_is_optimal(spark, apart):
+    """The conditions of Karush, Kuhn and Tucker on the training set, and margins near those of a dense dual solution."""
+    train = apart.where("object_id < 250")
+    machine = svm.fitted(train, 4)
+    rows = train.toPandas()
+    x, y = np.stack(rows.features.to_numpy()), rows.label.to_numpy(float)
+    k = svm.kernel(x, x, 0.25)
+    alpha, offset = svm.solved(x, y, 1.0, 0.25, 1e-3)
+    f = k @ (alpha * y) + offset
+    assert abs(alpha @ y) < 1e-9 and alpha.min() >= 0 and alpha.max() <= 1
+    assert (y * f)[alpha == 0].min() > 1 - 2e-3 and (y * f)[alpha == 1].max() < 1 + 2e-3
+    assert abs((y * f)[(alpha > 0) & (alpha < 1)] - 1).max() < 2e-3
+    assert machine.margins(x) == pytest.approx(f, abs=5e-3)
+    # projected gradient on the whole dual, with the sum of y * alpha held at zero by bisection
+    q, a = k * np.outer(y, y), np.zeros(250)
+    rate = 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(4000):
+        raw = a - rate * (q @ a - 1)
+        low, high = -50.0, 50.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.clip(raw - mid * y, 0, 1) @ y > 0 else (low, mid)
+        a = np.clip(raw - mid * y, 0, 1)
+    value = lambda v: v @ q @ v / 2 - v.sum()
+    assert value(alpha) <= value(a) + 1e-3 * abs(value(a))
+    free = (a > 1e-3) & (a < 1 - 1e-3)
+    dense = k @ (a * y)
+    assert dense + (y - dense)[free].mean() == pytest.approx(f, abs=0.05)
+
+
+def test_radial_machine_margins(spark, apart):
+    got = svm.margins(svm.fitted(apart.where("object_id % 2 = 0"), 4), apart.where("object_id % 2 = 1"), ["object_id", "label"]).toPandas()
+    assert (got.predicted == got.label).mean() > 0.9 and ((got.score < 0) == (got.predicted == -1)).all()
+    one = svm.margins(svm.fitted(apart.where("label = 1"), 4), apart.limit(5), ["object_id"]).toPandas()
+    assert (one.score > 0).all()
+    odd = apart.limit(3).selectExpr("object_id", "CASE WHEN object_id = 1 THEN features END AS features", "label")
+    rows = {r.object_id: r for r in svm.margins(svm.fitted(apart.where("false"), 4), odd, ["object_id"]).collect()}
+    assert rows[1].score == 0 and rows[1].predicted == 1 and rows[0].score is None and rows[0].predicted is None
+
+
+def test_cox_models_of_each_covariate_at_once(spark):
+    """Equal to one model after another, in a number of jobs that does not grow with the covariates."""
+    rows = fx.survival(spark, SF).selectExpr("time", "event", "price / 100000 AS price", "odd", "CAST(subject % 7 AS DOUBLE) AS week", "0 AS same", "subject % 3 AS third").persist()
+    names = ["price", "odd", "week", "third"]
+    tracker, group = spark.sparkContext.statusTracker(), spark.sparkContext.setJobGroup
+    group("many", "many")
+    each = survival.cox_each(rows, [*names, "same"])
+    many = len(tracker.getJobIdsForGroup("many"))
+    group("one", "one")
+    survival.cox_each(rows, ["price"])
+    one = len(tracker.getJobIdsForGroup("one"))
+    group("rest", "rest")
+    for c in names:
+        want = survival.cox(rows, [c])
+        assert each[c]["beta"] == pytest.approx(want["beta"][0], abs=1e-6) and each[c]["se"] == pytest.approx(want["se"][0], rel=1e-6) and each[c]["converged"] == want["converged"]
+    assert each["same"]["beta"] == 0 and math.isnan(each["same"]["se"]) and not each["same"]["converged"]
+    assert many <= 2.5 * one
