@@ -13,7 +13,7 @@ from slidegrid.functions import boundaries as b
 from slidegrid.operators import counts, models, svm
 from slidegrid.plans.registry import query, rounded, shared
 from slidegrid.sources import files
-from slidegrid.streaming import jobs
+from slidegrid.streaming import intake, jobs, sessions
 
 DIMS = 64
 
@@ -124,6 +124,12 @@ query("k9_pending_batch", sql(f"""SELECT uid, iteration, object_id, iteration =
 SESSIONS = """SELECT uid, min(ts) AS started, max(ts) AS last_seen, count(*) AS n_requests FROM (SELECT *, sum(new) OVER (PARTITION BY uid ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (
     SELECT uid, ts, CASE WHEN date_diff('microsecond', lag(ts) OVER (PARTITION BY uid ORDER BY ts), ts) <= 1800000000 THEN 0 ELSE 1 END AS new FROM requests)) GROUP BY uid, k"""
 query("t1_sessions", sql(SESSIONS, "requests"))(lambda s, d: jobs.sessions(fx.requests(s, d)).select("uid", F.col("started").cast("timestamp_ntz").alias("started"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "n_requests"))
+ENDS = {"purchase": "ended", "error": "cancelled"}
+query("t1_ended_sessions", sql("""SELECT CAST(uid AS VARCHAR) AS uid, min(ts) AS started, max(ts) AS last_seen, count(*) AS n_requests,
+    CASE arg_max(command, (ts, event_id)) WHEN 'purchase' THEN 'ended' WHEN 'error' THEN 'cancelled' ELSE CASE WHEN date_diff('microsecond', max(ts), (SELECT max(ts) FROM requests)) > 1800000000 THEN 'idle' END END AS reason
+    FROM (SELECT *, sum(new) OVER (PARTITION BY uid ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM (
+      SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) <= 1800000000 AND lag(command) OVER w NOT IN ('purchase', 'error') THEN 0 ELSE 1 END AS new FROM requests WINDOW w AS (PARTITION BY uid ORDER BY ts, event_id))) GROUP BY uid, k""", "requests"))(
+    lambda s, d: sessions.sessions_of(fx.requests(s, d), ends=ENDS).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "last_seen")}))
 query("t3_log_counts", sql("SELECT date_trunc('hour', ts) AS started, command, count(*) AS n FROM requests GROUP BY 1, 2", "requests"))(
     lambda s, d: jobs.log_counts(fx.requests(s, d)).withColumn("started", F.col("started").cast("timestamp_ntz")))
 query("t5_daily_logs", sql("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, command, count(*) AS n FROM requests WHERE date_diff('day', CAST(ts AS DATE), (SELECT max(CAST(ts AS DATE)) FROM requests)) < 7 GROUP BY 1, 2", "requests"))(
@@ -147,6 +153,27 @@ def _two_lines(s, d):
 query("t2_latest_labels", sql("SELECT object_id, CASE WHEN label = 1 THEN -1 ELSE label END AS label, CASE WHEN label = 1 THEN 99 ELSE iteration END AS iteration FROM samples", "samples"))(
     lambda s, d: jobs.latest(jobs.accepted(jobs.submissions(_two_lines(s, d)))))
 
+
+
+def _judged(s, d):
+    """Each sample's submission at its iteration's hour, and its second one as another line; some for objects that are not there, or late."""
+    hour = lambda c: F.timestamp_seconds(F.lit(1_700_000_000) + 3600 * c)
+    lines = _two_lines(s, d).withColumn("ts", hour(F.get_json_object("value", "$.iteration").cast("long")))
+    lines = lines.unionAll(lines.where(F.col("value").contains('"label":-1')).withColumn("ts", hour(F.lit(50))))
+    objects = fx.objects(s, d).where("object_id % 8 <> 3").select("object_id")
+    mark = s.range(1).select(hour(F.lit(6)).alias("at"))
+    taken = s.createDataFrame([], "uid string, iteration int, object_id bigint, label int")
+    found = intake.judged(intake.parsed(lines), objects, taken, mark, 3600)
+    return found.groupBy("fate", "reason").agg(F.count("*").alias("n"))
+
+
+query("t2_dead_letters", sql("""SELECT CASE WHEN reason IS NULL THEN 'taken' ELSE 'dead' END AS fate, reason, count(*) AS n FROM (
+      SELECT CASE WHEN label NOT IN (-1, 0, 1) THEN 'malformed' WHEN h < 5 THEN 'late' WHEN object_id % 8 = 3 THEN 'unknown' WHEN k > 1 THEN 'duplicate' END AS reason
+      FROM (SELECT *, row_number() OVER (PARTITION BY uid, iteration, object_id, label, h >= 5 ORDER BY h) AS k FROM (
+        SELECT *, unnest(CASE WHEN label = -1 THEN [iteration, 50] ELSE [iteration] END) AS h FROM (
+          SELECT slide AS uid, iteration, object_id, label FROM samples UNION ALL
+          SELECT slide, 99, object_id, CASE label WHEN 1 THEN -1 ELSE 7 END FROM samples WHERE label IN (0, 1))))) GROUP BY 1, 2""", "samples"))(_judged)
+
 # ---- sources
 query("p1_nan_features", "SELECT 'S0' || CAST(vec_id % 5 AS VARCHAR) AS slide, count(*) FILTER (label = 3) AS n_rejected FROM embeddings GROUP BY 1")(
     lambda s, d: files.rejected(vectors(s, d).withColumn("features", F.when(F.col("class") == 3, F.transform("features", lambda v: F.lit(float("nan")))).otherwise(F.col("features")))))
