@@ -12,7 +12,7 @@ from slidegrid.operators import counts
 from slidegrid.plans.model_queries import vectors
 from slidegrid.plans.registry import query, rounded, shared
 from slidegrid.plans.table_queries import POINTS, TEXT
-from slidegrid.sources import files
+from slidegrid.sources import files, layout
 from slidegrid.streaming import jobs
 
 DIMS = 3
@@ -83,6 +83,21 @@ query("s7_dataset", """SELECT CAST(vec_id AS BIGINT) AS object_id, 'S0' || CAST(
     lambda s, d: rounded(_dataset(s, d).select("object_id", "slide", F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("total")), 4))
 
 
+def _keyed(s: SparkSession, d: str) -> str:
+    """The folder of the objects along the curve, with two features each."""
+    path = shared(s, "keyed")
+    layout.write_dataset(fx.objects(s, d).select("object_id", "slide", "x_centroid", "y_centroid", F.array("score", "score_tied").alias("features")), path)
+    return path
+
+
+query("p8_keyed_viewport", sql("SELECT object_id, x_centroid, y_centroid FROM objects WHERE slide = 'S03' AND x_centroid BETWEEN 400 AND 1200 AND y_centroid BETWEEN 300 AND 900", "objects"))(
+    lambda s, d: layout.viewport(s, _keyed(s, d), "S03", 400, 1200, 300, 900).select("object_id", "x_centroid", "y_centroid"))
+query("s7_slide_header", sql("""SELECT slide, CAST(row_number() OVER (ORDER BY slide) - 1 AS INTEGER) AS slide_index, CAST(coalesce(sum(n) OVER (ORDER BY slide ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_index, n AS n_objects
+    FROM (SELECT slide, count(*) AS n FROM objects GROUP BY slide)""", "objects"))(lambda s, d: layout.read_slides(s, _keyed(s, d)).select("slide", "slide_index", "first_index", "n_objects"))
+query("s7_feature_header", sql("""SELECT CAST(dim AS INTEGER) AS dim, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std_dev FROM (SELECT unnest([0, 1]) AS dim, unnest([score, score_tied]) AS v FROM objects) GROUP BY dim""", "objects"))(
+    lambda s, d: rounded(layout.read_features(s, _keyed(s, d)).select("dim", "mean", "std_dev")))
+
+
 def _csv_report(s: SparkSession, d: str) -> DataFrame:
     path = shared(s, "report")
     files.write_report(counts.slide_counts(fx.objects(s, d), fx.slides(s, d), counts.predicted_label(F.col("score"))), path)
