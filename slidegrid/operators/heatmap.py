@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slidegrid.functions.boundaries import bound
 from slidegrid.sources import published
 from slidegrid.sources.shared import checkpointed
 
 CELL, SIGMA, BINS, SHARE = 40, 3.5, 20, 0.9
 HALF = 19
+#: Columns of a grid that are blurred down together.
+BLOCK = 64
 
 
 def kernel(sigma: float = SIGMA, half: int = HALF) -> list[float]:
@@ -53,39 +56,70 @@ def region_cells(objects: DataFrame) -> DataFrame:
 def blurred(maps: DataFrame, slides: DataFrame) -> DataFrame:
     """Both maps of cells() blurred on the dense grid of each slide, rows then columns.
 
-    A grid row is one array, whose length the slide's width bounds, and is convolved where it is. The rows' columns are then
-    gathered as arrays in turn; so each value is shuffled twice, and no map has to fit in one task. Borders
-    are mirrored (without repeating the border).
+    A grid row is one array, whose length the slide's width bounds. Rows are convolved in batches where they are, and cut into blocks of BLOCK
+    columns, which are gathered and convolved down; so each value is shuffled twice, in arrays, and no map has to fit in one task. Borders
+    are mirrored (without repeating the border); cells outside of a slide don't count, slides without cells are zeros.
     """
     sizes = slides.selectExpr("name AS slide", f"CAST(ceil(x_size / {CELL}) AS INT) + 1 AS nx", f"CAST(ceil(y_size / {CELL}) AS INT) + 1 AS ny")
-    row = F.collect_list(F.struct("cx", "uncertainty", "positive")).alias("row")
-    rows = maps.where("cx >= 0 AND cy >= 0").groupBy("slide", "cy").agg(row)
-    grid = sizes.select("slide", "nx", "ny", F.explode(F.expr("sequence(0, ny - 1)")).alias("cy"))
-    dense = grid.join(rows, ["slide", "cy"], "left").select("slide", "ny", "cy", *[_line("row", "cx", "nx", v).alias(v) for v in ("uncertainty", "positive")])
-    across = dense.select("slide", "ny", "cy", *[_convolved(F.col(v)).alias(v) for v in ("uncertainty", "positive")])
-    cells_ = across.select("slide", "ny", "cy", F.posexplode(F.arrays_zip("uncertainty", "positive")).alias("cx", "v"))
-    columns = cells_.groupBy("slide", "ny", "cx").agg(F.collect_list(F.struct("cy", "v.uncertainty", "v.positive")).alias("row"))
-    down = columns.select("slide", "cx", *[_convolved(_line("row", "cy", "ny", v)).alias(v) for v in ("uncertainty", "positive")])
-    return down.select("slide", "cx", F.posexplode(F.arrays_zip("uncertainty", "positive")).alias("cy", "v")).select("slide", "cx", "cy", "v.uncertainty", "v.positive")
-
-
-def _line(row: str, place: str, size: str, value: str) -> Column:
-    """The values of a row's cells as an array of `size`, 0 where there is none."""
-    found = F.map_from_entries(F.transform(row, lambda x: F.struct(x[place], x[value])))
-    return bound(F.coalesce(found, F.expr("CAST(map() AS map<int, double>)")), lambda m: F.transform(F.expr(f"sequence(0, {size} - 1)"), lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0))))
-
-
-def _convolved(line: Column) -> Column:
-    """The array's sums with the kernel's weights around each place."""
-    weights = F.array(*[F.lit(w) for w in kernel()])
-
-    def at(values: Column, i: Column) -> Column:
-        last = F.size(values) - 1
-        place = lambda k: i + k - HALF
-        mirrored = lambda p: F.when(p < 0, -p).when(p > last, 2 * last - p).otherwise(p)
-        return F.aggregate(F.transform(weights, lambda w, k: w * F.coalesce(F.get(values, mirrored(place(k))), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-
-    return bound(line, lambda values: F.transform(values, lambda v, i: at(values, i)))
+    inside = maps.join(sizes, "slide").where("cx >= 0 AND cx < nx AND cy >= 0 AND cy < ny")
+    rows = inside.groupBy("slide", "nx", "cy").agg(F.collect_list(F.struct("cx", "uncertainty", "positive")).alias("row"))
+    held = rows.mapInArrow(_across, "slide string, block int, cy int, u array<double>, p array<double>").groupBy("slide", "block").agg(F.collect_list(F.struct("cy", "u", "p")).alias("rows"))
+    wanted = sizes.select("slide", "nx", "ny", F.explode(F.expr(f"sequence(0, CAST((nx - 1) DIV {BLOCK} AS INT))")).alias("block"))
+    return wanted.join(held, ["slide", "block"], "left").select("slide", "block", "nx", "ny", "rows").mapInArrow(_down, "slide string, cx int, cy int, uncertainty double, positive double")
+
+
+def _convolved(lines: np.ndarray) -> np.ndarray:
+    """Sums with the kernel's weights around each place of the last axis; as the border is mirrored as often as it takes, lines can be shorter than the kernel."""
+    wide = np.pad(lines, [(0, 0)] * (lines.ndim - 1) + [(HALF, HALF)], mode="reflect")
+    n = lines.shape[-1]
+    out = np.zeros(lines.shape)
+    for k, w in enumerate(kernel()):
+        out += w * wide[..., k : k + n]
+    return out
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of cells as blurred lines, in blocks of BLOCK columns."""
+    for batch in batches:
+        slide, nx, cy, row = (batch.column(k) for k in range(4))
+        nx = nx.to_numpy(zero_copy_only=False)
+        cells_ = row.flatten()
+        owner = np.repeat(np.arange(len(nx)), np.diff(row.offsets.to_numpy()))
+        cx, *values = (cells_.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        out: list[tuple] = []
+        for n in np.unique(nx):
+            mine = np.flatnonzero(nx == n)
+            place = np.full(len(nx), -1)
+            place[mine] = np.arange(len(mine))
+            here = place[owner] >= 0
+            lines = np.zeros((2, len(mine), n))
+            for k, v in enumerate(values):
+                lines[k, place[owner[here]], cx[here]] = v[here]
+            lines = _convolved(lines)
+            out += [(i, a // BLOCK, lines[0, j, a : a + BLOCK], lines[1, j, a : a + BLOCK]) for j, i in enumerate(mine.tolist()) for a in range(0, n, BLOCK)]
+        at = pa.array([x[0] for x in out], pa.int64())
+        lists = [pa.array([x[k] for x in out], pa.list_(pa.float64())) for k in (2, 3)]
+        yield pa.RecordBatch.from_arrays([slide.take(at), pa.array([x[1] for x in out], pa.int32()), cy.take(at), *lists], ["slide", "block", "cy", "u", "p"])
+
+
+def _down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of lines as blurred cells."""
+    names = ["slide", "cx", "cy", "uncertainty", "positive"]
+    for batch in batches:
+        for slide, block, nx, ny, rows in zip(*(batch.column(k) for k in range(5)), strict=True):
+            first, ny = block.as_py() * BLOCK, ny.as_py()
+            width = min(BLOCK, nx.as_py() - first)
+            lines = np.zeros((2, width, ny))
+            if rows.is_valid:
+                cells_ = rows.values
+                cy = cells_.field(0).to_numpy(zero_copy_only=False)
+                for k in (0, 1):
+                    lines[k][:, cy] = cells_.field(k + 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).T
+            lines = _convolved(lines)
+            cx = np.repeat(np.arange(first, first + width, dtype=np.int32), ny)
+            cy = np.tile(np.arange(ny, dtype=np.int32), width)
+            columns = [pa.array([slide.as_py()] * len(cx), pa.string()), pa.array(cx), pa.array(cy), pa.array(lines[0].ravel()), pa.array(lines[1].ravel())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def ranges(maps: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from slidegrid import fixtures as fx
-from slidegrid.operators import models, pixels, sampling, survival, svm
+from slidegrid.operators import heatmap, models, pixels, sampling, survival, svm
 from slidegrid.sources import published
 
 SF = "/root/testdata/sf0.001"
@@ -296,3 +296,32 @@ def test_cox_models_of_each_covariate_at_once(spark):
         assert each[c]["beta"] == pytest.approx(want["beta"][0], abs=1e-6) and each[c]["se"] == pytest.approx(want["se"][0], rel=1e-6) and each[c]["converged"] == want["converged"]
     assert each["same"]["beta"] == 0 and math.isnan(each["same"]["se"]) and not each["same"]["converged"]
     assert many <= 2.5 * one
+
+
+def test_blur_against_plain_sums(spark):
+    """Slides of several blocks, narrower than the kernel, of one cell, and without cells; cells outside of a slide don't count."""
+    slides = spark.createDataFrame([("wide", 6000, 800), ("thin", 100, 3500), ("dot", 0, 0), ("none", 400, 400)], "name string, x_size int, y_size int")
+    rng = np.random.default_rng(3)
+    rows = [(s, int(x), int(y), float(u), float(p)) for s, nx, ny in (("wide", 151, 21), ("thin", 4, 89), ("dot", 1, 1)) for x, y, u, p in zip(rng.integers(-2, nx + 2, 300), rng.integers(-2, ny + 2, 300), rng.random(300), rng.random(300), strict=True)]
+    rows = list({r[:3]: r for r in rows}.values())
+    got = {(r.slide, r.cx, r.cy): (r.uncertainty, r.positive) for r in heatmap.blurred(spark.createDataFrame(rows, "slide string, cx int, cy int, uncertainty double, positive double"), slides).collect()}
+    w = heatmap.kernel()
+
+    def mirrored(i, n):
+        while n > 1 and not 0 <= i < n:
+            i = -i if i < 0 else 2 * (n - 1) - i
+        return i if n > 1 else 0
+
+    n_cells = 0
+    for name, nx, ny in (("wide", 151, 21), ("thin", 4, 89), ("dot", 1, 1), ("none", 11, 11)):
+        grid = np.zeros((2, nx, ny))
+        for s, x, y, u, p in rows:
+            if s == name and 0 <= x < nx and 0 <= y < ny:
+                grid[:, x, y] = u, p
+        for axis, n in ((1, nx), (2, ny)):
+            grid = sum(w[k] * np.take(grid, [mirrored(i + k - 19, n) for i in range(n)], axis) for k in range(39))
+        n_cells += nx * ny
+        for x in range(nx):
+            for y in range(ny):
+                assert got[name, x, y] == pytest.approx(tuple(grid[:, x, y]), abs=1e-12)
+    assert len(got) == n_cells
