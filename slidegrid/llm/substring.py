@@ -227,9 +227,9 @@ def without_repeats(docs: DataFrame, window: int = 13, tidy: bool = True, id_col
     A word goes if a window of `window` words that covers it also starts in a document with a smaller id.
     row is a struct of the columns other than the text, so no names clash. Words are parted by blanks and 0x09 to
     0x0D; null and empty texts have none; a null id counts as the largest; rows with one id are one
-    document, whose repeats of its own stay; an empty table gives no rows.
+    document, whose repeats of its own stay; an empty table gives no rows. A text is handled whole, in one task, however long it is.
 
-    Documents are dealt to buckets by id. Each bucket asks, level by level, which of its windows other buckets have;
+    Documents are dealt to buckets by id and text, so neither null ids nor the rows of one id meet in one bucket. Each bucket asks, level by level, which of its windows other buckets have;
     only windows that are repeated at one length are asked for at the next, up to twice as long. At the first
     length a window asks for the part with the least hash alone. A bucket asks for a hash once, however many copies
     it holds, so a common passage makes no large group.
@@ -238,7 +238,8 @@ def without_repeats(docs: DataFrame, window: int = 13, tidy: bool = True, id_col
     n, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     n_buckets = max(16, -(-n // min(max(int(2 * n**0.5), 256), MOST)), n_bytes // BYTES)
     n_parts = max(64, -(-n // 4096))
-    placed = c.in_row(docs, text_col).withColumns({"id": F.col(f"row.{c.quoted(id_col)}").cast("bigint"), "bucket": c.buckets(F.col(f"row.{c.quoted(id_col)}").cast("bigint"), n_buckets)})
+    id_ = F.col(f"row.{c.quoted(id_col)}").cast("bigint")
+    placed = c.in_row(docs, text_col).withColumns({"id": id_, "bucket": c.buckets(F.xxhash64(id_, "text"), n_buckets)})
     n_levels = len(levels(window))
 
     def told(replies: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
