@@ -60,8 +60,11 @@ def merged(points: Column) -> Column:
 
 
 def without_spurs(points: Column) -> Column:
-    """without points at which a side turns straight back: cross product 0 and dot product below 0."""
+    """without stationary repeats, and then without points at which a side turns straight back: cross product 0 and dot product below 0."""
+    return _without_turns(without_repeats(points))
 
+
+def _without_turns(points: Column) -> Column:
     def goes_on(q: Column, i: Column) -> Column:
         x1, y1, x2, y2 = _sides(q, F.greatest(i, F.lit(1)))
         return (i == 0) | (i == F.size(q) - 1) | (x1 * y2 - x2 * y1 != 0) | (x1 * x2 + y1 * y2 >= 0)
@@ -81,7 +84,7 @@ def distinct(points: Column) -> Column:
 
 def cleaned(points: Column) -> Column:
     """merged, then each vertex once, then without spurs."""
-    return without_spurs(distinct(merged(points)))
+    return _without_turns(distinct(merged(points)))
 
 
 def lengths(points: Column) -> Column:

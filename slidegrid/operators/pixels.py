@@ -185,12 +185,12 @@ def rings(pixels: DataFrame, radius: int = 8) -> DataFrame:
 def outlines(pixels: DataFrame) -> DataFrame:
     """tile_id, label, points: the outer rim of each object's first part, walked clockwise from its topmost pixel on, with the start again at the end.
 
-    Only pixels of the rim go to the object's task, and each is met a few times at most.
+    A tile's objects are walked in one group, one after the other. Only pixels of their rims go there, and each is met a few times at most.
     """
     around = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
 
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        held = set(zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True))
+    def walk(x: np.ndarray, y: np.ndarray) -> list[dict]:
+        held = set(zip(x.tolist(), y.tolist(), strict=True))
         start = min(held, key=lambda p: (p[1], p[0]))
         path, at, way, first = [start], start, 0, None
         for _ in range(4 * len(held) + 8):
@@ -204,10 +204,20 @@ def outlines(pixels: DataFrame) -> DataFrame:
             first = first or (at, way)
             at = (at[0] + around[way][0], at[1] + around[way][1])
             path.append(at)
-        points = [{"x": float(x), "y": float(y)} for x, y in path]
-        return pd.DataFrame({"tile_id": [key[0]], "label": [key[1]], "points": [points]})
+        return [{"x": float(x), "y": float(y)} for x, y in path]
 
-    return rims(pixels).groupBy("tile_id", "label").applyInPandas(walk, "tile_id bigint, label int, points array<struct<x:double,y:double>>")
+    def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        labels, parts = by_label(pdf)
+        return pd.DataFrame({"tile_id": key[0], "label": labels, "points": [walk(pdf["x"].to_numpy()[p], pdf["y"].to_numpy()[p]) for p in parts]})
+
+    return rims(pixels).groupBy("tile_id").applyInPandas(tile, "tile_id bigint, label int, points array<struct<x:double,y:double>>")
+
+
+def by_label(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The labels of a tile's rows, and the places of each one's rows."""
+    order = np.argsort(pdf["label"].to_numpy(), kind="stable")
+    labels, first = np.unique(pdf["label"].to_numpy()[order], return_index=True)
+    return labels, np.split(order, first[1:])
 
 
 #: Names of the values of an object's vector, in order.
@@ -280,11 +290,11 @@ def vectors(pixels: DataFrame) -> DataFrame:
 
 
 def solidity(pixels: DataFrame) -> DataFrame:
-    """Area by the area of the convex hull of the pixels' corners. Only the ends of each row of an object go to its task."""
+    """Area by the area of the convex hull of the pixels' corners. Only the ends of each row of an object go to its tile's group, where objects are dealt with one after the other."""
     ends = pixels.where("label > 0").groupBy("tile_id", "label", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("*").alias("n"))
 
-    def hull(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        xs, ys = np.r_[pdf.a, pdf.a, pdf.b + 1, pdf.b + 1], np.r_[pdf.y, pdf.y + 1, pdf.y, pdf.y + 1]
+    def hull(y: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+        xs, ys = np.r_[a, a, b + 1, b + 1], np.r_[y, y + 1, y, y + 1]
         points = sorted(set(zip(xs.tolist(), ys.tolist(), strict=True)))
         chain: list[tuple[int, int]] = []
         for way in (points, points[::-1]):
@@ -295,10 +305,14 @@ def solidity(pixels: DataFrame) -> DataFrame:
                 chain.append(p)
             chain.pop()
         h = np.array(chain, float)
-        area = abs(np.dot(h[:, 0], np.roll(h[:, 1], -1)) - np.dot(h[:, 1], np.roll(h[:, 0], -1))) / 2
-        return pd.DataFrame({"tile_id": [key[0]], "label": [key[1]], "solidity": [float(pdf.n.sum()) / area]})
+        return abs(np.dot(h[:, 0], np.roll(h[:, 1], -1)) - np.dot(h[:, 1], np.roll(h[:, 0], -1))) / 2
+
+    def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        labels, parts = by_label(pdf)
+        y, a, b, n = (pdf[c].to_numpy() for c in ("y", "a", "b", "n"))
+        return pd.DataFrame({"tile_id": key[0], "label": labels, "solidity": [float(n[p].sum()) / hull(y[p], a[p], b[p]) for p in parts]})
 
-    return ends.groupBy("tile_id", "label").applyInPandas(hull, "tile_id bigint, label int, solidity double")
+    return ends.groupBy("tile_id").applyInPandas(tile, "tile_id bigint, label int, solidity double")
 
 
 def fourier_shapes(boundaries: DataFrame, points: int = 128, bands: int = 6) -> DataFrame:

@@ -209,7 +209,7 @@ points_query("f4_distinct_vertices", lambda: b.distinct(F.col("p")), DISTINCT)
 query("f2_merge_collinear", sql(f"""SELECT object_id, {TEXT.format(BY_INDEX.format("q", f"i = 1 OR i = len(q) OR {CROSS} <> 0"), " ")} AS boundary
     FROM (SELECT object_id, {NO_REPEATS} AS q FROM (SELECT object_id, {POINTS} AS p FROM boundaries))""", "boundaries"))(lambda s, d: _points(s, d).select("object_id", b.written(b.merged(F.col("p"))).alias("boundary")))
 query("f3_remove_spurs", sql(f"""SELECT object_id, {TEXT.format(BY_INDEX.format("q", f"i = 1 OR i = len(q) OR {CROSS} <> 0 OR {DOT} >= 0"), " ")} AS boundary
-    FROM (SELECT object_id, {POINTS} AS q FROM boundaries)""", "boundaries"))(lambda s, d: _points(s, d).select("object_id", b.written(b.without_spurs(F.col("p"))).alias("boundary")))
+    FROM (SELECT object_id, {NO_REPEATS} AS q FROM (SELECT object_id, {POINTS} AS p FROM boundaries))""", "boundaries"))(lambda s, d: _points(s, d).select("object_id", b.written(b.without_spurs(F.col("p"))).alias("boundary")))
 query("f5_clean_boundaries", sql(f"""SELECT object_id, {TEXT.format(BY_INDEX.format("q", f"i = 1 OR i = len(q) OR {CROSS} <> 0 OR {DOT} >= 0"), " ")} AS boundary FROM (SELECT object_id, {DISTINCT} AS q FROM (
     SELECT object_id, {BY_INDEX.format("q", f"i = 1 OR i = len(q) OR {CROSS} <> 0")} AS p FROM (SELECT object_id, {NO_REPEATS} AS q FROM (SELECT object_id, {POINTS} AS p FROM boundaries))))""", "boundaries"))(
     lambda s, d: _points(s, d).select("object_id", b.written(b.cleaned(F.col("p"))).alias("boundary")))

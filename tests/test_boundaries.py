@@ -18,6 +18,8 @@ SF = "/root/testdata/sf0.001"
         (b.merged, "0,1 1,1 1,1 1,0", "0.0,1.0 1.0,1.0 1.0,0.0"),
         (b.without_spurs, "0,0 2,0 1,0", "0.0,0.0 1.0,0.0"),
         (b.without_spurs, "0,0 1,0 1,1 1,0 2,0", "0.0,0.0 1.0,0.0 1.0,0.0 2.0,0.0"),
+        (b.without_spurs, "0,0 1,0 1,1 1,1 1,0 2,0", "0.0,0.0 1.0,0.0 1.0,0.0 2.0,0.0"),
+        (b.without_spurs, "0,0 0,0 1,0 1,0", "0.0,0.0 1.0,0.0"),
         (b.without_spurs, "1,1 0,1 1,1 1,0 1,1 2,1 1,1 1,2 1,1", " ".join(["1.0,1.0"] * 5)),
         (lambda p: b.merged(b.without_spurs(p)), "0,0 1,0 1,1 1,0 2,0", "0.0,0.0 2.0,0.0"),
         (b.distinct, "0,0 1,0 1,0 1,1 0,0", "0.0,0.0 1.0,0.0 1.0,1.0 0.0,0.0"),
