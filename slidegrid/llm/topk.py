@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,9 @@ from slidegrid.llm.common import checkpointed, quoted
 
 LEAF = 128
 #: Vectors of a shard and queries of a block at most, and queries that are walked together.
-SHARD, BLOCK, TOGETHER = 131_072, 65_536, 1_024
+SHARD, BLOCK, TOGETHER = 262_144, 8_192, 1_024
+#: Scaled components have to be smaller, so that sums of products of 128 components stay within 64 bits.
+LARGEST = 1 << 28
 #: Shards that a small table is dealt to, for the sake of more tasks, and vectors by which the axes of the cells are chosen.
 LEAST, SAMPLE = 24, 20_000
 #: Products of integers below this are exact in floating point for up to 2**13 components.
@@ -136,6 +140,12 @@ def whole_numbers(vector: Column, scale: int = 64) -> Column:
     return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(False)), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("bigint")))
 
 
+def checked(vector: Column) -> Column:
+    """The vector; an error if a component is too large for exact sums."""
+    large = F.exists(vector, lambda x: F.abs(x) >= LARGEST)
+    return F.when(F.coalesce(large, F.lit(False)), F.raise_error(F.lit(f"a component is {LARGEST} or more after scaling"))).otherwise(vector)
+
+
 def levels(n: int, most: int, least: int = 1) -> int:
     """How often n is halved until at most `most` are left, and until there are `least` parts."""
     return max(0, math.ceil(math.log2(max(least, n / most))))
@@ -159,17 +169,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     """query_id, rank, id, score: for every query the k rows with the largest inner product, its own id apart.
 
     Exact; ties go to smaller ids. Null, NaN or infinite components and null ids take no part, and vectors
-    of different lengths never meet. Repeated ids are candidates each. An empty table gives no rows. Components have to be
-    below 2**28 after scaling, so that no product of 128 components leaves 64 bits.
+    of different lengths never meet. Repeated ids are candidates each. An empty table gives no rows. A component of LARGEST or
+    more after scaling is an error.
 
     Vectors that lie in one cell of space go to one shard, and where a cell holds more than `shard`, to several by their ids' hash.
     Queries first meet a shard of their own cell, which gives each of them a kth score. With these scores they go on, in
     blocks of neighbouring cells, to the shards whose box can hold a better one for the block's box, and
-    there boxes below a query's score are never opened. A task holds one shard's tree and one block.
+    there boxes below a query's score are never opened. A tree moves once a round; the blocks that ask it follow it into its
+    partition and are walked one after the other, so a task holds one tree and one batch of blocks, and what is sent grows with the
+    queries that a shard cannot be left out for.
     """
     rows = checkpointed(
         vectors.select(
-            F.col(quoted(id_col)).cast("bigint").alias("id"), whole_numbers(F.col(quoted(vector_col))).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
+            F.col(quoted(id_col)).cast("bigint").alias("id"), checked(whole_numbers(F.col(quoted(vector_col)))).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
         ).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0").withColumn("size", F.size("v"))
     )
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
@@ -203,26 +215,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     trees = checkpointed(dealt(placed, "shard", "cell", shard).groupBy("shard").applyInPandas(grow, f"size int, cell int, shard string, tree binary, {box}"))
     result = "query_id bigint, id bigint, score bigint"
 
-    def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "id": [], "score": []}, dtype=np.int64)]
-        for t in map(pickle.loads, left["tree"]):
-            for blob in right["queries"]:
-                ids, values, floor = pickle.loads(blob)
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
+        for batch in batches:
+            for kind, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not kind:
+                    tree = pickle.loads(blob.as_py())
+                    continue
+                ids, values, floor = pickle.loads(blob.as_py())
                 for a in range(0, len(ids), TOGETHER):
                     cut = slice(a, a + TOGETHER)
-                    q, found, score = search(t, values[cut].astype(np.int64), ids[cut], floor[cut], k)
-                    out.append(pd.DataFrame({"query_id": ids[cut][q], "id": found, "score": score}))
-        return pd.concat(out)
+                    q, found, score = search(tree, values[cut].astype(np.int64), ids[cut], floor[cut], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[cut][q]), pa.array(found), pa.array(score)], ["query_id", "id", "score"])
 
-    def meet(blocks: DataFrame) -> DataFrame:
-        """What the blocks (shard, block, queries) find in their shards."""
-        own = lambda df, *names: df.select(*[F.col(x).alias(x) for x in names])  # noqa: E731  (columns of their own, for the joins)
-        there = own(own(trees, "shard", "tree").join(own(blocks, "shard", "block"), "shard"), "shard", "block", "tree")
-        return there.groupBy("shard", "block").cogroup(own(blocks, "shard", "block", "queries").groupBy("shard", "block")).applyInPandas(met, result)
+    def meet(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+        """What the blocks (shard, queries) find in their shards: each shard's tree comes first in its partition, then its blocks."""
+        both = asked.select("shard", F.lit(0).alias("kind"), F.col("tree").alias("blob")).unionByName(blocks.select("shard", F.lit(1).alias("kind"), F.col("queries").alias("blob")))
+        return both.repartition(n_shards, "shard").sortWithinPartitions("shard", "kind").select("kind", "blob").mapInArrow(met, result)
 
+    n_shards = max(1, trees.count())
     homes = trees.groupBy("size", "cell").agg(F.min("shard").alias("home"))
     asking = dealt(placed.where("q"), "block", "cell", block).join(homes, ["size", "cell"]).withColumn("kth", F.lit(NONE + 1))
-    begun = checkpointed(meet(checkpointed(asking.groupBy("block").applyInPandas(pack, block_type))))
+    begun = checkpointed(meet(checkpointed(asking.groupBy("block").applyInPandas(pack, block_type)), trees))
     kth = begun.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "kth")
     asking = dealt(placed.where("q"), "block", "around", block).join(homes, ["size", "cell"]).join(kth, "id", "left").withColumn("kth", F.coalesce("kth", F.lit(NONE + 1)))
     asked = checkpointed(asking.groupBy("block").applyInPandas(pack, block_type)).drop("shard")
@@ -232,7 +246,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     ends = F.zip_with(F.arrays_zip("low", "high"), F.arrays_zip("s_low", "s_high"), lambda x, y: F.greatest(x["low"] * y["s_low"], x["low"] * y["s_high"], x["high"] * y["s_low"], x["high"] * y["s_high"]))
     boxes = asked.select("size", "block", "low", "high", "least", F.pmod(F.xxhash64("block"), F.lit(times)).cast("int").alias("part"))
     pairs = boxes.join(corners, ["size", "part"]).where(F.aggregate(ends, F.lit(0).cast("bigint"), lambda a, x: a + x) >= F.col("least")).select("shard", "block")
-    rest = meet(checkpointed(pairs).join(asked.select("block", "queries"), "block"))
+    pairs = checkpointed(pairs)
+    rest = meet(pairs.join(asked.select("block", "queries"), "block"), trees.join(pairs.select("shard").distinct(), "shard"))
     # a query's home shard answers again, so that what both rounds found is kept once
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -46,7 +46,7 @@ def small(spark):
 def tables(spark, tmp_path_factory, docs):
     """A folder with the odd texts, labels of few, and empty tables."""
     folder = tmp_path_factory.mktemp("odd")
-    docs.write.parquet(f"{folder}/odd/documents.parquet")
+    docs.withColumn("n_chars", F.length("text").cast("bigint")).write.parquet(f"{folder}/odd/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (3, 0, 1), (None, 1, 1), (99, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/odd/labels.parquet")
     vectors = [(1, [0.5, -0.25]), (20, [1.0, 1.0]), (40, [1.0, 1.0]), (60, [float("nan"), 0.0]), (80, None), (100, [None, 1.0]), (7, [1.0, 1.0]), (None, [1.0, 1.0])]
     spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{folder}/odd/embeddings.parquet")
