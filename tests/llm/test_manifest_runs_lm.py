@@ -208,7 +208,7 @@ def test_base_scores(spark, odd, tmp_path, monkeypatch, hot):
 def test_scores_add_up(spark, monkeypatch):
     """After any words, the probabilities of all words, and of an unknown one in each class, are one."""
     monkeypatch.setattr(lm, "HOT", 300)
-    train = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    train = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(12)
     learn = train.select(F.col("doc_id"), "text").checkpoint() if spark.sparkContext.getCheckpointDir() else train.select("doc_id", "text")
     counted = {bytes(r.name): (r.kind, r.n) for r in lm.counts(learn).collect()}
     unknown, k = {}, 0
