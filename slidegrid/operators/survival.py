@@ -11,23 +11,42 @@ from pyspark.sql import functions as F
 from slidegrid.sources.shared import checkpointed
 
 
+def part_of(cuts: list[float]) -> Column:
+    """The range of a time: how many cuts are not above it."""
+    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x <= F.col("time"))) if cuts else F.lit(0)
+
+
+def accumulated(rows: DataFrame, columns: list[str], down: bool = False) -> DataFrame:
+    """rows (group, part, time and others) with `run_` sums of the columns over the group's times up to each, or, down, from each on.
+
+    Sums run over the times of a range, and over the group's ranges, of which there are a few; so no task orders all times of a group.
+    """
+    way = F.desc if down else F.asc
+    inner = Window.partitionBy("group", "part").orderBy(way("time")).rowsBetween(Window.unboundedPreceding, 0)
+    outer = Window.partitionBy("group").orderBy(way("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("group", "part").agg(*[F.sum(c).alias(f"o_{c}") for c in columns])
+    parts = parts.select(F.col("group").alias("g"), F.col("part").alias("p"), *[F.coalesce(F.sum(f"o_{c}").over(outer), F.lit(0)).alias(f"o_{c}") for c in columns])
+    joined = rows.join(parts, F.col("group").eqNullSafe(F.col("g")) & (F.col("part") == F.col("p")))
+    return joined.select(*rows.columns, *[(F.sum(c).over(inner) + F.col(f"o_{c}")).alias(f"run_{c}") for c in columns])
+
+
 def kaplan_meier(subjects: DataFrame) -> DataFrame:
     """For each group and distinct time at risk, events, censored, survival and standard errors.
 
-    subjects: group, time, event. Running sums go over distinct times of a group, not over subjects. Survival
+    subjects: group, time, event. Running sums go over distinct times of a range, and over ranges, never over a whole group. Survival
     is 0 from the time on at which all at risk have the event; its Greenwood errors are null there.
     """
     counted = subjects.groupBy("group", "time").agg(F.sum("event").alias("events"), F.count_if(F.col("event") == 0).alias("censored"), F.count("*").alias("c"))
-    later = Window.partitionBy("group").orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    upto = Window.partitionBy("group").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    risk = counted.withColumn("at_risk", F.sum("c").over(later))
+    counted = counted.withColumn("part", part_of(time_cuts(subjects)))
+    risk = accumulated(counted, ["c"], down=True).withColumnRenamed("run_c", "at_risk")
     share = 1 - F.col("events") / F.col("at_risk")
     steps = risk.withColumns({
-        "_ended": F.max(F.when(share <= 0, 1).otherwise(0)).over(upto),
-        "_log": F.sum(F.when(share > 0, F.ln(share)).otherwise(0.0)).over(upto),
-        "_green": F.sum(F.when(share > 0, F.col("events") / (F.col("at_risk") * (F.col("at_risk") - F.col("events")))).otherwise(0.0)).over(upto),
+        "ended": F.when(share <= 0, 1).otherwise(0),
+        "log": F.when(share > 0, F.ln(share)).otherwise(0.0),
+        "green": F.when(share > 0, F.col("events") / (F.col("at_risk") * (F.col("at_risk") - F.col("events")))).otherwise(0.0),
     })
-    survival = F.when(F.col("_ended") == 1, 0.0).otherwise(F.exp("_log"))
+    steps = accumulated(steps, ["ended", "log", "green"]).withColumnsRenamed({"run_ended": "_ended", "run_log": "_log", "run_green": "_green"})
+    survival = F.when(F.col("_ended") > 0, 0.0).otherwise(F.exp("_log"))
     live = F.col("_ended") == 0
     return steps.withColumn("survival", survival).select(
         "group", "time", "at_risk", "events", "censored", "survival",
@@ -107,9 +126,7 @@ def risk_sums(rows: DataFrame, columns: list[str], beta: np.ndarray, cuts: list[
         *[F.sum(v).alias(f"r_{k}") for k, v in values.items()], *[F.sum(F.when(dead, v).otherwise(0.0)).alias(f"d_{k}") for k, v in values.items()],
         *[F.sum(F.when(dead, F.col(c)).otherwise(0.0)).alias(f"s_{i}") for i, c in enumerate(columns)], F.count_if(dead).alias("deaths"),
     )
-    cuts = time_cuts(rows) if cuts is None else cuts
-    part = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x <= F.col("time"))) if cuts else F.lit(0)
-    ranged = by_time.withColumn("part", part)
+    ranged = by_time.withColumn("part", part_of(time_cuts(rows) if cuts is None else cuts))
     beyond = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranged.groupBy("part").agg(*[F.sum(f"r_{k}").alias(f"r_{k}") for k in values])
     ranges = ranges.select("part", *[F.coalesce(F.sum(f"r_{k}").over(beyond), F.lit(0.0)).alias(f"o_{k}") for k in values])
@@ -172,7 +189,7 @@ def cox_each(rows: DataFrame, columns: list[str], most: int = 25, tolerance: flo
     long = rows.select("time", F.col("event").cast("int").alias("event"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v"))
     long = checkpointed(long.select("time", "event", "v.c", "v.x"))
     cuts = time_cuts(rows)
-    part = F.size(F.filter(F.array(*[F.lit(float(t)) for t in cuts]), lambda t: t <= F.col("time"))) if cuts else F.lit(0)
+    part = part_of(cuts)
     sums = {"w": F.col("w"), "wx": F.col("w") * F.col("x"), "wxx": F.col("w") * F.col("x") * F.col("x")}
     dead = F.col("event") == 1
 
