@@ -226,7 +226,92 @@ STAIN_NAMES = (
     "MeanIntensity", "MeanMedianDifferenceIntensity", "MaxIntensity", "MinIntensity", "StdIntensity", "Entropy", "Energy", "Skewness", "Kurtosis",
     "MeanGradMag", "StdGradMag", "EntropyGradMag", "EnergyGradMag", "SkewnessGradMag", "KurtosisGradMag",
 )
-NAMES = (*SHAPE_NAMES, *(f"Hematoxylin{n}" for n in STAIN_NAMES), *(f"Cytoplasm{n}" for n in STAIN_NAMES))
+EDGE_NAMES = ("SumCanny", "MeanCanny")
+NAMES = (*SHAPE_NAMES, *(f"{part}{n}" for part in ("Hematoxylin", "Cytoplasm") for n in (*STAIN_NAMES, *EDGE_NAMES)))
+#: Edge detection: deviation of the smoothing, half the filters' length, bins of the histogram of slopes, share of pixels that are no strong edges, and weak threshold by the strong one.
+EDGE_SIGMA, EDGE_HALF, EDGE_BINS, EDGE_FLAT, EDGE_WEAK = 2**0.5, 8, 64, 0.7, 0.4
+
+
+def _filtered(image: np.ndarray, taps: np.ndarray, axis: int) -> np.ndarray:
+    """The image filtered along an axis; pixels beyond the border are like those of the border."""
+    wide = np.pad(image, [(EDGE_HALF, EDGE_HALF) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
+    n = image.shape[axis]
+    out = np.zeros(image.shape)
+    for k, w in enumerate(taps):
+        out += w * (wide[k : k + n] if axis == 0 else wide[:, k : k + n])
+    return out
+
+
+def canny(image: np.ndarray) -> np.ndarray:
+    """Whether each pixel is on an edge: slopes of the smoothed image, their crests, and weak crests that hang together with a strong one.
+
+    The strong threshold is the first of EDGE_BINS bins of the slopes (by their largest) that EDGE_FLAT of the pixels do not pass. A crest is a pixel whose slope is as large
+    as those interpolated before and after it along its direction, and larger than one of them.
+    """
+    at = np.arange(-EDGE_HALF, EDGE_HALF + 1)
+    smooth = np.exp(-(at**2) / (2 * EDGE_SIGMA**2))
+    smooth /= smooth.sum()
+    slope = at * smooth / np.abs(at * smooth)[at > 0].sum()
+    gy, gx = _filtered(_filtered(image, smooth, 1), slope, 0), _filtered(_filtered(image, smooth, 0), slope, 1)
+    size = np.hypot(gx, gy)
+    if size.max(initial=0) <= 1e-9:
+        return np.zeros(image.shape, bool)
+    size = np.round(size / size.max(), 9)
+    passed = np.cumsum(np.bincount(np.minimum((size * (EDGE_BINS - 1) + 0.5).astype(int), EDGE_BINS - 1).ravel(), minlength=EDGE_BINS))
+    strong = (int(np.argmax(passed > EDGE_FLAT * size.size)) + 1) / EDGE_BINS
+    wide = np.pad(size, 1)
+    h, w = size.shape
+
+    def beside(dy: np.ndarray, dx: np.ndarray) -> np.ndarray:
+        """Slopes one step along a direction, between the two nearest of the eight neighbours."""
+        y, x = np.indices((h, w))
+        steep = np.abs(dy) > np.abs(dx)
+        part = np.divide(np.minimum(np.abs(dy), np.abs(dx)), np.maximum(np.abs(dy), np.abs(dx)), out=np.zeros((h, w)), where=(dy != 0) | (dx != 0))
+        sy, sx = np.sign(dy).astype(int), np.sign(dx).astype(int)
+        straight = wide[y + 1 + np.where(steep, sy, 0), x + 1 + np.where(steep, 0, sx)]
+        return (1 - part) * straight + part * wide[y + 1 + sy, x + 1 + sx]
+
+    before, after = np.round(beside(-gy, -gx), 9), np.round(beside(gy, gx), 9)
+    crest = (size >= before) & (size >= after) & ((size > before) | (size > after))
+    weak = crest & (size > EDGE_WEAK * strong)
+    # weak crests that hang together have one number: the smallest, passed on between neighbours by halves of the way
+    number = np.where(weak, np.arange(size.size).reshape(h, w), size.size)
+    while True:
+        wide_n = np.pad(number, 1, constant_values=size.size)
+        least = number
+        for dy in (0, 1, 2):
+            for dx in (0, 1, 2):
+                least = np.minimum(least, wide_n[dy : dy + h, dx : dx + w])
+        least = np.where(weak, least, size.size)
+        roots = np.append(least.ravel(), size.size)
+        least = np.where(weak, roots[least], size.size)
+        if (least == number).all():
+            break
+        number = least
+    kept = np.zeros(size.size + 1, bool)
+    kept[number[crest & (size > strong)]] = True
+    kept[size.size] = False
+    return kept[number]
+
+
+def edges(pixels: DataFrame, value: str) -> DataFrame:
+    """tile_id, x, y of the pixels that are on an edge of the value, tile by tile; a tile has a fixed size. Missing pixels are 0."""
+
+    def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        image = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1))
+        image[y - y.min(), x - x.min()] = pdf[value].to_numpy(float)
+        found_y, found_x = np.nonzero(canny(image))
+        return pd.DataFrame({"tile_id": key[0], "x": (found_x + x.min()).astype(np.int32), "y": (found_y + y.min()).astype(np.int32)})
+
+    held = pixels.select("tile_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), value).where(F.col(value).isNotNull())
+    return held.groupBy("tile_id").applyInPandas(tile, "tile_id bigint, x int, y int")
+
+
+def edge_values(of: DataFrame, found: DataFrame) -> DataFrame:
+    """tile_id, label, values: how many pixels of each label are on an edge, and their share. of: tile_id, x, y, label. found: from edges()."""
+    marked = of.where("label > 0").join(found.withColumn("on", F.lit(1)), ["tile_id", "x", "y"], "left")
+    return marked.groupBy("tile_id", "label").agg(F.array(F.count("on").cast("double"), F.count("on") / F.count("*")).alias("values"))
 
 
 def stain_channels(pixels: DataFrame) -> DataFrame:
@@ -276,17 +361,22 @@ def shape_values(pixels: DataFrame) -> DataFrame:
 
 
 def vectors(pixels: DataFrame) -> DataFrame:
-    """one feature array for each object, in the order of NAMES (44 values; the two of edge detection are not built).
+    """one feature array for each object, in the order of NAMES (48 values).
 
     Each group has a row for every object; an object that a group lacks is an error, but for the cytoplasm of an object without a ring.
     """
     key = ["tile_id", "label"]
-    shape, nuclear, ring = (f(pixels).withColumnRenamed("values", n) for f, n in ((shape_values, "v1"), (nuclear_values, "v2"), (cytoplasm_values, "v3")))
-    objects = pixels.where("label > 0").select(*key).distinct()
-    joined = objects.join(shape, key, "full_outer").join(nuclear, key, "full_outer").join(ring, key, "full_outer")
-    gap = F.array(*[F.lit(None).cast("double")] * len(STAIN_NAMES))
-    whole = F.when(F.col("v1").isNull() | F.col("v2").isNull(), F.raise_error(F.lit("a group of features has no row for an object"))).otherwise(F.concat("v1", "v2", F.coalesce("v3", gap)))
-    return joined.select(*key, whole.alias("features"))
+    stains = stain_channels(pixels)
+    parts = [
+        shape_values(pixels), nuclear_values(pixels), edge_values(stains, edges(stains, "hematoxylin")), cytoplasm_values(pixels), edge_values(rings(pixels), edges(stains, "eosin")),
+    ]
+    joined = pixels.where("label > 0").select(*key).distinct()
+    for i, p in enumerate(parts):
+        joined = joined.join(p.withColumnRenamed("values", f"v{i}"), key, "full_outer")
+    gap = lambda names: F.array(*[F.lit(None).cast("double")] * len(names))
+    own = F.concat("v0", "v1", "v2", F.coalesce("v3", gap(STAIN_NAMES)), F.coalesce("v4", gap(EDGE_NAMES)))
+    lacks = F.col("v0").isNull() | F.col("v1").isNull() | F.col("v2").isNull()
+    return joined.select(*key, F.when(lacks, F.raise_error(F.lit("a group of features has no row for an object"))).otherwise(own).alias("features"))
 
 
 def solidity(pixels: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def test_outline_of_a_square(spark):
 def test_object_vectors_have_all_names(spark):
     row = pixels.vectors(square(spark, 6)).first()
     values = dict(zip(pixels.NAMES, row.features, strict=True))
-    assert len(pixels.NAMES) == 44
+    assert len(pixels.NAMES) == len(row.features) == 48
     assert (values["Area"], values["Perimeter"], values["Extent"], values["Solidity"]) == (36, 20, 1, 1)
     assert values["Eccentricity"] == pytest.approx(0, abs=1e-6) and values["Circularity"] == pytest.approx(4 * math.pi * 36 / 400)
     assert all(v is not None for v in row.features)
@@ -325,3 +325,77 @@ def test_blur_against_plain_sums(spark):
             for y in range(ny):
                 assert got[name, x, y] == pytest.approx(tuple(grid[:, x, y]), abs=1e-12)
     assert len(got) == n_cells
+
+
+def plain_canny(image):
+    """Edges pixel by pixel, and a search from each strong crest."""
+    h, w = image.shape
+    taps = [math.exp(-k * k / 4) for k in range(-8, 9)]
+    taps = [t / sum(taps) for t in taps]
+    slopes = [k * t for k, t in zip(range(-8, 9), taps, strict=True)]
+    slopes = [v / sum(x for x in slopes if x > 0) for v in slopes]
+    inside = lambda i, n: min(max(i, 0), n - 1)
+    along = lambda im, t, y, x: sum(t[k + 8] * im[y][inside(x + k, w)] for k in range(-8, 9))
+    across = lambda im, t, y, x: sum(t[k + 8] * im[inside(y + k, h)][x] for k in range(-8, 9))
+    every = lambda f, im, t: [[f(im, t, y, x) for x in range(w)] for y in range(h)]
+    gx, gy = every(along, every(across, image, taps), slopes), every(across, every(along, image, taps), slopes)
+    size = {(y, x): math.hypot(gx[y][x], gy[y][x]) for y in range(h) for x in range(w)}
+    most = max(size.values())
+    size = {k: round(v / most, 9) for k, v in size.items()}
+    bins = [0] * 64
+    for v in size.values():
+        bins[min(int(v * 63 + 0.5), 63)] += 1
+    total, strong = 0, None
+    for i, n in enumerate(bins):
+        total += n
+        if total > 0.7 * h * w:
+            strong = (i + 1) / 64
+            break
+
+    def crest(y, x):
+        dy, dx = gy[y][x], gx[y][x]
+        a, b = abs(dy), abs(dx)
+        part = min(a, b) / max(a, b) if max(a, b) > 0 else 0
+        sign = lambda v: int(v > 0) - int(v < 0)
+        both = []
+        for s in (-1, 1):
+            sy, sx = s * sign(dy), s * sign(dx)
+            straight = (y + sy, x) if a > b else (y, x + sx)
+            both.append(round((1 - part) * size.get(straight, 0) + part * size.get((y + sy, x + sx), 0), 9))
+        return size[y, x] >= max(both) and size[y, x] > min(both)
+
+    crests = {k for k in size if crest(*k)}
+    weak = {k for k in crests if size[k] > 0.4 * strong}
+    todo = [k for k in crests if size[k] > strong]
+    found = set(todo)
+    while todo:
+        y, x = todo.pop()
+        for k in ((y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+            if k in weak and k not in found:
+                found.add(k)
+                todo.append(k)
+    return found
+
+
+def test_edges_against_plain_loops(spark):
+    rng = np.random.default_rng(8)
+    images = [rng.integers(0, 256, (20, 26)).astype(float), np.add.outer(np.arange(24) ** 2 % 97, np.arange(18) * 3).astype(float)]
+    y, x = np.indices((30, 30))
+    images += [200.0 * ((y - 15) ** 2 + (x - 14) ** 2 < 70), 50.0 * (x > 12)]
+    for image in images:
+        got = pixels.canny(image)
+        assert set(zip(*(v.tolist() for v in np.nonzero(got)), strict=True)) == plain_canny(image)
+    disk = pixels.canny(images[2])
+    assert 40 <= disk.sum() <= 80 and not disk[15, 14] and not disk[0].any()
+    assert pixels.canny(images[3])[10:20].sum(1).tolist() in ([1] * 10, [2] * 10)
+    assert not pixels.canny(np.full((9, 9), 7.0)).any()
+
+
+def test_edge_values(spark):
+    image = square(spark, 12, (10, 9))
+    stains = pixels.stain_channels(image)
+    found = pixels.edges(stains, "hematoxylin")
+    marks = {(r.x, r.y) for r in found.collect()}
+    row = pixels.edge_values(stains, found).first()
+    inside = sum(10 <= x < 22 and 9 <= y < 21 for x, y in marks)
+    assert row["values"] == [inside, inside / 144] and inside > 0
