@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slidegrid import fixtures as fx
 from slidegrid.fixtures import sql
 from slidegrid.functions import boundaries as b
-from slidegrid.operators import labels, spatial, survival
+from slidegrid.operators import catalog, labels, spatial, survival
 from slidegrid.plans.registry import query, rounded, shared
 from slidegrid.sources import files
 
@@ -48,7 +48,7 @@ query("m8_finalize_ids", sql("""SELECT object_id, (SELECT max(set_id) FROM train
 query("m9_upsert", sql("SELECT object_id, coalesce(n.label, o.label) AS label FROM (SELECT object_id, label FROM samples) o FULL JOIN (SELECT object_id, -label AS label FROM objects WHERE iteration <= 4) n USING (object_id)", "samples"))(
     lambda s, d: labels.upserted(fx.samples(s, d).select("object_id", "label"), fx.objects(s, d).where("iteration <= 4").selectExpr("object_id", "-label AS label"), "object_id", "label"))
 query("m10_save_test_set", sql("SELECT set_id, name FROM training_sets UNION ALL SELECT dataset_id + 1000000, name FROM datasets", "training_sets", "datasets"))(
-    lambda s, d: fx.training_sets(s, d).select("set_id", "name").unionAll(fx.datasets(s, d).selectExpr("dataset_id + 1000000", "name")))
+    lambda s, d: catalog.saved(fx.training_sets(s, d).select("set_id", "name"), fx.datasets(s, d).selectExpr("dataset_id + 1000000 AS set_id", "name")))
 query("m11_new_datasets", sql("SELECT n_name AS name FROM nation WHERE n_name NOT IN (SELECT name FROM datasets)", "datasets"))(
     lambda s, d: labels.created(fx.datasets(s, d), fx.table(s, d, "nation").selectExpr("n_name AS name"), "name"))
 query("m12_delete_cascade", sql("""SELECT t.set_id, count(o.object_id) AS n FROM training_sets t JOIN training_objs o USING (set_id) WHERE t.dataset_id <> 2 GROUP BY t.set_id""", "training_sets", "training_objs"))(
@@ -57,34 +57,40 @@ query("m13_replace_boundaries", sql("""SELECT object_id, slide, boundary FROM bo
     SELECT object_id, slide, concat(boundary, ' 0,0') FROM boundaries WHERE slide IN ('S01', 'S02')""", "boundaries"))(
     lambda s, d: labels.replaced(fx.boundaries(s, d).select("object_id", "slide", "boundary"), fx.boundaries(s, d).where("slide IN ('S01', 'S02')").selectExpr("object_id", "slide", "concat(boundary, ' 0,0') AS boundary"), "slide"))
 query("m14_picker_add", sql("SELECT object_id, label, x_centroid AS x_click, y_centroid AS y_click FROM samples", "samples"))(
-    lambda s, d: fx.samples(s, d).join(fx.objects(s, d).select("object_id"), "object_id", "left_semi").selectExpr("object_id", "label", "x_centroid AS x_click", "y_centroid AS y_click"))
+    lambda s, d: catalog.picked(fx.samples(s, d), fx.objects(s, d)))
 query("m15_mark_selected", sql("SELECT object_id, object_id IN (SELECT object_id FROM samples) AS selected FROM objects WHERE slide = 'S04'", "samples"))(
     lambda s, d: labels.marked(fx.objects(s, d).where("slide = 'S04'"), fx.samples(s, d)))
-query("m16_cancel_session", sql("SELECT event_id, uid FROM requests WHERE uid NOT IN (SELECT uid FROM requests WHERE command = 'purchase' AND uid % 2 = 0)", "requests"))(
-    lambda s, d: fx.requests(s, d).join(fx.requests(s, d).where("command = 'purchase' AND uid % 2 = 0").select("uid").distinct(), "uid", "left_anti").select("event_id", "uid"))
+query("m16_cancel_session", sql("""SELECT event_id, uid FROM requests
+    WHERE uid NOT IN (SELECT uid FROM requests WHERE command = 'purchase' AND uid % 2 = 0)""", "requests"))(
+    lambda s, d: catalog.without_sessions(fx.requests(s, d), fx.requests(s, d).where("command = 'purchase' AND uid % 2 = 0")).select("event_id", "uid"))
 query("m17_running_index", sql("SELECT object_id, row_number() OVER (ORDER BY object_id) AS row_id FROM objects", "objects"))(
     lambda s, d: labels.numbered(fx.objects(s, d).select("object_id"), "object_id", s.range(0).selectExpr("id AS row_id"), "row_id"))
 
 # ---- catalog
 query("j3_enrich_samples", sql("""SELECT s.object_id, l.x_size, l.y_size, l.scale, l.pyramid_path, b.boundary FROM samples s JOIN slides l ON s.slide = l.name
     LEFT JOIN boundaries b ON b.slide = s.slide AND b.object_id = s.object_id""", "samples", "slides", "boundaries"))(
-    lambda s, d: fx.samples(s, d).join(F.broadcast(fx.slides(s, d)), F.col("slide") == F.col("name")).join(fx.boundaries(s, d).select("slide", "object_id", "boundary"), ["slide", "object_id"], "left").select("object_id", "x_size", "y_size", "scale", "pyramid_path", "boundary"))
-query("j5_dataset_slides", sql("SELECT s.name, s.pyramid_path FROM slides s JOIN dataset_slides d ON s.name = d.slide JOIN datasets a USING (dataset_id) WHERE a.name = 'ASIA' ORDER BY 1", "slides", "dataset_slides", "datasets"))(
-    lambda s, d: fx.slides(s, d).join(fx.dataset_slides(s, d).join(fx.datasets(s, d).where("name = 'ASIA'").select("dataset_id"), "dataset_id"), F.col("name") == F.col("slide")).select("name", "pyramid_path").orderBy("name"))
+    lambda s, d: catalog.enriched(fx.samples(s, d), fx.slides(s, d), fx.boundaries(s, d))
+    .select("object_id", "x_size", "y_size", "scale", "pyramid_path", "boundary"))
+query("j5_dataset_slides", sql("""SELECT s.name, s.pyramid_path FROM slides s JOIN dataset_slides d ON s.name = d.slide JOIN datasets a USING (dataset_id)
+    WHERE a.name = 'ASIA' ORDER BY 1""", "slides", "dataset_slides", "datasets"))(
+    lambda s, d: catalog.slides_of("ASIA", fx.datasets(s, d), fx.dataset_slides(s, d), fx.slides(s, d)).select("name", "pyramid_path"))
 query("j6_training_sets", sql("SELECT t.set_id, t.name, a.name AS dataset FROM training_sets t JOIN datasets a USING (dataset_id)", "training_sets", "datasets"))(
-    lambda s, d: fx.training_sets(s, d).join(F.broadcast(fx.datasets(s, d).withColumnRenamed("name", "dataset")), "dataset_id").select("set_id", "name", "dataset"))
-query("j7_set_classes", sql("SELECT DISTINCT set_id, label, CASE label WHEN 1 THEN 'positive' ELSE 'negative' END AS class FROM training_objs ORDER BY label", "training_objs"))(
-    lambda s, d: fx.training_objs(s, d).select("set_id", "label").distinct().withColumn("class", F.when(F.col("label") == 1, "positive").otherwise("negative")).orderBy("label"))
-query("j8_boundaries_of_list", sql("SELECT b.object_id, b.boundary FROM boundaries b JOIN (SELECT object_id, slide FROM samples WHERE iteration = 7) USING (slide, object_id)", "samples", "boundaries"))(
-    lambda s, d: fx.boundaries(s, d).join(fx.samples(s, d).where("iteration = 7").select("slide", "object_id"), ["slide", "object_id"]).select("object_id", "boundary"))
+    lambda s, d: catalog.sets_with_datasets(fx.training_sets(s, d), fx.datasets(s, d)).select("set_id", "name", "dataset"))
+query("j7_set_classes", sql("""SELECT DISTINCT set_id, label, CASE label WHEN 1 THEN 'positive' ELSE 'negative' END AS class
+    FROM training_objs ORDER BY label""", "training_objs"))(lambda s, d: catalog.classes_of_sets(fx.training_objs(s, d)))
+query("j8_boundaries_of_list", sql("""SELECT b.object_id, b.boundary FROM boundaries b
+    JOIN (SELECT object_id, slide FROM samples WHERE iteration = 7) USING (slide, object_id)""", "samples", "boundaries"))(
+    lambda s, d: catalog.boundaries_of(fx.samples(s, d).where("iteration = 7"), fx.boundaries(s, d)).select("object_id", "boundary"))
 query("j11_new_slides", sql("SELECT name FROM slides WHERE name NOT IN (SELECT slide FROM dataset_slides WHERE dataset_id < 3)", "slides", "dataset_slides"))(
-    lambda s, d: fx.slides(s, d).join(fx.dataset_slides(s, d).where("dataset_id < 3").select(F.col("slide").alias("name")), "name", "left_anti").select("name"))
-query("j12_reload", sql("SELECT s.slide, count(*) AS n, max(abs(s.iteration)) AS iteration FROM samples s JOIN slides l ON s.slide = l.name JOIN objects o USING (object_id) GROUP BY s.slide", "samples", "slides"))(
-    lambda s, d: fx.samples(s, d).join(F.broadcast(fx.slides(s, d).selectExpr("name AS slide")), "slide").join(fx.objects(s, d).select("object_id"), "object_id").groupBy("slide").agg(F.count("*").alias("n"), F.max(F.abs("iteration")).alias("iteration")))
-query("j13_mask_objects", sql("SELECT v.view_id, o.object_id, o.boundary FROM boundaries o JOIN viewports v ON o.slide = v.slide AND x_centroid BETWEEN l - 32 AND r + 32 AND y_centroid BETWEEN t - 32 AND b + 32", "boundaries", "viewports"))(
-    lambda s, d: spatial.in_views(fx.boundaries(s, d), fx.viewports(s, d).selectExpr("view_id", "slide", "l - 32 AS l", "r + 32 AS r", "t - 32 AS t", "b + 32 AS b")).select("view_id", "object_id", "boundary"))
+    lambda s, d: catalog.new_only(fx.slides(s, d), fx.dataset_slides(s, d).where("dataset_id < 3"), "name", "slide").select("name"))
+query("j12_reload", sql("""SELECT s.slide, count(*) AS n, max(abs(s.iteration)) AS iteration FROM samples s JOIN slides l ON s.slide = l.name
+    JOIN objects o USING (object_id) GROUP BY s.slide""", "samples", "slides"))(
+    lambda s, d: catalog.reloaded(fx.samples(s, d), fx.slides(s, d), fx.objects(s, d)))
+query("j13_mask_objects", sql("""SELECT v.view_id, o.object_id, o.boundary FROM boundaries o
+    JOIN viewports v ON o.slide = v.slide AND x_centroid BETWEEN l - 32 AND r + 32 AND y_centroid BETWEEN t - 32 AND b + 32""", "boundaries", "viewports"))(
+    lambda s, d: catalog.mask_objects(fx.boundaries(s, d), fx.viewports(s, d), 32).select("view_id", "object_id", "boundary"))
 query("k11_listings", sql("SELECT set_id, name FROM training_sets", "training_sets"))(lambda s, d: fx.training_sets(s, d).select("set_id", "name").orderBy("name"))
-query("a29_slides_with_boundaries", sql("SELECT DISTINCT slide FROM boundaries", "boundaries"))(lambda s, d: fx.boundaries(s, d).select("slide").distinct())
+query("a29_slides_with_boundaries", sql("SELECT DISTINCT slide FROM boundaries", "boundaries"))(lambda s, d: catalog.slides_with_boundaries(fx.boundaries(s, d)))
 
 
 def _slide_list(s, d):

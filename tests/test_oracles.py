@@ -33,7 +33,8 @@ def duck():
 def test_query(spark, duck, name):
     got = registry.QUERIES[name](spark, SF).toPandas()
     if name not in registry.ORACLES:
-        assert len(got.columns)
+        # these have tests of their values elsewhere; here they give rows, whole ones, of distinct names
+        assert len(got) and len(set(got.columns)) == len(got.columns) and not got.isna().all().any()
         return
     want = duck.execute(registry.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from slidegrid import fixtures as fx
 from slidegrid.operators import heatmap, models, pixels, sampling, survival, svm
-from slidegrid.sources import published
+from slidegrid.sources import files, published
 
 SF = "/root/testdata/sf0.001"
 
@@ -399,3 +399,11 @@ def test_edge_values(spark):
     row = pixels.edge_values(stains, found).first()
     inside = sum(10 <= x < 22 and 9 <= y < 21 for x, y in marks)
     assert row["values"] == [inside, inside / 144] and inside > 0
+
+
+def test_provenance(spark):
+    """Who saved it, with what, and when."""
+    row = files.provenance(spark, "1.2").first()
+    made = pd.Timestamp(row.created)
+    assert (row.application, row.version) == (spark.sparkContext.applicationId, "1.2")
+    assert abs((made - pd.Timestamp.now("UTC").tz_localize(None)).total_seconds()) < 120
