@@ -294,8 +294,15 @@ def common_runs(docs: DataFrame, words: int, n: int) -> tuple[np.ndarray, np.nda
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], ["key", "n"])
 
     some = docs.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
-    counted = some.mapInArrow(work, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    found = counted.orderBy(F.desc("n"), "key").limit(COMMON).toPandas()
+    counted = checkpointed(some.mapInArrow(work, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
+    # the least count from which on there are at most COMMON runs; the driver gets those, and a number for each count that some run has, at most SAMPLE
+    least, held = 2, 0
+    for row in sorted(counted.groupBy("n").count().collect(), reverse=True):
+        held += row["count"]
+        if held > COMMON:
+            least = row["n"] + 1
+            break
+    found = counted.where(F.col("n") >= least).toPandas()
     key = found["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
     return key[order], found["n"].to_numpy(np.int64)[order]
