@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slidegrid.llm import jpeg
-from slidegrid.llm.common import STEP, steps, text_bytes
+from slidegrid.llm.common import STEP, quoted, steps, text_bytes
 
 
 def padded(data: bytes) -> bytes:
@@ -54,7 +54,7 @@ def encode(docs: DataFrame, data_col: str = "data", id_col: str = "doc_id") -> D
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(jpeg.store_all([padded(x.as_py() or b"") for x in b.column(1)]), pa.binary())], ["id", "media"])
 
-    kept = docs.select(F.col(id_col).alias("id"), F.col(data_col).cast("binary").alias("data"))
+    kept = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(data_col)).cast("binary").alias("data"))
     return kept.mapInArrow(work, f"id {kept.schema['id'].dataType.simpleString()}, media binary")
 
 
@@ -74,7 +74,7 @@ def decode(stored: DataFrame, media_col: str = "media", id_col: str = "id") -> D
                 kinds = (pa.binary(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([x.as_py()], b.column(0).type), *map(pa.array, columns, kinds)], ["id", "payload", "height", "width", "rgb"])
 
-    kept = stored.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
+    kept = stored.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(media_col)).alias("media"))
     return kept.mapInArrow(work, f"id {kept.schema['id'].dataType.simpleString()}, payload binary, height int, width int, rgb binary")
 
 
@@ -104,5 +104,5 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names)
 
-    kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    kept = docs.select(F.col(quoted(id_col)).cast("bigint").alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     return kept.mapInArrow(work, "id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

@@ -148,7 +148,7 @@ def quality(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, t
     on the text alone; null and empty texts get the prior's score; without labels all scores are 0.5;
     an empty table gives no rows.
     """
-    known = chosen(docs, labels, "quality", ~held_out(id_col, parts, part), LEARN, id_col, text_col)
+    known = chosen(docs, labels, "quality", ~held_out(c.quoted(id_col), parts, part), LEARN, id_col, text_col)
     space = docs.sparkSession.sparkContext.broadcast(fitted(known))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,4 +159,4 @@ def quality(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, t
 
     kept = c.in_row(docs, text_col)
     scored = kept.mapInArrow(work, T.StructType([kept.schema["row"], T.StructField("score", T.DoubleType())]))
-    return scored.select("row", held_out(f"row.`{id_col}`", parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("row", held_out(f"row.{c.quoted(id_col)}", parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
             fps = np.array([fingerprint(x.as_py(), words) for x in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
 
-    kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    kept = docs.select(F.col(c.quoted(id_col)).cast("bigint").alias("id"), F.col(c.quoted(text_col)).cast("string").alias("text"))
     return kept.mapInArrow(work, "id bigint, fp bigint")
 
 
@@ -476,7 +476,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     Links are between texts, so copies make none; texts are named by 64 bits, and should two
     texts ever have one name, all texts are named anew with another seed.
     """
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id IS NOT NULL")
+    texts = docs.select(F.col(c.quoted(id_col)).cast("bigint").alias("id"), F.col(c.quoted(text_col)).cast("string").alias("text")).where("id IS NOT NULL")
     for seed in range(1, 100):
         rows = checkpointed(describe(texts, words, seed))
         firsts = checkpointed(rows.groupBy("name", "check").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("mark").alias("mark")))

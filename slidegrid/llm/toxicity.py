@@ -256,7 +256,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2,
     depend on the text alone. Null and empty texts get the score of no words; rows with null ids are
     scored and not held out; an empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fitted(chosen(docs, labels, "toxic", ~held_out(id_col, parts, part), LEARN, id_col, text_col, LONGEST)))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(chosen(docs, labels, "toxic", ~held_out(c.quoted(id_col), parts, part), LEARN, id_col, text_col, LONGEST)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,4 +264,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2,
 
     kept = c.in_row(docs, text_col)
     scored = kept.mapInArrow(work, T.StructType([*kept.schema, T.StructField("score", T.DoubleType())]))
-    return scored.select("row", "text", held_out(f"row.`{id_col}`", parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("row", "text", held_out(f"row.{c.quoted(id_col)}", parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

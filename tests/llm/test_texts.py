@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from slidegrid.llm import common, licenses, quality, queries, secrets, simhash, substring, toxicity
+from slidegrid.llm import common, licenses, media, quality, queries, secrets, simhash, substring, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -165,3 +165,21 @@ def test_votes_one_by_one():
         want.append((sum(w * y for w, (_, y) in zip(weight, near, strict=True)) + 0.2 * 0.4) / (sum(weight) + 0.2))
     assert quality.vote(space, asked) == pytest.approx(want, rel=1e-3)
 
+
+
+@pytest.mark.parametrize("name", ["a.b", "a b", "a`b", "label"])
+def test_ids_of_any_name(spark, name):
+    """The columns of ids and texts are taken as they are named."""
+    rows = [(i, f"some words number {i % 4} that say little " * 3, i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "i bigint, t string, y int").select(F.col("i").alias(name), F.col("t").alias("x.y"))
+    labels = spark.createDataFrame(rows, "i bigint, t string, y int").select(F.col("i").alias(name), F.col("y").alias("toxic"), F.col("y").alias("quality"))
+    plain, known = docs.toDF("doc_id", "text"), labels.toDF("doc_id", "toxic", "quality")
+    pairs = [
+        (media.round_trip(docs, name, "x.y"), media.round_trip(plain)),
+        (simhash.fingerprints(docs, 4, name, "x.y"), simhash.fingerprints(plain, 4)),
+        (simhash.similar_documents(docs, id_col=name, text_col="x.y"), simhash.similar_documents(plain)),
+    ]
+    if name != "label":
+        pairs += [(f(docs, labels, id_col=name, text_col="x.y").select("held_out", "score"), f(plain, known).select("held_out", "score")) for f in (toxicity.toxicity, quality.quality)]
+    for got, want in pairs:
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
