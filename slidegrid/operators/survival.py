@@ -31,7 +31,7 @@ def accumulated(rows: DataFrame, columns: list[str], down: bool = False) -> Data
 
 
 def kaplan_meier(subjects: DataFrame) -> DataFrame:
-    """For each group and distinct time at risk, events, censored, survival and standard errors.
+    """For each group and distinct time at risk, events, censored, survival from it on and before it, and standard errors.
 
     subjects: group, time, event. Running sums go over distinct times of a range, and over ranges, never over a whole group. Survival
     is 0 from the time on at which all at risk have the event; its Greenwood errors are null there.
@@ -48,8 +48,9 @@ def kaplan_meier(subjects: DataFrame) -> DataFrame:
     steps = accumulated(steps, ["ended", "log", "green"]).withColumnsRenamed({"run_ended": "_ended", "run_log": "_log", "run_green": "_green"})
     survival = F.when(F.col("_ended") > 0, 0.0).otherwise(F.exp("_log"))
     live = F.col("_ended") == 0
+    before = F.when(F.col("_ended") > F.col("ended"), 0.0).otherwise(F.exp(F.col("_log") - F.col("log")))
     return steps.withColumn("survival", survival).select(
-        "group", "time", "at_risk", "events", "censored", "survival",
+        "group", "time", "at_risk", "events", "censored", "survival", before.alias("before"),
         F.when(live, F.col("survival") * F.sqrt("_green")).alias("se"),
         F.when(live, F.sqrt("_green")).alias("se_log"),
         F.when(live & (F.col("survival") < 1), F.sqrt("_green") / F.abs(F.ln("survival"))).alias("se_loglog"),
@@ -75,9 +76,7 @@ def confidence(table: DataFrame, z: float = 1.96) -> DataFrame:
 
 def step_points(table: DataFrame) -> DataFrame:
     """Points of the step function: at each time the survival before it and from it on."""
-    before = F.lag("survival", 1, 1.0).over(Window.partitionBy("group").orderBy("time"))
-    points = table.select("group", "time", "survival", before.alias("before"))
-    points = points.select("group", "time", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("before").alias("y")), F.struct(F.lit(1).alias("k"), F.col("survival").alias("y")))).alias("p"))
+    points = table.select("group", "time", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("before").alias("y")), F.struct(F.lit(1).alias("k"), F.col("survival").alias("y")))).alias("p"))
     return points.select("group", F.col("time").alias("x"), F.col("p.k").alias("step"), F.col("p.y").alias("y"))
 
 

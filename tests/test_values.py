@@ -407,3 +407,26 @@ def test_provenance(spark):
     made = pd.Timestamp(row.created)
     assert (row.application, row.version) == (spark.sparkContext.applicationId, "1.2")
     assert abs((made - pd.Timestamp.now("UTC").tz_localize(None)).total_seconds()) < 120
+
+
+def test_survival_of_continuous_times(spark):
+    """Tables over ranges of times against plain loops: ties, a group without a name, one that dies out, one of one subject."""
+    rng = np.random.default_rng(12)
+    rows = [(g, float(t), int(e)) for g, n in (("a", 900), (None, 500), ("b", 40)) for t, e in zip(rng.exponential(10, n).round(2 if g == "a" else 6), rng.integers(0, 2, n), strict=True)]
+    rows += [("b", 1000.0, 1)] * 3 + [("c", 5.0, 0)]
+    got = {(r.group, r.time): r for r in survival.kaplan_meier(spark.createDataFrame(rows, "group string, time double, event int")).collect()}
+    assert len(survival.time_cuts(spark.createDataFrame(rows, "group string, time double, event int"))) > 20
+    seen = 0
+    for g in ("a", None, "b", "c"):
+        mine = [(t, e) for h, t, e in rows if h == g]
+        now, green = 1.0, 0.0
+        for t in sorted({t for t, _ in mine}):
+            r, seen = got[g, t], seen + 1
+            risk, dead = sum(u >= t for u, _ in mine), sum(e for u, e in mine if u == t)
+            assert (r.at_risk, r.events, r.censored) == (risk, dead, sum(u == t for u, _ in mine) - dead)
+            assert r.before == pytest.approx(now, abs=1e-9)
+            now *= 1 - dead / risk
+            green += dead / (risk * (risk - dead)) if risk > dead else 0
+            assert r.survival == pytest.approx(now, abs=1e-9)
+            assert r.se is None if now == 0 else r.se == pytest.approx(now * green**0.5, abs=1e-9)
+    assert seen == len(got)
