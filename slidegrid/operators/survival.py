@@ -13,7 +13,7 @@ from slidegrid.sources.shared import checkpointed
 
 def part_of(cuts: list[float]) -> Column:
     """The range of a time: how many cuts are not above it."""
-    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x <= F.col("time"))) if cuts else F.lit(0)
+    return sum(((F.col("time") >= float(x)).cast("int") for x in cuts), F.lit(0))
 
 
 def accumulated(rows: DataFrame, columns: list[str], down: bool = False) -> DataFrame:
