@@ -16,13 +16,16 @@ def part_of(cuts: list[float]) -> Column:
     return sum(((F.col("time") >= float(x)).cast("int") for x in cuts), F.lit(0))
 
 
-def accumulated(rows: DataFrame, columns: list[str], down: bool = False) -> DataFrame:
+def accumulated(rows: DataFrame, columns: list[str], down: bool = False, ranges: bool = True) -> DataFrame:
     """rows (group, part, time and others) with `run_` sums of the columns over the group's times up to each, or, down, from each on.
 
     Sums run over the times of a range, and over the group's ranges, of which there are a few; so no task orders all times of a group.
+    ranges: whether there is more than one range.
     """
     way = F.desc if down else F.asc
     inner = Window.partitionBy("group", "part").orderBy(way("time")).rowsBetween(Window.unboundedPreceding, 0)
+    if not ranges:
+        return rows.select(*rows.columns, *[F.sum(c).over(inner).alias(f"run_{c}") for c in columns])
     outer = Window.partitionBy("group").orderBy(way("part")).rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("group", "part").agg(*[F.sum(c).alias(f"o_{c}") for c in columns])
     parts = parts.select(F.col("group").alias("g"), F.col("part").alias("p"), *[F.coalesce(F.sum(f"o_{c}").over(outer), F.lit(0)).alias(f"o_{c}") for c in columns])
@@ -30,22 +33,24 @@ def accumulated(rows: DataFrame, columns: list[str], down: bool = False) -> Data
     return joined.select(*rows.columns, *[(F.sum(c).over(inner) + F.col(f"o_{c}")).alias(f"run_{c}") for c in columns])
 
 
-def kaplan_meier(subjects: DataFrame) -> DataFrame:
+def kaplan_meier(subjects: DataFrame, few: int = 1_000_000) -> DataFrame:
     """For each group and distinct time at risk, events, censored, survival from it on and before it, and standard errors.
 
-    subjects: group, time, event. Running sums go over distinct times of a range, and over ranges, never over a whole group. Survival
+    subjects: group, time, event. Where there are more than `few` distinct times, running sums go over those of a range, and over ranges, never over a whole group. Survival
     is 0 from the time on at which all at risk have the event; its Greenwood errors are null there.
     """
     counted = subjects.groupBy("group", "time").agg(F.sum("event").alias("events"), F.count_if(F.col("event") == 0).alias("censored"), F.count("*").alias("c"))
-    counted = counted.withColumn("part", part_of(time_cuts(subjects)))
-    risk = accumulated(counted, ["c"], down=True).withColumnRenamed("run_c", "at_risk")
+    counted = checkpointed(counted)  # subjects are read once; what follows goes over their distinct times
+    ranges = counted.count() > few
+    counted = counted.withColumn("part", part_of(time_cuts(counted) if ranges else []))
+    risk = accumulated(counted, ["c"], down=True, ranges=ranges).withColumnRenamed("run_c", "at_risk")
     share = 1 - F.col("events") / F.col("at_risk")
     steps = risk.withColumns({
         "ended": F.when(share <= 0, 1).otherwise(0),
         "log": F.when(share > 0, F.ln(share)).otherwise(0.0),
         "green": F.when(share > 0, F.col("events") / (F.col("at_risk") * (F.col("at_risk") - F.col("events")))).otherwise(0.0),
     })
-    steps = accumulated(steps, ["ended", "log", "green"]).withColumnsRenamed({"run_ended": "_ended", "run_log": "_log", "run_green": "_green"})
+    steps = accumulated(steps, ["ended", "log", "green"], ranges=ranges).withColumnsRenamed({"run_ended": "_ended", "run_log": "_log", "run_green": "_green"})
     survival = F.when(F.col("_ended") > 0, 0.0).otherwise(F.exp("_log"))
     live = F.col("_ended") == 0
     before = F.when(F.col("_ended") > F.col("ended"), 0.0).otherwise(F.exp(F.col("_log") - F.col("log")))

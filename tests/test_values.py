@@ -409,12 +409,13 @@ def test_provenance(spark):
     assert abs((made - pd.Timestamp.now("UTC").tz_localize(None)).total_seconds()) < 120
 
 
-def test_survival_of_continuous_times(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_survival_of_continuous_times(spark, few):
     """Tables over ranges of times against plain loops: ties, a group without a name, one that dies out, one of one subject."""
     rng = np.random.default_rng(12)
     rows = [(g, float(t), int(e)) for g, n in (("a", 900), (None, 500), ("b", 40)) for t, e in zip(rng.exponential(10, n).round(2 if g == "a" else 6), rng.integers(0, 2, n), strict=True)]
     rows += [("b", 1000.0, 1)] * 3 + [("c", 5.0, 0)]
-    got = {(r.group, r.time): r for r in survival.kaplan_meier(spark.createDataFrame(rows, "group string, time double, event int")).collect()}
+    got = {(r.group, r.time): r for r in survival.kaplan_meier(spark.createDataFrame(rows, "group string, time double, event int"), few).collect()}
     assert len(survival.time_cuts(spark.createDataFrame(rows, "group string, time double, event int"))) > 20
     seen = 0
     for g in ("a", None, "b", "c"):
