@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slidegrid.llm import common as c
 from slidegrid.llm.common import checkpointed, columns, quoted
 
 #: Words of more bytes than this go by a name of 17 bytes; it starts with a blank, which no word has.
@@ -26,11 +27,11 @@ HOT = 1 << 19
 #: Words with an output unit of their own, classes of all other words by how they end, words with a vector of their own.
 SINGLES, CLASSES, ROWS = 128, 64, 4096
 UNITS, PAD = SINGLES + CLASSES, ROWS + CLASSES
-#: Size of the vectors, words of context, noise samples of a step, tokens of a step, and every which token a round takes.
-DIMS, CONTEXT, NOISE, STEP, EVERY = 24, 3, 64, 512, 6
+#: Size of the vectors, words of context, noise samples of a step, and tokens of a step.
+DIMS, CONTEXT, NOISE, STEP = 24, 3, 64, 512
 ROUNDS, RATE, SEED = 1, 0.15, 13
 #: Tokens that are scored together, words that a task counts before it hands them on, and parts in which parameters are averaged.
-BLOCK, MOST, PARTS = 8192, 1 << 20, 16
+BLOCK, MOST, PARTS = 1024, 1 << 20, 16
 END = b""
 
 
@@ -156,32 +157,45 @@ class Model:
         out.bias[:] = np.log(noise)
         return out
 
-    def gradients(self, context: np.ndarray, target: np.ndarray, noise: np.ndarray, drawn: np.ndarray) -> np.ndarray:
-        """Of the noise-contrastive loss: is a unit the next word's, or one of NOISE drawn from the noise?"""
-        out = Model(np.zeros(self.size, np.float32))
-        parts = [self.rows[context[:, k]] for k in range(CONTEXT)]
-        q = sum(p @ self.places[k] for k, p in enumerate(parts))
+    def gradients(self, context: np.ndarray, target: np.ndarray, noise: np.ndarray, drawn: np.ndarray, out: Model | None = None) -> np.ndarray:
+        """Of the noise-contrastive loss: is a unit the next word's, or one of NOISE drawn from the noise?
+
+        Units that are neither drawn nor a target have no gradient, so products go with the drawn ones and each token's own.
+        They are written over what `out` holds, if it is given.
+        """
+        out = out or Model(np.zeros(self.size))
+        out.flat[:] = 0
+        n, some = np.float32(len(target)), np.flatnonzero(drawn)
+        p = self.rows.take(context, axis=0).reshape(len(target), -1)
+        places = self.places.reshape(-1, DIMS)
+        q = p @ places
+        odds = np.log(NOISE * noise).astype(np.float32) - self.bias
+        mine, few = self.units.take(target, axis=0), self.units[some]
         with np.errstate(over="ignore"):
-            yes = 1 / (1 + np.exp(np.log(NOISE * noise).astype(np.float32) - (q @ self.units.T + self.bias)))
-        each = np.arange(len(target))
-        off = yes * drawn.astype(np.float32)
-        off[each, target] -= 1 - yes[each, target]
-        off /= len(target)
-        out.units[:] = off.T @ q
-        out.bias[:] = off.sum(0)
-        back = off @ self.units
-        for k, p in enumerate(parts):
-            out.places[k] = p.T @ back
-            np.add.at(out.rows, context[:, k], back @ self.places[k].T)
+            off = drawn[some].astype(np.float32) / n / (1 + np.exp(odds[some] - q @ few.T))
+            own = (1 / (1 + np.exp(odds[target] - np.einsum("ij,ij->i", q, mine))) - 1) / n
+        out.units[some] = off.T @ q
+        out.bias[some] = np.ones(len(off), np.float32) @ off
+        _scatter(out.units, target, own[:, None] * q)
+        np.add.at(out.bias, target, own)
+        back = off @ few + own[:, None] * mine
+        out.places[:] = (p.T @ back).reshape(out.places.shape)
+        _scatter(out.rows, context, back @ places.T)
         return out.flat
 
     def train(self, steps: Iterator[tuple[np.ndarray, np.ndarray]], noise: np.ndarray, seed: int) -> int:
         """Steps of AdaGrad; returns how many tokens they had."""
-        rng, seen, squared = np.random.default_rng(seed), 0, np.full(self.size, 1e-6, np.float32)
+        rng, seen, squared, move = np.random.default_rng(seed), 0, np.full(self.size, 1e-6, np.float32), np.empty(self.size, np.float32)
+        upto, out = np.cumsum(noise), Model(np.zeros(self.size))
+        upto /= upto[-1]
         for context, target in steps:
-            g = self.gradients(context, target, noise, np.bincount(rng.choice(UNITS, NOISE, p=noise), minlength=UNITS))
-            squared += g * g
-            self.flat -= RATE * g / np.sqrt(squared)
+            g = self.gradients(context, target, noise, np.bincount(upto.searchsorted(rng.random(NOISE), "right"), minlength=UNITS), out)
+            np.multiply(g, g, out=move)
+            squared += move
+            np.sqrt(squared, out=move)
+            np.divide(g, move, out=move)
+            move *= RATE
+            self.flat -= move
             seen += len(target)
         return seen
 
@@ -191,9 +205,9 @@ class Model:
         out = np.empty(len(target))
         for a in range(0, len(target), BLOCK):
             c, t = context[a : a + BLOCK], target[a : a + BLOCK]
-            q = tables[0][c[:, 0]]
+            q = tables[0].take(c[:, 0], axis=0)
             for k in range(1, CONTEXT):
-                q += tables[k][c[:, k]]
+                q += tables[k].take(c[:, k], axis=0)
             s = q @ self.units.T
             s += self.bias
             if s.max() > 60:  # beyond what single precision adds up safely
@@ -204,55 +218,90 @@ class Model:
         return out / np.log(10)
 
 
-def contexts(code: np.ndarray, first: np.ndarray, vocab: Vocabulary, every: int = 1, start: int = 0) -> np.ndarray:
-    """The rows of the CONTEXT words before each token (or every so many of them); what lies before a text is PAD."""
-    at = np.arange(start, len(code), every)
-    place = at - np.repeat(first[:-1], np.diff(first))[start::every]
-    out = np.empty((len(at), CONTEXT), np.int32)
+def _scatter(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add DIMS values each to rows of a table, which may repeat."""
+    np.add.at(table.reshape(-1), (rows.astype(np.intp).reshape(-1, 1) * DIMS + np.arange(DIMS)).reshape(-1), values.reshape(-1))
+
+
+def contexts(code: np.ndarray, first: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """The rows of the CONTEXT words before each token; what lies before a text is PAD."""
+    at = np.arange(len(code))
+    place = at - np.repeat(first[:-1], np.diff(first))
+    row = vocab.row[code]
+    out = np.empty((len(code), CONTEXT), np.int32)
     for k in range(CONTEXT):
-        out[:, k] = np.where(place > k, vocab.row[code[np.maximum(at - k - 1, 0)]], PAD)
+        out[:, k] = np.where(place > k, row[np.maximum(at - k - 1, 0)], PAD)
     return out
 
 
-def _blocks(texts: Iterator[bytes | None], codes: Codes, most: int) -> Iterator[tuple[list[list[bytes]], np.ndarray, np.ndarray]]:
-    """Texts in blocks of about `most` tokens or of one longer text: tokens, their codes, and where texts start."""
-    held, n = [], 0
-    find = codes.__getitem__
+def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """docs with two columns in place of the text: code, its tokens' codes as 32-bit numbers, and rare, the name and n of tokens with the code of a class.
 
-    def block() -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-        first = np.r_[0, np.cumsum([len(x) for x in held])].astype(np.int64)
-        return held, np.fromiter(map(find, chain.from_iterable(held)), np.int64, int(first[-1])), first
+    Tasks handle some ten thousand tokens at a time, or one longer text.
+    """
+    kept = [x for x in docs.columns if x != "text"]
+    rare = T.ArrayType(T.StructType([T.StructField("name", T.BinaryType()), T.StructField("n", T.IntegerType())]))
+    out = T.StructType([*docs.select(*kept).schema, T.StructField("code", T.BinaryType()), T.StructField("rare", rare)])
 
-    for text in texts:
-        held.append(tokens(text))
-        n += len(held[-1])
-        if n >= most:
-            yield block()
-            held, n = [], 0
-    if held:
-        yield block()
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = vocab.codes()
+        for batch in batches:
+            held, n, done = [], 0, 0
+            for text in batch.column("text").cast(pa.large_binary()):
+                held.append(tokens(text.as_py()))
+                n += len(held[-1])
+                if n >= 1 << 16 or done + len(held) == batch.num_rows:
+                    yield told(batch.slice(done, len(held)), held, codes)
+                    done += len(held)
+                    held, n = [], 0
+
+    def told(batch: pa.RecordBatch, held: list[list[bytes]], codes: Codes) -> pa.RecordBatch:
+        first = np.r_[0, np.cumsum([len(x) for x in held])]
+        code = np.fromiter(map(codes.__getitem__, chain.from_iterable(held)), np.int32, int(first[-1]))
+        names, often, size = [], [], []
+        for words, a, b in zip(held, first[:-1].tolist(), first[1:].tolist(), strict=True):
+            new = Counter(name(words[i]) for i in np.flatnonzero(code[a:b] >= codes.known).tolist())
+            names += new
+            often += new.values()
+            size.append(len(new))
+        words = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(often, pa.int32())], ["name", "n"])
+        coded = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer((4 * first).astype(np.int32)), pa.py_buffer(code)])
+        arrays = [*(batch.column(x) for x in kept), coded, pa.ListArray.from_arrays(np.r_[0, np.cumsum(size)].astype(np.int32), words)]
+        return pa.RecordBatch.from_arrays(arrays, [*kept, "code", "rare"])
+
+    return docs.mapInArrow(work, out)
+
+
+def _blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes of texts, of some ten thousand tokens or of one longer text, and where texts start."""
+    if not len(column):
+        return
+    column = column.cast(pa.large_binary())
+    first = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 4
+    code = np.frombuffer(column.buffers()[2], np.int32)
+    for a, b in c.steps(first, 1 << 16):
+        yield code[first[a] : first[b]], first[a : b + 1] - first[a]
 
 
 def averaged(docs: DataFrame, vocab: Vocabulary, model: Model, turn: int) -> Model:
-    """The mean of the models that the tasks train, from this one on, on their texts; each counts as its tokens do.
+    """The mean of the models that the tasks train, from this one on, on their texts' codes; each counts as its tokens do.
 
-    A turn takes every EVERY-th token of each text, from another one on in each turn. Models are averaged in PARTS, and first in groups of
-    tasks, so no task gets more than some thousands of parts.
+    A turn takes every token of every text once. Models are averaged in PARTS, and first in groups of tasks, so no task gets more than
+    some thousands of parts.
     """
     size = -(-Model.size // PARTS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, own = vocab.codes(), Model(model.flat)
+        own = Model(model.flat)
         number = 0
 
         def steps() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             nonlocal number
-            left = np.zeros((0, CONTEXT), np.int64), np.zeros(0, np.int64)
+            left = np.zeros((0, CONTEXT), np.int32), np.zeros(0, np.int64)
             for batch in batches:
                 number += batch.num_rows
-                for _, code, first in _blocks((t.as_py() for t in batch.column("text").cast(pa.large_binary())), codes, 1 << 16):
-                    start = turn * EVERY // ROUNDS
-                    left = np.r_[left[0], contexts(code, first, vocab, EVERY, start)], np.r_[left[1], vocab.unit[code[start::EVERY]]]
+                for code, first in _blocks(batch.column("code")):
+                    left = np.r_[left[0], contexts(code, first, vocab)], np.r_[left[1], vocab.unit[code]]
                     whole = len(left[1]) // STEP * STEP
                     for a in range(0, whole, STEP):
                         yield left[0][a : a + STEP], left[1][a : a + STEP]
@@ -267,7 +316,7 @@ def averaged(docs: DataFrame, vocab: Vocabulary, model: Model, turn: int) -> Mod
             parts = pa.array(list(flat.reshape(PARTS, size)), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([number % 64] * PARTS, pa.int32()), pa.array([float(seen)] * PARTS), parts], ["part", "team", "weight", "v"])
 
-    trained = docs.select("text").mapInArrow(work, "part int, team int, weight double, v array<double>").withColumn("v", array_to_vector("v"))
+    trained = docs.select("code").mapInArrow(work, "part int, team int, weight double, v array<double>").withColumn("v", array_to_vector("v"))
     team = trained.groupBy("part", "team").agg(Summarizer.mean(F.col("v"), F.col("weight")).alias("v"), F.sum("weight").alias("weight"))
     mean = team.groupBy("part").agg(Summarizer.mean(F.col("v"), F.col("weight")).alias("v")).select("part", vector_to_array("v").alias("v"))
     found = {r.part: r.v for r in mean.collect()}
@@ -275,9 +324,10 @@ def averaged(docs: DataFrame, vocab: Vocabulary, model: Model, turn: int) -> Mod
 
 
 def trained(docs: DataFrame, vocab: Vocabulary) -> Model:
+    """The model of the texts, or of their codes if they are encoded."""
     model = Model.start(vocab.noise)
     for turn in range(ROUNDS if vocab.total else 0):
-        model = averaged(docs, vocab, model, turn)
+        model = averaged(docs if "code" in docs.columns else encoded(docs.select("text"), vocab), vocab, model, turn)
     return model
 
 
@@ -299,41 +349,31 @@ def scored(docs: DataFrame, learn: Column, text_col: str = "text") -> tuple[Data
     known = held.where("learnt")
     counted = checkpointed(counts(known))
     vocab = vocabulary(counted)
-    model = trained(known, vocab)
-    rare = T.ArrayType(T.StructType([T.StructField("name", T.BinaryType()), T.StructField("n", T.IntegerType())]))
+    coded = checkpointed(encoded(held.withColumn("key", F.monotonically_increasing_id()), vocab))
+    model = trained(coded.where("learnt"), vocab)
     figures = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     kept = ["row", "learnt", "key"]
-    keyed = held.withColumn("key", F.monotonically_increasing_id())
-    out = T.StructType([*keyed.select(*kept).schema, *[T.StructField(*x) for x in figures], T.StructField("rare", rare)])
+    out = T.StructType([*coded.select(*kept).schema, *[T.StructField(*x) for x in figures]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = vocab.codes()
         for batch in batches:
-            found, names, often, size = [], [], [], []
-            for words, code, first in _blocks((t.as_py() for t in batch.column("text").cast(pa.large_binary())), codes, 1 << 16):
+            found = []
+            for code, first in _blocks(batch.column("code")):
                 own = model.log10(contexts(code, first, vocab), vocab.unit[code]) + vocab.within[code]
-                add = lambda x: np.add.reduceat(x, first[:-1])
-                known_here = code < codes.known
-                found.append((np.diff(first), add(known_here.astype(np.int64)), add(vocab.base[code]), add(own)))
-                for w, a, b in zip(words, first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    new = Counter(name(w[i]) for i in np.flatnonzero(~known_here[a:b]).tolist())
-                    names += new
-                    often += new.values()
-                    size.append(len(new))
-            if batch.num_rows:
+                add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731, B023
+                found.append((np.diff(first), add((code < len(vocab.words)).astype(np.int64)), add(vocab.base[code]), add(own)))
+            if found:
                 values = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
-                words = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(often, pa.int32())], ["name", "n"])
-                arrays = [*(batch.column(x) for x in kept), *values, pa.ListArray.from_arrays(np.r_[0, np.cumsum(size)].astype(np.int32), words)]
-                yield pa.RecordBatch.from_arrays(arrays, [*kept, *(x for x, _ in figures), "rare"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *values], [*kept, *(x for x, _ in figures)])
 
-    part = checkpointed(keyed.mapInArrow(work, out))
+    part = coded.select(*kept, "code").mapInArrow(work, out)
     share = F.array(*[F.lit(float(x)) for x in vocab.class_denominators()])
-    c = F.coalesce("c", F.lit(0)) + 0.5
-    seen = part.select("key", F.explode("rare").alias("x")).select("key", "x.*").join(counted.select("name", F.col("n").alias("c")), "name", "left")
+    smooth = F.coalesce("c", F.lit(0)) + 0.5
+    seen = coded.select("key", F.explode("rare").alias("x")).select("key", "x.*").join(counted.select("name", F.col("n").alias("c")), "name", "left")
     kind_here = (F.crc32(F.substring("name", -2, 2)) % CLASSES).cast("int") + 1
     sums = seen.groupBy("key").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * F.log10(c / vocab.base_denominator())).alias("b"),
-        F.sum(F.col("n") * F.log10(c / F.element_at(share, kind_here))).alias("s"),
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * F.log10(smooth / vocab.base_denominator())).alias("b"),
+        F.sum(F.col("n") * F.log10(smooth / F.element_at(share, kind_here))).alias("s"),
     )
     plus = lambda x, y: (F.col(x) + F.coalesce(y, F.lit(0))).alias(x)
-    return part.drop("rare").join(sums, "key", "left").select("row", "learnt", "n_tokens", plus("n_known", "k"), plus("base_score", "b"), plus("score", "s")), vocab
+    return part.join(sums, "key", "left").select("row", "learnt", "n_tokens", plus("n_known", "k"), plus("base_score", "b"), plus("score", "s")), vocab

@@ -272,3 +272,24 @@ def test_what_is_learnt_does_not_depend_on_held_out_texts(spark):
     scores = [{r.doc_id: r.score for r in lm.scored(x, ~held_out("doc_id", 5, 1))[0].where("learnt").select("row.doc_id", "score").collect()} for x in (docs, other)]
     assert scores[0].keys() == scores[1].keys()
     assert all(abs(scores[0][k] - scores[1][k]) < 1e-6 * abs(scores[0][k]) for k in scores[0])
+
+
+def test_every_position_is_trained_on(spark):
+    """Texts of six tokens whose first word tells the others: a training on every sixth token would see first words alone."""
+    rows = [(i, " ".join(f"w{(i * i // 7 + k) % 8}" for k in range(5))) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    score, base = lm.scored(docs, F.lit(True))[0].agg(F.avg("score"), F.avg("base_score")).first()
+    assert base < -4.5 and score > base / 2
+
+
+def test_codes_are_those_of_all_tokens(spark):
+    """Also of texts that lie across blocks, and of those with the end alone."""
+    docs = spark.createDataFrame([(" ".join(f"w{i * k % 7}" for k in range(n)),) for i, n in enumerate((0, 1, 2, 5, 700, 70_000, 1300))], "text string").coalesce(1)
+    vocab = lm.vocabulary(lm.counts(docs))
+    (batch,) = lm.encoded(docs, vocab).select("code").toArrow().combine_chunks().to_batches()
+    codes = vocab.codes()
+    want = [np.array([codes[w] for w in lm.tokens(r.text.encode())]) for r in docs.collect()]
+    got = [code[a:b] for code, first in lm._blocks(batch.column("code")) for a, b in zip(first, first[1:])]
+    assert len(got) == len(want) and all((x == y).all() for x, y in zip(got, want))
+    sliced = [code[a:b] for code, first in lm._blocks(batch.slice(2, 3).column("code")) for a, b in zip(first, first[1:])]
+    assert len(sliced) == 3 and all((x == y).all() for x, y in zip(sliced, want[2:5]))
