@@ -20,10 +20,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
-    Five-word runs and a similarity of 0.8 or more; pairs come from an exact prefix filter. Rows with one id stay or go
-    together; null ids and texts without words stay. Rows whose id cannot be among those that go are not shuffled.
+    First by SimHash of runs of four words, as in op10: fingerprints of four or fewer differing bits link. Then, among what stays, by sets of
+    five-word runs of a similarity of 0.8 or more, which can lie further apart in bits; pairs come from an exact prefix filter. Rows with one
+    id stay or go together; null ids and texts without words stay. Rows whose id cannot be among those that go are not shuffled.
     """
-    found = checkpointed(simhash.similar_documents(docs, words=5, similarity=0.8).where("id != component").select("id"))
+    worded = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    docs = checkpointed(_without(docs, simhash.near_duplicates(worded, words=4, budget=4, as_one=True).where("id > component").select("id").distinct()))
+    return _without(docs, simhash.similar_documents(docs, words=5, similarity=0.8).where("id != component").select("id"))
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is not among these distinct ones."""
+    found = checkpointed(ids)
     maybe, kept = sieved(docs, found, "doc_id")
     return kept.unionByName(maybe.join(found, maybe["doc_id"].cast("bigint") == found["id"], "left_anti"))
 

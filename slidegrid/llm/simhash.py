@@ -190,17 +190,22 @@ def sub_value(turn: int, first: int, width: int) -> str:
     return f"CAST(shiftrightunsigned({moved}, {BITS - first - width}) & {(1 << width) - 1} AS INT)"
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text", as_one: bool = False) -> DataFrame:
     """id, fp, component: every row of docs with its fingerprint and the smallest id that links reach from it.
 
     Rows link when their fingerprints differ in at most `budget` bits. Equal fingerprints are gathered before
     the join, so copies make no pairs. Rows with a null id stay, and stand for no component unless all
     rows of theirs have none (then it is null); repeated rows each stay; an empty table gives no rows.
+    as_one: rows with one id are one document, which links all that its texts link.
     """
     fps = checkpointed(fingerprints(docs, words, id_col, text_col))
     same = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     linked = same.where("rep IS NOT NULL").select("fp", "rep")
-    found = components(links(linked, budget))
+    near = links(linked, budget)
+    if as_one:
+        several = fps.where("id IS NOT NULL").groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("id")
+        near = near.union(fps.join(several, "id").join(linked, "fp").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    found = components(near)
     total = same.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     named = same.join(found, same["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"), "copies")
     return c.join_hot(fps, checkpointed(named), "fp", "copies", total).select("id", "fp", "component")

@@ -1,9 +1,12 @@
 """Stages of the corpus pipeline, each on its own input."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
+from slidegrid.llm import simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +65,19 @@ def test_odd_rows_pass_every_stage(spark, odd, empty):
 
 def test_stages_in_a_row(spark, odd):
     assert p.run(spark, odd).count() > 0
+
+
+def test_near_copies_go_by_simhash_and_by_sets(spark):
+    """Of texts whose fingerprints are near, or whose sets of runs are similar, and of rows with one id that link others, one stays."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    # many repeats of one run weigh in a fingerprint, but count once in a set; a word changed here and there is within 0.8 of the set
+    heavy = ["same"] * 200
+    tail = [" ".join(f"{x}{i}" for i in range(25)) for x in "ab"]
+    few = [*words[:30], "other", *words[31:]]
+    rows = [(1, " ".join([*heavy, tail[0]])), (2, " ".join([*heavy, tail[1]])), (3, " ".join(words)), (4, " ".join(few)), (5, "alone here as a text"), (8, "Alone here as a  text"), (8, "and this other one too"), (6, "and this other one too"), (7, "x y"), (9, " "), (10, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    by_simhash = {r.id for r in simhash.near_duplicates(docs.where("doc_id < 3"), 4, 4).where("id > component").collect()}
+    by_sets = {r.id for r in simhash.similar_documents(docs.where("doc_id < 3")).where("id > component").collect()}
+    assert by_simhash == {2} and not by_sets
+    assert sorted(r.doc_id for r in p.drop_near_copies(spark, docs, SF).collect()) == [1, 3, 5, 7, 9, 10]
