@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slidegrid.llm.common import out_of_row, quoted
+from slidegrid.llm.common import out_of_row, quoted, releasing
 
 #: The suffix that marks the last symbol of a word in the vocabulary.
 END = "</w>"
@@ -316,7 +316,7 @@ def counted(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["id", "n"])
 
     kept = docs.select(F.col(quoted(id_col)).cast("bigint").alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
-    return kept.mapInArrow(work, "id bigint, n bigint")
+    return kept.mapInArrow(releasing(work), "id bigint, n bigint")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
 
     kept = docs.select(F.col(c.quoted(id_col)).cast("bigint").alias("id"), F.col(c.quoted(text_col)).cast("string").alias("text"))
-    return kept.mapInArrow(work, "id bigint, fp bigint")
+    return kept.mapInArrow(c.releasing(work), "id bigint, fp bigint")
 
 
 def blocks(budget: int, bits: int = BITS) -> list[tuple[int, int]]:
@@ -179,6 +179,7 @@ def in_tries(distinct: DataFrame, found: Callable, budget: int, hot: int = HOT,
         last = np.r_[first[1:], len(fp)]
         some = last - first > 1
         a, b = found(fp, first[some], last[some], width)
+        c.released()
         return pd.DataFrame({"a": rep[a], "b": rep[b]})
 
     return spread.withColumn("g", key).groupBy("part", "block", "g").applyInPandas(work, "a bigint, b bigint")
@@ -264,7 +265,7 @@ def describe(docs: DataFrame, words: int, seed: int) -> DataFrame:
             columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "name", "check", "n", "mark"])
 
-    return docs.select("id", "text").mapInArrow(work, "id bigint, name bigint, check bigint, n int, mark binary").where("n > 0")
+    return docs.select("id", "text").mapInArrow(c.releasing(work), "id bigint, name bigint, check bigint, n int, mark binary").where("n > 0")
 
 
 def shingle_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
@@ -280,7 +281,7 @@ def shingle_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
                 values = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
                 yield pa.RecordBatch.from_arrays([pa.array(t.name[fresh], pa.int64()), pa.ListArray.from_arrays(offsets, values)], ["name", "shingles"])
 
-    return docs.select("text").mapInArrow(work, "name bigint, shingles array<bigint>")
+    return docs.select("text").mapInArrow(c.releasing(work), "name bigint, shingles array<bigint>")
 
 
 def common_runs(docs: DataFrame, words: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -299,7 +300,7 @@ def common_runs(docs: DataFrame, words: int, n: int) -> tuple[np.ndarray, np.nda
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], ["key", "n"])
 
     some = docs.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
-    counted = checkpointed(some.mapInArrow(work, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
+    counted = checkpointed(some.mapInArrow(c.releasing(work), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
     # the least count from which on there are at most COMMON runs; the driver gets those, and a number for each count that some run has, at most SAMPLE
     least, held = 2, 0
     for row in sorted(counted.groupBy("n").count().collect(), reverse=True):
@@ -342,7 +343,7 @@ def prefixes(docs: DataFrame, words: int, similarity: float, common: tuple[np.nd
             columns = (np.repeat(np.array(names, np.int64), size), key, place.astype(np.int32), np.repeat(np.array(n, np.int32), size))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "key", "place", "n"])
 
-    return docs.select("text").mapInArrow(work, "id bigint, key bigint, place int, n int")
+    return docs.select("text").mapInArrow(c.releasing(work), "id bigint, key bigint, place int, n int")
 
 
 def reachable(n: np.ndarray, place: np.ndarray, m: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
@@ -399,6 +400,8 @@ def listed(found: DataFrame, similarity: float, groups: int, few: int) -> DataFr
                     add(np.full(b - a, h), np.arange(a, b))
         pairs, large = np.unique(np.concatenate(out), axis=0), size > few
         none = np.zeros(len(pairs), np.int64)
+        del out
+        c.released()
         return pd.DataFrame({
             "a": np.r_[pairs[:, 0], ids[large]], "b": np.r_[pairs[:, 1], ids[large]], "key": np.r_[none, key[large]],
             "place": np.r_[none, place[large]], "n": np.r_[none, n[large]],
@@ -436,6 +439,8 @@ def rest_of_lists(lists: DataFrame, similarity: float, groups: int) -> DataFrame
                 if waiting > 1 << 20:
                     kept, out, waiting = np.unique(np.concatenate([kept, *out]), axis=0), [], 0
         kept = np.unique(np.concatenate([kept, *out]), axis=0)
+        del pdf, mark, out
+        c.released()
         return pd.DataFrame({"a": kept[:, 0], "b": kept[:, 1]})
 
     return lists.withColumn("g", c.buckets(F.col("key"), groups)).groupBy("g").applyInPandas(work, "a bigint, b bigint").distinct()

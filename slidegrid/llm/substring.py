@@ -253,15 +253,22 @@ def without_repeats(docs: DataFrame, window: int = 13, tidy: bool = True, id_col
         def work(table: pa.Table, replies: pa.Table) -> pa.Table:
             if not table.num_rows:
                 return pa.Table.from_pylist([], _schema(ASK))
-            return ask(Bucket(table, window, level == n_levels - 1), table["bucket"][0].as_py(), told(replies)[0][:level], n_parts)
+            out = ask(Bucket(table, window, level == n_levels - 1), table["bucket"][0].as_py(), told(replies)[0][:level], n_parts)
+            c.released()
+            return out
 
         return work
 
+    def answered(table: pa.Table) -> pa.Table:
+        out = answer(table)
+        c.released()
+        return out
+
     spark = docs.sparkSession
     replies = spark.createDataFrame([], "bucket int, hashes binary, checks binary, level int")
     for level in range(n_levels):
         questions = placed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(asking(level), ASK)
-        new = questions.groupBy("part").applyInArrow(answer, REPLY).withColumn("level", F.lit(level))
+        new = questions.groupBy("part").applyInArrow(answered, REPLY).withColumn("level", F.lit(level))
         replies = replies.union(new) if level else new
 
     out = T.StructType([*placed.select("row").schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
@@ -270,11 +277,14 @@ def without_repeats(docs: DataFrame, window: int = 13, tidy: bool = True, id_col
         bucket = Bucket(table, window)
         gone = covered(bucket, *told(replies))
         removed = np.r_[0, np.cumsum(gone)]
-        return pa.table({
+        done = pa.table({
             "row": table["row"],
             "n_words": np.diff(bucket.first),
             "n_removed": np.diff(removed[bucket.first]),
             "kept": pa.array(kept_texts(bucket, gone, tidy), pa.binary()).cast(pa.string()),
         })
+        del bucket, gone, removed
+        c.released()
+        return done
 
     return placed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(work, out)

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -23,6 +22,8 @@ WIDTH = 2
 DECAY = np.float32(1e-5)
 #: Documents that an n-gram must be held by to start at half of its log-odds.
 SHRINK = 10
+#: Rows that training handles at a time.
+PIECE = 1 << 18
 #: Bytes that part words: all of ASCII but a to z (texts are lower-cased).
 APART = c.byte_set((0, 0x60), (0x7B, 0x7F))
 
@@ -91,35 +92,60 @@ class _Adam:
             x -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-7)
 
 
+def spans(first: np.ndarray, n: int) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges a to b of groups that start at `first` in n rows, and their rows lo to hi: about PIECE, or one larger group."""
+    for a, b in c.steps(np.r_[first, n], PIECE):
+        yield a, b, int(first[a]), int(first[b]) if b < len(first) else n
+
+
 class Bags:
-    """Sums of rows by owner and back: `items` are the rows' numbers, in the order of their owners, `sizes` how many each owner has."""
+    """Sums of rows by owner and back: `items` are the rows' numbers, in the order of their owners, `sizes` how many each owner has.
+
+    weight has a value for each row, or one for each owner. Rows are handled piece by piece, so beside the two orders little is held.
+    """
 
-    def __init__(self, items: np.ndarray, sizes: np.ndarray, n_items: int, weight: np.ndarray) -> None:
-        self.items, self.weight = items.astype(np.int32), weight.astype(np.float32)
-        self.some, self.first = np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]
+    def __init__(self, items: np.ndarray, sizes: np.ndarray, n_items: int, weight: np.ndarray, by_owner: bool = False) -> None:
+        self.items, self.weight, self.by_owner = items.astype(np.int32, copy=False), weight.astype(np.float32), by_owner
+        self.some, self.sizes = np.flatnonzero(sizes), sizes[sizes > 0]
+        self.first = np.cumsum(self.sizes) - self.sizes
         self.n_owners, self.n_items = len(sizes), n_items
-        order = np.argsort(items, kind="stable")
-        self.owner_by_item = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
-        self.weight_by_item = self.weight[order]
-        items = self.items[order]
-        self.item_first = c.runs(items)
-        self.held = items[self.item_first]
+        count = np.zeros(n_items, np.int64)
+        for a in range(0, len(self.items), PIECE):
+            count += np.bincount(self.items[a : a + PIECE], minlength=n_items)
+        self.held = np.flatnonzero(count)
+        self.item_first = np.cumsum(count[self.held]) - count[self.held]
+        self.owner_by_item = np.empty(len(self.items), np.int32)
+        self.weight_by_item = None if by_owner else np.empty(len(self.items), np.float32)
+        owner = np.repeat(self.some.astype(np.int32), self.sizes)
+        for a, b, lo, hi in spans(self.item_first, len(self.items)):
+            mine = np.flatnonzero((self.items >= self.held[a]) & (self.items <= self.held[b - 1]))
+            mine = mine[np.argsort(self.items[mine], kind="stable")]
+            self.owner_by_item[lo:hi] = owner[mine]
+            if not by_owner:
+                self.weight_by_item[lo:hi] = self.weight[mine]
 
     def forward(self, values: np.ndarray) -> np.ndarray:
         """values has a row for each dimension."""
         out = np.zeros((len(values), self.n_owners), np.float32)
-        for k, v in enumerate(values):
-            out[k, self.some] = np.add.reduceat(v[self.items] * self.weight, self.first)
+        for a, b, lo, hi in spans(self.first, len(self.items)):
+            own, at = self.some[a:b], self.first[a:b] - lo
+            weight = np.repeat(self.weight[own], self.sizes[a:b]) if self.by_owner else self.weight[lo:hi]
+            for k, v in enumerate(values):
+                out[k, own] = np.add.reduceat(v[self.items[lo:hi]] * weight, at)
         return out
 
     def backward(self, slopes: np.ndarray) -> np.ndarray:
         out = np.zeros((len(slopes), self.n_items), np.float32)
-        for k, v in enumerate(slopes):
-            out[k, self.held] = np.add.reduceat(v[self.owner_by_item] * self.weight_by_item, self.item_first)
+        if self.by_owner:
+            slopes = slopes * self.weight
+        for a, b, lo, hi in spans(self.item_first, len(self.items)):
+            for k, v in enumerate(slopes):
+                part = v[self.owner_by_item[lo:hi]]
+                out[k, self.held[a:b]] = np.add.reduceat(part if self.by_owner else part * self.weight_by_item[lo:hi], self.item_first[a:b] - lo)
         return out
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7, steps: int = 30, rate: float = 0.1) -> Model:
+def train(texts: list[str] | pa.Array, labels: np.ndarray, seed: int = 7, steps: int = 30, rate: float = 0.1) -> Model:
     """Fit the n-gram vectors and the softmax together.
 
     A word's vector is the average of its n-grams' vectors, a text's that of its words, and the softmax is linear in it;
@@ -138,19 +164,24 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, steps: int = 30,
     learn = np.random.default_rng(seed).permutation(len(y)) % 5 != 4
     if not 0 < y[learn].mean() < 1 or not 0 < y[~learn].mean() < 1:
         learn = np.ones(len(y), bool)
-    used, where = np.unique(grams, return_inverse=True)
-    where = where.astype(np.int32)
-    del grams
+    some = np.zeros(BUCKETS, bool)
+    some[grams] = True
+    used = np.flatnonzero(some)
+    where = (np.cumsum(some, dtype=np.int32) - np.int32(1))[grams]
+    del texts, grams
     length = np.maximum(np.bincount(doc, count, len(y)), 1)
-    of_word = Bags(where, per_word, len(used), np.repeat(1 / per_word, per_word))
+    of_word = Bags(where, per_word, len(used), 1 / per_word, by_owner=True)
     of_text = Bags(words, np.bincount(doc, minlength=len(y)), n_words, count / length[doc])
     seen, held = np.zeros(len(used)), []
     for v in (0, 1):
         mine = learn[doc] & (y[doc] == v)
         by_word = np.bincount(words[mine], minlength=n_words)
-        n = np.bincount(where, np.repeat(by_word, per_word), len(used))
+        n = np.zeros(len(used))
+        for a, b, lo, hi in spans(np.cumsum(per_word) - per_word, len(where)):
+            n += np.bincount(where[lo:hi], np.repeat(by_word[a:b], per_word[a:b]), len(used))
         held.append((n + 1) / ((learn & (y == v)).sum() + 2))
         seen += n
+    del words, doc, count, where, mine
     rng = np.random.default_rng(seed)
     way = rng.standard_normal(WIDTH)
     way /= np.linalg.norm(way)
@@ -180,19 +211,19 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, steps: int = 30,
     return Model(ngrams, float(bias[1] - bias[0]) * a + b)
 
 
-def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def vocabulary(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Each document's distinct words as numbers, with the document of each and how often it stands there; n-grams word by word, and how many each word has."""
-    data, offsets = lowered(pa.array(texts, pa.large_string()))
+    column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
     known, found, grams, sizes, docs, held, often = np.zeros(0, np.uint64), [], [], [], [], [], []
-    for a, b in c.steps(offsets, c.STEP // 8):
-        piece = data[offsets[a] : offsets[b]]
-        starts, ends, first = c.words(piece, offsets[a : b + 1] - offsets[a], APART)
+    for a, b in c.steps(c.text_bytes(column)[1], c.STEP // 8):
+        piece, offsets = lowered(column.slice(a, b - a))
+        starts, ends, first = c.words(piece, offsets, APART)
         hashes = c.slice_hashes(c.sums_before(piece, 5), starts, ends)
-        doc = np.repeat(np.arange(a, b), np.diff(first))
+        doc = np.repeat(np.arange(a, b, dtype=np.int32), np.diff(first))
         order = np.lexsort((hashes, doc))
         at = np.flatnonzero(np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (doc[order][1:] != doc[order][:-1])]) if len(order) else order
         keep = order[at]
-        often.append(np.diff(np.r_[at, len(order)]))
+        often.append(np.diff(np.r_[at, len(order)]).astype(np.int32))
         docs.append(doc[keep])
         held.append(hashes[keep])
         new, at = np.unique(hashes, return_index=True)
@@ -206,7 +237,8 @@ def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     names = np.concatenate(found)
     order = np.argsort(names)
-    words = order[np.searchsorted(names[order], np.concatenate(held))]
+    names = names[order]
+    words = np.concatenate([order[np.searchsorted(names, x)].astype(np.int32) for x in held])
     return words, np.concatenate(docs), np.concatenate(often), np.concatenate(grams), np.concatenate(sizes)
 
 
@@ -237,14 +269,18 @@ def scaled(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fitted(known: DataFrame) -> Model:
     """The model of the chosen rows, trained in one task; only the model, whose size is fixed, reaches the driver."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(batches)
         if rows:
-            pdf = pd.concat(rows).sort_values("id")
-            model = train(pdf["text"].tolist(), pdf["label"].to_numpy())
-            yield pd.DataFrame({"ngrams": [model.ngrams.tobytes()], "bias": [model.bias]})
-
-    found = known.repartition(1).mapInPandas(work, "ngrams binary, bias double").collect()
+            table = pa.Table.from_batches(rows)
+            table = table.set_column(1, "text", table["text"].cast(pa.large_string())).sort_by("id").combine_chunks()
+            texts, labels = table["text"].chunk(0), table["label"].to_numpy()
+            rows.clear()
+            del table
+            model = train(texts, labels)
+            yield pa.RecordBatch.from_arrays([pa.array([model.ngrams.tobytes()], pa.binary()), pa.array([model.bias])], ["ngrams", "bias"])
+
+    found = known.repartition(1).mapInArrow(c.releasing(work), "ngrams binary, bias double").collect()
     return Model(np.frombuffer(found[0].ngrams, np.float32), found[0].bias) if found else train([], np.zeros(0))
 
 
@@ -263,5 +299,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score_texts(model.value, b.column(1)))], ["row", "text", "score"])
 
     kept = c.in_row(docs, text_col)
-    scored = kept.mapInArrow(work, T.StructType([*kept.schema, T.StructField("score", T.DoubleType())]))
+    scored = kept.mapInArrow(c.releasing(work), T.StructType([*kept.schema, T.StructField("score", T.DoubleType())]))
     return scored.select("row", "text", held_out(f"row.{c.quoted(id_col)}", parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
