@@ -65,20 +65,31 @@ def lookup(requests: DataFrame, objects: DataFrame, how: str = "inner") -> DataF
     return key(requests, "x", "y").join(first, ["slide", "kx", "ky"], how).drop("kx", "ky")
 
 
-def nearest(clicks: DataFrame, objects: DataFrame, reach: float) -> DataFrame:
-    """For each click the nearest object in a box of `reach` around it; ties go to the smaller id.
+def nearest(clicks: DataFrame, objects: DataFrame, reach: float, first: float | None = None) -> DataFrame:
+    """For each click the nearest object in a box of `reach` around it; distances count to six places, and ties go to the smaller id.
 
     Objects are keyed by a grid of cells as wide as the reach and clicks by the nine cells around theirs, so the box
-    condition becomes an equi-join and a hot cell can be split as any skewed key.
+    condition becomes an equi-join and a hot cell can be split as any skewed key. With `first`, this smaller box is asked
+    before: a click with an object closer than that is settled, as what is outside is farther, and only the others ask the wide box.
     """
+    if first is not None and first < reach:
+        near = _nearest(clicks, objects, first)
+        settled = near.where(F.col("m.d2") < first * first).select("click_id")
+        found = near.unionByName(_nearest(clicks.join(settled, "click_id", "left_anti"), objects, reach)).groupBy("click_id").agg(F.min("m").alias("m"))
+    else:
+        found = _nearest(clicks, objects, reach)
+    return found.select("click_id", "m.object_id", F.col("m.d2").alias("distance2"))
+
+
+def _nearest(clicks: DataFrame, objects: DataFrame, reach: float) -> DataFrame:
+    """click_id, m: rounded squared distance and id of the nearest object in the box."""
     cell = lambda x: F.floor(x / reach).cast("bigint")
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     asked = clicks.withColumn("c", near).withColumns({"cx": cell(F.col("x")) + F.col("c.i"), "cy": cell(F.col("y")) + F.col("c.j")}).drop("c")
     held = objects.select("slide", "object_id", "x_centroid", "y_centroid", cell(F.col("x_centroid")).alias("cx"), cell(F.col("y_centroid")).alias("cy"))
     dx, dy = F.col("x_centroid") - F.col("x"), F.col("y_centroid") - F.col("y")
     met = asked.join(held, ["slide", "cx", "cy"]).where((F.abs(dx) <= reach) & (F.abs(dy) <= reach))
-    best = met.groupBy("click_id").agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), "object_id")).alias("m"))
-    return best.select("click_id", "m.object_id", F.col("m.d2").alias("distance2"))
+    return met.groupBy("click_id").agg(F.min(F.struct(F.round(dx * dx + dy * dy, 6).alias("d2"), "object_id")).alias("m"))
 
 
 def coloured(objects: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from slidegrid import fixtures as fx
-from slidegrid.operators import heatmap, models, pixels, sampling, survival, svm
+from slidegrid.operators import heatmap, models, pixels, sampling, spatial, survival, svm
 from slidegrid.sources import files, published
 
 SF = "/root/testdata/sf0.001"
@@ -74,6 +74,18 @@ def test_ring_is_the_dilation(spark):
     assert got == want
 
 
+def test_nearest_ties_are_of_rounded_distances(spark):
+    """Two objects of one distance, whose squares differ in the last place: the smaller id wins, with and without a first box."""
+    clicks = spark.createDataFrame([(1, "S", 0.0, 0.0), (2, "S", 100.0, 100.0), (3, "S", 300.0, 300.0)], "click_id bigint, slide string, x double, y double")
+    rows = [(5, "S", 0.7, 0.1), (9, "S", 0.5, 0.5), (6, "S", 100.0, 120.0), (7, "S", 109.0, 109.0), (8, "S", 118.0, 118.0)]
+    assert 0.7 * 0.7 + 0.1 * 0.1 != 0.5 * 0.5 + 0.5 * 0.5 == 0.5
+    for near, far in (((5, 0.7, 0.1), (9, 0.5, 0.5)), ((5, 0.5, 0.5), (9, 0.7, 0.1))):
+        objects = spark.createDataFrame([(i, "S", x, y) for i, x, y in (near, far)] + rows[2:], "object_id bigint, slide string, x_centroid double, y_centroid double")
+        for first in (None, 10.0, 0.5):
+            got = {r.click_id: (r.object_id, r.distance2) for r in spatial.nearest(clicks, objects, 64.0, first).collect()}
+            assert got == {1: (5, 0.5), 2: (7, 162.0)}
+
+
 def test_mask_has_polygons_from_outside_the_view(spark):
     rows = [(1, 0.0, 0.0, 9.0, 9.0, 5, 0.5, "-6,2 4,2 4,7 -6,7"), (1, 0.0, 0.0, 9.0, 9.0, 6, -0.25, "2,4 30,4 30,20 2,20")]
     polygons = spark.createDataFrame(rows, "view_id int, l double, t double, r double, b double, object_id bigint, score double, boundary string")
