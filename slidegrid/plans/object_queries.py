@@ -109,7 +109,7 @@ query("j9_nearest", sql("""SELECT click_id, object_id, d2 AS distance2 FROM (SEL
 query("j9_nearest_region", sql("""SELECT click_id, object_id, d2 AS distance2 FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY d2, object_id) AS k FROM (
     SELECT c.click_id, o.object_id, round((o.x_centroid - c.x) * (o.x_centroid - c.x) + (o.y_centroid - c.y) * (o.y_centroid - c.y), 6) AS d2
     FROM clicks c JOIN objects o ON o.slide = c.slide AND abs(o.x_centroid - c.x) <= 256 AND abs(o.y_centroid - c.y) <= 256)) WHERE k = 1""", "objects", "clicks"))(
-    lambda s, d: rounded(spatial.nearest(fx.clicks(s, d), fx.objects(s, d), 256.0)))
+    lambda s, d: rounded(spatial.nearest(fx.clicks(s, d), fx.objects(s, d), 256.0, 16.0)))
 query("j10_unlabelled", sql("SELECT object_id, score FROM objects WHERE object_id NOT IN (SELECT object_id FROM samples)", "samples"))(
     lambda s, d: fx.objects(s, d).join(fx.samples(s, d).select("object_id"), "object_id", "left_anti").select("object_id", "score"))
 query("j15_label_override", sql("""SELECT o.object_id, CASE WHEN e.n % 2 = 1 THEN -o.label ELSE o.label END AS label FROM objects o LEFT JOIN (
