@@ -127,10 +127,20 @@ _PIXEL = """tile_id, x, y, CAST((x * x * 3 + y * y * 5 + x * y + tile_id * 3) %
   CASE WHEN x % 8 < 5 + (y % 3) AND y % 8 < 6 THEN CAST(floor(x / 8) + 4 * floor(y / 8) + 1 AS INTEGER) ELSE 0 END AS label"""
 
 
+#: Tiles that are made in one task.
+TILES = 512
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tile of 32 x 32 pixels with 16 objects for each supplier."""
-    tiles = table(spark, sf_dir, "supplier").selectExpr("CAST(s_suppkey AS BIGINT) AS tile_id", "explode(sequence(0, 31)) AS x").selectExpr("tile_id", "x", "explode(sequence(0, 31)) AS y")
-    return tiles.selectExpr(*select_list(_PIXEL))
+    """A tile of 32 x 32 pixels with 16 objects for each supplier.
+
+    The suppliers' file is small, so it is dealt by tile before it grows a thousandfold: groups, windows and joins of tiles find them in place.
+    """
+    tiles = table(spark, sf_dir, "supplier").selectExpr("CAST(s_suppkey AS BIGINT) AS tile_id")
+    n = tiles.count()
+    tiles = tiles.repartition(max(1, -(-n // TILES), min(n, spark.sparkContext.defaultParallelism)), "tile_id")
+    grid = tiles.selectExpr("tile_id", "explode(sequence(0, 31)) AS x").selectExpr("tile_id", "x", "explode(sequence(0, 31)) AS y")
+    return grid.selectExpr(*select_list(_PIXEL))
 
 
 #: The same views as common table expressions for the comparison engine.

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from slidegrid import fixtures as fx
 from slidegrid.operators import heatmap, models, pixels, sampling, spatial, survival, svm
+from slidegrid.plans import registry
 from slidegrid.sources import files, published
 
 SF = "/root/testdata/sf0.001"
@@ -74,6 +75,37 @@ def test_ring_is_the_dilation(spark):
     assert got == want
 
 
+PIXEL_QUERIES = ("f27_cytoplasm_values",)
+
+
+@pytest.mark.parametrize("name", PIXEL_QUERIES)
+def test_pixels_are_not_broadcast(spark, name):
+    """The source of the pixels is small, but what they grow to is not: no side of a join is broadcast, and tiles are dealt before they grow."""
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "REPARTITION_BY_NUM" in plan
+    if name in ("f27_cytoplasm_values", "f27_nuclear_values", "a17_edge_group", "f15_rings", "f13_colour_transfer"):
+        assert "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_values_of_tiles_against_columns(spark):
+    """Arrays of a tile give what windows and aggregates give, for pixels that are missing, doubled or without a value too."""
+    image = square(spark, 5, size=16, at=(4, 6)).selectExpr("tile_id", "x", "y", "CASE WHEN x > 12 THEN 3 WHEN x = 11 AND y = 3 THEN NULL ELSE label END AS label", "CASE WHEN (x + y) % 7 <> 0 THEN CAST(r AS DOUBLE) / 3 END AS v").where("x <> 8 OR y > 4")
+    image = image.unionAll(image.where("x = 2 AND y = 2"))
+    slope = pixels.gradient(image, "v")
+    for ring in (None, 3):
+        part = [image, slope]
+        if ring:
+            part = [pixels.rings(image, ring).join(df.drop("label"), ["tile_id", "x", "y"]) for df in part]
+        i, t = pixels.intensities(part[0], "v").toPandas(), pixels.textures(part[0], "v").toPandas()
+        j, u = pixels.intensities(part[1], "magnitude").toPandas(), pixels.textures(part[1], "magnitude").toPandas()
+        got = {r.label: r["values"] for r in pixels.tile_values(image, "v", ring).collect()}
+        texture = ["entropy", "energy", "skewness", "kurtosis"]
+        want = i.merge(t, on="label").merge(j, on="label", suffixes=("", "_g")).merge(u, on="label", suffixes=("", "_g"))
+        assert sorted(got) == sorted(want.label) == [1, 3]
+        for r in want.to_dict("records"):
+            assert got[r["label"]] == pytest.approx([r[c] for c in ("mean", "mean_median", "max", "min", "std", *texture, "mean_g", "std_g", *(f"{c}_g" for c in texture))], abs=1e-9)
+
+
 def test_nearest_ties_are_of_rounded_distances(spark):
     """Two objects of one distance, whose squares differ in the last place: the smaller id wins, with and without a first box."""
     clicks = spark.createDataFrame([(1, "S", 0.0, 0.0), (2, "S", 100.0, 100.0), (3, "S", 300.0, 300.0)], "click_id bigint, slide string, x double, y double")
