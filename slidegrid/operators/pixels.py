@@ -136,15 +136,16 @@ def intensities(pixels: DataFrame, value: str) -> DataFrame:
 def textures(pixels: DataFrame, value: str) -> DataFrame:
     """Entropy in bits and energy of the histogram of whole values, skewness and kurtosis of each object.
 
-    Histograms are counted first, so the second step has at most 256 rows for an object.
+    Histograms are counted first, so the second step has at most 256 rows for an object. Sides of the joins are as many as
+    the objects, whatever size their source has, so none is broadcast.
     """
     level = F.least(F.greatest(F.round(value), F.lit(0)), F.lit(255)).cast("int")
     own = pixels.where("label > 0").select("tile_id", "label", level.alias("bin"), F.col(value).cast("double").alias("v"))
     bins = own.groupBy("tile_id", "label", "bin").agg(F.count("*").alias("c"))
     total = own.groupBy("tile_id", "label").agg(F.count("*").alias("n"), F.skewness("v").alias("skewness"), (F.kurtosis("v") + 3).alias("kurtosis"))
     p = F.col("c") / F.col("n")
-    shares = bins.join(total.select("tile_id", "label", "n"), ["tile_id", "label"]).groupBy("tile_id", "label").agg((-F.sum(p * F.log2(p))).alias("entropy"), F.sum(p * p).alias("energy"))
-    return shares.join(total.drop("n"), ["tile_id", "label"])
+    shares = bins.join(total.select("tile_id", "label", "n").hint("merge"), ["tile_id", "label"]).groupBy("tile_id", "label").agg((-F.sum(p * F.log2(p))).alias("entropy"), F.sum(p * p).alias("energy"))
+    return shares.join(total.drop("n").hint("merge"), ["tile_id", "label"])
 
 
 def gradient(pixels: DataFrame, value: str) -> DataFrame:
