@@ -162,7 +162,17 @@ def gradient(pixels: DataFrame, value: str) -> DataFrame:
 def gradients(pixels: DataFrame, value: str) -> DataFrame:
     """Mean, deviation, entropy, energy, skewness and kurtosis of the gradient's magnitude of each object."""
     g = gradient(pixels, value)
-    return intensities(g, "magnitude").select("tile_id", "label", "mean", "std").join(textures(g, "magnitude"), ["tile_id", "label"])
+    return intensities(g, "magnitude").select("tile_id", "label", "mean", "std").join(textures(g, "magnitude").hint("merge"), ["tile_id", "label"])
+
+
+def by_tile(pixels: DataFrame, columns: list[str], work: Callable[..., pa.Table], schema: str) -> DataFrame:
+    """work, which takes a tile's id and its columns as arrays (nulls of a value are NaN), for each tile. A tile has a fixed size; a pixel without a place is left out, one without a label is of none."""
+
+    def tile(key: tuple, rows: pa.Table) -> pa.Table:
+        return work(key[0].as_py(), *[rows[c].to_numpy() for c in columns])
+
+    placed = pixels.where("x IS NOT NULL AND y IS NOT NULL").withColumn("label", F.coalesce("label", F.lit(-1)))
+    return placed.select("tile_id", *columns).groupBy("tile_id").applyInArrow(tile, schema)
 
 
 def rims(x: np.ndarray, y: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
