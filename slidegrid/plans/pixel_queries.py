@@ -88,7 +88,7 @@ def four_places(df):
 
 query("f27_nuclear_values", sql(stain_sql("hematoxylin", "SELECT tile_id, label, x, y FROM pixels WHERE label > 0"), "pixels"))(lambda s, d: four_places(px.nuclear_values(fx.pixels(s, d))))
 query("f27_cytoplasm_values", sql(stain_sql("eosin", RING), "pixels"))(lambda s, d: four_places(px.cytoplasm_values(fx.pixels(s, d))))
-query("a17_edge_group")(lambda s, d: (lambda stains: px.edge_values(stains, px.edges(stains, "hematoxylin")))(px.stain_channels(fx.pixels(s, d))))
+query("a17_edge_group")(lambda s, d: px.edge_group(fx.pixels(s, d)))
 query("f27_object_vectors")(lambda s, d: px.vectors(fx.pixels(s, d)))
 query("a14_solidity")(lambda s, d: px.solidity(fx.pixels(s, d)))
 query("f7_fourier_shapes")(lambda s, d: px.fourier_shapes(fx.boundaries(s, d)))

@@ -75,7 +75,7 @@ def test_ring_is_the_dilation(spark):
     assert got == want
 
 
-PIXEL_QUERIES = ("f27_cytoplasm_values", "f27_object_vectors", "a16_texture_group", "f15_rings", "f27_nuclear_values", "a17_gradient_group")
+PIXEL_QUERIES = ("f27_cytoplasm_values", "f27_object_vectors", "a16_texture_group", "f15_rings", "f27_nuclear_values", "a17_gradient_group", "a17_edge_group")
 
 
 @pytest.mark.parametrize("name", PIXEL_QUERIES)
