@@ -75,7 +75,21 @@ def test_ring_is_the_dilation(spark):
     assert got == want
 
 
-PIXEL_QUERIES = ("f27_cytoplasm_values", "f27_object_vectors", "a16_texture_group", "f15_rings", "f27_nuclear_values", "a17_gradient_group", "a17_edge_group")
+def test_fourier_shapes_leave_no_points_to_expressions(spark):
+    """Energies of long, flat, empty and missing boundaries; what goes to numpy are the boundary's own points."""
+    circle = " ".join(f"{20 * math.cos(k / 9):.3f},{20 * math.sin(k / 9):.3f}" for k in range(50))
+    rows = spark.createDataFrame([(1, circle), (2, "3,3 3,3"), (3, ""), (4, None), (5, "0,0 10,0 x 10,5")], "object_id bigint, boundary string")
+    found = pixels.fourier_shapes(rows)
+    got = {r.object_id: r.energies for r in found.collect()}
+    p = [tuple(map(float, v.split(","))) for v in circle.split()]
+    assert got[1] == pytest.approx(energies_by_brute_force([*p, p[0]]), abs=1e-6)
+    assert got[5] == pytest.approx(energies_by_brute_force([(0, 0), (10, 0), (10, 5), (0, 0)]), abs=1e-6)
+    assert got[2] == got[3] == [0.0] * 6 and got[4] is None
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(" not in plan and "MapInArrow" in plan
+
+
+PIXEL_QUERIES = ("f27_cytoplasm_values", "f27_object_vectors", "a16_texture_group", "a17_gradient_group", "a17_edge_group", "f15_rings", "f27_nuclear_values")
 
 
 @pytest.mark.parametrize("name", PIXEL_QUERIES)
