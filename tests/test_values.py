@@ -89,7 +89,7 @@ def test_fourier_shapes_leave_no_points_to_expressions(spark):
     assert "sequence(" not in plan and "MapInArrow" in plan
 
 
-PIXEL_QUERIES = ("f27_cytoplasm_values", "f27_object_vectors", "a16_texture_group", "a17_gradient_group", "a17_edge_group", "f15_rings", "f27_nuclear_values")
+PIXEL_QUERIES = ("f27_cytoplasm_values", "f27_object_vectors", "a16_texture_group", "a17_gradient_group", "a17_edge_group", "f15_rings", "f27_nuclear_values", "f13_colour_transfer")
 
 
 @pytest.mark.parametrize("name", PIXEL_QUERIES)
