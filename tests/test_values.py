@@ -101,6 +101,17 @@ def test_pixels_are_not_broadcast(spark, name):
         assert "ENSURE_REQUIREMENTS" not in plan
 
 
+def test_transfer_keeps_pixels_that_it_cannot_move(spark):
+    """Pixels without a place, a colour or a tile, and tiles whose tissue has no deviation, stay as they are; no row is lost."""
+    rows = [(1, 0, 0, 200, 40, 200), (1, 1, 0, 180, 60, 190), (1, 2, 0, 0, 0, 0), (1, None, 0, 190, 50, 210), (1, 3, 0, None, 5, 5), (2, 0, 0, 200, 40, 200), (None, 0, 0, 200, 40, 200), (None, 1, 0, 180, 60, 190)]
+    image = spark.createDataFrame(rows, "tile_id bigint, x int, y int, r int, g int, b int")
+    target = {"l": (3.2, 0.3), "a": (0.02, 0.05), "b": (0.03, 0.04)}
+    found = pixels.transferred(image, target)
+    got = {tuple(r[:3]): tuple(r[3:]) for r in found.collect()}
+    assert len(got) == len(rows) and all(got[r[:3]] == r[3:] for r in rows[2:3] + rows[4:]) and all(got[r[:3]] != r[3:] for r in (*rows[:2], rows[3]))
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_values_of_tiles_against_columns(spark):
     """Arrays of a tile give what windows and aggregates give, for pixels that are missing, doubled or without a value too."""
     image = square(spark, 5, size=16, at=(4, 6)).selectExpr("tile_id", "x", "y", "CASE WHEN x > 12 THEN 3 WHEN x = 11 AND y = 3 THEN NULL ELSE label END AS label", "CASE WHEN (x + y) % 7 <> 0 THEN CAST(r AS DOUBLE) / 3 END AS v").where("x <> 8 OR y > 4")
